@@ -98,8 +98,8 @@ def portfolio(accs: DataFrame) -> DataFrame:
     }
     for b in B.BUCKETS:
         sums |= {f"num_{b}": n(bucket == b), f"active_count_{b}": n(active & (bucket == b))}
-    for s, short in B.SEGMENTS.items():
-        sums |= {f"total_count_institution_segment_{short}": n(seg == s), f"active_count_institution_segment_{short}": n(active & (seg == s))}
+    for s, name in B.SEGMENTS.items():
+        sums |= {f"total_count_institution_segment_{name}": n(seg == s), f"active_count_institution_segment_{name}": n(active & (seg == s))}
     sums |= {f"_s_{b}": total("sanction", bucket == b) for b in SANCTION_SHARES} | {f"_sa_{b}": total("sanction", active & (bucket == b)) for b in SANCTION_SHARES}
     sums |= {f"_b_{b}": total("balance", active & (bucket == b)) for b in BALANCE_SHARES} | {f"_i_{b}": total("installment", active & (bucket == b)) for b in INSTALLMENT_SHARES}
     found = accs.groupBy("run_id", "lead_id").agg(*(c.alias(k) for k, c in sums.items()))
