@@ -37,16 +37,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         ),
         "exact-rows",
     )
+    # Each level's keys are a table of their own: a join with a key that a third of all
+    # rows have is then one that Spark can split.
     several = F.col("n") > 1
-    lengths = rows.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where(several).select("bytes")
+    lengths = stored(rows.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where(several).select("bytes"), "exact-lengths")
     by_prefix = rows.join(lengths, "bytes", "left_semi")
-    prefixes = by_prefix.groupBy("bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where(several).drop("n")
+    prefixes = stored(by_prefix.groupBy("bytes", "prefix_hash").agg(F.count(F.lit(1)).alias("n")).where(several).drop("n"), "exact-prefixes")
     rest = by_prefix.join(prefixes, ["bytes", "prefix_hash"], "left_semi")
-    groups = (
-        rest.groupBy("bytes", "prefix_hash", "sha")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("keep_id"))
-        .where(F.col("group_size") > 1)
-    )
+    groups = rest.groupBy("bytes", "prefix_hash", "sha").agg(F.count(F.lit(1)).alias("group_size"), F.min("id").alias("keep_id"))
+    groups = stored(groups.where(F.col("group_size") > 1), "exact-groups")
     found = rows.join(groups, ["bytes", "prefix_hash", "sha"], "left")
     alone = F.col("group_size").isNull()
     keep = F.when(alone, F.col("id")).otherwise(F.col("keep_id"))
