@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with QUERIES (functions) and SQL (by the functions' names).
-MODULES = ("profile_queries", "ranking_queries", "lead_queries", "bureau_queries")
+MODULES = ("profile_queries", "ranking_queries", "lead_queries", "bureau_queries", "model_queries")
 
 
 def _modules() -> list:
