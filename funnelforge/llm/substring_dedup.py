@@ -21,6 +21,9 @@ from funnelforge.session import stored
 #: Bytes that decide a boundary.
 REACH = 16
 
+#: Bytes of the chunks with which a span can begin or end: shorter ones occur by chance.
+ANCHOR = 16
+
 _gear = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _gap = b"\0" * REACH
 
@@ -81,7 +84,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, start, end, bytes, chunks, keep_id): spans of a text whose chunks all occur
     in a document with a smaller id, of ``least`` bytes or more.
 
-    ``keep_id`` is the smallest id that has one of the chunks. The copy in the document
+    ``keep_id`` is the smallest id that has the longest of the chunks. The copy in the document
     with the smallest id has no row, nor has what repeats only within one document. Rows
     with null ids or texts have no chunks; rows that repeat an id are one document. Counts
     per digest are combined before the shuffle, so a chunk in a third of all documents
@@ -92,8 +95,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = rows.join(shared, "digest").where("id > first").select("id", "start", "end", "first").distinct()
     w = Window.partitionBy("id").orderBy("start")
     new = F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))
-    runs = later.withColumn("run", F.sum(new).over(w)).groupBy("id", "run")
-    spans = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("chunks"), F.min("first").alias("keep_id"))
+    runs = later.withColumns({"run": F.sum(new).over(w), "size": F.col("end") - F.col("start")}).groupBy("id", "run")
+    anchor = F.col("size") >= ANCHOR
+    spans = runs.agg(
+        F.min(F.when(anchor, F.col("start"))).alias("start"),
+        F.max(F.when(anchor, F.col("end"))).alias("end"),
+        F.count(F.lit(1)).alias("chunks"),
+        F.max(F.struct("size", "first"))["first"].alias("keep_id"),
+    )
     size = (F.col("end") - F.col("start")).cast("long")
     return spans.where(size >= least).select(F.col("id").alias(id_col), F.col("start"), F.col("end"), size.alias("bytes"), "chunks", "keep_id")
 
