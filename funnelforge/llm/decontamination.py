@@ -176,6 +176,8 @@ def _without(text: str, hits: str) -> Column:
 
 
 def _cut_out(text, hits):
+    if not hits:
+        return text
     body = text.encode()
     words = Words([plain(body)], ALNUM)
     cuts = sorted((int(words.start[h["start"]]), int(words.end[h["start"] + h["words"] - 1])) for h in hits)

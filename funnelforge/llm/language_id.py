@@ -86,7 +86,7 @@ class Model:
         out: list = []
         for _, part in batches(_prepared(texts)):
             words = Words(part, _letters)
-            if not len(words.start):
+            if not len(words.start) or not self.languages:
                 out += [(np.zeros(0, np.int8), np.zeros(0, np.int64))] * len(part)
                 continue
             scores = self._scores(words)
