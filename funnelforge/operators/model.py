@@ -99,6 +99,9 @@ def fit_stage(rows: DataFrame, features: Features, trees: int = 20, depth: int =
 
 def probability(df: DataFrame, model: PipelineModel, features: Features, name: str) -> DataFrame:
     """Adds the model's probability; all other columns stay."""
+    missing = [c for c in features.columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing features: {', '.join(missing)}")
     held = df.select(F.struct("*").alias("_row"), *(F.col(c) for c in features.columns))
     scored = model.transform(encode(project(held, features, ["_row"]), features))
     return scored.select("_row", vector_to_array("probability")[1].alias("_p")).select("_row.*", F.col("_p").alias(name))
