@@ -31,8 +31,9 @@ from funnelforge.session import stored
 #: Coordinates of a signature, and how many a pair must agree in.
 COORDINATES, MATCHES = 64, 42
 
-#: Members of a posting list that one task compares with each other at once.
-BLOCK = 256
+#: Members of a posting list in one block, and bytes of their sets; a task compares two
+#: blocks with each other. A list of k blocks sends each member to k tasks.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
 
 _a = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
@@ -216,15 +217,13 @@ def _block_links(percent: int):
 def _rest_links(posted: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between components inside posting lists that hold several."""
     labelled = posted.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = (
-        labelled.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        .where("low < high")
-        .select("token", "members")
-    )
+    several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
     prefixes = posted.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    n_blocks = F.ceil(F.col("members") / block).cast("int")
-    spread = labelled.join(several, "token").withColumns({"n_blocks": n_blocks, "block": F.pmod(F.xxhash64("rep"), n_blocks).cast("int")})
+    lists = labelled.join(several, "token").join(classes.select("rep", "n"), "rep")
+    sizes = lists.groupBy("token").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks")
+    )
+    spread = lists.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
     # A member meets its own block and each other block once.
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
     units = spread.select("token", "rep", "comp", "block", other)
