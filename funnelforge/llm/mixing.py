@@ -22,6 +22,9 @@ from funnelforge.session import stored
 #: The weights that sources take in turn.
 TURNS = (1.0, 2.0, 3.0)
 
+#: Parts into which a source's documents are dealt where they meet its rate.
+SALTS = 32
+
 
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null has none."""
@@ -76,6 +79,11 @@ def turn_weights(sources: DataFrame, source_col: str = "source") -> DataFrame:
     return ordered.join(F.broadcast(before), "_part").withColumn("weight", weight).drop("_row", "_part", "_in", "_before")
 
 
+def _exact_sum(c: Column) -> Column:
+    """The sum in millionths, which no order of addition changes: reruns agree to the bit."""
+    return F.sum(F.round(c * 1e6).cast("decimal(28,0)")).cast("double") / 1e6
+
+
 def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
     """``sources`` with ``tilt``: null where every document is taken ``cap`` times.
 
@@ -107,8 +115,8 @@ def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, steps: int = 4
             sizes.join(open_, "source")
             .groupBy("source")
             .agg(
-                F.sum(F.col("n") * F.col("size") * rate).alias("words"),
-                F.sum(F.when(power < math.log(cap), F.col("n") * F.col("size") * x * rate)).alias("slope"),
+                _exact_sum(F.col("n") * F.col("size") * rate).alias("words"),
+                _exact_sum(F.when(power < math.log(cap), F.col("n") * F.col("size") * x * rate)).alias("slope"),
             )
         )
         over = F.col("words") > F.col("target")
@@ -174,15 +182,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sources = stored(capped_targets(sources, cap), "mix-sources")
     sizes = stored(named.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-sizes")
     tilts = solve_tilts(sizes, sources.where("source_size > 0"), float(cap))
-    known = sources.join(tilts.drop("scale"), "source", "left").select(
-        "source", "source_size", "target", "docs", "scale", "tilt"
-    )
+    # A row per source and salt: a hot source's documents are dealt to all salts.
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    known = sources.join(tilts.drop("scale"), "source", "left").select("source", "source_size", "target", "docs", "scale", "tilt", salt)
+    known = stored(known, "mix-known")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(
         F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(math.log(cap))))
     )
     order = F.xxhash64(F.lit("mix"), "id")
-    rated = named.join(known, "source").withColumns(
-        {"rate": rate, "order": order, "cap": F.lit(cap), "bucket": F.pmod(order, F.ceil(F.col("docs") / bucket))}
+    salted = named.withColumns({"order": order, "salt": F.pmod(order, F.lit(SALTS)).cast("int")})
+    rated = salted.join(known, ["source", "salt"]).withColumns(
+        {"rate": rate, "cap": F.lit(cap), "bucket": F.pmod(F.shiftrightunsigned("order", 8), F.ceil(F.col("docs") / bucket))}
     )
     # The key carries what the result needs of the source, so that no join follows.
     done = rated.groupBy("source", "bucket", "name", "source_size", "target").applyInPandas(
