@@ -1,7 +1,7 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
 A chunk ends where the gear hash of the last 16 bytes has five zero bits, after an ASCII
-byte, so an insertion moves only the boundaries near it. Chunks of about 32 bytes are
+byte, and with a line, so an insertion moves only the boundaries near it. Chunks of about 32 bytes are
 grouped by digest; adjoining chunks that a document with a smaller id also has make a
 repeated span.
 """
@@ -39,6 +39,7 @@ def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray,
         for step in (1, 2, 4, 8):
             h[step:] = h[step:] + (h[:-step] << np.uint32(step))
         inner = (((h >> np.uint32(REACH - bits)) & np.uint32((1 << bits) - 1)) == 0) & (flat < 0x80)
+        inner |= flat == 0x0A
         # Boundaries are ends: inside texts where the hash says so, and at each text's end.
         mark = np.zeros(len(flat) + 1, bool)
         mark[1:] = inner
@@ -80,7 +81,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, bits: int = 5) -> DataFr
     return rows.mapInArrow(cut, f"id {kind}, start int, end int, digest long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 128, bits: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, bits: int = 5) -> DataFrame:
     """(id, start, end, bytes, chunks, keep_id): spans of a text whose chunks all occur
     in a document with a smaller id, of ``least`` bytes or more.
 
