@@ -21,17 +21,17 @@ from funnelforge.session import stored
 def _repeated(windows: DataFrame) -> DataFrame:
     """Windows (id, line, name) whose name occurs twice or more.
 
-    Names are counted before the shuffle; the join back has one row per name, so Spark
-    can split a name that a third of all lines have.
+    Names are counted before the shuffle and written; the join back has one row per name,
+    so Spark can split a name that a third of all lines have.
     """
-    names = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
+    names = stored(windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "line-names")
     return windows.join(names, "name", "left_semi")
 
 
 def _with_first(windows: DataFrame) -> DataFrame:
     """``_repeated`` with the smallest (id, line) that has the name, as ``first``."""
     first = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first"))
-    return windows.join(first.where("n > 1").drop("n"), "name")
+    return windows.join(stored(first.where("n > 1").drop("n"), "line-firsts"), "name")
 
 
 def _joined(windows: DataFrame, ahead: int) -> DataFrame:
