@@ -24,7 +24,7 @@ def cells(frame: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if v is None or (not hasattr(v, "__len__") and pd.isna(v)):
             return ""
-        return f"{float(v):.6g}" if not isinstance(v, (str, bool)) and not hasattr(v, "__len__") else str(v)
+        return f"{float(v):.6g}" if not isinstance(v, str) and not hasattr(v, "__len__") else str(v)
 
     return sorted(tuple(map(cell, r)) for r in frame[sorted(frame.columns)].itertuples(index=False))
 
