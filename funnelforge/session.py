@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,15 +46,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch paths that this driver has made and not deleted.
+_made: list[str] = []
+
+
+def _filesystem(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; its content is deleted when the driver ends."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs, where = _filesystem(spark, path)
+    fs.deleteOnExit(where)
+    _made.append(path)
     return path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch paths made inside: for jobs whose results are
+    written elsewhere by then."""
+    n = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[n:]:
+            fs, where = _filesystem(spark, path)
+            fs.delete(where, True)
+        del _made[n:]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
