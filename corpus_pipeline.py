@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelforge.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from funnelforge.session import scratch_path
+from funnelforge.session import scratch_path, scratch_scope
 
 #: Least share of a text's letters that its main language must have.
 MIN_SHARE = 0.5
@@ -66,7 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch_path(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
 
