@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,7 +29,20 @@ def local_session(cores: int = 8, memory: str = "8g", **extra: str) -> SparkSess
         "spark.sql.shuffle.partitions": str(cores),
         "spark.ui.enabled": "false",
     }
-    return SparkSession.builder.config(map=conf | extra).getOrCreate()
+    return reachable(SparkSession.builder.config(map=conf | extra).getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers of a local master import this package from any directory.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    if spark.sparkContext.master.startswith("local"):
+        root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+        known = env.get("PYTHONPATH", "").split(os.pathsep)
+        if root not in known + os.environ.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
