@@ -14,11 +14,12 @@ from funnelforge.llm import decontamination, language_id, line_dedup, mixing, ne
 from funnelforge.session import scratch_path, scratch_scope
 
 #: Least share of a text's letters that its main language must have.
-MIN_SHARE = 0.5
+MIN_SHARE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a language: null, without letters, or none with half of them."""
+    """Drops texts without a language: null, without letters, or split among so many
+    languages that none has three in ten of them."""
     learn = docs.where(~language_id.held_out("doc_id")).select("text", "lang").where("text is not null and lang is not null")
     found = language_id.identify(docs, language_id.fit(learn))
     return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= MIN_SHARE)).select(*docs.columns)
