@@ -8,7 +8,7 @@ from funnelforge.functions import scalars as S
 from funnelforge.operators import derive as D
 from funnelforge.operators import mapping as M
 from funnelforge.operators import profile as P
-from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _NUM, _V, _vc
+from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, _vc
 from funnelforge.plans.tables import LEADS_SQL, VC_SQL, leads, table
 
 FUNNEL = ["view", "click", "signup", "purchase"]

@@ -93,12 +93,12 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         del _made[n:]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     The plan's lineage ends there, so a lost executor costs a re-read and no
     recomputation, and several consumers share one computation.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
