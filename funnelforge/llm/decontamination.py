@@ -97,7 +97,7 @@ class Finder:
         return counts, found
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
     """``docs`` with _n_words, _hits (array of word range and items).
 
     Nulls, empty texts and empty tables give rows without hits. A benchmark of more
@@ -157,7 +157,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     contaminated if it has hits and ``share`` * n_hit >= n_words.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = find_contamination(narrow, benchmark, id_col="id", text_col="text").select("id", "_n_words", "_hits")
+    found = find_contamination(narrow, benchmark, text_col="text").select("id", "_n_words", "_hits")
     none = F.struct(F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(NO_ITEMS).alias("items_sha256"))
     found = found.withColumn("s", F.when(F.size("_hits") == 0, none).otherwise(_summary("_hits")))
     return found.select(

@@ -107,7 +107,7 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + self.prior, -30, 30)))
 
 
-def with_statistics(docs: DataFrame, id_col: str, text_col: str, n_parts: int | None = None) -> DataFrame:
+def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, stats array<double>) per row; null texts are empty."""
     kind = docs.schema[id_col].dataType.simpleString()
 

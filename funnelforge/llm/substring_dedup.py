@@ -105,7 +105,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.max(F.struct("size", "first"))["first"].alias("keep_id"),
     )
     size = (F.col("end") - F.col("start")).cast("long")
-    return spans.where(size >= least).select(F.col("id").alias(id_col), F.col("start"), F.col("end"), size.alias("bytes"), "chunks", "keep_id")
+    return spans.where(size >= least).select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

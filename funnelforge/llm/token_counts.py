@@ -49,13 +49,12 @@ class Counter:
         return [t for t, e in zip(ends, self.library.encode_batch(ends, add_special_tokens=False), strict=True) if len(e.ids) == 1]
 
     def _alike(self) -> list[str]:
-        """Characters that the library normalises and splits as ``shortcut`` does.
+        """Characters that the library normalises and splits as this class does.
 
         A character is tried alone, and beside a letter, a digit, a sign and a space,
         because its class decides where a text splits.
         """
         normal, cut = self.library.normalizer.normalize_str, self.library.pre_tokenizer.pre_tokenize_str
-        plain = [cut(normal(x))[0][0] for x in ("a", "0", "%")]
         out = []
         for c in map(chr, range(TRIED)):
             around = [f"a{c}a", f"0{c}0", f"%{c}%", f"'{c}", c]
@@ -64,7 +63,6 @@ class Counter:
             spaced = c.isspace()
             if ours == theirs and (spaced or normal(c) == c.lower()) and len(c.lower()) == 1:
                 out.append(c)
-        assert plain and "a" in out
         return out
 
     def __call__(self, text: str) -> int:
