@@ -92,7 +92,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is one row per task.
     """
     rows = stored(chunks(docs, id_col, text_col, bits), "chunks")
+    # Written before it is joined back, so that the join of a hot digest can be split.
     shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    shared = stored(shared, "chunks-shared")
     later = rows.join(shared, "digest").where("id > first").select("id", "start", "end", "first").distinct()
     w = Window.partitionBy("id").orderBy("start")
     new = F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))
