@@ -8,6 +8,8 @@ is never taken for a record. DataFrame functions only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +64,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         base32_sha1(body.cast("binary")).alias("digest"),
     )
     k = kinds.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    rows = rows.join(k, F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    # Sorted and merged at every size, so that the plan of a small table is that of a large one.
+    rows = rows.join(k.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     revisit = F.col("refers_to").isNotNull()
     block = F.concat(F.lit(_HTTP), F.when(revisit, "").otherwise(F.col("body")))
     name = F.coalesce(F.col("id").cast("string"), F.lit(""))
@@ -85,12 +88,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_size, at, text, head, length): what follows each magic up to the next,
-    at the magic's byte offset; head and length are null without readable headers.
-
-    Rows of one split come in file order; a split's first row begins where the splits
-    before it end, so a window inside each split and one over the splits of a file give
-    every row its offset.
+    """(file, file_size, block, row, step, text, head, length, whole): what follows each magic
+    up to the next. head and length are null without readable headers; ``whole`` tells
+    whether the text holds as many bytes as its headers name.
     """
     text = F.col("text")
     end = F.instr(text, BLANK)
@@ -104,52 +104,69 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = rows.withColumn("head", F.when(end > 0, F.substring(text, F.lit(1), end - 1)))
     rows = rows.withColumn("length", _header(F.col("head"), "Content-Length").try_cast("bigint"))
+    size = F.octet_length(text).cast("long")
+    whole = F.coalesce(F.octet_length("head") + len(BLANK) + F.col("length") <= size, F.lit(False))
     # All but the last row of a file are followed by the magic.
-    rows = stored(rows.withColumn("step", F.octet_length(text).cast("long") + len(MAGIC)), "warc-candidates")
-    narrow = rows.select("file", "block", "row", "step")
+    return rows.withColumns({"step": size + len(MAGIC), "whole": whole})
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """(file, file_size, row, at, next, whole): each candidate's offset and its successor's.
+
+    Rows of one split come in file order; a split's first row begins where the splits
+    before it end, so a window inside each split and one over the splits of a file give
+    every row its offset.
+    """
+    next_by = len(MAGIC) + F.octet_length("head") + 2 * len(BLANK) + F.col("length")
+    narrow = found.select("file", "file_size", "block", "row", "step", "whole", next_by.alias("next_by"))
     w = Window.partitionBy("file", "block").orderBy("row")
     within = narrow.withColumn("before", F.sum("step").over(w) - F.col("step"))
     blocks = narrow.groupBy("file", "block").agg(F.sum("step").alias("bytes"))
     b = Window.partitionBy("file").orderBy("block")
     begins = blocks.withColumn("begin", F.sum("bytes").over(b) - F.col("bytes")).drop("bytes")
-    placed = within.join(begins, ["file", "block"]).select("row", (F.col("begin") + F.col("before")).alias("body_at"))
-    return (
-        rows.join(placed, "row")
-        .where(F.col("body_at") > 0)  # what precedes a file's first magic is no record
-        .select("file", "file_size", (F.col("body_at") - len(MAGIC)).alias("at"), "text", "head", "length")
-    )
+    at = F.col("begin") + F.col("before") - len(MAGIC)
+    met = within.join(begins, ["file", "block"]).where(at >= 0)  # what precedes a file's first magic is no record
+    return met.select("file", "file_size", "row", at.alias("at"), (at + F.col("next_by")).alias("next"), "whole")
 
 
 def _header(text: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: file, at, type, record_id, url, digest, refers_to, payload_size, payload.
+def _payload(text: Column, head: Column, length: Column) -> Column:
+    """What follows the HTTP headers in the record's block."""
+    block = F.substring(text.cast("binary"), F.octet_length(head) + len(BLANK) + 1, length.cast("int")).cast("string")
+    return F.substring(block, F.instr(block, BLANK) + len(BLANK), F.length(block))
+
+
+def read_warc(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """One row per record: file, at, type, record_id, url, digest, refers_to, payload_size,
+    and ``fields`` of its payload (by default ``payload`` itself).
 
-    Raises if a file's chain ends before the file does.
+    Fields are computed where the text was read, so that texts that no field returns are
+    not shuffled; only records that the magic cuts are put together. Raises if a file's
+    chain ends before the file does.
     """
-    parsed = candidates(spark, path)
-    next_at = F.col("at") + len(MAGIC) + F.octet_length("head") + 2 * len(BLANK) + F.col("length")
-    links = stored(parsed.select("file", "at", "file_size", next_at.alias("next")), "warc-links")
-    reached = on_chain(links)
+    fields = fields or {"payload": lambda p: p}
+    found = stored(candidates(spark, path), "warc-candidates", "zstd")
+    links = stored(placed(found), "warc-links")
+    reached = on_chain(links).withColumn("starts", F.lit(True))
     # A payload that holds the magic was cut there: its pieces belong to the record before.
     w = Window.partitionBy("file").orderBy("at")
-    starts = reached.withColumn("starts", F.lit(True))
-    owned = links.select("file", "at").join(starts, ["file", "at"], "left")
-    owned = owned.withColumn("owner", F.max(F.when(F.col("starts"), F.col("at"))).over(w))
-    rest = (
-        owned.where("at <> owner")
-        .join(parsed.select("file", "at", "text"), ["file", "at"])
-        .groupBy("file", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("pieces"))
-        .select("file", F.col("owner").alias("at"), F.array_join(F.transform("pieces", lambda p: F.concat(F.lit(MAGIC), p["text"])), "").alias("rest"))
+    owned = links.join(reached, ["file", "at"], "left").withColumn("owner", F.max(F.when(F.col("starts"), F.col("at"))).over(w))
+    owned = stored(owned.select("file", "at", "row", "whole", "owner"), "warc-owned")
+    own = lambda c: c.select("row", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(k) for k, f in fields.items()))
+    whole = owned.where("at = owner and whole").select("file", "at", "row").join(own(found.where("whole")).hint("merge"), "row")
+    # Written, so that Spark knows how few they are before it moves texts to meet them.
+    cut = stored(owned.where("at <> owner or not whole").select("file", "at", "owner", "row"), "warc-cut")
+    pieces = cut.join(found.select("row", "text", "head", "length"), "row")
+    joined = (
+        pieces.groupBy("file", "owner")
+        .agg(F.array_sort(F.collect_list(F.struct("at", "text", "head", "length"))).alias("p"))
+        .select("file", F.col("owner").alias("at"), F.lit(None).cast("long").alias("row"), F.array_join(F.transform("p", lambda p: p["text"]), MAGIC).alias("text"), F.col("p")[0]["head"].alias("head"), F.col("p")[0]["length"].alias("length"))
     )
-    records = parsed.join(reached, ["file", "at"], "left_semi").join(rest, ["file", "at"], "left")
-    whole = F.concat(F.col("text"), F.coalesce("rest", F.lit("")))
-    block = F.substring(whole.cast("binary"), F.octet_length("head") + len(BLANK) + 1, F.col("length").cast("int")).cast("string")
-    records = records.withColumn("block", block)
-    payload = F.substring(F.col("block"), F.instr("block", BLANK) + len(BLANK), F.length("block"))
+    keys = joined.select("file", "at", "row", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(k) for k, f in fields.items()))
+    records = whole.select("file", "at", "row", "head", *fields).unionByName(keys)
     ids = r"<urn:page:([^>]*)>"
     return records.select(
         "file",
@@ -160,7 +177,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         F.regexp_extract("head", "WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("digest"),
         F.nullif(F.regexp_extract("head", "WARC-Refers-To: " + ids, 1), F.lit("")).alias("refers_to"),
         _header(F.col("head"), "Payload-Length").cast("long").alias("payload_size"),
-        payload.alias("payload"),
+        *fields,
     )
 
 
@@ -203,12 +220,12 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     path = scratch_path(spark, "warc")
     write_warc(pages, path, id_col, url_col, payload_col, least)
     kind = pages.schema[id_col].dataType
-    read = read_warc(spark, path)
+    read = read_warc(spark, path, {"size": lambda p: F.octet_length(p).cast("long"), "sha": lambda p: base32_sha1(p.cast("binary"))})
     response = F.col("type") == "response"
     return read.select(
         F.col("record_id").cast(kind).alias(id_col),
-        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_size")).alias("payload_bytes"),
-        F.when(response, base32_sha1(F.col("payload").cast("binary"))).otherwise(F.col("digest")).alias("payload_digest"),
+        F.when(response, F.col("size")).otherwise(F.col("payload_size")).alias("payload_bytes"),
+        F.when(response, F.col("sha")).otherwise(F.col("digest")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("refers_to").cast(kind).alias("refers_to"),
     )
