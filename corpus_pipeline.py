@@ -26,8 +26,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later copies of runs of lines; texts of which nothing is left go."""
-    found = line_dedup.dedup_lines(docs)
+    """Deletes later copies of runs of lines and of single long lines; texts of which
+    nothing is left go."""
+    found = line_dedup.dedup_lines(docs, alone=line_dedup.LONG)
     left = found.withColumn("row", F.when(F.col("runs").isNull(), F.col("row")).otherwise(F.col("row").withField("text", F.col("kept"))))
     empty = F.col("runs").isNotNull() & (F.length(F.trim("kept")) == 0)
     out = left.where(~empty).select("row.*")

@@ -41,31 +41,50 @@ def _joined(windows: DataFrame, ahead: int) -> DataFrame:
     return paired.select("id", "line", F.xxhash64(F.lit(ahead), "name", "after").alias("name"))
 
 
+#: A line is long that has more than so many words.
+LONG = 50
+
+_unspaced = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
+def is_long(line: Column, words: int = LONG) -> Column:
+    """Whether a line has more than ``words`` words: runs of what is not white space, or
+    two letters each of scripts that put no spaces between words."""
+    spaced = F.size(F.filter(F.split(line, r"\s+"), lambda w: w != "")) > words
+    dense = F.length(F.regexp_replace(line, _unspaced, "")) > 2 * words
+    return (F.length(line) > 2 * words) & (spaced | dense)
+
+
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def line_ids(docs: DataFrame, id_col: str, text_col: str, alone: int | None = None) -> DataFrame:
     """(id, line, row, name): the non-blank lines, named by content; ``line`` counts
-    non-blank lines from 0, ``row`` all lines."""
+    non-blank lines from 0, ``row`` all lines. With ``alone`` also ``long``: whether the
+    line has more words than that."""
     numbered = F.transform(lines_of(F.col(text_col)), lambda x, i: F.struct(i.alias("row"), x.alias("content")))
     solid = F.filter(numbered, lambda x: F.length(F.trim(x["content"])) > 0)
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(solid).alias("line", "x"))
-    return rows.select("id", "line", "x.row", F.xxhash64("x.content").alias("name"))
+    long = [] if alone is None else [is_long(F.col("x.content"), alone).alias("long")]
+    return rows.select("id", "line", "x.row", F.xxhash64("x.content").alias("name"), *long)
 
 
 def later_copies(lines: DataFrame, least: int = 2) -> DataFrame:
     """(id, line, lines, first): for each line with which a later copy of a run of
     ``least`` lines or more begins, the longest window of ``least`` * 2**k lines there
-    that has an earlier copy, and where that copy begins."""
-    size, windows = 1, lines.select("id", "line", "name")
+    that has an earlier copy, and where that copy begins. Where ``lines`` say which are
+    ``long``, a later copy of one of these is a run by itself."""
+    size, windows, found = 1, lines.select("id", "line", "name"), []
+    if "long" in lines.columns and least > 1:
+        single = stored(_with_first(lines.where("long").select("id", "line", "name")), "line-long")
+        found.append(single.where(F.col("first") < F.struct("id", "line")).select("id", "line", F.lit(1).alias("lines"), "first"))
     while size * 2 <= least:
         windows = _joined(stored(_repeated(windows), "line-windows"), size)
         size *= 2
     if size < least:
         windows = _joined(stored(_repeated(windows), "line-windows"), least - size)
         size = least
-    found = []
     while True:
         windows = stored(_with_first(windows), "line-runs")
         later = windows.where(F.col("first") < F.struct("id", "line"))
@@ -100,16 +119,17 @@ def repeated_runs(copies: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2, alone: int | None = None) -> DataFrame:
     """(row, runs, kept): each row of ``docs`` as a struct, the runs that are deleted from
     its text (array of row, last_row, lines, first_id; null if none) and the text left.
 
     Lines are compared byte by byte. Blank lines are no part of a run's lines; those
     inside a deleted run go with it, others stay. A text without later copies stays as
     it is; one that only consists of them becomes empty. Null texts and null ids are left
-    alone. Of rows that repeat an id, all are cut as one of them is.
+    alone. Of rows that repeat an id, all are cut as one of them is. With ``alone``, a
+    line of more words than that is a run by itself, whatever ``least`` is.
     """
-    lines = stored(line_ids(docs.select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col), "lines")
+    lines = stored(line_ids(docs.select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, alone), "lines")
     runs = repeated_runs(later_copies(lines, least), lines)
     by_doc = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("row", "last_row", "lines", "first_id"))).alias("runs"))
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

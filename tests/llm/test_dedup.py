@@ -93,6 +93,17 @@ def test_lines_runs_and_edges(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_lines_that_are_long_repeat_alone(spark):
+    rng = random.Random(4)
+    long, short, exact = words(rng, 51), words(rng, 50), words(rng, 168)
+    dense = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(101))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\n\n{long}\nd\n{short}\ne"), (3, exact), (4, exact), (5, dense), (6, f"f\n{dense}\ng")]
+    out = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows), alone=line_dedup.LONG).collect()}
+    assert [out[i]["kept"] for i in (1, 3, 5)] == [rows[0][1], exact, dense]
+    assert out[2]["kept"] == f"c\nd\n{short}\ne" and [tuple(r) for r in out[2]["runs"]] == [(1, 3, 2, 1)]
+    assert out[4]["kept"] == "" and out[6]["kept"] == "f\ng"
+
+
 # substrings --------------------------------------------------------------------------
 
 

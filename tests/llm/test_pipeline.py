@@ -37,6 +37,13 @@ def test_line_stage_deletes_later_copies_only(spark, sf_dir):
     assert out[2]["n_chars"] == 9
 
 
+def test_line_stage_deletes_long_lines_that_repeat_alone(spark, sf_dir):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long), (2, long), (3, f"before\n{long}\nafter")]
+    out = {r["doc_id"]: r["text"] for r in P.drop_repeated_lines(spark, frame(spark, rows), sf_dir).collect()}
+    assert out == {1: long, 3: "before\nafter"}
+
+
 def test_near_stage_keeps_one_of_each_group(spark, sf_dir):
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
