@@ -1,7 +1,8 @@
 """Substring duplicates by content-defined chunking with a gear rolling hash.
 
-A chunk ends where the gear hash of the last 16 bytes has five zero bits, after an ASCII
-byte, and with a line, so an insertion moves only the boundaries near it. Chunks of about 32 bytes are
+A chunk ends where the gear hash of the last 16 bytes has five bits below the bytes of the
+character that ends there, and with a line, so an insertion moves only the boundaries near
+it and chunks are about as long in every script. Chunks of about 32 bytes are
 grouped by digest; adjoining chunks that a document with a smaller id also has make a
 repeated span.
 """
@@ -28,9 +29,9 @@ _gear = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 _gap = b"\0" * REACH
 
 
-def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text index, start, end, digest) of all chunks, in order."""
-    out: list[tuple] = []
+def _bounds(texts: list[bytes], bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of consecutive texts: the first's index, their joined bytes, where each begins in
+    these, and each chunk's owner, start and end in these."""
     for at, part in batches(texts):
         sizes = np.fromiter(map(len, part), np.int64, len(part))
         begin = np.concatenate([[0], np.cumsum(sizes + REACH)])[:-1] + REACH
@@ -38,7 +39,16 @@ def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray,
         h = _gear[flat]
         for step in (1, 2, 4, 8):
             h[step:] = h[step:] + (h[:-step] << np.uint32(step))
-        inner = (((h >> np.uint32(REACH - bits)) & np.uint32((1 << bits) - 1)) == 0) & (flat < 0x80)
+        # Bytes of the character that ends here, 0 inside one: each byte counts for the rate.
+        more = (flat & 0xC0) == 0x80
+        width = np.ones(len(flat), np.uint32)
+        tail = more.copy()
+        for back in (1, 2, 3):
+            width += tail
+            tail[back:] &= more[:-back]
+            tail[:back] = False
+        width[:-1][more[1:]] = 0
+        inner = ((h >> np.uint32(REACH - bits)) & np.uint32((1 << bits) - 1)) < width
         inner |= flat == 0x0A
         # Boundaries are ends: inside texts where the hash says so, and at each text's end.
         mark = np.zeros(len(flat) + 1, bool)
@@ -56,6 +66,13 @@ def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray,
         fresh = np.ones(len(ends), bool)
         fresh[1:] = owner[1:] != owner[:-1]
         starts[fresh] = begin[owner[fresh]]
+        yield at, flat, begin, owner, starts, ends
+
+
+def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, start, end, digest) of all chunks, in order."""
+    out: list[tuple] = []
+    for at, flat, begin, owner, starts, ends in _bounds(texts, bits):
         digest = ranges(rolled(flat.astype(np.uint64)), starts, ends)
         out.append((owner + at, starts - begin[owner], ends - begin[owner], digest.view(np.int64)))
     if not out:

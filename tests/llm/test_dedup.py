@@ -141,6 +141,32 @@ def test_substring_resists_shifts_and_handles_edges(spark):
     assert substring_dedup.repeated_spans(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("script", ["cyrillic", "cjk"])
+def test_substring_finds_passages_of_other_scripts(spark, script):
+    """Passages of 51 Cyrillic words, and of 150 Chinese characters, in lines that differ else."""
+    rng = random.Random(5)
+    if script == "cyrillic":
+        turn = str.maketrans("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+        make = lambda n: words(rng, n).translate(turn)
+    else:
+        make = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n * 150 // 51))
+    rows = {i: (make(60), make(60)) for i in range(200)}
+    passages = [make(51) for _ in range(100)]
+    docs = [(i, f"{a}{passages[i % 100]}{b}") for i, (a, b) in rows.items()]
+    found = substring_dedup.repeated_spans(frame(spark, docs)).collect()
+    texts = dict(docs)
+    assert all(texts[r["doc_id"]].encode()[r["start"] : r["end"]] in texts[r["keep_id"]].encode() for r in found)
+    caught = {(r["keep_id"], r["doc_id"]) for r in found}
+    assert caught <= {(k, 100 + k) for k in range(100)} and len(caught) >= 97
+
+
+def test_chunks_end_with_characters():
+    texts = [t * 40 for t in ("中文字符", "слово ", "é中 🙂", "ไทยคำ")]
+    at, start, end, _ = substring_dedup.chunked([t.encode() for t in texts])
+    for i, a, b in zip(at, start, end, strict=True):
+        texts[i].encode()[a:b].decode()
+
+
 def test_chunks_cover_texts():
     texts = ["", "a", "hello world " * 50, "é" * 1000, "x" * 100_000]
     at, start, end, _ = substring_dedup.chunked([t.encode() for t in texts])
