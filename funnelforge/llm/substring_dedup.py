@@ -2,9 +2,9 @@
 
 A chunk ends where the gear hash of the last 16 bytes has five bits below the bytes of the
 character that ends there, and with a line, so an insertion moves only the boundaries near
-it and chunks are about as long in every script. Chunks of about 32 bytes are
-grouped by digest; adjoining chunks that a document with a smaller id also has make a
-repeated span.
+it and chunks are about as long in every script. From each chunk on, the fewest chunks
+that make 80 bytes are a window; windows are grouped by digest, and windows that one
+place before them holds at one distance make a repeated span.
 """
 
 from __future__ import annotations
@@ -22,9 +22,6 @@ from funnelforge.session import stored
 #: Bytes that decide a boundary.
 REACH = 16
 
-#: Bytes of the chunks with which a span can begin or end: shorter ones occur by chance.
-ANCHOR = 16
-
 _gear = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _gap = b"\0" * REACH
 
@@ -80,60 +77,107 @@ def chunked(texts: list[bytes], bits: int = 5) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def chunks(docs: DataFrame, id_col: str, text_col: str, bits: int = 5) -> DataFrame:
-    """(id, start, end, digest) of each chunk; offsets are bytes of UTF-8."""
+def windowed(texts: list[bytes], least: int = 80, bits: int = 5) -> tuple[np.ndarray, ...]:
+    """(text index, start, end, first chunk, chunks, apart, name) of all windows: from each
+    chunk on, the fewest chunks that make ``least`` bytes; none where the text ends before that.
+
+    The n-th window of a text with the same bytes is named by these and n, so that it meets
+    the n-th one of another text. From the second on, each comes once more, named by the
+    bytes alone; ``apart`` says whether it lies ``least`` bytes from one before, or an
+    equal one between it and the first does.
+    """
+    out: list[tuple] = []
+    for at, flat, begin, owner, starts, ends in _bounds(texts, bits):
+        last = np.searchsorted(ends, starts + least, "left")
+        k = np.flatnonzero(last < len(ends))
+        k = k[owner[last[k]] == owner[k]]
+        name = ranges(rolled(flat.astype(np.uint64)), starts[k], ends[last[k]])
+        order = np.lexsort((k, name, owner[k]))
+        k, name = k[order], name[order]
+        own, start, end = owner[k], starts[k], ends[last[k]]
+        same = np.zeros(len(k), bool)
+        same[1:] = (own[1:] == own[:-1]) & (name[1:] == name[:-1])
+        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(k))))
+        nth = np.arange(len(k)) - head
+        far = np.zeros(len(k), np.int64)
+        far[1:] = same[1:] & (start[1:] - start[:-1] >= least)
+        far = np.cumsum(far)
+        apart = far > far[head]
+        again = np.flatnonzero(nth)
+        named = name.copy()
+        named[again] = mix(name[again] + mix(nth[again].astype(np.uint64)))
+        rows = (own + at, start - begin[own], end - begin[own], k - np.searchsorted(owner, own), last[k] - k + 1, apart)
+        rows = [np.concatenate([x, x[again]]) for x in rows]
+        rows[5][: len(k)] = False
+        out.append((*rows, np.concatenate([named, name[again]]).view(np.int64)))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(7))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def windows(docs: DataFrame, id_col: str, text_col: str, least: int = 80, bits: int = 5) -> DataFrame:
+    """(id, start, end, chunk, chunks, apart, name) of each window; offsets are bytes of UTF-8."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for first in range(0, b.num_rows, 512):
                 part = b.slice(first, 512)
-                at, start, end, digest = chunked(as_bytes(part.column(1)), bits)
-                yield pa.record_batch(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(digest, pa.int64())],
-                    ["id", "start", "end", "digest"],
-                )
+                at, *numbers, apart, name = windowed(as_bytes(part.column(1)), least, bits)
+                own = [*(pa.array(x, pa.int32()) for x in numbers), pa.array(apart.astype(bool)), pa.array(name, pa.int64())]
+                yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *own], ["id", "start", "end", "chunk", "chunks", "apart", "name"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return rows.mapInArrow(cut, f"id {kind}, start int, end int, digest long")
+    return rows.mapInArrow(cut, f"id {kind}, start int, end int, chunk int, chunks int, apart boolean, name long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, bits: int = 5) -> DataFrame:
-    """(id, start, end, bytes, chunks, keep_id): spans of a text whose chunks all occur
-    in a document with a smaller id, of ``least`` bytes or more.
-
-    ``keep_id`` is the smallest id that has the longest of the chunks. The copy in the document
-    with the smallest id has no row, nor has what repeats only within one document. Rows
-    with null ids or texts have no chunks; rows that repeat an id are one document. Counts
-    per digest are combined before the shuffle, so a chunk in a third of all documents
-    is one row per task.
+    """(id, start, end, bytes, chunks, keep_id): spans of ``least`` bytes or more of whole
+    chunks that one place before them holds as a whole, in document ``keep_id``.
+
+    That is a smaller id, or the same document further ahead: what recurs in steps of less
+    than ``least`` bytes is one stretch, whose repeats begin where it comes anew. Each window
+    is held against its first place, by (id, start); windows that have their first places
+    in one document at one distance make one span. Spans that another one holds have no
+    row; others may overlap. Windows are compared by 64-bit digests of their bytes. The first
+    copy has no row. Rows with null ids or texts have no windows; rows that repeat an id
+    are one document. Counts per name are combined before the shuffle, so a window in a
+    third of all documents is one row per task.
     """
-    rows = stored(chunks(docs, id_col, text_col, bits), "chunks")
-    # Written before it is joined back, so that the join of a hot digest can be split.
-    shared = rows.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    shared = stored(shared, "chunks-shared")
-    later = rows.join(shared, "digest").where("id > first").select("id", "start", "end", "first").distinct()
-    w = Window.partitionBy("id").orderBy("start")
+    rows = stored(windows(docs, id_col, text_col, least, bits), "windows")
+    # Written before it is joined back, so that the join of a hot name can be split.
+    shared = rows.groupBy("name").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(shared.select("name", F.col("first.id").alias("keep_id"), F.col("first.start").alias("keep_start")), "windows-shared")
+    own = F.col("apart") & (F.col("keep_id") == F.col("id")) & (F.col("keep_start") < F.col("start"))
+    met = rows.join(shared, "name").where((F.col("keep_id") < F.col("id")) | own)
+    later = met.select("id", "start", "end", "chunk", "chunks", "keep_id", (F.col("start") - F.col("keep_start")).alias("shift"))
+    later = later.repartition("id").distinct()
+    w = Window.partitionBy("id", "keep_id", "shift").orderBy("start")
     new = F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))
-    runs = later.withColumns({"run": F.sum(new).over(w), "size": F.col("end") - F.col("start")}).groupBy("id", "run")
-    anchor = F.col("size") >= ANCHOR
+    runs = later.withColumn("run", F.sum(new).over(w)).groupBy("id", "keep_id", "shift", "run")
     spans = runs.agg(
-        F.min(F.when(anchor, F.col("start"))).alias("start"),
-        F.max(F.when(anchor, F.col("end"))).alias("end"),
-        F.count(F.lit(1)).alias("chunks"),
-        F.max(F.struct("size", "first"))["first"].alias("keep_id"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        (F.max(F.col("chunk") + F.col("chunks")) - F.min("chunk")).cast("long").alias("chunks"),
     )
+    before = Window.partitionBy("id").orderBy("start", F.desc("end"), "keep_id", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("held", F.max("end").over(before)).where("held is null or held < end")
     size = (F.col("end") - F.col("start")).cast("long")
-    return spans.where(size >= least).select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id")
+    return spans.select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the spans of ``repeated_spans`` cut out of their texts."""
-    cuts = spans.groupBy(F.col(id_col).alias("_cut_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cuts"))
+    w = Window.partitionBy(id_col).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    # What is left before a span begins where those before it end at last.
+    ordered = spans.select(id_col, "start", "end", F.coalesce(F.max("end").over(w), F.lit(0)).alias("left"))
+    cuts = ordered.groupBy(F.col(id_col).alias("_cut_id")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("left") < F.col("start"), F.struct(F.col("left").alias("a"), F.col("start").alias("b"))))).alias("_left"),
+        F.max("end").alias("_end"),
+    )
     body = F.encode(F.col(text_col), "UTF-8")
-    ends = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["end"]))
-    starts = F.concat(F.transform("_cuts", lambda c: c["start"]), F.array(F.octet_length(text_col)))
-    parts = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda p: F.decode(F.substring(body, p["a"] + 1, p["b"] - p["a"]), "UTF-8"))
+    whole = F.concat("_left", F.array(F.struct(F.col("_end").alias("a"), F.octet_length(text_col).alias("b"))))
+    parts = F.transform(whole, lambda p: F.decode(F.substring(body, p["a"] + 1, p["b"] - p["a"]), "UTF-8"))
     found = docs.join(cuts, docs[id_col] == F.col("_cut_id"), "left")
-    text = F.when(F.col("_cuts").isNull(), docs[text_col]).otherwise(F.array_join(parts, ""))
+    text = F.when(F.col("_end").isNull(), docs[text_col]).otherwise(F.array_join(parts, ""))
     return found.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -160,6 +160,35 @@ def test_substring_finds_passages_of_other_scripts(spark, script):
     assert caught <= {(k, 100 + k) for k in range(100)} and len(caught) >= 97
 
 
+def test_substring_spans_are_held_by_one_document(spark):
+    """Three lines of 40 bytes, each in another document, make no span of 80 bytes together."""
+    rng = random.Random(6)
+    a, b, c = ("".join(rng.choice("abcdefghij") for _ in range(39)) + "\n" for _ in range(3))
+    rows = [(k, f"{words(rng, 40)}\n{x}{words(rng, 40)}") for k, x in enumerate((a, b, c))]
+    rows += [(5, f"{words(rng, 40)}\n{a}{b}{c}{words(rng, 40)}"), (6, f"{words(rng, 40)}\n{a}{b}{c}{words(rng, 40)}")]
+    found = substring_dedup.repeated_spans(frame(spark, rows)).collect()
+    assert [(r["doc_id"], r["bytes"], r["keep_id"]) for r in found] == [(6, 120, 5)]
+
+
+def test_substring_overlapping_spans_and_repeats_inside_a_document(spark):
+    """A passage that begins in one earlier document and ends in another; one that repeats in its own."""
+    rng = random.Random(7)
+    lines = [words(rng, 10) + "\n" for _ in range(12)]
+    tail = [words(rng, 30) + "\n" for _ in range(6)]
+    own = words(rng, 60) + "\n"
+    rows = [(1, tail[0] + "".join(lines[:8]) + tail[1]), (2, tail[2] + "".join(lines[4:]) + tail[3]), (3, tail[4] + "".join(lines) + tail[5])]
+    rows += [(4, own + tail[0][:40] + "\n" + own)]
+    found = substring_dedup.repeated_spans(frame(spark, rows))
+    texts = {i: t.encode() for i, t in rows}
+    got = found.collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["keep_id"]] and r["bytes"] >= 80 for r in got)
+    assert {(r["doc_id"], r["keep_id"]) for r in got} == {(2, 1), (3, 1), (3, 2), (4, 4)}
+    left = {r["doc_id"]: r["text"] for r in substring_dedup.without_spans(frame(spark, rows), found).collect()}
+    assert left[1] == rows[0][1] and left[3].startswith(tail[4]) and left[3].endswith(tail[5])
+    assert len(left[3]) < len(tail[4] + tail[5]) + 100
+    assert left[4].startswith(own + tail[0][:40]) and len(left[4]) < len(own) + 100
+
+
 def test_chunks_end_with_characters():
     texts = [t * 40 for t in ("中文字符", "слово ", "é中 🙂", "ไทยคำ")]
     at, start, end, _ = substring_dedup.chunked([t.encode() for t in texts])
