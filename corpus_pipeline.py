@@ -16,6 +16,9 @@ from funnelforge.session import scratch_path, scratch_scope
 #: Least share of a text's letters that its main language must have.
 MIN_SHARE = 0.3
 
+#: Percent of their shingles that near duplicates share.
+ALIKE = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a language: null, without letters, or split among so many
@@ -37,7 +40,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each component."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = near_dedup.near_duplicates(docs, percent=ALIKE).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
 
 

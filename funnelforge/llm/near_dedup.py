@@ -2,9 +2,10 @@
 
 A document's 64 MinHash coordinates are tokens (coordinate, value). A pair of documents
 whose shingle sets are 85 % alike agrees in 54 of 64 on average; pairs that agree in
-fewer than 42 are not looked at (one in 100,000 pairs at the limit). Tokens that only
-one document has agree with nothing and leave first; a document with m shared tokens is
-posted under its m - 41 rarest ones only (the prefix), which any partner must meet.
+fewer than 42 are not looked at (three in 100,000 pairs at the limit); other limits have
+other numbers (``matches``). Tokens that only one document has agree with nothing and
+leave first; a document with m shared tokens is posted under its m - 41 rarest ones only
+(the prefix), which any partner must meet.
 
 Documents with equal sets are one class. Of each posting list, every member is joined
 with the smallest; what is confirmed on full sets merges into components. Lists that
@@ -16,6 +17,7 @@ large group of copies never becomes all its pairs, and no link is lost.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from funnelforge.llm.graph import components
 from funnelforge.llm.words import SPACED, Words, as_bytes, batches, mix, ranges, rolled
 from funnelforge.session import stored
 
-#: Coordinates of a signature, and how many a pair must agree in.
-COORDINATES, MATCHES = 64, 42
+#: Coordinates of a signature, and the share of pairs at the limit that may be missed.
+COORDINATES, MISSED = 64, 3e-5
 
 #: Members of a posting list in one block, and bytes of their sets; a task compares two
 #: blocks with each other. A list of k blocks sends each member to k tasks.
@@ -38,6 +40,17 @@ BLOCK, BLOCK_BYTES = 1024, 32 << 20
 _a = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
 
+def matches(percent: int) -> int:
+    """Coordinates that a pair must agree in: as many as fewer than MISSED of the pairs
+    that are just ``percent`` % alike fall short of (42 at 85 %, 37 at 80 %); 1 at least."""
+    p, short = percent / 100, 0.0
+    for least in range(COORDINATES):
+        short += math.comb(COORDINATES, least) * p**least * (1 - p) ** (COORDINATES - least)
+        if short > MISSED:
+            return max(1, least)
+    return COORDINATES
+
+
 def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
@@ -92,8 +105,9 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(measure, f"id {kind}, n long, digest binary, sig binary")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """(token, rep): the prefix of each class's shared tokens, rarest first."""
+def postings(classes: DataFrame, least: int) -> DataFrame:
+    """(token, rep): the prefix of each class's shared tokens, rarest first, for partners
+    that share ``least`` or more."""
 
     def spread(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         high = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
@@ -109,8 +123,8 @@ def postings(classes: DataFrame) -> DataFrame:
     tokens = classes.select("rep", "sig").mapInArrow(spread, "token long, rep binary")
     counted = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = tokens.join(counted, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
-    ranked = shared.where(F.size("own") >= MATCHES)
-    prefix = F.slice("own", F.lit(1), F.size("own") - (MATCHES - 1))
+    ranked = shared.where(F.size("own") >= least)
+    prefix = F.slice("own", F.lit(1), F.size("own") - (least - 1))
     return ranked.select("rep", F.explode(prefix).alias("x")).select("x.token", "rep")
 
 
@@ -126,6 +140,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose set sizes allow the likeness and whose signatures agree enough."""
+    least = matches(percent)
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     met = pairs.join(one, "a").join(two, "b")
@@ -135,7 +150,7 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for b in rows:
             if b.num_rows:
                 left, right = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
-                keep = pa.array(agreements(left, right) >= MATCHES)
+                keep = pa.array(agreements(left, right) >= least)
                 yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     return met.mapInArrow(check, "a binary, b binary")
@@ -177,6 +192,7 @@ def _sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> Da
 
 def _block_links(percent: int):
     """Spanning links among the members of one block or between two blocks of a list."""
+    least = matches(percent)
 
     def compare(members: pd.DataFrame) -> pd.DataFrame:
         token = int(members["token"].iloc[0])
@@ -202,7 +218,7 @@ def _block_links(percent: int):
             later = np.arange(i + 1, len(members))
             if between:
                 later = later[block[later] != block[i]]
-            fits = (100 * np.minimum(sizes[later], sizes[i]) >= percent * np.maximum(sizes[later], sizes[i])) & (agreements(sigs[later], sigs[i]) >= MATCHES)
+            fits = (100 * np.minimum(sizes[later], sizes[i]) >= percent * np.maximum(sizes[later], sizes[i])) & (agreements(sigs[later], sigs[i]) >= least)
             for j in later[fits].tolist():
                 x, y = root(codes[i]), root(codes[j])
                 # A pair belongs to the first list in which it meets.
@@ -248,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")),
         "near-classes",
     )
-    posted = stored(postings(classes), "near-postings")
+    posted = stored(postings(classes, matches(percent)), "near-postings")
     smallest = posted.groupBy("token").agg(F.min("rep").alias("a"))
     pairs = posted.join(smallest, "token").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
     pairs = stored(_agreeing(pairs, classes, percent), "near-pairs")

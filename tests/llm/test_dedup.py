@@ -236,6 +236,10 @@ def test_near_against_brute_force(spark, documents):
     assert near(spark, documents.items()) == brute_near(documents)
 
 
+def test_near_matches_follow_the_limit():
+    assert [near_dedup.matches(p) for p in (70, 80, 85, 100)] == [29, 37, 42, 64] and near_dedup.matches(1) == 1
+
+
 @pytest.mark.parametrize("block", [4, 1024])
 def test_near_chains_and_large_groups(spark, block):
     """A family that drifts word by word, so that most members are not alike the first one."""

@@ -52,6 +52,18 @@ def test_near_stage_keeps_one_of_each_group(spark, sf_dir):
     assert ids(out) == [5, 8, 9, 10]
 
 
+def test_near_stage_drops_pairs_from_80_percent(spark, sf_dir):
+    """Pairs of 200 words of which the second lacks so many at its end, 80 to 85 % alike;
+    the last one is below."""
+    rng = random.Random(2)
+    rows, cuts = [], [*range(30, 40)] * 4 + [42]
+    for k, cut in enumerate(cuts):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 200 - cut]))]
+    assert all(0.8 <= (196 - cut) / 196 < 0.85 for cut in cuts[:-1]) and (196 - cuts[-1]) / 196 < 0.8
+    assert ids(P.drop_near_duplicates(spark, frame(spark, rows), sf_dir)) == [*range(0, 2 * len(cuts), 2), 2 * len(cuts) - 1]
+
+
 def test_contamination_stage_drops_passages(spark, sf_dir, english):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
     rows = [(1, item), (2, "before " + item + " after"), (3, "nothing of the kind"), (4, None)]
