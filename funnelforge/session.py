@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
@@ -101,4 +102,18 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+#: Where ``stored`` has put the tables that are still in use.
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote for ``df``; nothing may read it any more."""
+    path = _stored.pop(df, None)
+    if path:
+        fs, where = _filesystem(df.sparkSession, path)
+        fs.delete(where, True)
