@@ -39,21 +39,24 @@ def column_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.unionByName(met.select("column", "other", kind.alias("kind")))
 
 
-def suggest_mapping(columns: DataFrame, aliases: DataFrame, field_of: str = "field") -> DataFrame:
-    """(file, column, field, confidence), the best field of each column.
+def suggest_mapping(columns: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """(file, field, rank, column, confidence): for each file and canonical field, the
+    file's columns whose names look like the field's or an alias of it, best first.
 
-    ``columns``: (file, column). ``aliases``: (field, alias), a vocabulary of some dozens
-    that is compared with each distinct plain name once.
+    ``columns``: (file, column). ``aliases``: the other names of each field, a vocabulary of
+    some dozens that goes along with the plan; each distinct plain name is compared once.
     """
     names = columns.withColumn("plain", plain_name(F.col("column")))
-    known = aliases.select("field", plain_name(F.col("alias")).alias("alias")).distinct()
-    distinct = names.select("plain").where("plain <> ''").distinct()
-    tried = distinct.join(F.broadcast(known))  # the vocabulary of canonical fields
+    strip = lambda x: "".join(ch for ch in x.lower() if ch.isascii() and ch.isalnum())
+    known = sorted({(f, strip(a)) for f, more in aliases.items() for a in [f, *more]})
+    vocabulary = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lit(a).alias("alias")) for f, a in known))).alias("v")
+    tried = names.select("plain").where("plain <> ''").distinct().select("plain", vocabulary).select("plain", "v.field", "v.alias")
     score = F.when(F.col("plain") == F.col("alias"), F.lit(EXACT)).otherwise(profile.similarity("plain", "alias"))
     best = tried.withColumn("confidence", score).groupBy("plain", "field").agg(F.max("confidence").alias("confidence")).where(F.col("confidence") >= SUGGEST)
-    w = Window.partitionBy("plain").orderBy(F.desc("confidence"), "field")
-    first = best.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
-    return names.join(first, "plain").select("file", "column", "field", F.round("confidence", 4).alias("confidence"))
+    found = names.join(best, "plain").select("file", "field", "column", F.round("confidence", 3).alias("confidence"))
+    # A file has some dozens of columns.
+    w = Window.partitionBy("file", "field").orderBy(F.desc("confidence"), "column")
+    return found.withColumn("rank", F.row_number().over(w).cast("long")).select("file", "field", "rank", "column", "confidence")
 
 
 def validate_canonical(df: DataFrame, required: list[str], unique: list[str], phone_col: str, created_col: str, disposition_col: str, day_first: bool = True) -> DataFrame:
@@ -122,7 +125,8 @@ def not_coercible(vc: DataFrame, numeric: list[str], examples: int = 10) -> Data
     """(col, n, examples) of values of numeric columns that do not parse."""
     bad = profile.solid(vc).where(F.col("col").isin(numeric) & number(F.col("value")).isNull())
     total = bad.groupBy("col").agg(F.sum("n").alias("n"))
-    few = bad.groupBy("col").agg(F.array_join(F.slice(F.array_sort(F.collect_set("value")), 1, examples), "|").alias("examples"))
+    first = top_per(bad, ["col"], [F.asc("value")], examples, "value")
+    few = first.groupBy("col").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
     return total.join(few, "col")
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelforge.operators.position import cumulative
+from funnelforge.operators.position import cumulative, matched
 
 #: Log-loss clip, tiers, capture shares, gates.
 CLIP = 1e-15
@@ -38,13 +38,13 @@ def roc_auc(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 def ordered(scored: DataFrame, group: list[str] | None = None) -> DataFrame:
     """Adds position (1 is the highest score, ties by row_id), positives up to the row, and
-    the group's rows and positives; the basis of W2 to W7."""
+    the group's rows and positives; the basis of W2 to W7. A null group is a group."""
     group = group or []
     rows = _clean(scored)
     placed = cumulative(rows, group, [F.desc("score"), F.asc("row_id")], {"position": F.lit(1).cast("long"), "hits": F.col("y").cast("long")})
     placed = placed.withColumns({"position": F.col("position") + 1, "hits": F.col("hits") + F.col("y")})
     totals = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), F.sum("y").cast("long").alias("positives"))
-    return placed.join(F.broadcast(totals), group) if group else placed.crossJoin(F.broadcast(totals))  # a row per group
+    return matched(placed, totals, group) if group else placed.crossJoin(F.broadcast(totals))  # one row
 
 
 def pr_auc(placed: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -45,6 +45,13 @@ def ordered_position(df: DataFrame, group: list[str], order: list[Column], name:
     return cumulative(df, group, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
 
 
+def matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the other columns of ``other``, joined on ``keys``; null keys are equal."""
+    named = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
+    return df.join(named, same).drop(*(f"_k_{k}" for k in keys))
+
+
 def top_per(df: DataFrame, group: list[str], order: list[Column], n: int, key: str, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group with their rank, in two rounds: first per salt of
     ``key``, so that no task sees more of a large group than its share."""
@@ -59,12 +66,11 @@ def quantiles(values: DataFrame, group: list[str], value: str, n: str, points: t
     """(group, point, quantile) of a (group, value, n) table, linear between neighbours."""
     placed = cumulative(values, group, [F.col(value)], {"_before": F.col(n)})
     total = values.groupBy(*group).agg(F.sum(n).alias("_total"))
-    met = placed.join(total, group) if group else placed.crossJoin(F.broadcast(total))  # one row
+    met = matched(placed, total, group) if group else placed.crossJoin(F.broadcast(total))  # one row
+    inside = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col(n))
     where = F.array(*(F.struct(F.lit(p).alias("point"), (F.lit(p) * (F.col("_total") - 1)).alias("at")) for p in points))
-    hits = met.withColumn("w", F.explode(where)).select(*group, value, "w.point", F.col("w.at").alias("at"), "_before", F.col(n).alias("_n"))
-    low, high = F.floor("at"), F.ceil("at")
-    within = lambda k: (F.col("_before") <= k) & (k < F.col("_before") + F.col("_n"))
-    ends = hits.where(within(low) | within(high)).groupBy(*group, "point", "at").agg(
-        F.max(F.when(within(low), F.col(value))).alias("lo"), F.max(F.when(within(high), F.col(value))).alias("hi")
-    )
+    # A value is taken to the points that fall on it, mostly none.
+    own = F.filter(where, lambda w: inside(F.floor(w["at"])) | inside(F.ceil(w["at"])))
+    hits = met.withColumn("w", F.explode(own)).select(*group, value, "w.point", F.col("w.at").alias("at"), inside(F.floor("w.at")).alias("_low"), inside(F.ceil("w.at")).alias("_high"))
+    ends = hits.groupBy(*group, "point", "at").agg(F.max(F.when(F.col("_low"), F.col(value))).alias("lo"), F.max(F.when(F.col("_high"), F.col(value))).alias("hi"))
     return ends.select(*group, "point", (F.col("lo") + (F.col("at") - F.floor("at")) * (F.col("hi") - F.col("lo"))).alias("quantile"))

@@ -28,15 +28,17 @@ class Adapter:
     features: tuple[str, ...] = ()
 
 
-def run_source(leads: DataFrame, adapter: Adapter, run_id: str, key_col: str = "phone", batch: int = 100, retries: int = 2, wait: float = 0.0, parts: int = 8) -> DataFrame:
+def run_source(leads: DataFrame, adapter: Adapter, run_id: str, key_col: str = "phone", batch: int = 100, retries: int = 2, wait: float = 0.0, parts: int | None = None) -> DataFrame:
     """V2: one response per lead: (run_id, lead_id, source, status, payload_json, batch_id, attempts).
 
     Keys are normalised; leads without one are NOT_SENT and not fetched. ``ERROR`` is tried
     again up to ``retries`` times, waiting twice as long each time. A lead for which the
-    function gives nothing is an ERROR. A lost executor's leads are fetched anew, so write
-    the result before it is read twice.
+    function gives nothing is an ERROR; of several answers for a lead the last one counts.
+    Leads are dealt to ``parts`` tasks, or as many as the session shuffles to. A lost
+    executor's leads are fetched anew, so write the result before it is read twice.
     """
-    rows = leads.select(F.col("lead_id").cast("string").alias("lead_id"), phone(F.col(key_col)).alias("key")).repartition(parts, "lead_id").sortWithinPartitions("lead_id")
+    rows = leads.select(F.col("lead_id").cast("string").alias("lead_id"), phone(F.col(key_col)).alias("key"))
+    rows = (rows.repartition(parts, "lead_id") if parts else rows.repartition("lead_id")).sortWithinPartitions("lead_id")
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -48,7 +50,7 @@ def run_source(leads: DataFrame, adapter: Adapter, run_id: str, key_col: str = "
                 name, got, tries = f"{run_id}-{part['lead_id'].iloc[0]}", {}, {}
                 pending, pause = part, wait
                 for attempt in range(1, retries + 2):
-                    found = adapter.fetch(pending).set_index("lead_id")
+                    found = adapter.fetch(pending).drop_duplicates("lead_id", keep="last").set_index("lead_id")
                     for lead in pending["lead_id"]:
                         known = lead in found.index
                         got[lead] = (found.at[lead, "status"], found.at[lead, "payload_json"]) if known else ("ERROR", None)
