@@ -26,6 +26,7 @@ MULTI_SHARE, DELIMITERS = 0.05, (";", "|", ",")
 FREE_ROWS, FREE_DISTINCT, FREE_SINGLE = 20, 0.5, 0.5
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
 
+#: What dates look like.
 _NUMERIC_DATE = r"^([0-9]{1,4})[/\-.]([0-9]{1,4})[/\-.]([0-9]{1,4})$"
 _TEXT_DATE = r"(?i)^[0-9]{1,2}\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+[0-9]{2,4}$"
 
@@ -66,6 +67,14 @@ def infer_schema(vc: DataFrame, roles: dict[str, str] | None = None) -> DataFram
     return found.select("col", F.when(numeric, "numeric").otherwise("categorical").alias("dtype"), (F.col("full") < F.col("rows")).alias("nullable"), role.alias("role"))
 
 
+def columns_of_role(df: DataFrame, schema: DataFrame, role: str, dtype: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and the columns of ``df`` that ``infer_schema`` gives a role (and dtype), by
+    name; the schema has a row per column."""
+    wanted = schema.where(F.col("role") == role)
+    names = sorted(r["col"] for r in (wanted.where(F.col("dtype") == dtype) if dtype else wanted).select("col").collect())
+    return df.select(*keep, *(c for c in names if c not in keep))
+
+
 def overview(df: DataFrame) -> DataFrame:
     """A3: one row of n_rows, n_columns, duplicate_rows, empty_columns."""
     rows = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
@@ -198,7 +207,7 @@ def low_clusters(vc: DataFrame) -> DataFrame:
     Neighbours are found inside ranges of values, and across the ranges' ends from one
     row per range, so that a column of any length is spread over tasks.
     """
-    values = _numeric(vc).where("v is not null").groupBy("col", "v").agg(F.sum("n").alias("n"))
+    values = stored(_numeric(vc).where("v is not null").groupBy("col", "v").agg(F.sum("n").alias("n")), "values")
     placed = ranged(values, ["col"], [F.col("v")])
     inside = Window.partitionBy("col", "_pid").orderBy("v")
     gaps = placed.select("col", F.col("v").alias("low"), F.lead("v").over(inside).alias("high"))
@@ -235,14 +244,15 @@ def components_of(c: Column, delimiter: str) -> Column:
 def multi_valued(vc: DataFrame) -> DataFrame:
     """(col, delimiter, fraction, n_components, order_varies) with the first delimiter
     that gives one cell in twenty several parts."""
-    cells = solid(vc)
-    each = [cells.select("col", "n", F.lit(k).alias("k"), F.lit(d).alias("delimiter"), components_of(F.col("value"), d).alias("parts")) for k, d in enumerate(DELIMITERS)]
-    long = each[0].unionByName(each[1]).unionByName(each[2])
-    many = F.size("parts") >= 2
-    share = long.groupBy("col", "k", "delimiter").agg((F.sum(F.when(many, F.col("n")).otherwise(0)) / F.sum("n")).alias("fraction")).where(F.col("fraction") >= MULTI_SHARE)
-    first = share.groupBy("col").agg(F.min("k").alias("k"))
-    chosen = share.join(F.broadcast(first), ["col", "k"], "left_semi")  # a row per column
-    cut = long.where(many).join(F.broadcast(chosen.select("col", "k")), ["col", "k"], "left_semi")
+    cuts = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(d).alias("delimiter"), components_of(F.col("value"), d).alias("parts")) for k, d in enumerate(DELIMITERS)))
+    # One pass over the cells; only those of several parts are kept.
+    cells = solid(vc).select("col", "n", F.filter(cuts, lambda x: F.size(x["parts"]) >= 2).alias("cuts"))
+    rows = cells.groupBy("col").agg(F.sum("n").alias("rows"))
+    many = stored(cells.select("col", "n", F.explode("cuts").alias("x")).select("col", "n", "x.k", "x.delimiter", "x.parts"), "multi-valued")
+    share = many.groupBy("col", "k", "delimiter").agg(F.sum("n").alias("got")).join(rows, "col").select("col", "k", "delimiter", (F.col("got") / F.col("rows")).alias("fraction"))
+    first = share.where(F.col("fraction") >= MULTI_SHARE).groupBy("col").agg(F.min(F.struct("k", "delimiter", "fraction")).alias("m"))
+    chosen = stored(first.select("col", "m.k", "m.delimiter", "m.fraction"), "multi-chosen")
+    cut = many.join(F.broadcast(chosen.select("col", "k")), ["col", "k"], "left_semi")  # a row per column
     parts = cut.select("col", F.explode("parts").alias("p")).groupBy("col").agg(F.countDistinct("p").alias("n_components"))
     sets = cut.groupBy("col", F.array_sort("parts").alias("s")).agg(F.min("parts").alias("lo"), F.max("parts").alias("hi"))
     varies = sets.groupBy("col").agg(F.max(F.col("lo") < F.col("hi")).alias("order_varies"))
@@ -260,7 +270,7 @@ def free_text(vc: DataFrame) -> DataFrame:
 def numeric_distribution(vc: DataFrame) -> DataFrame:
     """(col, metric, value): count, min, max, mean, std (0 for one value) and
     percentiles of the values that parse; a column of any length is spread over tasks."""
-    v = _numeric(vc).where("v is not null and not isnan(v)").groupBy("col", "v").agg(F.sum("n").alias("n"))
+    v = stored(_numeric(vc).where("v is not null and not isnan(v)").groupBy("col", "v").agg(F.sum("n").alias("n")), "values")
     n = F.sum("n")
     mean = F.sum(F.col("v") * F.col("n")) / n
     base = v.groupBy("col").agg(n.cast("double").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"))
