@@ -84,8 +84,10 @@ def pct(part: Column, whole: Column) -> Column:
     return F.round(F.try_divide(100.0 * part, F.nullif(whole.cast("double"), F.lit(0.0))), 4)
 
 
-def portfolio(accs: DataFrame) -> DataFrame:
-    """Per response its counts, amounts, shares, segments and diversity."""
+KEYS = ["run_id", "lead_id"]
+
+
+def _portfolio_sums() -> dict[str, Column]:
     n = lambda cond: F.count(F.when(cond, 1))
     total = lambda c, cond=None: F.coalesce(F.sum(F.when(cond, F.col(c)) if cond is not None else F.col(c)), F.lit(0.0))
     active, bucket, seg = F.col("active"), F.col("bucket"), F.col("segment")
@@ -102,7 +104,11 @@ def portfolio(accs: DataFrame) -> DataFrame:
         sums |= {f"total_count_institution_segment_{name}": n(seg == s), f"active_count_institution_segment_{name}": n(active & (seg == s))}
     sums |= {f"_s_{b}": total("sanction", bucket == b) for b in SANCTION_SHARES} | {f"_sa_{b}": total("sanction", active & (bucket == b)) for b in SANCTION_SHARES}
     sums |= {f"_b_{b}": total("balance", active & (bucket == b)) for b in BALANCE_SHARES} | {f"_i_{b}": total("installment", active & (bucket == b)) for b in INSTALLMENT_SHARES}
-    found = accs.groupBy("run_id", "lead_id").agg(*(c.alias(k) for k, c in sums.items()))
+    return sums
+
+
+def _portfolio_rest() -> dict[str, Column]:
+    """What derives from the sums."""
     share = lambda b: F.pow(F.col(f"num_{b}") / F.col("total_accounts"), 2)
     more = {
         "active_pct": pct(F.col("active_accounts"), F.col("total_accounts")), "closed_pct": pct(F.col("closed_accounts"), F.col("total_accounts")),
@@ -114,25 +120,58 @@ def portfolio(accs: DataFrame) -> DataFrame:
     more |= {f"pct_of_total_sanctioned_amount_active_{short(b)}": pct(F.col(f"_sa_{b}"), F.col("total_active_sanction_amount")) for b in SANCTION_SHARES}
     more |= {f"pct_of_total_balance_amount_active_{short(b)}": pct(F.col(f"_b_{b}"), F.col("_active_balance")) for b in BALANCE_SHARES}
     more |= {f"pct_of_total_installment_amount_active_{short(b)}": pct(F.col(f"_i_{b}"), F.col("_active_installment")) for b in INSTALLMENT_SHARES}
-    found = found.withColumns(more)
+    return more
+
+
+def _age_sums() -> dict[str, Column]:
+    return {"_last": F.max("reported"), "_o1": F.min("opened"), "_o2": F.max("opened"), "_all": F.collect_list("opened")}
+
+
+def _age_rest() -> dict[str, Column]:
+    last = F.col("_last")
+    each = F.transform("_all", lambda o: F.greatest(F.lit(0), months_between(last, o)))
+    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("_all"), F.lit(0))
+    age = lambda c: F.greatest(F.lit(0), months_between(last, F.col(c)))
+    known = last.isNotNull() & F.col("_o1").isNotNull()
+    return {
+        "oldest_account_age_months": F.when(known, age("_o1")), "newest_account_age_months": F.when(known, age("_o2")),
+        "average_account_age_months": F.when(known, F.round(mean, 4)), "last": last,
+    }
+
+
+def _suit_sums() -> dict[str, Column]:
+    # Only values that tell something are collected: a response has few.
+    values = F.filter(F.transform(F.coalesce("history", F.array()), lambda h: F.trim(h["suitFiledStatus"])), lambda v: v.isNotNull() & ~v.isin("", "*"))
+    return {"_suits": F.collect_set(F.when(F.size(values) > 0, F.array_sort(F.array_distinct(values))))}
+
+
+def _suit_rest() -> dict[str, Column]:
+    return {"suit_filed_status_values": F.array_join(F.array_sort(F.array_distinct(F.flatten("_suits"))), "|")}
+
+
+def _summed(accs: DataFrame, sums: dict[str, Column], rest: dict[str, Column]) -> DataFrame:
+    found = accs.groupBy(*KEYS).agg(*(c.alias(k) for k, c in sums.items())).withColumns(rest)
     return found.drop(*(c for c in found.columns if c.startswith("_")))
 
 
+def portfolio(accs: DataFrame) -> DataFrame:
+    """Per response its counts, amounts, shares, segments and diversity."""
+    return _summed(accs, _portfolio_sums(), _portfolio_rest())
+
+
 def ages(accs: DataFrame) -> DataFrame:
     """Oldest, newest and mean account age in months up to the response's latest report."""
-    last = accs.groupBy("run_id", "lead_id").agg(F.max("reported").alias("last"), F.min("opened").alias("o1"), F.max("opened").alias("o2"), F.collect_list("opened").alias("all"))
-    each = F.transform("all", lambda o: F.greatest(F.lit(0), months_between(F.col("last"), o)))
-    mean = F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size("all"), F.lit(0))
-    age = lambda c: F.greatest(F.lit(0), months_between(F.col("last"), F.col(c)))
-    known = F.col("last").isNotNull() & F.col("o1").isNotNull()
-    return last.select("run_id", "lead_id", F.when(known, age("o1")).alias("oldest_account_age_months"), F.when(known, age("o2")).alias("newest_account_age_months"), F.when(known, F.round(mean, 4)).alias("average_account_age_months"), "last")
+    return _summed(accs, _age_sums(), _age_rest())
 
 
 def suits(accs: DataFrame) -> DataFrame:
     """The distinct suit values of all histories, sorted; '' if there are none."""
-    values = F.filter(F.transform(F.coalesce("history", F.array()), lambda h: F.trim(h["suitFiledStatus"])), lambda v: v.isNotNull() & ~v.isin("", "*"))
-    rows = accs.select("run_id", "lead_id", F.explode_outer(values).alias("v"))
-    return rows.groupBy("run_id", "lead_id").agg(F.array_join(F.array_sort(F.collect_set("v")), "|").alias("suit_filed_status_values"))
+    return _summed(accs, _suit_sums(), _suit_rest())
+
+
+def account_features(accs: DataFrame) -> DataFrame:
+    """B6 to B13 in one aggregation."""
+    return _summed(accs, _portfolio_sums() | _age_sums() | _suit_sums(), _portfolio_rest() | _age_rest() | _suit_rest())
 
 
 def reason_of(c: Column) -> Column:
@@ -152,8 +191,9 @@ def short(bucket: str) -> str:
     return bucket.removesuffix("_loans").removesuffix("_accounts")
 
 
-def person(reports: DataFrame, last: DataFrame) -> DataFrame:
-    """Score, summary, reasons and identity of each response with a report."""
+def person(reports: DataFrame, found: DataFrame) -> DataFrame:
+    """Score, summary, reasons and identity of each response with a report, and the
+    columns of ``found`` (run_id, lead_id, last) beyond ``last``."""
     r = F.col("report")
     elements = F.coalesce(F.get(r["scoreDetails"], 0)["scoringElements"], F.array())
     names = F.transform(elements, lambda e: reason_of(e["description"]))
@@ -161,7 +201,7 @@ def person(reports: DataFrame, last: DataFrame) -> DataFrame:
     has = lambda c: ~F.coalesce(c, F.lit("")).isin("", "[]", "{}", "0", "false", "null")
     ids, info = r["iDAndContactInfo"]["identityInfo"], r["iDAndContactInfo"]["personalInfo"]
     born = timestamp(info["dateOfBirth"])
-    met = reports.where(r.isNotNull()).join(last, ["run_id", "lead_id"], "left").withColumns({"_names": names, "_born": born})
+    met = reports.where(r.isNotNull()).withColumns({"_names": names, "_born": born}).join(found, KEYS, "left")
     age = F.floor(F.greatest(F.lit(0), months_between(F.col("last"), F.col("_born"))) / 12)
     return met.select(
         "run_id", "lead_id", F.when(score != -1, score).alias("score"), r["retailAccountsSummary"]["mostSevereStatusWithIn24Months"].alias("summary_most_severe_status_with_in24_months"),
@@ -169,6 +209,7 @@ def person(reports: DataFrame, last: DataFrame) -> DataFrame:
         *(F.size(F.filter("_names", _is(k))).cast("long").alias(f"reason_count_{k}") for k in REASONS),
         info["gender"].alias("gender"), F.when(F.col("last").isNotNull() & F.col("_born").isNotNull(), age).alias("age_years"),
         has(ids["pANId"]).alias("has_pan"), has(ids["nationalIDCard"]).alias("has_passport"), has(ids["otherId"]).alias("has_voter_id"),
+        *(c for c in found.columns if c not in (*KEYS, "last")),
     )
 
 
@@ -185,15 +226,12 @@ def features(responses: DataFrame, prefix: str = "equifax_") -> DataFrame:
     A report without accounts has counts of 0 and null shares, ages and amounts.
     """
     reports = parsed(responses)
-    accs = accounts(reports)
-    age = ages(accs)
-    p = portfolio(accs)
-    counts = [c for c, t in p.dtypes if t == "bigint" and c not in ("run_id", "lead_id")]
-    out = person(reports, age.select("run_id", "lead_id", "last")).join(p, ["run_id", "lead_id"], "left").join(age.drop("last"), ["run_id", "lead_id"], "left").join(suits(accs), ["run_id", "lead_id"], "left")
+    found = account_features(accounts(reports))
+    counts = [c for c, t in found.dtypes if t == "bigint" and c not in KEYS]
+    out = person(reports, found)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
-    keys = ["run_id", "lead_id"]
-    named = out.select(*keys, *(F.col(c).alias(prefix + c) for c in out.columns if c not in keys))
-    return responses.select(*keys).join(named, keys, "left")
+    named = out.select(*KEYS, *(F.col(c).alias(prefix + c) for c in out.columns if c not in KEYS))
+    return responses.select(*KEYS).join(named, KEYS, "left")
 
 
 def flat_features(responses: DataFrame, prefix: str = "crif_") -> DataFrame:

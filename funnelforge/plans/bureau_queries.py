@@ -263,6 +263,21 @@ _FORMULA = lambda src, h: f"""WITH r AS (SELECT {src} AS source, CAST({h} AS INT
   s AS (SELECT max(pass_rate) - min(pass_rate) AS spread FROM g WHERE is_total = 0) SELECT source, is_total, round(pass_rate, 6) AS pass_rate, pass_rate < 0.95 OR spread > 0.15 AS fails FROM g, s"""
 _AGE = "greatest(0, (year(last) - year(opened)) * 12 + month(last) - month(opened))"
 
+PERSON = [
+    "score", "summary_most_severe_status_with_in24_months", "summary_no_of_past_due_accounts", *(f"reason_count_{k}" for k in B.REASONS), "gender", "age_years",
+    "has_pan", "has_passport", "has_voter_id",
+]
+AGES = ["oldest_account_age_months", "newest_account_age_months", "average_account_age_months"]
+
+
+def _everything(sql: dict[str, str]) -> str:
+    """All features of all responses, out of the SQL of the parts."""
+    parts = {"b6_portfolio": COUNTS, "b7_ages": AGES, "b8_amounts": AMOUNTS, "b9_bucket_counts": BY_KIND, "b10_is_premium": ["is_premium"], "b11_diversity": ["credit_diversity_index"], "b12_shares": SHARES, "b13_suits": ["suit_filed_status_values"], "b14_person": PERSON}
+    names = ", ".join(f"{k}.{c} AS equifax_{c}" for k, cols in parts.items() for c in cols)
+    joins = " ".join(f"LEFT JOIN ({sql[k]}) AS {k} USING (lead_id)" for k in parts)
+    return f"SELECT lead_id, {names} FROM (SELECT DISTINCT o_custkey AS lead_id FROM orders) AS o {joins}"
+
+
 SQL = {
     "s11_response_log": "SELECT o_custkey AS lead_id, CASE WHEN o_custkey % 5 = 0 THEN 'SUCCESS_NO_HIT' ELSE 'SUCCESS_MATCHED' END AS status, CASE WHEN o_custkey % 5 <> 0 THEN count(*) END AS n_accounts FROM orders GROUP BY o_custkey",
     "b2_account_type": ACCOUNTS_SQL + f" SELECT o_orderkey, {_BUCKET} AS bucket FROM accs",
@@ -318,3 +333,4 @@ SQL = {
     "a33_formula_consistency": _FORMULA("l_returnflag", "l_linenumber <> 3"),
     "v3_le_invariant": _FORMULA("l_linestatus", "l_discount <= l_tax"),
 }
+SQL["b1_all_features"] = _everything(SQL)
