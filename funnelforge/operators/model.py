@@ -8,25 +8,37 @@ below the smallest with a flag beside it.
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelforge.functions.scalars import is_blank
-from funnelforge.operators import metrics
-from funnelforge.operators.assemble import any_known
-from funnelforge.operators.derive import stage_rows
-
-#: Rows that a route needs, its weight, levels kept as categories.
-MIN_ENRICHED, ROUTE_WEIGHT, MIN_LEVEL = 30, 0.65, 1
+from funnelforge.operators import metrics, profile
+from funnelforge.operators.assemble import any_known, formula_consistency
+from funnelforge.operators.derive import stage_rows, stage_summary
+from funnelforge.session import stored
+
+#: Rows that a route needs, its weight, trees and depth of a stage's model.
+MIN_ENRICHED, ROUTE_WEIGHT = 30, 0.65
+TREES, DEPTH = 300, 6
 PROVENANCE_AUC = 0.70
 
+#: Levels of a category that a model tells apart.
+MAX_LEVELS = 100
+
+#: Names of features that are only known after the outcome.
+POST_EVENT = (
+    r"turnaround", r"\btat\b", r"_tat\b", r"procedure.*perform", r"treatment.*perform", r"status.*restat", r"final_status", r"closure",
+    r"resolved_at", r"completed_at", r"disbursed_at",
+)
+
 
 @dataclass
 class Features:
@@ -42,16 +54,15 @@ class Features:
 
 
 def pin(df: DataFrame, numeric: list[str], categorical: list[str]) -> Features:
-    """The vocabulary and floors of a training table. Vocabularies are small by nature;
-    a column with a hundred levels or more raises."""
+    """The vocabulary and floors of a training table. Of a column with more levels than
+    MAX_LEVELS the most frequent are told apart (ties by name); the others share the index
+    of unseen ones, so no row is lost and a model's width stays bounded."""
     floors = df.agg(*(F.min(F.col(c).cast("double")).alias(c) for c in numeric)).first().asDict() if numeric else {}
-    vocab = {}
-    for c in categorical:
-        levels = [r[0] for r in df.select(F.col(c).cast("string")).where(~is_blank(F.col(c))).distinct().orderBy(c).limit(101).collect()]
-        if len(levels) > 100:
-            raise ValueError(f"{c} has over 100 levels; it is no category")
-        vocab[c] = levels
-    return Features(numeric, vocab, {c: (v if v is not None else 0.0) - 1.0 for c, v in floors.items()})
+    vocab: dict[str, list[str]] = {c: [] for c in categorical}
+    if categorical:
+        for r in profile.top_values(profile.value_counts(df, categorical), MAX_LEVELS).collect():
+            vocab[r["col"]].append(r["value"])
+    return Features(numeric, {c: sorted(v) for c, v in vocab.items()}, {c: (v if v is not None else 0.0) - 1.0 for c, v in floors.items()})
 
 
 def project(df: DataFrame, features: Features, keep: list[str]) -> DataFrame:
@@ -75,23 +86,20 @@ def encode(df: DataFrame, features: Features) -> DataFrame:
     for c, levels in features.vocab.items():
         at = F.array_position(F.array(*map(F.lit, levels)), F.col(c)) - 1 if levels else F.lit(-1)
         out = out.withColumn(f"{c}__index", F.when(at >= 0, at).otherwise(len(levels)).cast("double"))
+        # What a model trains on: an index of so many categories, not a number.
+        out = out.withMetadata(f"{c}__index", {"ml_attr": {"type": "nominal", "name": f"{c}__index", "num_vals": len(levels) + 1}})
     return out
 
 
 def _pipeline(features: Features, trees: int, depth: int, seed: int) -> Pipeline:
     inputs = [x for c in features.numeric for x in (f"{c}__value", f"{c}__missing")]
-    stages: list = []
-    cats = [c for c, v in features.vocab.items() if v]
-    if cats:
-        indexer = StringIndexerModel.from_arrays_of_labels([features.vocab[c] for c in cats], inputCols=cats, outputCols=[f"{c}__slot" for c in cats], handleInvalid="keep")
-        stages.append(indexer)
-        inputs += [f"{c}__slot" for c in cats]
-    bins = max([32, *(len(v) + 2 for v in features.vocab.values())])
+    inputs += [f"{c}__index" for c, v in features.vocab.items() if v]
+    bins = max([32, *(len(v) + 1 for v in features.vocab.values())])
     gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.1, seed=seed)
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), gbt])
+    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), gbt])
 
 
-def fit_stage(rows: DataFrame, features: Features, trees: int = 20, depth: int = 4, seed: int = 7) -> PipelineModel:
+def fit_stage(rows: DataFrame, features: Features, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> PipelineModel:
     """M2: a boosted-tree model of y on the pinned features."""
     ready = encode(project(rows, features, ["y"]), features)
     return _pipeline(features, trees, depth, seed).fit(ready)
@@ -131,8 +139,8 @@ class Chain:
     stages: list[Stage]
 
 
-def train(df: DataFrame, target: str, order: list[str], numeric: list[str], categorical: list[str], enrichment: list[str], architecture: str = "unified", trees: int = 20, depth: int = 4) -> Chain:
-    """``baseline`` uses core features only; ``unified`` all, missing ones as
+def train(df: DataFrame, target: str, order: list[str], numeric: list[str], categorical: list[str], enrichment: list[str], architecture: str = "unified", trees: int = TREES, depth: int = DEPTH) -> Chain:
+    """M3, M4, M5: ``baseline`` uses core features only; ``unified`` all, missing ones as
     a signal; ``dual`` blends a model of enriched rows with a core model, where 30 enriched
     rows of both classes exist."""
     core = ([c for c in numeric if c not in enrichment], [c for c in categorical if c not in enrichment])
@@ -152,6 +160,76 @@ def train(df: DataFrame, target: str, order: list[str], numeric: list[str], cate
     return Chain(architecture, target, order, stages)
 
 
+class LeakageError(ValueError):
+    """A gate that stops training or evaluation."""
+
+
+@dataclass
+class Gate:
+    name: str
+    passed: bool
+    message: str
+
+
+@dataclass
+class Training:
+    """A fitted chain with what its gates, warnings and the pre-flight check need."""
+
+    chain: Chain
+    gates: list[Gate]
+    warnings: list[str]
+    null_rates: dict[str, float]
+
+
+def feature_gates(target: str, features: list[str], derived: list[str] | None = None, patterns: tuple[str, ...] = POST_EVENT) -> list[Gate]:
+    """Gates over the features' names. The target or what derives from it raises; names
+    that only exist after the outcome are reported."""
+    leaked = sorted(set(features) & {target, *(derived or [])})
+    if leaked:
+        raise LeakageError(f"features hold the target: {', '.join(leaked)}")
+    late = [c for c in features if any(re.search(p, c, re.IGNORECASE) for p in patterns)]
+    return [
+        Gate("target_leakage", True, "no feature is the target"),
+        Gate("post_event_features", not late, f"known only after the outcome: {', '.join(late)}" if late else "no feature is known only after the outcome"),
+    ]
+
+
+def train_run(
+    df: DataFrame, target: str, order: list[str], numeric: list[str], categorical: list[str], enrichment: list[str], architecture: str = "unified", trees: int = TREES, depth: int = DEPTH,
+    derived: list[str] | None = None, formulas: dict[str, Column] | None = None, source_col: str | None = None, id_col: str | None = None, batch: Column | None = None, least: int = 50,
+) -> Training:
+    """Gates, warnings and null rates around ``train``.
+
+    The target among the features raises. Names known only after the outcome, formulas that
+    do not hold in all sources, and features that tell the two sides of ``batch`` apart
+    are reported. Warnings name stages of fewer than ``least`` positives and stages whose
+    enriched route was left out. Raises if scores of the training rows grow along the funnel.
+    """
+    used = [*numeric, *categorical]
+    gates = feature_gates(target, used, derived)
+    for name, holds in (formulas or {}).items():
+        rows = df if source_col else df.withColumn("_all", F.lit("all"))
+        bad = formula_consistency(rows, holds, source_col or "_all").where("fails").collect()
+        gates.append(Gate(f"formula:{name}", not bad, "; ".join(f"{'all' if r['is_total'] else r['source']}: {r['pass_rate']:.4f}" for r in bad) or "holds"))
+    if batch is not None and numeric:
+        found = provenance(df, id_col, batch, numeric).first()
+        gates.append(Gate("provenance", not found["fails"], f"AUC {found['auc']}"))
+    thin = stage_summary(df, target, order, least=least).where("sparse").orderBy("stage").collect()
+    warnings = [f"stage {r['stage']}: only {r['n_positive']} positives" for r in thin]
+    chain = train(df, target, order, numeric, categorical, enrichment, architecture, trees, depth)
+    if architecture == "dual":
+        warnings += [f"stage {i}: no enriched route, fewer than {MIN_ENRICHED} enriched rows or one class" for i, s in enumerate(chain.stages) if s.rich is None]
+    rates = {r["col"]: r["blank_rate"] for r in profile.blank_rates(profile.value_counts(df, used)).collect()}
+    _in_order(score(df, chain), chain)
+    return Training(chain, gates, warnings, rates)
+
+
+def _in_order(scored: DataFrame, chain: Chain) -> None:
+    n = ordinal_violations(scored, [f"stage_{i}" for i in range(len(chain.stages))]).first()["n"]
+    if n:
+        raise ValueError(f"{n} rows score higher at a later stage")
+
+
 def score(df: DataFrame, chain: Chain) -> DataFrame:
     """M6: adds stage_<i> probabilities of every row and their product, ``score``."""
     out = df
@@ -199,19 +277,51 @@ def provenance(df: DataFrame, id_col: str, batch: Column, features: list[str], t
     return metrics.roc_auc(scored.select("row_id", "y", "score")).withColumn("fails", F.coalesce(F.col("auc") > PROVENANCE_AUC, F.lit(False)))
 
 
-def evaluate(df: DataFrame, chain: Chain, id_col: str) -> DataFrame:
-    """(stage, n, n_positive, base_rate, log_loss, brier, auc, implausible) of held-out
-    rows, each stage on the rows that reached it, all stages in one pass."""
-    scored = score(df, chain)
+def _by_stage(scored: DataFrame, chain: Chain, id_col: str) -> DataFrame:
+    """(stage, row_id, y, score): each stage on the rows that reached it."""
     parts = []
     for i in range(len(chain.stages)):
         rows = stage_rows(scored, chain.target, chain.order, i)
         parts.append(rows.select(F.lit(i).alias("stage"), F.col(id_col).alias("row_id"), "y", F.col(f"stage_{i}").alias("score")))
-    long = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evaluate(df: DataFrame, chain: Chain, id_col: str) -> DataFrame:
+    """(stage, n, n_positive, base_rate, log_loss, brier, auc, implausible) of held-out
+    rows, each stage on the rows that reached it, all stages in one pass."""
+    long = _by_stage(score(df, chain), chain, id_col)
     met = metrics.benchmark_metrics(long, ["stage"]).join(metrics.roc_auc(long, ["stage"]), "stage")
     return metrics.implausible(met)
 
 
+def evaluate_run(df: DataFrame, chain: Chain, id_col: str, tiers: int = metrics.TIERS, override: bool = False) -> dict[str, DataFrame]:
+    """``metrics``, ``tiers``, ``lift``, ``capture`` and ``cutoffs`` of each stage.
+
+    Cutoffs are those of all rows, as a batch to come has no outcome that tells which
+    stage a row has reached; all else is of the rows that reached the stage. Raises if a
+    stage's AUC is implausible, unless ``override``, and if scores grow along the funnel.
+    """
+    scored = stored(score(df, chain), "scored")
+    _in_order(scored, chain)
+    long = stored(_by_stage(scored, chain, id_col), "scored-stages")
+    found = metrics.implausible(metrics.benchmark_metrics(long, ["stage"]).join(metrics.roc_auc(long, ["stage"]), "stage"))
+    if not override:
+        bad = found.where("implausible").orderBy("stage").collect()
+        if bad:
+            raise LeakageError("; ".join(f"stage {r['stage']}: AUC {r['auc']:.4f} at a base rate of {r['base_rate']:.4f}" for r in bad))
+    placed = stored(metrics.ordered(long, ["stage"]), "scored-order")
+    table = metrics.tier_table(placed, tiers, ["stage"])
+    everyone = F.explode(F.array(*(F.struct(F.lit(i).alias("stage"), F.col(f"stage_{i}").alias("score")) for i in range(len(chain.stages))))).alias("s")
+    all_rows = scored.select(F.col(id_col).alias("row_id"), everyone).select("row_id", "s.stage", "s.score", F.lit(0).alias("y"))
+    return {
+        "metrics": found,
+        "tiers": table,
+        "lift": metrics.lift(table, tiers, ["stage"]),
+        "capture": metrics.capture_thresholds(placed, group=["stage"]),
+        "cutoffs": metrics.tier_cutoffs(metrics.ordered(all_rows, ["stage"]), tiers, ["stage"]),
+    }
+
+
 def save_bundle(chain: Chain, path: str, spark: SparkSession, extra: dict | None = None) -> None:
     """Writes models and a manifest once; a path that exists raises."""
     plain = lambda f: f and {"numeric": f.numeric, "vocab": f.vocab, "floors": f.floors}

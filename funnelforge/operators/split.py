@@ -6,11 +6,15 @@ A split is a table (row_id, side); ids must be unique and not null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelforge.functions.scalars import timestamp
 from funnelforge.operators.position import ordered_position
+from funnelforge.session import stored
 
 RARE, MISSING = "__RARE__", "<missing>"
 SHIFT = 0.30
@@ -122,3 +126,75 @@ def split_check(df: DataFrame, split: DataFrame, id_col: str) -> DataFrame:
     sides = split.groupBy("row_id").agg(F.countDistinct("side").alias("k"))
     met = df.select(F.col(id_col).alias("row_id")).join(sides, "row_id", "left")
     return met.agg(F.count(F.when(F.col("k") > 1, 1)).alias("overlap"), F.count(F.when(F.col("k").isNull(), 1)).alias("uncovered"))
+
+
+#: Strategies of ``split_dataset`` and what each needs.
+STRATEGIES = {"random": (), "stratified": ("strata",), "temporal": ("ts_col", "cutoff"), "period": ("period_col", "periods"), "grouped": ("group_col",)}
+
+
+@dataclass
+class Split:
+    """A split with what is reported of it."""
+
+    ids: DataFrame
+    strategy: str
+    rows: dict[str, int]
+    composition: DataFrame | None
+    warnings: list[str]
+
+
+def split_dataset(df: DataFrame, id_col: str, strategy: str = "random", size: float = 0.2, seed: int = 42, target: Column | None = None, columns: list[str] | None = None, **how) -> Split:
+    """Checks, splits by ``strategy``, and reports composition and warnings in one call.
+
+    ``how`` holds what the strategy needs (see STRATEGIES). Raises for an unknown strategy,
+    a size outside (0, 1), missing settings or columns, an empty table, and ids that are
+    null or repeat. ``target`` is a 0/1 column whose rate is compared between the sides;
+    ``columns`` (by default the strata) are those whose values are counted per side.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(STRATEGIES)}")
+    if not 0 < size < 1:
+        raise ValueError(f"size must lie between 0 and 1, not {size}")
+    lacking = [k for k in STRATEGIES[strategy] if not how.get(k)]
+    if lacking:
+        raise ValueError(f"{strategy} needs {', '.join(lacking)}")
+    wanted = [id_col, *how.get("strata", []), *(how[k] for k in ("ts_col", "period_col", "group_col") if k in how), *(columns or [])]
+    unknown = [c for c in wanted if c not in df.columns]
+    if unknown:
+        raise ValueError(f"no such column: {', '.join(unknown)}")
+    ids = check_ids(df, id_col).first()
+    if not ids["n"]:
+        raise ValueError("nothing to split")
+    if ids["n_null"] or ids["n_repeated"]:
+        raise ValueError(f"{ids['n_null']} ids are null and {ids['n_repeated']} repeat")
+    kinds = {"random": random_split, "stratified": stratified_split, "temporal": temporal_split, "period": period_split, "grouped": grouped_split}
+    more = {} if strategy in ("temporal", "period") else {"size": size, "seed": seed}
+    split = stored(kinds[strategy](df, id_col, **how, **more), "split")
+    rows = {"train": 0, "test": 0} | {r["side"]: r["count"] for r in split.groupBy("side").count().collect()}
+    warnings = [f"{side} is empty" for side, n in rows.items() if not n]
+    if target is not None:
+        shift = base_rate_shift(df, split, id_col, target).first()
+        if shift["shifted"]:
+            warnings.append(f"base rate {shift['train_rate']:.4f} in training and {shift['test_rate']:.4f} in test")
+    if strategy == "stratified":
+        keys = [F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in how["strata"]]
+        rare = df.groupBy(*(k.alias(f"k{i}") for i, k in enumerate(keys))).count().where("count < 2").count()
+        if rare:
+            warnings.append(f"{rare} strata of one row are one stratum")
+    shown = columns if columns is not None else how.get("strata", [])
+    return Split(split, strategy, rows, composition(df, split, id_col, shown) if shown else None, warnings)
+
+
+def save_split(split: Split, path: str) -> None:
+    """Writes the ids of both sides, which are what makes a split repeatable, and its
+    summary; a path that exists raises."""
+    spark = split.ids.sparkSession
+    split.ids.write.mode("errorifexists").parquet(f"{path}/ids")
+    summary = json.dumps({"strategy": split.strategy, "rows": split.rows, "warnings": split.warnings})
+    spark.createDataFrame([(summary,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/summary")
+
+
+def load_split(spark: SparkSession, path: str) -> Split:
+    """What ``save_split`` wrote; the composition is not kept."""
+    found = json.loads(spark.read.text(f"{path}/summary").first()["value"])
+    return Split(spark.read.parquet(f"{path}/ids"), found["strategy"], found["rows"], None, found["warnings"])
