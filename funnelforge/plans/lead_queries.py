@@ -9,7 +9,7 @@ from funnelforge.operators import derive as D
 from funnelforge.operators import mapping as M
 from funnelforge.operators import profile as P
 from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, _vc
-from funnelforge.plans.tables import LEADS_SQL, VC_SQL, leads, table
+from funnelforge.plans.tables import LEADS_SQL, PAST_SQL, VC_SQL, leads, past_leads, table
 
 FUNNEL = ["view", "click", "signup", "purchase"]
 LEVELS = ["Lead", "Engaged", "Consulted", "Converted"]
@@ -75,8 +75,7 @@ def p3_stage_rows(spark, sf_dir):
 def p4_role_projection(spark, sf_dir):
     rows = leads(spark, sf_dir)
     schema = P.infer_schema(P.value_counts(rows), {"lead_id": "id", "disposition": "target", "empty": "excluded"})
-    names = sorted(r["col"] for r in schema.where("role = 'feature' and dtype = 'numeric'").collect())
-    return rows.select("lead_id", *names)
+    return P.columns_of_role(rows, schema, "feature", "numeric", ("lead_id",))
 
 
 def p7_apply_merges(spark, sf_dir):
@@ -134,11 +133,14 @@ def j4_column_diff(spark, sf_dir):
     return M.column_diff(*_catalog(spark, sf_dir))
 
 
+#: Names that may stand for a colour or a sort in the part table.
+ALIASES = {"azure": ["blue", "azure metal"], "copper": ["brass", "kupfer"], "small": ["small part", "mini"], "polished": ["burnished"], "steel": ["steel plate", "stahl"]}
+
+
 def j5_suggest_mapping(spark, sf_dir):
-    """The best brand for each part's name, by likeness to the brand's part types."""
-    parts = table(spark, sf_dir, "part")
-    names = parts.select(F.col("p_brand").alias("file"), F.col("p_name").alias("column")).distinct()
-    return M.suggest_mapping(names, parts.select(F.col("p_brand").alias("field"), F.col("p_type").alias("alias")).distinct())
+    """Part names as the columns of a file per brand, ranked for each of some fields."""
+    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("file"), F.col("p_name").alias("column")).distinct()
+    return M.suggest_mapping(names, ALIASES)
 
 
 def j9_compare_findings(spark, sf_dir):
@@ -148,15 +150,15 @@ def j9_compare_findings(spark, sf_dir):
 
 
 def _batch(spark, sf_dir):
-    return P.value_counts(leads(spark, sf_dir).where("cast(lead_id as bigint) % 4 = 1").select("source", "score", "tenure", "areas"))
+    return P.value_counts(leads(spark, sf_dir).select("source", "score", "tenure", "areas"))
 
 
 def _pinned(spark, sf_dir):
-    return P.value_counts(leads(spark, sf_dir).where("cast(lead_id as bigint) % 77 not in (0, 7, 14)").select("source", "score", "areas", "notes"))
+    return P.value_counts(past_leads(spark, sf_dir))
 
 
 def j11_unseen_categories(spark, sf_dir):
-    return M.unseen_categories(_batch(spark, sf_dir), M.vocabulary(_pinned(spark, sf_dir).where("n > 40"), ["source", "areas"]), ["source", "areas"])
+    return M.unseen_categories(_batch(spark, sf_dir), M.vocabulary(_pinned(spark, sf_dir), ["source", "areas"]), ["source", "areas"])
 
 
 def j12_schema_drift(spark, sf_dir):
@@ -164,8 +166,7 @@ def j12_schema_drift(spark, sf_dir):
 
 
 def a35_null_shift(spark, sf_dir):
-    rates = P.blank_rates(_pinned(spark, sf_dir)).withColumn("blank_rate", F.when(F.col("col") == "score", 0.9).otherwise(F.col("blank_rate")))
-    return _six(M.null_shift(P.blank_rates(_batch(spark, sf_dir)), rates), "batch_rate", "pinned_rate")
+    return _six(M.null_shift(P.blank_rates(_batch(spark, sf_dir)), P.blank_rates(_pinned(spark, sf_dir))), "batch_rate", "pinned_rate")
 
 
 def a36_not_coercible(spark, sf_dir):
@@ -179,7 +180,7 @@ def a37_vocabulary(spark, sf_dir):
 def m13_preflight(spark, sf_dir):
     pinned = _pinned(spark, sf_dir)
     features = {"source": "categorical", "areas": "categorical", "score": "numeric", "tenure": "numeric", "phone": "categorical"}
-    return M.preflight(_batch(spark, sf_dir), features, M.vocabulary(pinned.where("n > 40"), ["source", "areas"]), P.blank_rates(pinned))
+    return M.preflight(_batch(spark, sf_dir), features, M.vocabulary(pinned, ["source", "areas"]), P.blank_rates(pinned))
 
 
 QUERIES = [
@@ -190,9 +191,10 @@ QUERIES = [
 ]
 
 _LEVEL = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END"
-_MONTHS = r"""CASE WHEN regexp_matches(trim(tenure), '(?i)^[0-9]+\s*y(r|ea?r)?s?') OR regexp_matches(regexp_replace(trim(tenure), '(?i)^[0-9]+\s*y(?:r|ea?r)?s?', ''), '(?i)^\s*[0-9]+\s*m')
-  THEN coalesce(TRY_CAST(regexp_extract(trim(tenure), '(?i)^([0-9]+)\s*y(?:r|ea?r)?s?', 1) AS INTEGER), 0) * 12
-    + coalesce(TRY_CAST(regexp_extract(regexp_replace(trim(tenure), '(?i)^[0-9]+\s*y(?:r|ea?r)?s?', ''), '(?i)^\s*([0-9]+)\s*mo?n?(?:th)?s?', 1) AS INTEGER), 0) END"""
+_UNIT = lambda k: f"lower(right(x[{k}], 1))"
+_COUNT = lambda k: f"TRY_CAST(regexp_extract(x[{k}], '^[0-9]+') AS INTEGER)"
+_AMOUNTS = r"regexp_extract_all(regexp_extract(trim(tenure), '^([0-9]+\s*[A-Za-z]+\s*)+'), '[0-9]+\s*[A-Za-z]')"
+_MONTHS = f"(SELECT CASE WHEN {_UNIT(1)} = 'y' THEN {_COUNT(1)} * 12 + CASE WHEN {_UNIT(2)} = 'm' THEN {_COUNT(2)} ELSE 0 END WHEN {_UNIT(1)} = 'm' THEN {_COUNT(1)} END FROM (SELECT {_AMOUNTS} AS x))"
 _BAND = "CASE WHEN m < 6 THEN '0-6' WHEN m < 12 THEN '6-12' WHEN m < 24 THEN '12-24' WHEN m < 60 THEN '24-60' WHEN m >= 60 THEN '60+' END"
 _PARTS = r"list_filter(list_transform(string_split(areas, ';'), lambda x: trim(x)), lambda x: x <> '')"
 _DIGITS = r"regexp_replace(regexp_replace(trim(phone), '[.]0$', ''), '[^0-9]', '', 'g')"
@@ -200,14 +202,14 @@ _B = lambda c: rf"({c} IS NULL OR regexp_full_match({c}, '\s*'))"
 _N = lambda c: _V.replace("value", c)
 
 
-def _counts(cols: str, where: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, count(*) AS n FROM leads WHERE {where} GROUP BY 2" for c in cols.split())
+def _counts(cols: str, rel: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, count(*) AS n FROM {rel} GROUP BY 2" for c in cols.split())
 
 
-_BATCH = LEADS_SQL + f", batch AS ({_counts('source score tenure areas', 'CAST(lead_id AS BIGINT) % 4 = 1')}), pinned AS ({_counts('source score areas notes', 'CAST(lead_id AS BIGINT) % 77 NOT IN (0, 7, 14)')})"
+_BATCH = LEADS_SQL + f", past AS ({PAST_SQL}), batch AS ({_counts('source score tenure areas', 'leads')}), pinned AS ({_counts('source score areas notes', 'past')})"
 _RATE = lambda t: f"SELECT col, sum(CASE WHEN {_BLANK} THEN n ELSE 0 END) / sum(n) AS r FROM {t} GROUP BY 1"
 _SOLID = f"NOT {_BLANK}"
-_VOCAB = f"SELECT col, value FROM pinned WHERE n > 40 AND col IN ('source', 'areas') AND {_SOLID}"
+_VOCAB = f"SELECT col, value FROM pinned WHERE col IN ('source', 'areas') AND {_SOLID}"
 _SCHEMA = lambda t: f"SELECT col, CASE WHEN sum(CASE WHEN {_SOLID} THEN n ELSE 0 END) > 0 AND sum(CASE WHEN {_SOLID} AND {_V} IS NOT NULL THEN n ELSE 0 END) >= 0.9 * sum(CASE WHEN {_SOLID} THEN n ELSE 0 END) THEN 'numeric' ELSE 'categorical' END AS dtype, sum(CASE WHEN {_BLANK} THEN n ELSE 0 END) > 0 AS nullable FROM {t} GROUP BY 1"
 
 _CHECKED = "source external_id areas notes"
@@ -283,7 +285,7 @@ SQL = {
     + f""", a AS ({_SCHEMA('batch')}), p AS ({_SCHEMA('pinned')}) SELECT col, 'missing_column' AS kind FROM p WHERE col NOT IN (SELECT col FROM a) UNION ALL SELECT col, 'unexpected_column' FROM a WHERE col NOT IN (SELECT col FROM p)
       UNION ALL SELECT col, 'dtype_mismatch' FROM a JOIN p USING (col) WHERE a.dtype <> p.dtype UNION ALL SELECT col, 'null_violation' FROM a JOIN p USING (col) WHERE a.nullable""",
     "a35_null_shift": _BATCH
-    + f""", a AS ({_RATE('batch')}), p AS (SELECT col, CASE WHEN col = 'score' THEN 0.9 ELSE r END AS r FROM ({_RATE('pinned')}))
+    + f""", a AS ({_RATE('batch')}), p AS ({_RATE('pinned')})
       SELECT col, round(a.r, 6) AS batch_rate, round(CAST(p.r AS DOUBLE), 6) AS pinned_rate FROM a JOIN p USING (col) WHERE abs(a.r - p.r) > 0.2""",
     "a36_not_coercible": VC_SQL
     + f""", bad AS (SELECT col, value, n FROM solid WHERE col IN ('score', 'balance', 'created_at') AND {_V} IS NULL)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from funnelforge.operators import assemble, model
-from funnelforge.plans.tables import LEADS_SQL, leads, table
+from funnelforge.operators import assemble, model, profile
+from funnelforge.plans.tables import LEAD_COLUMNS, LEADS_SQL, leads, table
 from funnelforge.session import scratch_path, stored
 from funnelforge.sources import audit, enrich, ingest
 
@@ -29,18 +29,26 @@ def s1_read_delimited(spark, sf_dir):
 
 
 def s2_encodings(spark, sf_dir):
-    """Files of three encodings, by how many rows they hold."""
+    """Files of three encodings, by how many bytes they hold."""
     path = scratch_path(spark, "encodings")
     rows = leads(spark, sf_dir).select(F.col("lead_id").alias("line"))
-    for name, head in (("plain", ""), ("bom", "﻿"), ("accent", "é")):
-        rows.select(F.concat(F.lit(head), "line").alias("value")).write.option("encoding", "UTF-8").text(f"{path}/{name}")
+    for name, head in (("plain", ""), ("bom", "\ufeff"), ("accent", "\u00e9")):
+        rows.select(F.concat(F.lit(head), "line").alias("value")).write.text(f"{path}/{name}")
+    rows.select(F.concat(F.lit("\u00e9"), "line").alias("value")).write.option("encoding", "ISO-8859-1").csv(f"{path}/latin")
     found = ingest.files(spark, f"{path}/*/part-*").where("bytes > 0")
     return found.groupBy("encoding").agg(F.sum("bytes").alias("bytes"))
 
 
 def s3_detect_delimiter(spark, sf_dir):
-    found = ingest.detect_delimiter(ingest.lines(spark, _files(spark, sf_dir)))
-    return found.select("delimiter", "n_fields").distinct()
+    """Files of each delimiter and of 2 to 4 fields: what is found, and how many lines have it."""
+    path = scratch_path(spark, "delimiters")
+    rows = leads(spark, sf_dir).select(F.col("lead_id").cast("long").alias("k"), *(F.coalesce(c, F.lit("none")).alias(c) for c in ("lead_id", "source", "score", "disposition")))
+    for k, d in enumerate(ingest.DELIMITERS):
+        names = ("lead_id", "source", "score", "disposition")[: 4 - k % 3]
+        rows.where(F.col("k") % len(ingest.DELIMITERS) == k).select(F.concat_ws(d, *names).alias("value")).write.text(f"{path}/{k}")
+    found = ingest.lines(spark, f"{path}/*/part-*")
+    sizes = found.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    return ingest.detect_delimiter(found).join(sizes, "file").groupBy("delimiter", "n_fields").agg(F.sum("n").alias("n"))
 
 
 def s4_malformed_rows(spark, sf_dir):
@@ -49,9 +57,13 @@ def s4_malformed_rows(spark, sf_dir):
 
 
 def s5_same_content(spark, sf_dir):
-    path = _files(spark, sf_dir)
-    found = ingest.files(spark, f"{path}/part-*")
-    return ingest.same_content(found.unionByName(found)).select("n").distinct()
+    """Leads written twice, and odd leads once more: how often contents come, and their bytes."""
+    path = scratch_path(spark, "contents")
+    rows = leads(spark, sf_dir).select(F.concat_ws("|", "lead_id", "source").alias("value"), F.col("lead_id").cast("long").alias("k"))
+    for name, some in (("first", rows), ("second", rows), ("odd", rows.where("k % 2 = 1").withColumn("value", F.concat("value", F.lit("!"))))):
+        some.repartition(4, "k").sortWithinPartitions("k").select("value").write.text(f"{path}/{name}")
+    found = ingest.files(spark, f"{path}/*/part-*").where("bytes > 0")
+    return ingest.same_content(found).join(found.select("hash", "bytes").distinct(), "hash").groupBy("n").agg(F.sum("bytes").alias("bytes"))
 
 
 def s6_saved_dataset(spark, sf_dir):
@@ -167,6 +179,43 @@ def m7_ordinal_violations(spark, sf_dir):
     return model.ordinal_violations(o.select(((F.col("o_orderkey") % 100) / 90).alias("a"), ((F.col("o_orderkey") % 13) / 12).alias("b")), ["a", "b"])
 
 
+def m6_chained_scores(spark, sf_dir):
+    """Whether each score is the product of its stages' probabilities: rows, and those that hold."""
+    chain, test = _chain(spark, sf_dir)
+    p = [F.col("stage_0"), F.col("stage_1")]
+    good = (F.abs(F.col("score") - p[0] * p[1]) < 1e-12) & p[0].between(0, 1) & p[1].between(0, 1)
+    return model.score(test, chain).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(good, 1)).alias("n_product"))
+
+
+def m10_train_run(spark, sf_dir):
+    """The gates and warnings of a run in which the rich score tells the batches apart."""
+    train, _ = _sides(spark, sf_dir)
+    formulas = {"age": F.coalesce(F.col("age") <= F.col("age") + 1, F.lit(True)), "rich": F.col("rich_score").isNotNull()}
+    done = model.train_run(train, "disposition", FUNNEL, NUMERIC, CATEGORICAL, RICH, "unified", 3, 3, formulas=formulas, source_col="priority", id_col="row_id", batch=F.col("row_id") % 2 == 0)
+    rows = [("gate", g.name, str(g.passed).lower()) for g in done.gates] + [("null_rate", c, f"{r:.6f}") for c, r in done.null_rates.items()]
+    return spark.createDataFrame(rows, "kind string, name string, value string")
+
+
+def m11_evaluate_run(spark, sf_dir):
+    """Rows and positives of each stage and tier on held-out rows."""
+    chain, test = _chain(spark, sf_dir)
+    found = model.evaluate_run(test, chain, "row_id", override=True)
+    totals = found["tiers"].groupBy("stage").agg(F.sum("n").alias("n"), F.sum("n_positive").alias("n_positive"), F.count(F.lit(1)).alias("n_tiers"))
+    cuts = found["cutoffs"].groupBy("stage").agg(F.count(F.lit(1)).alias("n_cutoffs"))
+    return totals.join(cuts, "stage").join(found["capture"].groupBy("stage").agg(F.count(F.lit(1)).alias("n_shares")), "stage").select(F.col("stage").cast("long").alias("stage"), "n", "n_positive", "n_tiers", "n_cutoffs", "n_shares")
+
+
+def m12_bundle(spark, sf_dir):
+    """A bundle that is saved and loaded scores every row as the chain itself."""
+    chain, test = _chain(spark, sf_dir, "dual")
+    path = scratch_path(spark, "bundle")
+    model.save_bundle(chain, path, spark, {"note": "kept"})
+    loaded, extra = model.load_bundle(spark, path)
+    a = model.score(test, chain).select("row_id", F.col("score").alias("a"))
+    b = model.score(test, loaded).select("row_id", F.col("score").alias("b"))
+    return a.join(b, "row_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("a") == F.col("b"), 1)).alias("n_equal")).withColumn("note", F.lit(extra["note"]))
+
+
 def m8_feature_gains(spark, sf_dir):
     chain, _ = _chain(spark, sf_dir)
     return model.gains(spark, chain.stages[0])
@@ -203,13 +252,24 @@ def m14_score_batch(spark, sf_dir):
     path = scratch_path(spark, "bundle")
     model.save_bundle(chain, path, spark, {"cutoffs": [0.5, 0.25, 0.1]})
     loaded, extra = model.load_bundle(spark, path)
-    return model.score_batch(test, loaded, "row_id", extra["cutoffs"], "b1").drop("scored_at")
+    found = model.score_batch(test, loaded, "row_id", extra["cutoffs"], "b1")
+    tier = F.when(F.col("score") >= 0.5, 1).when(F.col("score") >= 0.25, 2).when(F.col("score") >= 0.1, 3).otherwise(4)
+    return found.select("row_id", (F.col("tier") == tier).alias("tier_fits"), (F.abs(F.col("score") - F.col("stage_0") * F.col("stage_1")) < 1e-12).alias("score_fits"), "bundle_id")
+
+
+def v4_similarity(spark, sf_dir):
+    """How alike a part's name is to itself with a letter more, and to a text of other letters."""
+    name = F.col("p_name")
+    more = profile.similarity(name, F.concat(name, F.lit("#")))
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.round(more, 6).alias("longer"), profile.similarity(name, F.repeat(F.lit("#"), 5)).alias("other"))
+    return parts
 
 
 QUERIES = [
     s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s5_same_content, s6_saved_dataset, s9_register_dataset, s12_exported_csv,
     j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
-    m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m14_score_batch,
+    m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch,
+    v4_similarity,
 ]
 
 _NA = "(" + ", ".join(f"'{w}'" for w in ingest.NA_WORDS) + ")"
@@ -224,11 +284,14 @@ _FRAME = """WITH f AS (SELECT o_orderkey AS row_id, o_orderpriority AS priority,
 SQL = {
     "s1_read_delimited": LEADS_SQL + f""", r AS (SELECT lead_id, source || '|x' AS source, score, CASE WHEN CAST(lead_id AS BIGINT) % 50 = 1 THEN CASE WHEN CAST(lead_id AS BIGINT) % 60 = 2 THEN 'extra' END ELSE disposition END AS disposition FROM leads WHERE NOT ({_LONG}))
       SELECT lead_id, source, CASE WHEN score NOT IN {_NA} THEN score END AS score, CASE WHEN disposition NOT IN {_NA} THEN disposition END AS disposition FROM r""",
-    "s2_encodings": "",
-    "s3_detect_delimiter": "SELECT '|' AS delimiter, CAST(4 AS BIGINT) AS n_fields",
+    "s2_encodings": LEADS_SQL + """, b AS (SELECT CAST(count(*) AS BIGINT) AS k, CAST(sum(octet_length(encode(lead_id)) + 1) AS BIGINT) AS n FROM leads)
+      SELECT 'utf-8' AS encoding, 2 * n + 2 * k AS bytes FROM b UNION ALL SELECT 'utf-8-sig', n + 3 * k FROM b UNION ALL SELECT 'latin-1', n + k FROM b""",
+    "s3_detect_delimiter": LEADS_SQL + """ SELECT CASE k WHEN 0 THEN ',' WHEN 1 THEN '|' WHEN 2 THEN chr(9) ELSE ';' END AS delimiter, CAST(4 - k % 3 AS BIGINT) AS n_fields, count(*) AS n FROM (SELECT CAST(lead_id AS BIGINT) % 4 AS k FROM leads) GROUP BY k""",
     "s4_malformed_rows": LEADS_SQL + f", l AS (SELECT {_LINE} AS line, CAST(4 + CAST(CAST(lead_id AS BIGINT) % 60 = 2 AS INTEGER) - CAST(CAST(lead_id AS BIGINT) % 50 = 1 AS INTEGER) AS BIGINT) AS n_fields FROM leads) SELECT * FROM l WHERE n_fields <> 4",
-    "s5_same_content": "SELECT CAST(2 AS BIGINT) AS n",
+    "s5_same_content": LEADS_SQL + " SELECT CAST(2 AS BIGINT) AS n, CAST(sum(octet_length(encode(lead_id || '|' || source)) + 1) AS BIGINT) AS bytes FROM leads",
     "s6_saved_dataset": LEADS_SQL + " SELECT lead_id, source, disposition FROM leads",
+    "s9_register_dataset": LEADS_SQL + ", h AS (SELECT disposition, CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0))" for c in LEAD_COLUMNS) + """)), 1, 15) AS HUGEINT) AS h FROM leads)
+      SELECT 'raw' AS name, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS fingerprint, FALSE AS has_source FROM h UNION ALL SELECT 'cleaned', count(*), CAST(sum(h) AS VARCHAR), TRUE FROM h WHERE disposition IS NOT NULL""",
     "s12_exported_csv": LEADS_SQL + " SELECT lead_id, phone, notes FROM leads",
     "j7_run_history": """WITH s AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'), b AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM s))
       SELECT 'dataset' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'split', n_nationkey FROM s UNION ALL SELECT 'bundle', c_custkey FROM b UNION ALL SELECT 'run', o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM b)""",
@@ -241,5 +304,14 @@ SQL = {
     "p6_project": _FRAME + " SELECT row_id, age, CASE WHEN priority IN ('1-URGENT', '5-LOW') THEN priority END AS priority FROM f",
     "m5_blend": "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey % 2 = 0 THEN 0.65 * (o_orderkey % 100 / 100) + 0.35 * (o_orderkey % 7 / 7) ELSE o_orderkey % 7 / 7 END, 6) AS p FROM orders",
     "m7_ordinal_violations": "SELECT count(*) FILTER (o_orderkey % 100 / 90 > 1 OR (o_orderkey % 100 / 90) * (o_orderkey % 13 / 12) > 1) AS n FROM orders",
+    "v4_similarity": "SELECT p_partkey, round(2.0 * length(p_name) / (2 * length(p_name) + 1), 6) AS longer, CAST(0 AS DOUBLE) AS other FROM part",
+    "m6_chained_scores": "SELECT count(*) AS n, count(*) AS n_product FROM orders WHERE o_orderkey % 5 = 0",
+    "m10_train_run": """WITH t AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), r AS (SELECT o_orderpriority AS p, avg(CAST(o_orderkey % 2 = 0 AS INTEGER)) AS h FROM t GROUP BY 1)
+      SELECT 'gate' AS kind, 'target_leakage' AS name, 'true' AS value UNION ALL SELECT 'gate', 'post_event_features', 'true' UNION ALL SELECT 'gate', 'formula:age', 'true'
+      UNION ALL SELECT 'gate', 'formula:rich', CASE WHEN min(h) >= 0.95 THEN 'true' ELSE 'false' END FROM r UNION ALL SELECT 'gate', 'provenance', 'false'
+      UNION ALL SELECT 'null_rate', 'age', '0.000000' UNION ALL SELECT 'null_rate', 'priority', '0.000000' UNION ALL SELECT 'null_rate', 'rich_score', printf('%.6f', avg(CAST(o_orderkey % 2 <> 0 AS INTEGER))) FROM t""",
+    "m11_evaluate_run": """WITH l AS (SELECT CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS k FROM orders WHERE o_orderkey % 5 = 0)
+      SELECT CAST(s AS BIGINT) AS stage, count(*) AS n, count(*) FILTER (k > s) AS n_positive, CAST(10 AS BIGINT) AS n_tiers, CAST(9 AS BIGINT) AS n_cutoffs, CAST(4 AS BIGINT) AS n_shares FROM l, range(0, 2) AS q(s) WHERE k >= s GROUP BY s""",
+    "m12_bundle": "SELECT count(*) AS n, count(*) AS n_equal, 'kept' AS note FROM orders WHERE o_orderkey % 5 = 0",
+    "m14_score_batch": "SELECT o_orderkey AS row_id, TRUE AS tier_fits, TRUE AS score_fits, 'b1' AS bundle_id FROM orders WHERE o_orderkey % 5 = 0",
 }
-del SQL["s2_encodings"]

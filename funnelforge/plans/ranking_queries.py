@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from funnelforge.operators import metrics as M
 from funnelforge.operators import position, split
 from funnelforge.plans.tables import LEADS_SQL, SCORED_SQL, leads, scored, table
+from funnelforge.session import scratch_path
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -94,10 +95,10 @@ def x6_check_ids(spark, sf_dir):
 
 
 def x7_saved_split(spark, sf_dir):
-    """A split written as a table and read back."""
-    from funnelforge.session import stored
-
-    return stored(split.random_split(_orders(spark, sf_dir), "o_orderkey", seed=3), "split").withColumn("split_id", F.lit("s1"))
+    """A split that is checked, made, saved and loaded."""
+    path = scratch_path(spark, "saved-split")
+    split.save_split(split.split_dataset(_orders(spark, sf_dir), "o_orderkey", seed=3, columns=["o_orderstatus"]), path)
+    return split.load_split(spark, path).ids.withColumn("split_id", F.lit("s1"))
 
 
 def a29_composition(spark, sf_dir):

@@ -55,6 +55,21 @@ VC_SQL = (
 )
 
 
+#: Both engines read this: an earlier table of leads, which another one is held against.
+_PAST = """
+  SELECT CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'machinery ' WHEN 2 THEN 'FURNITURE' ELSE ' AUTOMOBILE' END AS source,
+    CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(300 + s_suppkey * 31 % 550 AS {string}) END AS score,
+    CASE s_suppkey % 3 WHEN 0 THEN 'Back; Leg' WHEN 1 THEN 'Face' ELSE NULL END AS areas,
+    'note ' || s_name AS notes
+  FROM supplier
+"""
+PAST_SQL = _PAST.format(string="VARCHAR")
+
+
+def past_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_PAST.format(string="STRING").replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+
+
 def funnel_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as leads: event_type is the funnel's value."""
     return table(spark, sf_dir, "events")
