@@ -50,7 +50,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it. Where that is unset, a local master gets a
-    temporary folder, and a cluster a folder in its warehouse.
+    temporary folder, and a cluster a folder in its warehouse, if executors can reach that.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -58,6 +58,8 @@ def scratch_dir(spark: SparkSession) -> str:
             found = "file://" + tempfile.mkdtemp(prefix="spark-")
         else:
             found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+            if _filesystem(spark, found)[0].getScheme() == "file":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
