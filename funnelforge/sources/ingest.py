@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,7 +30,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, encoding, hash) of each file: utf-8-sig, utf-8 or latin-1."""
     rows = spark.read.format("binaryFile").load(path)
     encoding = F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", "utf-8-sig").when(F.is_valid_utf8(F.col("content").cast("string")), "utf-8").otherwise("latin-1")
-    return rows.select("path", F.col("length").alias("bytes"), encoding.alias("encoding"), F.sha2("content", 256).alias("hash"))
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), encoding.alias("encoding"), F.sha2("content", 256).alias("hash"))
 
 
 def same_content(found: DataFrame) -> DataFrame:
@@ -36,10 +39,10 @@ def same_content(found: DataFrame) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """(file, row, line): ``row`` grows along the file; blank lines are left out."""
-    text = F.col("value") if encoding.startswith("utf-8") else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    """(file, block, row, line, raw): ``row`` grows along the file; blank lines are left out."""
+    text = _decoded(F.col("value"), encoding)
     rows = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(text, "^﻿|\r$", "").alias("line")
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.regexp_replace(text, "^\ufeff|\r$", "").alias("line"), F.col("value").cast("binary").alias("raw")
     )
     return rows.where(F.length(trimmed(F.col("line"))) > 0)
 
@@ -58,20 +61,32 @@ def detect_delimiter(found: DataFrame) -> DataFrame:
     return mode.withColumn("k", F.row_number().over(rank)).where("k = 1").select("file", "delimiter", "n_fields", "share")
 
 
-def header_of(spark: SparkSession, path: str, delimiter: str) -> list[str]:
+def _decoded(c: Column, encoding: str) -> Column:
+    return c if encoding.startswith("utf-8") else F.decode(c.cast("binary"), "ISO-8859-1")
+
+
+def _names(line: str, delimiter: str) -> list[str]:
+    """The column names of a header line, quoted or not."""
+    return [c.strip() for c in next(csv.reader([line.lstrip("\ufeff").rstrip("\r")], delimiter=delimiter))]
+
+
+def header_of(spark: SparkSession, path: str | list[str], delimiter: str, encoding: str = "utf-8") -> list[str]:
     """The column names: one line is read."""
-    first = spark.read.text(path).first()
-    return [c.strip().strip('"') for c in first["value"].lstrip("﻿").split(delimiter)] if first else []
+    first = spark.read.text(path).select(_decoded(F.col("value"), encoding).alias("value")).first()
+    return _names(first["value"], delimiter) if first else []
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", na_words: tuple[str, ...] | None = NA_WORDS) -> DataFrame:
+def read_delimited(
+    spark: SparkSession, path: str | list[str], delimiter: str = ",", encoding: str = "utf-8", na_words: tuple[str, ...] | None = NA_WORDS, multiline: bool = False, names: list[str] | None = None
+) -> DataFrame:
     """All columns as text. Rows with too many fields are left out, short ones padded
-    with null; each file begins with the header. ``na_words`` become null."""
-    names = header_of(spark, path, delimiter)
+    with null; each file begins with the header. ``na_words`` become null. Quoted fields may
+    hold line ends if ``multiline``; a file is then read in one task."""
+    names = names or header_of(spark, path, delimiter, encoding)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_raw"]])
     rows = (
         spark.read.schema(schema).option("sep", delimiter).option("header", True).option("encoding", "ISO-8859-1" if encoding == "latin-1" else "UTF-8")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("enforceSchema", True).csv(path)
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").option("enforceSchema", True).option("multiLine", multiline).option("escape", '"').csv(path)
     )
     fit = rows.where(F.col("_raw").isNull() | (n_fields(F.col("_raw"), delimiter) <= len(names))).drop("_raw")
     if na_words:
@@ -79,6 +94,20 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", encodin
     return fit
 
 
+def read_files(spark: SparkSession, path: str, na_words: tuple[str, ...] | None = NA_WORDS, multiline: bool = False) -> DataFrame:
+    """S1 over files that differ in header, encoding and delimiter: each is read by its own,
+    and columns meet by name; what a file lacks is null. Files of one layout are read together."""
+    kinds = files(spark, path).select(F.col("path").alias("file"), "encoding")
+    found = lines(spark, path)
+    first = found.where("block = 0").groupBy("file").agg(F.min_by("raw", "row").alias("head"))
+    layouts = detect_delimiter(found).join(kinds, "file").join(first, "file")
+    parts: list[DataFrame] = []
+    for r in layouts.groupBy("encoding", "delimiter", "head").agg(F.collect_list("file").alias("files")).orderBy("head", "encoding", "delimiter").collect():
+        head = bytes(r["head"]).decode("latin-1" if r["encoding"] == "latin-1" else "utf-8")
+        parts.append(read_delimited(spark, r["files"], r["delimiter"], r["encoding"], na_words, multiline, _names(head, r["delimiter"])))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def malformed_rows(found: DataFrame, delimiter: str, width: int) -> DataFrame:
     """(row, line, n_fields) of lines of another width than the header."""
     counted = found.withColumn("n_fields", n_fields(F.col("line"), delimiter).cast("long"))
