@@ -16,9 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from funnelforge.llm.words import Words, batches
+from funnelforge.llm.words import Words, batches, sliced, slices, small_batches
 
 #: Trigram slots of the model; with 256 languages the model holds 32 MB.
 SLOTS = 1 << 15
@@ -59,11 +58,12 @@ def _prepared(texts: list[str | None]) -> list[bytes]:
 
 
 def _slots(words: Words) -> np.ndarray:
-    """The trigram slot that ends at each byte; delimiters count as word ends."""
-    b = np.where(_letters[words.bytes], words.bytes, 0x20).astype(np.uint32)
-    code = b << np.uint32(16)
-    code[1:] |= b[:-1] << np.uint32(8)
-    code[2:] |= b[:-2]
+    """The trigram slot that ends at each byte; delimiters count as word ends. What stands
+    before a delimiter is no part of the trigram after it, so a word counts alike anywhere."""
+    b = np.full(len(words.bytes) + 2, 0x20, np.uint32)
+    b[2:] = np.where(_letters[words.bytes], words.bytes, 0x20)
+    first = np.where(b[1:-1] == 0x20, np.uint32(0x20), b[:-2])
+    code = (b[2:] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | first
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int32)
 
 
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, switch: float = 20.0, max_fit: int = MAX_FIT) -> Mo
     def count(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
-        for b in frames:
+        for b in sliced(frames, 0):
             texts = pd.DataFrame({"t": b.column(0).to_pylist(), "lang": b.column(1).to_pylist()})
             for lang, own in texts.groupby("lang")["t"]:
                 for _, part in batches(_prepared(own.tolist())):
@@ -175,7 +175,8 @@ def fit(labelled: DataFrame, switch: float = 20.0, max_fit: int = MAX_FIT) -> Mo
     counted = (
         rows.select("text", "lang").repartition(parts).mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     )
-    found = counted.toPandas()
+    with small_batches(labelled.sparkSession):
+        found = counted.toPandas()
     languages = sorted(found["lang"].unique())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"{len(languages)} languages; a model holds {MAX_LANGUAGES}")
@@ -205,19 +206,24 @@ def _label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score; see ``language`` for the cases."""
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    """``docs`` with lang_pred and lang_score, in the place of columns of these names; see
+    ``language`` for the cases. Only texts go to Python, some bytes at a time."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = row.schema
 
-    def label(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
-            names, shares = _label(held.value, b.column(1).to_pylist())
-            yield pa.record_batch([b.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["row", "lang_pred", "lang_score"])
-
-    out = row.mapInArrow(label, T.StructType([kind["row"], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+    def label(texts: pa.Array) -> pa.Array:
+        names: list[str] = []
+        shares: list[float] = []
+        for part in slices(texts):
+            own_names, own_shares = _label(held.value, texts[part].to_pylist())
+            names += own_names
+            shares += own_shares
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang_pred", "lang_score"])
+
+    # Once a row, wherever its two results are used.
+    labelled = F.arrow_udf(label, "struct<lang_pred string, lang_score double>").asNondeterministic()
+    out = docs.select(F.struct("*").alias("row"), labelled(F.col(text_col)).alias("found"))
     clash = {"lang_pred", "lang_score"}
-    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in clash), "lang_pred", "lang_score")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in clash), "found.lang_pred", "found.lang_score")
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +232,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in frames:
+        for b in sliced(frames, 1):
             rows: list[tuple] = []
             for i, (path, sizes) in enumerate(held.value.label(b.column(1).to_pylist())):
                 if not len(path):
@@ -253,7 +259,9 @@ def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     The model is learned from texts and labels of rows that are not held out. ``und``
     with score 0 is for null texts, texts without a letter, and all texts if there is
-    nothing to learn from. Equal rows get equal results.
+    nothing to learn from. Equal rows get equal results; of languages with equally many
+    letters the first by code point counts. A text of any length is labelled whole. Ids
+    may be null or repeat; an empty table gives no rows; other columns are not read.
     """
     fitted = fit(
         docs.where(~held_out(id_col)).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")

@@ -7,9 +7,12 @@ then a bit mixer, then a polynomial over the words of a window.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text that are put into numpy arrays at once; one longer text goes alone.
 CHUNK_BYTES = 1 << 20
@@ -71,6 +74,38 @@ def batches(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield first, texts[first:]
 
 
+def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Ranges of rows of a text column that hold about ``limit`` bytes each, so that a task
+    decodes so much at once, however much Spark sends it; one longer text goes alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield slice(first, last)
+        first = last
+
+
+@contextmanager
+def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
+    """For actions inside: Spark sends Python so many bytes at once, so that neither side
+    holds buffers of its default of 64 MB for each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def sliced(rows: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches whose text column ``at`` is cut by ``slices``."""
+    for b in rows:
+        for part in slices(b.column(at)):
+            yield b.slice(part.start, part.stop - part.start)
+
+
 class Words:
     """The words of some texts: byte ranges, owners and hashes."""
 
