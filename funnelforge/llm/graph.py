@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from funnelforge.session import stored
+from funnelforge.session import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,11 +23,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("n"), F.col("b").alias("m")).union(edges.select("b", "a"))
         hooks = stored(both.groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m")), "graph-hooks")
         far = hooks.select(F.col("n").alias("m"), F.col("m").alias("far"))
-        hooks = hooks.join(far, "m", "left").select("n", F.coalesce("far", "m").alias("to"))
-        hooks = stored(hooks, "graph-jumps")
-        labels = stored(
-            labels.join(hooks.withColumnRenamed("n", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "graph-labels"
-        )
-        moved = edges.join(hooks.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(hooks.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
-        edges = stored(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "graph-edges")
+        jumps = stored(hooks.join(far, "m", "left").select("n", F.coalesce("far", "m").alias("to")), "graph-jumps")
+        found = labels.join(jumps.withColumnRenamed("n", "comp"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+        moved = edges.join(jumps.select(F.col("n").alias("a"), F.col("to").alias("x")), "a").join(jumps.select(F.col("n").alias("b"), F.col("to").alias("y")), "b")
+        moved = moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        before = (labels, edges, hooks, jumps)
+        labels, edges = stored(found, "graph-labels"), stored(moved, "graph-edges")
+        for table in before:
+            discard(table)
     return labels

@@ -8,10 +8,11 @@ leave first; a document with m shared tokens is posted under its m - 41 rarest o
 (the prefix), which any partner must meet.
 
 Documents with equal sets are one class. Of each posting list, every member is joined
-with the smallest; what is confirmed on full sets merges into components. Lists that
-then still hold several components are compared member by member in bounded blocks,
-where pairs already connected are skipped. Only spanning links leave a block, so a
-large group of copies never becomes all its pairs, and no link is lost.
+with the smallest; what is confirmed on full sets merges into components. In lists that
+then still hold several components, the members outside the largest one are compared with
+all others in bounded units: first by size and signature, then, for the members that are
+left, on full sets. Pairs already connected are skipped and only spanning links leave a
+unit, so a large group of copies never becomes all its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -21,21 +22,24 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from funnelforge.llm.graph import components
-from funnelforge.llm.words import SPACED, Words, as_bytes, batches, mix, ranges, rolled
+from funnelforge.llm.sieve import sieve, sieved
+from funnelforge.llm.words import SPACED, Words, as_bytes, batches, mix, ranges, rolled, sliced, small_batches
 from funnelforge.session import stored
 
 #: Coordinates of a signature, and the share of pairs at the limit that may be missed.
 COORDINATES, MISSED = 64, 3e-5
 
-#: Members of a posting list in one block, and bytes of their sets; a task compares two
-#: blocks with each other. A list of k blocks sends each member to k tasks.
-BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Members outside a posting list's largest component that one unit compares with twice as
+#: many members of the list; bytes of sets on either side; rows of a group of small units.
+BLOCK, BLOCK_BYTES, PACK = 256, 32 << 20, 2048
+
+#: Pairs whose signatures are compared at once.
+AT_ONCE = 1 << 15
 
 _a = (mix(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1))[:, None]
 
@@ -91,7 +95,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in sliced(rows, 1):
             n, digests, sigs = [], [], []
             for s in shingle_sets(as_bytes(b.column(1))):
                 n.append(len(s))
@@ -175,88 +179,160 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(rep, shingles) of ``classes`` (rep, doc), cut anew from the texts that stand for them."""
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(classes.select(F.col("doc").alias("id")), "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    # Only texts that may be wanted meet the list of those that are.
+    maybe = sieved(rows, sieve(classes.select("doc")), F.col("id")).where("met").select("id", "t")
+    wanted = maybe.join(classes.select(F.col("doc").alias("id")), "id", "left_semi")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                found = list(shingle_sets(as_bytes(part.column(1))))
-                digests = pa.array([_digest(s) for s in found], pa.binary())
-                yield pa.record_batch([part.column(0), digests, pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "rep", "shingles"])
+        for part in sliced(rows, 1):
+            found = list(shingle_sets(as_bytes(part.column(1))))
+            digests = pa.array([_digest(s) for s in found], pa.binary())
+            yield pa.record_batch([part.column(0), digests, pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "rep", "shingles"])
 
     found = wanted.mapInArrow(cut, f"doc {kind}, rep binary, shingles binary")
     # Rows that repeat an id may have other texts, and equal rows come once.
     return found.join(classes.select("doc", "rep"), ["doc", "rep"], "left_semi").drop("doc").dropDuplicates(["rep"])
 
 
-def _block_links(percent: int):
-    """Spanning links among the members of one block or between two blocks of a list."""
-    least = matches(percent)
+def _units(posted: DataFrame, comps: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Members of the posting lists that hold several components, dealt to units (token, o, i).
 
-    def compare(members: pd.DataFrame) -> pd.DataFrame:
-        token = int(members["token"].iloc[0])
-        members = members.sort_values("rep").reset_index(drop=True)
-        sigs = np.stack([np.frombuffer(s, np.uint32) for s in members["sig"]])
-        sets = [np.frombuffer(s, np.uint64) for s in members["shingles"]]
-        sizes = np.array([len(s) for s in sets])
-        parts = [frozenset(p) for p in members["prefix"]]
-        orders = [list(p) for p in members["prefix"]]
-        codes = pd.factorize(members["comp"])[0]
-        block = members["block"].to_numpy()
-        between = block.min() != block.max()
-        parent = list(range(codes.max() + 1))
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
+    ``outside`` members of unit (token, o, i), which are not in the list's largest
+    component, meet its ``inside`` members. A list of m members of which k are outside the
+    largest component has m * (k / block) + k * (m / block) rows or so: with few outsiders
+    as many as it has members. ``pack`` puts the units of small lists together.
+    """
+    sizes = classes.select("rep", "n")
+    labelled = posted.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")).join(sizes, "rep")
+    labelled = stored(labelled, "near-labelled")
+    per = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), (F.sum("n") * 8).alias("bytes"))
+    whole = per.groupBy("token").agg(F.max(F.struct("k", "comp", "bytes")).alias("top"), F.sum("k").alias("m"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("comps"))
+    parts = lambda k, rows, size: F.greatest(F.ceil(k / rows), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    lists = whole.where("comps > 1").select(
+        "token", F.col("top.comp").alias("main"), "m", "bytes",
+        parts(F.col("m") - F.col("top.k"), block, F.col("bytes") - F.col("top.bytes")).alias("n_out"), parts(F.col("m"), 2 * block, F.col("bytes")).alias("n_in"),
+    )
+    lists = stored(lists, "near-lists")
+    total = lists.agg(F.sum("m").alias("m"), F.sum("bytes").alias("b")).first()
+    packs = max(1, (total["m"] or 0) // PACK, (total["b"] or 0) // BLOCK_BYTES)
+    h, outer = F.xxhash64("rep"), F.col("comp") != F.col("main")
+    own_out, own_in = F.pmod(h, F.col("n_out")).cast("int"), F.pmod(h, F.col("n_in")).cast("int")
+    unit = lambda o, i, outside, inside: F.struct(o.alias("o"), i.alias("i"), outside.alias("outside"), inside.alias("inside"))
+    till = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_outer = F.when(outer, F.transform(till("n_in"), lambda i: unit(own_out, i, F.lit(True), i == own_in)))
+    as_inner = F.transform(F.filter(till("n_out"), lambda o: ~outer | (o != own_out)), lambda o: unit(o, own_in, F.lit(False), F.lit(True)))
+    none = F.array().cast("array<struct<o:int,i:int,outside:boolean,inside:boolean>>")
+    placed = labelled.join(lists.drop("m", "bytes"), "token").withColumn("u", F.explode(F.concat(F.coalesce(as_outer, none), as_inner)))
+    small = (F.col("n_out") == 1) & (F.col("n_in") == 1)
+    pack = F.when(small, F.pmod(F.xxhash64("token"), F.lit(packs))).otherwise(F.xxhash64("token", "u.o", "u.i"))
+    return placed.select(pack.alias("pack"), "token", "u.o", "u.i", "u.outside", "u.inside", outer.alias("outer"), "rep", "comp", "n")
+
+
+def _met(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (outside row, inside row, agreements) of the units in ``t``, whose columns are
+    those of ``_units`` with sig and prefix: of other components, whose sizes and signatures
+    allow the likeness, and whose first common list is the unit's. Some pairs at a time."""
+    least = matches(percent)
+    number = lambda c: t.column(c).to_numpy()
+    token, o, i = number("token"), number("o"), number("i")
+    order = np.lexsort((i, o, token))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(token[order]) != 0) | (np.diff(o[order]) != 0) | (np.diff(i[order]) != 0)
+    unit = np.cumsum(new) - 1
+    outside, inside = number("outside")[order], number("inside")[order]
+    left, left_unit = order[outside], unit[outside]
+    right = order[inside]
+    n_right = np.bincount(unit[inside], minlength=unit[-1] + 1)
+    begin = np.cumsum(n_right) - n_right
+    sizes, outer = number("n"), number("outer")
+    names = np.array(t.column("rep").to_pylist(), object)
+    comp = t.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+    sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    prefix = number("prefix").view(np.uint64)
+    counts = n_right[left_unit]
+    edges = np.cumsum(counts)
+    at = 0
+    while at < len(left):
+        done = edges[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(edges, done + AT_ONCE, "right")))
+        k = counts[at:end]
+        a = np.repeat(left[at:end], k)
+        step = np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        b = right[np.repeat(begin[left_unit[at:end]], k) + step]
+        fit = (comp[a] != comp[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= percent * np.maximum(sizes[a], sizes[b]))
+        a, b = a[fit], b[fit]
+        # Of two outsiders, the one with the smaller name is the outside member.
+        fit = ~outer[b] | (names[a] < names[b]).astype(bool)
+        a, b = a[fit], b[fit]
+        same = sigs[a] == sigs[b]
+        agree = same.sum(1)
+        shared = np.packbits(same, 1, "little").view(np.uint64)[:, 0] if len(a) else np.zeros(0, np.uint64)
+        # Tokens begin with their coordinate: the lowest that both have posted is theirs.
+        shared &= prefix[a] & prefix[b]
+        first = (shared & (~shared + np.uint64(1))) == np.uint64(1) << (token[a] >> 32).astype(np.uint64)
+        fit = (agree >= least) & first
+        if fit.any():
+            yield a[fit], b[fit], agree[fit]
+        at = end
+
+
+def _left_over(percent: int):
+    """The members of units that have a pair to confirm."""
+
+    def keep(t: pa.Table) -> pa.Table:
+        wanted = np.zeros(t.num_rows, bool)
+        for a, b, _ in _met(t, percent):
+            wanted[a] = wanted[b] = True
+        return t.filter(pa.array(wanted))
+
+    return keep
+
+
+def _spanning(percent: int):
+    """Links between the components of units, confirmed on full sets."""
+
+    def link(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        comps = t.column("comp").to_pylist()
+        parent: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
             return x
 
         links = []
-        for i in range(len(members)):
-            later = np.arange(i + 1, len(members))
-            if between:
-                later = later[block[later] != block[i]]
-            fits = (100 * np.minimum(sizes[later], sizes[i]) >= percent * np.maximum(sizes[later], sizes[i])) & (agreements(sigs[later], sigs[i]) >= least)
-            for j in later[fits].tolist():
-                x, y = root(codes[i]), root(codes[j])
-                # A pair belongs to the first list in which it meets.
-                if x != y and next(t for t in orders[i] if t in parts[j]) == token and alike(sets[i], sets[j], percent):
+        for a, b, agree in _met(t, percent):
+            for k in np.argsort(-agree, kind="stable").tolist():
+                x, y = root(comps[a[k]]), root(comps[b[k]])
+                if x != y and alike(sets[a[k]], sets[b[k]], percent):
                     parent[y] = x
-                    links.append((members["rep"].iloc[i], members["rep"].iloc[j]))
-        return pd.DataFrame(links, columns=["a", "b"])
+                    links.append((comps[a[k]], comps[b[k]]))
+        return pa.table([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], ["a", "b"])
 
-    return compare
+    return link
 
 
-def _rest_links(posted: DataFrame, comps: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between components inside posting lists that hold several."""
-    labelled = posted.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = labelled.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    prefixes = posted.groupBy("rep").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-    lists = labelled.join(several, "token").join(classes.select("rep", "n"), "rep")
-    sizes = lists.groupBy("token").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("n_blocks")
-    )
-    spread = lists.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("rep"), "n_blocks").cast("int"))
-    # A member meets its own block and each other block once.
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")
-    units = spread.select("token", "rep", "comp", "block", other)
-    units = units.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other")
-    full = units.join(classes.select("rep", "sig"), "rep").join(sets.select("rep", "shingles"), "rep").join(prefixes, "rep")
-    return full.groupBy("token", "lo", "hi").applyInPandas(_block_links(percent), "a binary, b binary")
+_UNIT = "pack long, token long, o int, i int, outside boolean, inside boolean, outer boolean, rep binary, comp binary, n long, sig binary, prefix long"
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+def _rest_links(docs: DataFrame, posted: DataFrame, comps: DataFrame, classes: DataFrame, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links between components inside posting lists that hold several."""
+    coordinate = F.shiftright("token", 32).cast("int")
+    prefixes = posted.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), coordinate)).alias("prefix"))
+    units = _units(posted, comps, classes, block).join(classes.select("rep", "sig"), "rep").join(prefixes, "rep")
+    names = [x.split()[0] for x in _UNIT.split(", ")]
+    units = stored(units.select(*names).groupBy("pack").applyInArrow(_left_over(percent), _UNIT), "near-units")
+    wanted = units.select("rep").distinct()
+    sets = stored(_sets(docs, classes.select("rep", "doc").join(wanted, "rep", "left_semi"), id_col, text_col), "near-sets")
+    return units.join(sets, "rep").groupBy("pack").applyInArrow(_spanning(percent), "a binary, b binary")
 
-    Documents are linked if 100 * intersection >= ``percent`` * union of their sets of
-    5-word shingles; a component is what links connect, named by its smallest id. Null and
-    blank texts have no shingles and are linked with nothing. Rows that repeat an id are
-    documents of their own with the same name: all are kept or none. Rows without an id
-    are components of their own, kept. An empty table gives no rows.
-    """
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows' summaries, the classes of equal sets, their components by the links to the
+    smallest members of lists, and the components that further links make of these."""
     rows = stored(summaries(docs, id_col, text_col), "near-rows")
     classes = stored(
         rows.where("digest is not null and id is not null")
@@ -268,14 +344,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = posted.groupBy("token").agg(F.min("rep").alias("a"))
     pairs = posted.join(smallest, "token").where(F.col("a") < F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
     pairs = stored(_agreeing(pairs, classes, percent), "near-pairs")
-    posted_classes = classes.select("rep", "doc").join(posted.select("rep"), "rep", "left_semi")
-    sets = stored(_sets(docs, posted_classes, id_col, text_col), "near-sets")
-    links = stored(_confirmed(pairs, sets, percent), "near-links")
-    comps = components(links)
-    rest = stored(_rest_links(posted, comps, classes, sets, percent, block), "near-rest")
-    if not rest.isEmpty():
-        comps = components(links.unionByName(rest))
-    placed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "doc", F.coalesce("comp", "rep").alias("comp"))
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = stored(_sets(docs, classes.select("rep", "doc").join(wanted, "rep", "left_semi"), id_col, text_col), "near-sets")
+    comps = components(stored(_confirmed(pairs, sets, percent), "near-links"))
+    rest = components(stored(_rest_links(docs, posted, comps, classes, percent, block, id_col, text_col), "near-rest"))
+    return rows, classes, comps, rest
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, kept.
+
+    Documents are linked if 100 * intersection >= ``percent`` * union of their sets of
+    5-word shingles; a component is what links connect, named by its smallest id. Null and
+    blank texts have no shingles and are linked with nothing. Rows that repeat an id are
+    documents of their own with the same name: all are kept or none. Rows without an id
+    are components of their own, kept. An empty table gives no rows. Texts of any length
+    count whole; other columns are not read, so their names do not matter.
+    """
+    with small_batches(docs.sparkSession):
+        rows, classes, comps, rest = _linked(docs, id_col, text_col, percent, block)
+    placed = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("doc", "rep", F.coalesce("comp", "rep").alias("near"))
+    placed = placed.join(rest.withColumnRenamed("node", "near"), "near", "left").select("rep", "doc", F.coalesce("comp", "near").alias("comp"))
     names = placed.groupBy("comp").agg(F.min("doc").alias("name"))
     named = placed.join(names, "comp").select(F.col("rep").alias("digest"), "name")
     found = rows.join(named, "digest", "left")
