@@ -217,19 +217,27 @@ def m12_bundle(spark, sf_dir):
 
 
 def m8_feature_gains(spark, sf_dir):
+    """The features by kind, and whether their shares are shares and make up 100 %."""
     chain, _ = _chain(spark, sf_dir)
-    return model.gains(spark, chain.stages[0])
+    found = model.gains(spark, chain.stages[0])
+    whole = found.agg(F.abs(F.sum("gain_pct") - 100) < 0.01).first()[0]
+    return found.select("feature", "kind", (F.col("gain_pct").between(0, 100) & F.lit(bool(whole))).alias("is_share"))
 
 
 def m9_provenance(spark, sf_dir):
-    df = _frame(spark, sf_dir)
-    return model.provenance(df, "row_id", F.col("row_id") % 2 == 0, ["age"], trees=3)
+    """Age tells nothing of a batch of even keys; the rich score, which only these have, does."""
+    df, batch = _frame(spark, sf_dir), F.col("row_id") % 2 == 0
+    found = [model.provenance(df, "row_id", batch, [c], trees=3).select(F.lit(c).alias("feature"), "fails") for c in ("age", "rich_score")]
+    return found[0].unionByName(found[1])
 
 
 def _measured(architecture):
     def run(spark, sf_dir):
+        """Each stage's held-out rows, and whether its model ranks and predicts better than the base rate."""
         chain, test = _chain(spark, sf_dir, architecture)
-        return model.evaluate(test, chain, "row_id")
+        found = model.evaluate(test, chain, "row_id")
+        flat = F.col("base_rate") * (1 - F.col("base_rate"))
+        return found.select(F.col("stage").cast("long").alias("stage"), "n", "n_positive", F.round("base_rate", 6).alias("base_rate"), F.col("auc").between(0.5, 1).alias("ranks"), (F.col("brier") < flat).alias("predicts"))
 
     return run
 
@@ -312,6 +320,13 @@ SQL = {
       UNION ALL SELECT 'null_rate', 'age', '0.000000' UNION ALL SELECT 'null_rate', 'priority', '0.000000' UNION ALL SELECT 'null_rate', 'rich_score', printf('%.6f', avg(CAST(o_orderkey % 2 <> 0 AS INTEGER))) FROM t""",
     "m11_evaluate_run": """WITH l AS (SELECT CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS k FROM orders WHERE o_orderkey % 5 = 0)
       SELECT CAST(s AS BIGINT) AS stage, count(*) AS n, count(*) FILTER (k > s) AS n_positive, CAST(10 AS BIGINT) AS n_tiers, CAST(9 AS BIGINT) AS n_cutoffs, CAST(4 AS BIGINT) AS n_shares FROM l, range(0, 2) AS q(s) WHERE k >= s GROUP BY s""",
+    **{
+        name: """WITH l AS (SELECT CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS k FROM orders WHERE o_orderkey % 5 = 0)
+      SELECT CAST(s AS BIGINT) AS stage, count(*) AS n, count(*) FILTER (k > s) AS n_positive, round(avg(CAST(k > s AS INTEGER)), 6) AS base_rate, TRUE AS ranks, TRUE AS predicts FROM l, range(0, 2) AS q(s) WHERE k >= s GROUP BY s"""
+        for name in ("m3_baseline", "m4_unified", "m5_dual_route")
+    },
+    "m8_feature_gains": "SELECT 'age' AS feature, 'core' AS kind, TRUE AS is_share UNION ALL SELECT 'priority', 'core', TRUE UNION ALL SELECT 'rich_score', 'enrichment', TRUE",
+    "m9_provenance": "SELECT 'age' AS feature, FALSE AS fails UNION ALL SELECT 'rich_score', TRUE",
     "m12_bundle": "SELECT count(*) AS n, count(*) AS n_equal, 'kept' AS note FROM orders WHERE o_orderkey % 5 = 0",
     "m14_score_batch": "SELECT o_orderkey AS row_id, TRUE AS tier_fits, TRUE AS score_fits, 'b1' AS bundle_id FROM orders WHERE o_orderkey % 5 = 0",
 }

@@ -49,6 +49,12 @@ def a7_merge_suggestions(spark, sf_dir):
     return P.merge_suggestions(_vc(spark, sf_dir), fuzzy=False)
 
 
+def a7_fuzzy_merges(spark, sf_dir):
+    """Merges that also hold names which only look alike, over part names."""
+    parts = table(spark, sf_dir, "part").select("p_name", "p_type", "p_container")
+    return P.merge_suggestions(P.value_counts(parts))
+
+
 def a8_literal_sentinels(spark, sf_dir):
     return P.literal_sentinels(_vc(spark, sf_dir))
 
@@ -99,12 +105,15 @@ def a18_outcome(spark, sf_dir):
 
 
 def s13_full_profile(spark, sf_dir):
-    return P.full_profile(leads(spark, sf_dir))
+    """All findings as text; numbers are written with six places."""
+    found = P.full_profile(leads(spark, sf_dir))
+    n = F.round(F.col("value").try_cast("double"), 6).try_cast("decimal(30,6)").cast("string")
+    return found.withColumn("value", F.coalesce(n, "value"))
 
 
 QUERIES = [
     vc_value_counts, a1_blank_rates, a2_infer_schema, a3_overview, a4_column_profiles, k1_top_values, a5_near_duplicates, a6_spelling_variants,
-    a7_merge_suggestions, a8_literal_sentinels, a9_low_clusters, a10_date_formats, a11_float_identifiers, a12_multi_valued, a13_free_text,
+    a7_merge_suggestions, a7_fuzzy_merges, a8_literal_sentinels, a9_low_clusters, a10_date_formats, a11_float_identifiers, a12_multi_valued, a13_free_text,
     a14_numeric_distribution, a14_histogram, a15_categorical_distribution, a16_date_distribution, a17_fingerprint, a18_outcome, s13_full_profile,
 ]
 
@@ -187,3 +196,13 @@ SQL = {
     + ")) AS h FROM leads) SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS HUGEINT)) AS VARCHAR) AS hash FROM h",
     "a18_outcome": VC_SQL + " SELECT value, n, (SELECT count(*) FROM solid WHERE col = 'disposition') BETWEEN 2 AND 8 AS ordinal FROM solid WHERE col = 'disposition'",
 }
+
+_SECTIONS = {
+    "schema": ("a2_infer_schema", "dtype nullable role"), "blanks": ("a1_blank_rates", "blank_rate nullable"), "columns": ("a4_column_profiles", "null_pct n_distinct top_value top_n"),
+    "dates": ("a10_date_formats", "inference"), "near_duplicates": ("a5_near_duplicates", "canonical n_variants total"), "sentinels": ("a8_literal_sentinels", "sentinel count fraction other_min other_max"),
+    "clusters": ("a9_low_clusters", "low_max high_min count fraction"), "float_ids": ("a11_float_identifiers", "fraction"),
+    "multi_valued": ("a12_multi_valued", "delimiter fraction n_components order_varies"), "free_text": ("a13_free_text", "rows n_distinct distinct_ratio singleton_ratio"),
+}
+_CELL = lambda c: "'feature'" if c == "role" else f'CAST(q."{c}" AS VARCHAR)'
+_ROWS = " UNION ALL ".join(f"SELECT '{section}' AS section, q.col, '{c}' AS metric, {_CELL(c)} AS value FROM ({SQL[name]}) AS q" for section, (name, columns) in _SECTIONS.items() for c in columns.split())
+SQL["s13_full_profile"] = f"SELECT section, col, metric, coalesce(CAST(TRY_CAST(round(TRY_CAST(value AS DOUBLE), 6) AS DECIMAL(30, 6)) AS VARCHAR), value) AS value FROM ({_ROWS})"

@@ -42,6 +42,24 @@ def test_spelling_variants(spark):
     assert rows(profile.spelling_variants(profile.value_counts(df)), "a", "b", "canonical") == [("hornbeam", "hornbean", "hornbean")]
 
 
+def test_fuzzy_merges_equal_brute_force(spark):
+    counts = {"hornbeam": 9, "hornbean": 21, "Hornbean ": 2, "willow": 40, "willows": 41, "spruce": 12, "spruces": 3, "fir": 30}
+    found = rows(profile.merge_suggestions(profile.value_counts(texts(spark, tree=[v for v, n in counts.items() for _ in range(n)]))), "variant", "canonical", "confirmed")
+    forms = {}
+    for v, n in counts.items():
+        forms.setdefault(" ".join(v.lower().split()), []).append((-n, v))
+    want, best = [], {}
+    for f, own in forms.items():
+        best[f] = min(own)
+        want += [(v, best[f][1], True) for _, v in own if v != best[f][1]]
+    names = sorted((v, -n) for n, v in best.values() if len(v) >= profile.FUZZY_LENGTH)
+    for i, (a, n) in enumerate(names):
+        for b, m in names[i + 1 :]:
+            if difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() >= profile.FUZZY_RATIO:
+                want.append((a, b, False) if m > n else (b, a, False))
+    assert found == sorted(want) and len(found) > 2
+
+
 def test_sentinels_and_clusters(spark):
     low = [str(10 + k % 9) for k in range(23)]
     df = texts(spark, crif=["0"] * 30 + [str(300 + k) for k in range(200)], equifax=["-1"] * 20 + [str(400 + k) for k in range(200)], coded=low + [str(510 + k * 5) for k in range(70)])
