@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelforge.session import scratch_path, stored
+from funnelforge.llm.sieve import sieve, sieved
+from funnelforge.session import discard, scratch_path, stored
 
 MAGIC = "WARC/1.0\r\n"
 BLANK = "\r\n\r\n"
@@ -32,86 +33,98 @@ def _clean(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x1F\x7F]", " ")
 
 
-def decided(pages: DataFrame, id_col: str, payload_col: str, least: int) -> DataFrame:
-    """(id, digest, refers_to): which records revisit which; one row per id and digest.
+def _named(id: Column) -> Column:
+    """An id as a URN's last part: escaped, so that any text can be read back."""
+    return F.url_encode(id.cast("string"))
 
-    Of equal payloads of at least ``least`` bytes the one with the smallest id is the
-    response. Smaller ones, and a page without id, are responses of their own.
-    """
-    body = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = stored(
-        pages.select(F.col(id_col).alias("id"), base32_sha1(body.cast("binary")).alias("digest"), F.octet_length(body).alias("size")).distinct(),
-        "warc-digests",
-    )
-    first = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = rows.join(first, ["digest", "size"], "left")
-    return met.select("id", "digest", F.when(F.col("first") < F.col("id"), F.col("first")).alias("refers_to"))
+
+def _response(id: Column, url: Column, digest: Column, body: Column) -> Column:
+    block = F.concat(F.lit(_HTTP), body)
+    return F.concat(_head("response", id, url, digest, F.lit("")), _sizes(F.octet_length(body), F.octet_length(block)), block)
+
+
+def _revisit(id: Column, url: Column, digest: Column, size: Column, refers_to: Column) -> Column:
+    profile = F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"), _named(refers_to), F.lit(">"))
+    return F.concat(_head("revisit", id, url, digest, profile), _sizes(size, F.lit(len(_HTTP))), F.lit(_HTTP))
+
+
+def _head(kind: str, id: Column, url: Column, digest: Column, more: Column) -> Column:
+    return F.concat(
+        F.lit(f"{MAGIC}WARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(_named(id), F.lit("")),
+        F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), digest, more,
+    )
+
+
+def _sizes(payload: Column, block: Column) -> Column:
+    return F.concat(F.lit("\r\nPayload-Length: "), payload.cast("string"), F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), block.cast("string"), F.lit(BLANK))
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, per_file: int = 2000) -> None:
     """Writes one record per row of ``pages`` to WARC files of at most ``per_file`` records.
 
-    Null payloads are empty. Rows that repeat an id and payload are equal records. The
-    page's id and the payload's length are extension headers. Rows are shuffled by id,
-    which no group of equal payloads makes uneven.
+    Of equal payloads of at least ``least`` bytes the one with the smallest id is the
+    response and others revisit it; smaller ones, and pages without id, are responses of
+    their own. Null payloads are empty. Rows that repeat an id and payload are equal
+    records. The page's id and the payload's length are extension headers. Only pages
+    whose payload may occur twice are shuffled, one of each payload and task; all others go
+    from the scan to the archive, however long. Other columns are not read.
     """
-    kinds = decided(pages, id_col, payload_col, least)
     body = F.coalesce(F.col(payload_col), F.lit(""))
-    rows = pages.select(
-        F.col(id_col).alias("id"),
-        _clean(F.col(url_col)).alias("url"),
-        body.alias("body"),
-        base32_sha1(body.cast("binary")).alias("digest"),
-    )
-    k = kinds.select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "refers_to")
-    # Sorted and merged at every size, so that the plan of a small table is that of a large one.
-    rows = rows.join(k.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    revisit = F.col("refers_to").isNotNull()
-    block = F.concat(F.lit(_HTTP), F.when(revisit, "").otherwise(F.col("body")))
-    name = F.coalesce(F.col("id").cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit(MAGIC),
-        F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <urn:page:"), name,
-        F.lit(">\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("url"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
-        F.when(revisit, F.concat(
-            F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:"),
-            F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
-        F.lit("\r\nPayload-Length: "), F.octet_length("body").cast("string"),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"),
-        F.lit(BLANK),
-    )
+    rows = pages.select(F.col(id_col).alias("id"), _clean(F.col(url_col)).alias("url"), body.alias("body"))
+    rows = rows.withColumns({"digest": base32_sha1(F.col("body").cast("binary")), "size": F.octet_length("body")})
+    narrow = stored(rows.drop("body"), "warc-digests")
+    named = F.col("id").isNotNull() & (F.col("size") >= least)
+    same = narrow.where(named).groupBy("digest", "size").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    same = stored(same, "warc-repeated")
+    held = sieve(same.select("digest", "size"))
+    key = (F.col("digest"), F.col("size"))
+    whole = sieved(rows, held, *key)
+    alone = whole.where(~(F.col("met") & named)).select(_response(F.col("id"), F.col("url"), *(F.col(c) for c in ("digest", "body"))).alias("value"))
+    bodies = whole.where(F.col("met") & named).groupBy("digest", "size").agg(F.any_value("body").alias("body"))
+    kinds = sieved(narrow.where(named), held, *key).where("met").drop("met").join(same, ["digest", "size"], "left")
+    kinds = stored(kinds.withColumn("refers_to", F.when(F.col("first") < F.col("id"), F.col("first"))).drop("first"), "warc-kinds")
+    first = kinds.where("refers_to is null").join(bodies, ["digest", "size"])
+    first = first.select(_response(F.col("id"), F.col("url"), F.col("digest"), F.col("body")).alias("value"))
+    again = kinds.where("refers_to is not null").select(_revisit(*(F.col(c) for c in ("id", "url", "digest", "size", "refers_to"))).alias("value"))
     # The text writer ends each row with the two line ends that end a WARC record.
-    records = rows.select(F.concat(head, block).alias("value"))
+    records = alone.unionByName(first).unionByName(again)
     records.write.option("lineSep", BLANK).option("maxRecordsPerFile", per_file).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_size, block, row, step, text, head, length, whole): what follows each magic
-    up to the next. head and length are null without readable headers; ``whole`` tells
-    whether the text holds as many bytes as its headers name.
-    """
-    text = F.col("text")
-    end = F.instr(text, BLANK)
-    rows = spark.read.option("lineSep", MAGIC).text(path)
-    rows = rows.select(
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    """(file, file_size, block, text, mark): what follows each magic up to the next, and a
+    digest of it."""
+    return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
-        F.monotonically_increasing_id().alias("row"),
         F.col("value").alias("text"),
+        F.unhex(F.md5(F.col("value").cast("binary"))).alias("mark"),
     )
+
+
+def candidates(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(file, file_size, block, row, step, mark, head, length, whole) and ``fields`` of each
+    candidate. head and length are null without readable headers; ``whole`` tells
+    whether the text holds as many bytes as its headers name, and only then there are fields.
+    """
+    text = F.col("text")
+    end = F.instr(text, BLANK)
+    rows = _scan(spark, path).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("head", F.when(end > 0, F.substring(text, F.lit(1), end - 1)))
     rows = rows.withColumn("length", _header(F.col("head"), "Content-Length").try_cast("bigint"))
     size = F.octet_length(text).cast("long")
     whole = F.coalesce(F.octet_length("head") + len(BLANK) + F.col("length") <= size, F.lit(False))
     # All but the last row of a file are followed by the magic.
-    return rows.withColumns({"step": size + len(MAGIC), "whole": whole})
+    rows = rows.withColumns({"step": size + len(MAGIC), "whole": whole})
+    own = [F.when(F.col("whole"), f(_payload(text, F.col("head"), F.col("length")))).alias(f"_f_{k}") for k, f in fields.items()]
+    return rows.select("file", "file_size", "block", "row", "step", "mark", "head", "length", "whole", *own)
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """(file, file_size, row, at, next, whole): each candidate's offset and its successor's.
+    """(file, file_size, block, row, at, next, whole): each candidate's offset and its
+    successor's.
 
     Rows of one split come in file order; a split's first row begins where the splits
     before it end, so a window inside each split and one over the splits of a file give
@@ -126,7 +139,19 @@ def placed(found: DataFrame) -> DataFrame:
     begins = blocks.withColumn("begin", F.sum("bytes").over(b) - F.col("bytes")).drop("bytes")
     at = F.col("begin") + F.col("before") - len(MAGIC)
     met = within.join(begins, ["file", "block"]).where(at >= 0)  # what precedes a file's first magic is no record
-    return met.select("file", "file_size", "row", at.alias("at"), (at + F.col("next_by")).alias("next"), "whole")
+    return met.select("file", "file_size", "block", "row", at.alias("at"), (at + F.col("next_by")).alias("next"), "whole")
+
+
+def in_segments(links: DataFrame) -> DataFrame:
+    """``links`` with ``segment``: the offset at which a run of candidates of one split
+    begins, each followed by its successor, and which no link enters but at its begin. If a
+    segment's begin is on the chain, all of it is."""
+    w = Window.partitionBy("file", "block").orderBy("at")
+    near = links.withColumns({"_before": F.lag("next").over(w), "_after": F.lead("at").over(w)})
+    far = near.where("next is not null and (_after is null or next <> _after)").select("file", F.col("next").alias("at"), F.lit(True).alias("_entered")).distinct()
+    begins = F.col("_before").isNull() | (F.col("_before") != F.col("at")) | F.col("_entered").isNotNull()
+    met = near.join(far, ["file", "at"], "left")
+    return met.withColumn("segment", F.last(F.when(begins, F.col("at")), True).over(w)).drop("_before", "_after", "_entered")
 
 
 def _header(text: Column, name: str) -> Column:
@@ -143,63 +168,78 @@ def read_warc(spark: SparkSession, path: str, fields: dict[str, Callable[[Column
     """One row per record: file, at, type, record_id, url, digest, refers_to, payload_size,
     and ``fields`` of its payload (by default ``payload`` itself).
 
-    Fields are computed where the text was read, so that texts that no field returns are
-    not shuffled; only records that the magic cuts are put together. Raises if a file's
-    chain ends before the file does.
+    Fields are computed where the text is read, so that no text is stored or shuffled that no
+    field returns; only the pieces of records that the magic cuts are read once more and put
+    together. Raises if a file's chain ends before the file does.
     """
     fields = fields or {"payload": lambda p: p}
-    found = stored(candidates(spark, path), "warc-candidates", "zstd")
-    links = stored(placed(found), "warc-links")
-    reached = on_chain(links).withColumn("starts", F.lit(True))
+    own = [f"_f_{k}" for k in fields]
+    found = stored(candidates(spark, path, fields), "warc-candidates", "zstd")
+    links = stored(in_segments(placed(found)), "warc-links")
+    segments = links.groupBy("file", "file_size", "segment").agg(F.max_by("next", "at").alias("next"))
+    reached = on_chain(stored(segments.withColumnRenamed("segment", "at"), "warc-segments")).select("file", F.col("at").alias("segment"), F.lit(True).alias("starts"))
     # A payload that holds the magic was cut there: its pieces belong to the record before.
     w = Window.partitionBy("file").orderBy("at")
-    owned = links.join(reached, ["file", "at"], "left").withColumn("owner", F.max(F.when(F.col("starts"), F.col("at"))).over(w))
+    owned = links.join(reached, ["file", "segment"], "left").withColumn("owner", F.max(F.when(F.col("starts"), F.col("at"))).over(w))
     owned = stored(owned.select("file", "at", "row", "whole", "owner"), "warc-owned")
-    own = lambda c: c.select("row", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(k) for k, f in fields.items()))
-    whole = owned.where("at = owner and whole").select("file", "at", "row").join(own(found.where("whole")).hint("merge"), "row")
-    # Written, so that Spark knows how few they are before it moves texts to meet them.
-    cut = stored(owned.where("at <> owner or not whole").select("file", "at", "owner", "row"), "warc-cut")
-    pieces = cut.join(found.select("row", "text", "head", "length"), "row")
-    joined = (
-        pieces.groupBy("file", "owner")
-        .agg(F.array_sort(F.collect_list(F.struct("at", "text", "head", "length"))).alias("p"))
-        .select("file", F.col("owner").alias("at"), F.lit(None).cast("long").alias("row"), F.array_join(F.transform("p", lambda p: p["text"]), MAGIC).alias("text"), F.col("p")[0]["head"].alias("head"), F.col("p")[0]["length"].alias("length"))
-    )
-    keys = joined.select("file", "at", "row", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(k) for k, f in fields.items()))
-    records = whole.select("file", "at", "row", "head", *fields).unionByName(keys)
+    whole = owned.where("at = owner and whole").select("at", "row").join(found.select("row", "file", "head", *own).hint("merge"), "row")
+    cut = owned.where("at <> owner or not whole").select("at", "owner", "row").join(found.select("row", "file", "mark", "head", "length"), "row").drop("row")
+    cut = stored(cut, "warc-cut")
+    records = whole.select("file", "at", "head", *own)
+    if not cut.isEmpty():
+        records = records.unionByName(_put_together(spark, path, cut, fields))
+    records = records.withColumnsRenamed({f"_f_{k}": k for k in fields})
     ids = r"<urn:page:([^>]*)>"
     return records.select(
         "file",
         "at",
         _header(F.col("head"), "WARC-Type").alias("type"),
-        F.nullif(F.regexp_extract("head", "WARC-Record-ID: " + ids, 1), F.lit("")).alias("record_id"),
+        F.url_decode(F.nullif(F.regexp_extract("head", "WARC-Record-ID: " + ids, 1), F.lit(""))).alias("record_id"),
         _header(F.col("head"), "WARC-Target-URI").alias("url"),
         F.regexp_extract("head", "WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("digest"),
-        F.nullif(F.regexp_extract("head", "WARC-Refers-To: " + ids, 1), F.lit("")).alias("refers_to"),
+        F.url_decode(F.nullif(F.regexp_extract("head", "WARC-Refers-To: " + ids, 1), F.lit(""))).alias("refers_to"),
         _header(F.col("head"), "Payload-Length").cast("long").alias("payload_size"),
         *fields,
     )
 
 
+def _put_together(spark: SparkSession, path: str, cut: DataFrame, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(file, at, head, fields) of records of several pieces. Their texts are found again by
+    digest: pieces of one digest are alike, so it doesn't matter where they stand."""
+    wanted = cut.select("file", "mark").distinct()
+    again = sieved(_scan(spark, path).select("file", "mark", "text"), sieve(wanted), F.col("file"), F.col("mark")).where("met").drop("met")
+    texts = again.join(wanted, ["file", "mark"], "left_semi").groupBy("file", "mark").agg(F.any_value("text").alias("text"))
+    pieces = cut.join(texts, ["file", "mark"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "text", "head", "length"))).alias("p"))
+    joined = pieces.select(
+        "file", F.col("owner").alias("at"), F.col("p")[0]["head"].alias("head"), F.col("p")[0]["length"].alias("length"),
+        F.array_join(F.transform("p", lambda p: p["text"]), MAGIC).alias("text"),
+    )
+    return joined.select("file", "at", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(f"_f_{k}") for k, f in fields.items()))
+
+
 def on_chain(links: DataFrame) -> DataFrame:
     """(file, at) of the records that the chain from offset 0 of each file reaches.
 
-    ``links``: (file, at, file_size, next). With jumps of 1, 2, 4, ... records, each round
+    ``links``: (file, at, file_size, next), a stored table. With jumps of 1, 2, 4, ... records, each round
     doubles both the reach and the jump, so a file of n records takes log2(n) rounds.
     """
     jump = links.select("file", "at", F.col("next").alias("to"))
-    reached = links.where("at = 0").select("file", "at")
+    known = links.select("file", "at")
+    reached = stored(links.where("at = 0").select("file", "at"), "warc-reached")
     n = reached.count()
     while True:
-        onward = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        onward = onward.join(links.select("file", "at"), ["file", "at"], "left_semi")
-        reached = stored(reached.union(onward).distinct(), "warc-reached")
+        # Sorted and merged at every size, so that the plan of a small table is that of a large one.
+        onward = reached.join(jump.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))
+        onward = onward.join(known.hint("merge"), ["file", "at"], "left_semi")
+        before, reached = reached, stored(reached.union(onward).distinct(), "warc-reached")
+        discard(before)
         now = reached.count()
         if now == n:
             break
         n = now
         far = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
-        jump = stored(jump.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jump")
+        before, jump = jump, stored(jump.join(far.hint("merge"), ["file", "to"]).select("file", "at", F.col("far").alias("to")), "warc-jump")
+        discard(before)
     broken = (
         reached.join(links, ["file", "at"]).groupBy("file").agg(F.max(F.struct("at", "next", "file_size")).alias("last")).where("last.next is null or last.next <> last.file_size")
     )
@@ -214,7 +254,9 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's length and digest are computed anew from the payload that was read; a
-    revisit's are its headers'. An empty table gives no rows.
+    revisit's are its headers'. Null payloads are empty; a null id stays null; rows that
+    repeat an id have a record each; ids of any text, and payloads of any length, come back
+    as they are. An empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
