@@ -1,11 +1,14 @@
-"""Repeated runs of lines, by prefix doubling over line ids.
-
-Every text is a sequence of line ids. Windows of 1, 2, 4, ... lines get the same name
-exactly if their lines are equal: a window's name is made of the names of its halves.
-The windows of one name are an interval of the suffix array with a common prefix of
-that length; names that only one window has leave, so each round works on what still
-repeats. A window whose name an earlier window has is a later copy; the union of later
-copies is deleted, the first copy stays. DataFrame functions only.
+"""Repeated runs of lines: a suffix array over line ids by distributed prefix doubling.
+
+Every text is a sequence of lines. Suffixes are ranked by their first 1, 2, 4, ... lines: a
+rank at one depth is the place of its first lines among all that occur, and the rank at
+twice the depth is the place of the pair (rank here, rank as many lines further). Places
+grow along range partitions of the distinct pairs, so no task holds all of them. Suffixes
+of one rank are neighbours in the suffix array whose longest common prefix is that depth
+or more: an interval. What is alone in its interval shares no more lines with anything and
+leaves, so each round works on what still repeats. The first suffix of an interval is the
+first copy, others begin later copies; the union of later copies is deleted.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,30 +18,36 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelforge.session import stored
+from funnelforge.llm.sieve import sieve, sieved, told_apart
+from funnelforge.session import discard, stored
 
+#: What tells documents apart: rows that repeat an id have a number for each text.
+DOC = ["id", "h"]
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """Windows (id, line, name) whose name occurs twice or more.
-
-    Names are counted before the shuffle and written; the join back has one row per name,
-    so Spark can split a name that a third of all lines have.
-    """
-    names = stored(windows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"), "line-names")
-    return windows.join(names, "name", "left_semi")
 
+def _intervals(suffixes: DataFrame, *keys: str) -> DataFrame:
+    """(id, h, line, rank, first): the suffixes that share ``keys`` with others, the place of
+    the keys among all, and the interval's smallest (id, h, line).
 
-def _with_first(windows: DataFrame) -> DataFrame:
-    """``_repeated`` with the smallest (id, line) that has the name, as ``first``."""
-    first = windows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("first"))
-    return windows.join(stored(first.where("n > 1").drop("n"), "line-firsts"), "name")
+    Keys are counted before the shuffle and written; the join back has one row per interval,
+    so Spark can split one that a third of all suffixes are in.
+    """
+    groups = suffixes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "line")).alias("first")).where("n > 1").drop("n")
+    groups = stored(groups, "line-groups")
+    # Numbers that grow along ranges of keys: the range, then the place in it.
+    placed = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("place", F.monotonically_increasing_id())
+    ranks = stored(placed, "line-ranks")
+    found = stored(suffixes.join(ranks, list(keys)).select(*DOC, "line", F.col("place").alias("rank"), "first"), "line-intervals")
+    discard(groups)
+    discard(ranks)
+    return found
 
 
-def _joined(windows: DataFrame, ahead: int) -> DataFrame:
-    """Windows that a window ``ahead`` lines further in the same text prolongs."""
-    w = Window.partitionBy("id").orderBy("line").rangeBetween(ahead, ahead)
-    paired = windows.withColumn("after", F.max("name").over(w)).where(F.col("after").isNotNull())
-    return paired.select("id", "line", F.xxhash64(F.lit(ahead), "name", "after").alias("name"))
+def _doubled(ranked: DataFrame, ahead: int) -> DataFrame:
+    """(id, h, line, rank, after): each suffix's rank and that of the suffix ``ahead`` lines
+    further; suffixes without one end or share no more lines there."""
+    w = Window.partitionBy(*DOC).orderBy("line").rangeBetween(ahead, ahead)
+    return ranked.withColumn("after", F.max("rank").over(w)).where(F.col("after").isNotNull()).select(*DOC, "line", "rank", "after")
 
 
 #: A line is long that has more than so many words.
@@ -59,52 +68,51 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_ids(docs: DataFrame, id_col: str, text_col: str, alone: int | None = None) -> DataFrame:
-    """(id, line, row, name): the non-blank lines, named by content; ``line`` counts
-    non-blank lines from 0, ``row`` all lines. With ``alone`` also ``long``: whether the
-    line has more words than that."""
-    numbered = F.transform(lines_of(F.col(text_col)), lambda x, i: F.struct(i.alias("row"), x.alias("content")))
+def line_ids(docs: DataFrame, alone: int | None = None) -> DataFrame:
+    """(id, h, line, row, name): the non-blank lines of ``docs`` (id, h, text), named by a
+    128-bit digest; ``line`` counts non-blank lines from 0, ``row`` all lines. With ``alone``
+    also ``long``: whether the line has more words than that. Equal rows have their lines once."""
+    numbered = F.transform(lines_of(F.col("text")), lambda x, i: F.struct(i.alias("row"), x.alias("content")))
     solid = F.filter(numbered, lambda x: F.length(F.trim(x["content"])) > 0)
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(solid).alias("line", "x"))
+    rows = docs.where("id is not null and text is not null").select(*DOC, F.posexplode(solid).alias("line", "x"))
     long = [] if alone is None else [is_long(F.col("x.content"), alone).alias("long")]
-    return rows.select("id", "line", "x.row", F.xxhash64("x.content").alias("name"), *long)
+    return rows.select(*DOC, "line", "x.row", F.unhex(F.md5(F.col("x.content").cast("binary"))).alias("name"), *long).distinct()
 
 
 def later_copies(lines: DataFrame, least: int = 2) -> DataFrame:
-    """(id, line, lines, first): for each line with which a later copy of a run of
-    ``least`` lines or more begins, the longest window of ``least`` * 2**k lines there
-    that has an earlier copy, and where that copy begins. Where ``lines`` say which are
-    ``long``, a later copy of one of these is a run by itself."""
-    size, windows, found = 1, lines.select("id", "line", "name"), []
+    """(id, h, line, lines, first): for each line with which a later copy of a run of
+    ``least`` lines or more begins, the deepest interval it is in that has an earlier
+    suffix, of depth ``least`` * 2**k, and where that one begins. Where ``lines`` say which
+    are ``long``, a later copy of one of these is a run by itself."""
+    found = []
+    later = lambda t, size: t.where(F.col("first") < F.struct(*DOC, "line")).select(*DOC, "line", F.lit(size).alias("lines"), "first")
     if "long" in lines.columns and least > 1:
-        single = stored(_with_first(lines.where("long").select("id", "line", "name")), "line-long")
-        found.append(single.where(F.col("first") < F.struct("id", "line")).select("id", "line", F.lit(1).alias("lines"), "first"))
-    while size * 2 <= least:
-        windows = _joined(stored(_repeated(windows), "line-windows"), size)
-        size *= 2
-    if size < least:
-        windows = _joined(stored(_repeated(windows), "line-windows"), least - size)
-        size = least
+        found.append(later(_intervals(lines.where("long").select(*DOC, "line", "name"), "name"), 1))
+    depth, ranked = 1, _intervals(lines.select(*DOC, "line", "name"), "name")
     while True:
-        windows = stored(_with_first(windows), "line-runs")
-        later = windows.where(F.col("first") < F.struct("id", "line"))
-        found.append(later.select("id", "line", F.lit(size).alias("lines"), "first"))
-        if windows.isEmpty():
+        if depth >= least:
+            found.append(later(ranked, depth))
+        if ranked.isEmpty():
             break
-        windows = _joined(windows.drop("first"), size)
-        size *= 2
+        ahead = depth if depth >= least else min(depth, least - depth)
+        before, ranked = ranked, _intervals(_doubled(ranked, ahead), "rank", "after")
+        depth += ahead
+        if depth - ahead < least:
+            discard(before)
+    if not found:
+        found.append(later(ranked, least))
     each = reduce(DataFrame.unionByName, found)
-    longest = each.groupBy("id", "line").agg(F.max(F.struct("lines", "first")).alias("m"))
-    return longest.select("id", "line", "m.lines", "m.first")
+    longest = each.groupBy(*DOC, "line").agg(F.max(F.struct("lines", "first")).alias("m"))
+    return longest.select(*DOC, "line", "m.lines", "m.first")
 
 
 def repeated_runs(copies: DataFrame, lines: DataFrame) -> DataFrame:
-    """(id, row, last_row, lines, first_id): the maximal runs that later copies cover,
+    """(id, h, row, last_row, lines, first_id): the maximal runs that later copies cover,
     as rows of the text from the run's first line to its last."""
-    w = Window.partitionBy("id").orderBy("line")
+    w = Window.partitionBy(*DOC).orderBy("line")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     new = F.coalesce((F.max(F.col("line") + F.col("lines")).over(before) < F.col("line")).cast("int"), F.lit(1))
-    runs = copies.withColumn("run", F.sum(new).over(w)).groupBy("id", "run")
+    runs = copies.withColumn("run", F.sum(new).over(w)).groupBy(*DOC, "run")
     runs = runs.agg(
         F.min("line").alias("line"),
         (F.max(F.col("line") + F.col("lines")) - F.min("line")).alias("lines"),
@@ -112,8 +120,8 @@ def repeated_runs(copies: DataFrame, lines: DataFrame) -> DataFrame:
     )
     ends = runs.withColumn("line", F.explode(F.array("line", F.col("line") + F.col("lines") - 1)))
     return (
-        ends.join(lines.select("id", "line", "row"), ["id", "line"])
-        .groupBy("id", "run", "lines", "first_id")
+        ends.join(lines.select(*DOC, "line", "row"), [*DOC, "line"])
+        .groupBy(*DOC, "run", "lines", "first_id")
         .agg(F.min("row").alias("row"), F.max("row").alias("last_row"))
         .drop("run")
     )
@@ -123,20 +131,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(row, runs, kept): each row of ``docs`` as a struct, the runs that are deleted from
     its text (array of row, last_row, lines, first_id; null if none) and the text left.
 
-    Lines are compared byte by byte. Blank lines are no part of a run's lines; those
-    inside a deleted run go with it, others stay. A text without later copies stays as
-    it is; one that only consists of them becomes empty. Null texts and null ids are left
-    alone. Of rows that repeat an id, all are cut as one of them is. With ``alone``, a
-    line of more words than that is a run by itself, whatever ``least`` is.
+    Lines are compared by 128-bit digests of all their bytes. Blank lines are no part of a
+    run's lines; those inside a deleted run go with it, others stay. A text without later
+    copies stays as it is; one that only consists of them becomes empty. Null texts and null
+    ids are left alone. Rows that repeat an id with another text are documents of their own,
+    in the order of a hash; equal rows are one document, and all stay or are cut alike. With
+    ``alone``, a line of more words than that is a run by itself, whatever ``least`` is. An
+    empty table gives no rows; names of other columns do not matter; texts of any length count whole.
     """
-    lines = stored(line_ids(docs.select(id_col, text_col).dropDuplicates([id_col]), id_col, text_col, alone), "lines")
+    rows = told_apart(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    lines = stored(line_ids(rows.drop("row"), alone), "lines")
     runs = repeated_runs(later_copies(lines, least), lines)
-    by_doc = runs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("row", "last_row", "lines", "first_id"))).alias("runs"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = rows.join(by_doc, F.col("_id") == F.col("id"), "left")
+    by_doc = stored(runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("row", "last_row", "lines", "first_id"))).alias("runs")), "line-cuts")
+    # Texts that surely hold no later copy stay where they are.
+    marked = sieved(rows, sieve(by_doc.select(*DOC)), F.col("id"), F.col("h"))
+    found = marked.where("met").join(by_doc, DOC, "left")
     left = F.filter(
-        lines_of(F.col("_text")),
+        lines_of(F.col("text")),
         lambda x, i: ~F.exists("runs", lambda r: (i >= r["row"]) & (i <= r["last_row"])),
     )
-    kept = F.when(F.col("runs").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    return found.select("row", "runs", kept.alias("kept"))
+    kept = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    untouched = marked.where("not met").select("row", F.lit(None).cast(by_doc.schema["runs"].dataType).alias("runs"), F.col("text").alias("kept"))
+    return found.select("row", "runs", kept.alias("kept")).unionByName(untouched)
