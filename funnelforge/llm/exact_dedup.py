@@ -59,6 +59,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no row with a smaller id has, all columns kept."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of ``docs`` whose text no row with a smaller id has, all columns kept,
+    whatever their names."""
+    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"))
+    return rows.join(kept, F.col("own").eqNullSafe(F.col("id")), "left_semi").select("row.*")
