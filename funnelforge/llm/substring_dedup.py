@@ -16,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from funnelforge.llm.words import as_bytes, batches, mix, ranges, rolled
+from funnelforge.llm.sieve import told_apart
+from funnelforge.llm.words import as_bytes, batches, mix, ranges, rolled, sliced, small_batches
 from funnelforge.session import stored
 
 #: Bytes that decide a boundary.
 REACH = 16
 
+#: Bytes of a span of more than 50 words of which up to a chunk or two are missed at each
+#: end; sentences and boilerplate lines are shorter.
+PASSAGE = 200
+
 _gear = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _gap = b"\0" * REACH
 
@@ -115,24 +120,24 @@ def windowed(texts: list[bytes], least: int = 80, bits: int = 5) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, least: int = 80, bits: int = 5) -> DataFrame:
-    """(id, start, end, chunk, chunks, apart, name) of each window; offsets are bytes of UTF-8."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def windows(docs: DataFrame, least: int = 80, bits: int = 5) -> DataFrame:
+    """(id, h, start, end, chunk, chunks, apart, name) of each window of ``docs`` (id, text, h);
+    offsets are bytes of UTF-8."""
+    kind = docs.schema["id"].dataType.simpleString()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            for first in range(0, b.num_rows, 512):
-                part = b.slice(first, 512)
-                at, *numbers, apart, name = windowed(as_bytes(part.column(1)), least, bits)
-                own = [*(pa.array(x, pa.int32()) for x in numbers), pa.array(apart.astype(bool)), pa.array(name, pa.int64())]
-                yield pa.record_batch([part.column(0).take(pa.array(at, pa.int64())), *own], ["id", "start", "end", "chunk", "chunks", "apart", "name"])
+        for part in sliced(rows, 1):
+            at, *numbers, apart, name = windowed(as_bytes(part.column(1)), least, bits)
+            own = [*(pa.array(x, pa.int32()) for x in numbers), pa.array(apart.astype(bool)), pa.array(name, pa.int64())]
+            docs_of = pa.array(at, pa.int64())
+            yield pa.record_batch([part.column(0).take(docs_of), part.column(2).take(docs_of), *own], ["id", "h", "start", "end", "chunk", "chunks", "apart", "name"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where("id is not null and t is not null")
-    return rows.mapInArrow(cut, f"id {kind}, start int, end int, chunk int, chunks int, apart boolean, name long")
+    rows = docs.select("id", "text", "h").where("id is not null and text is not null")
+    return rows.mapInArrow(cut, f"id {kind}, h long, start int, end int, chunk int, chunks int, apart boolean, name long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, bits: int = 5) -> DataFrame:
-    """(id, start, end, bytes, chunks, keep_id): spans of ``least`` bytes or more of whole
+    """(id, start, end, bytes, chunks, keep_id, h): spans of ``least`` bytes or more of whole
     chunks that one place before them holds as a whole, in document ``keep_id``.
 
     That is a smaller id, or the same document further ahead: what recurs in steps of less
@@ -140,44 +145,52 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is held against its first place, by (id, start); windows that have their first places
     in one document at one distance make one span. Spans that another one holds have no
     row; others may overlap. Windows are compared by 64-bit digests of their bytes. The first
-    copy has no row. Rows with null ids or texts have no windows; rows that repeat an id
-    are one document. Counts per name are combined before the shuffle, so a window in a
-    third of all documents is one row per task.
+    copy has no row. Rows with null ids or texts have no windows. Rows that repeat an id with
+    another text are documents of their own, in the order of ``h``, a hash of the text that
+    is 0 for ids that surely do not repeat; equal rows are one document. An empty table gives
+    no rows; other columns are not read. Counts per name are combined before the shuffle,
+    so a window in a third of all documents is one row per task.
     """
-    rows = stored(windows(docs, id_col, text_col, least, bits), "windows")
+    rows = told_apart(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    with small_batches(docs.sparkSession):
+        rows = stored(windows(rows, least, bits), "windows")
     # Written before it is joined back, so that the join of a hot name can be split.
-    shared = rows.groupBy("name").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(shared.select("name", F.col("first.id").alias("keep_id"), F.col("first.start").alias("keep_start")), "windows-shared")
-    own = F.col("apart") & (F.col("keep_id") == F.col("id")) & (F.col("keep_start") < F.col("start"))
-    met = rows.join(shared, "name").where((F.col("keep_id") < F.col("id")) | own)
-    later = met.select("id", "start", "end", "chunk", "chunks", "keep_id", (F.col("start") - F.col("keep_start")).alias("shift"))
-    later = later.repartition("id").distinct()
-    w = Window.partitionBy("id", "keep_id", "shift").orderBy("start")
+    shared = rows.groupBy("name").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(shared.select("name", F.col("first.id").alias("keep_id"), F.col("first.h").alias("keep_h"), F.col("first.start").alias("keep_start")), "windows-shared")
+    doc, keep = F.struct("id", "h"), F.struct(F.col("keep_id").alias("id"), F.col("keep_h").alias("h"))
+    own = F.col("apart") & (keep == doc) & (F.col("keep_start") < F.col("start"))
+    met = rows.join(shared, "name").where((keep < doc) | own)
+    later = met.select("id", "h", "start", "end", "chunk", "chunks", "keep_id", "keep_h", (F.col("start") - F.col("keep_start")).alias("shift"))
+    later = later.repartition("id", "h").distinct()
+    w = Window.partitionBy("id", "h", "keep_id", "keep_h", "shift").orderBy("start")
     new = F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))
-    runs = later.withColumn("run", F.sum(new).over(w)).groupBy("id", "keep_id", "shift", "run")
+    runs = later.withColumn("run", F.sum(new).over(w)).groupBy("id", "h", "keep_id", "keep_h", "shift", "run")
     spans = runs.agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         (F.max(F.col("chunk") + F.col("chunks")) - F.min("chunk")).cast("long").alias("chunks"),
     )
-    before = Window.partitionBy("id").orderBy("start", F.desc("end"), "keep_id", "shift").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("id", "h").orderBy("start", F.desc("end"), "keep_id", "keep_h", "shift").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("held", F.max("end").over(before)).where("held is null or held < end")
     size = (F.col("end") - F.col("start")).cast("long")
-    return spans.select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id")
+    return spans.select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id", "h")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the spans of ``repeated_spans`` cut out of their texts."""
-    w = Window.partitionBy(id_col).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    """``docs`` with the spans of ``repeated_spans`` of these ``docs`` cut out of their texts.
+    Columns stay as they are, whatever their names."""
+    mine = spans.select(F.col(id_col).alias("id"), "h", "start", "end")
+    w = Window.partitionBy("id", "h").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     # What is left before a span begins where those before it end at last.
-    ordered = spans.select(id_col, "start", "end", F.coalesce(F.max("end").over(w), F.lit(0)).alias("left"))
-    cuts = ordered.groupBy(F.col(id_col).alias("_cut_id")).agg(
-        F.array_sort(F.collect_list(F.when(F.col("left") < F.col("start"), F.struct(F.col("left").alias("a"), F.col("start").alias("b"))))).alias("_left"),
-        F.max("end").alias("_end"),
+    ordered = mine.withColumn("left", F.coalesce(F.max("end").over(w), F.lit(0)))
+    cuts = ordered.groupBy("id", "h").agg(
+        F.array_sort(F.collect_list(F.when(F.col("left") < F.col("start"), F.struct(F.col("left").alias("a"), F.col("start").alias("b"))))).alias("before"),
+        F.max("end").alias("end"),
     )
-    body = F.encode(F.col(text_col), "UTF-8")
-    whole = F.concat("_left", F.array(F.struct(F.col("_end").alias("a"), F.octet_length(text_col).alias("b"))))
+    body = F.encode(F.col("text"), "UTF-8")
+    whole = F.concat("before", F.array(F.struct(F.col("end").alias("a"), F.octet_length("text").alias("b"))))
     parts = F.transform(whole, lambda p: F.decode(F.substring(body, p["a"] + 1, p["b"] - p["a"]), "UTF-8"))
-    found = docs.join(cuts, docs[id_col] == F.col("_cut_id"), "left")
-    text = F.when(F.col("_end").isNull(), docs[text_col]).otherwise(F.array_join(parts, ""))
-    return found.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))
+    rows = told_apart(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
+    found = rows.join(cuts, ["id", "h"], "left")
+    text = F.when(F.col("end").isNull(), F.col("text")).otherwise(F.array_join(parts, ""))
+    return found.select(*(text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
