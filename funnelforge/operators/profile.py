@@ -22,6 +22,7 @@ FUZZY_LENGTH, FUZZY_RATIO, FUZZY_DISTINCT, FUZZY_SHARE, FUZZY_PAIRS = 5, 0.65, 3
 SENTINEL_ROWS, SENTINEL_SHARE = 30, 0.01
 CLUSTER_LOW, CLUSTER_HIGH, CLUSTER_GAP = 0.005, 0.95, 0.15
 FLOAT_ID_SHARE = 0.5
+SHOWN = 100
 MULTI_SHARE, DELIMITERS = 0.05, (";", "|", ",")
 FREE_ROWS, FREE_DISTINCT, FREE_SINGLE = 20, 0.5, 0.5
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -135,21 +136,29 @@ def date_formats(vc: DataFrame) -> DataFrame:
 
 def near_duplicates(vc: DataFrame) -> DataFrame:
     """A5: (col, canonical, n_variants, total, variants) of values that only differ in case
-    or white space; the most frequent spelling, then the smallest, is canonical."""
-    found = _spellings(vc).where("n_variants > 1")
-    return found.select("col", "canonical", "n_variants", "total", "variants")
-
-
-def _spellings(vc: DataFrame) -> DataFrame:
-    """Spellings of one normal form; no dates. A form has few spellings, so they fit a row."""
+    or white space; the most frequent spelling, then the smallest, is canonical. Of many
+    variants the first 100 are shown."""
+    values = _formed(vc)
+    found = _forms(values).where("n_variants > 1")
+    own = values.join(found.select("col", "form"), ["col", "form"])
+    shown = top_per(own, ["col", "form"], [F.desc("n"), F.asc("value")], SHOWN, "value")
+    variants = shown.groupBy("col", "form").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s"))
+    met = found.join(variants, ["col", "form"])
+    return met.select("col", "canonical", "n_variants", "total", F.array_join(F.transform("s", lambda x: x["value"]), "|").alias("variants"))
+
+
+def _formed(vc: DataFrame) -> DataFrame:
+    """(col, form, value, n): values with their normal form; no dates."""
     dates = date_like(vc).where(F.col("date_share") >= DATE_SHARE).select("col")
     values = solid(vc).join(F.broadcast(dates), "col", "left_anti")  # a row per column
-    forms = values.withColumn("form", normal_spelling(F.col("value"))).groupBy("col", "form")
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "value")))
-    return forms.agg(ranked.alias("s"), F.sum("n").alias("total")).select(
-        "col", "form", F.col("s")[0]["value"].alias("canonical"), F.size("s").cast("long").alias("n_variants"), "total",
-        F.array_join(F.transform("s", lambda x: x["value"]), "|").alias("variants"), (-F.col("s")[0]["m"]).alias("n"), F.col("s").alias("spellings"),
-    )
+    return stored(values.select("col", normal_spelling(F.col("value")).alias("form"), "value", "n"), "spellings")
+
+
+def _forms(values: DataFrame) -> DataFrame:
+    """(col, form, canonical, n_variants, total, n): the forms of ``_formed`` values."""
+    best = F.min(F.struct((-F.col("n")).alias("m"), "value")).alias("best")
+    forms = values.groupBy("col", "form").agg(best, F.count(F.lit(1)).alias("n_variants"), F.sum("n").alias("total"))
+    return forms.select("col", "form", F.col("best.value").alias("canonical"), "n_variants", "total", (-F.col("best.m")).alias("n"))
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -165,7 +174,10 @@ def spelling_variants(vc: DataFrame) -> DataFrame:
     """(col, a, b, similarity, canonical): up to 15 pairs a column of forms that look
     alike, in columns of 2 to 300 forms and at most 0.3 forms a row; others are skipped,
     so that pairs stay few however large the table."""
-    forms = _spellings(vc)
+    return _alike(_forms(_formed(vc)))
+
+
+def _alike(forms: DataFrame) -> DataFrame:
     fit = forms.groupBy("col").agg(F.count(F.lit(1)).alias("k"), F.sum("total").alias("rows")).where((F.col("k") >= 2) & (F.col("k") <= FUZZY_DISTINCT) & (F.col("k") <= F.col("rows") * FUZZY_SHARE))
     few = forms.join(fit.select("col"), "col", "left_semi").where(F.length("canonical") >= FUZZY_LENGTH)
     one = few.select("col", F.col("canonical").alias("a"), F.col("n").alias("n_a"))
@@ -178,10 +190,12 @@ def spelling_variants(vc: DataFrame) -> DataFrame:
 
 def merge_suggestions(vc: DataFrame, fuzzy: bool = True) -> DataFrame:
     """(col, variant, canonical, confirmed): spellings of one form are confirmed."""
-    exact = _spellings(vc).where("n_variants > 1").select("col", "canonical", F.explode(F.transform("spellings", lambda s: s["value"])).alias("variant"))
-    out = exact.where("variant <> canonical").select("col", "variant", "canonical", F.lit(True).alias("confirmed"))
+    values = _formed(vc)
+    forms = _forms(values)
+    exact = values.join(forms.where("n_variants > 1").select("col", "form", "canonical"), ["col", "form"])
+    out = exact.where("value <> canonical").select("col", F.col("value").alias("variant"), "canonical", F.lit(True).alias("confirmed"))
     if fuzzy:
-        pairs = spelling_variants(vc).select("col", F.when(F.col("canonical") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("variant"), "canonical", F.lit(False).alias("confirmed"))
+        pairs = _alike(forms).select("col", F.when(F.col("canonical") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("variant"), "canonical", F.lit(False).alias("confirmed"))
         out = out.unionByName(pairs)
     return out
 
