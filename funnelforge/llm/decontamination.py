@@ -1,35 +1,37 @@
 """Benchmark decontamination with a broadcast hash set of test n-grams.
 
-The windows of the benchmark are hashed on the executors; blocks of a fixed number of
-distinct hashes are broadcast one after another, so the set that a task holds is
-bounded whatever the benchmark's size. Each hit is verified word by word.
+The windows of the benchmark are cut on the executors. Blocks of a bounded number of
+windows and bytes are broadcast one after another, each scanned for in a pass of its own
+whose hits are written before the next, so that what driver and tasks hold is bounded
+whatever the benchmark's size. Each hit is verified word by word. Which items have a
+window is joined to the hits afterwards and never broadcast.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from funnelforge.llm.words import ALNUM, Words, as_bytes, batches, rolled, windows
+from funnelforge.llm.sieve import sieve, sieved
+from funnelforge.llm.words import ALNUM, Words, as_bytes, batches, rolled, sliced, small_batches, windows
 from funnelforge.session import stored
 
-#: Distinct window texts in one broadcast: at about 200 bytes each, some 20 MB.
-BLOCK = 100_000
+#: Distinct window texts in one broadcast, and their bytes.
+BLOCK, BLOCK_BYTES = 100_000, 24 << 20
 
 _slots = 1 << 22
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(gram, n_words, items): each distinct window text and the items that have it.
+    """(item, gram, n_words): the distinct window texts of each item.
 
     A window is ``size`` consecutive words; an item of fewer, but not none, is one.
-    Null texts have none. ``items`` are ids as strings; a null id is not reported.
+    Null texts have none. ``item`` is the id as a string.
     """
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,9 +49,7 @@ def benchmark_windows(benchmark: DataFrame, size: int = 13, id_col: str = "item_
             )
 
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("t"))
-    cuts = rows.mapInArrow(cut, "item string, gram binary, n_words int").distinct()
-    # At most the benchmark's items that share one window text meet in a row.
-    return cuts.groupBy("gram", "n_words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return rows.mapInArrow(cut, "item string, gram binary, n_words int").distinct()
 
 
 _lower = bytes(x if ALNUM[x] else 0x20 for x in range(256))
@@ -63,8 +63,8 @@ def plain(text: bytes) -> bytes:
 class Finder:
     """Occurrences of window texts in documents."""
 
-    def __init__(self, grams: list[tuple[bytes, int, list[str]]]):
-        self.items = {gram: items for gram, _, items in grams}
+    def __init__(self, grams: list[tuple[bytes, int, int]]):
+        self.numbers = {gram: number for gram, _, number in grams}
         self.slots = {}
         for n in sorted({n for _, n, _ in grams}):
             own = [gram for gram, m, _ in grams if m == n]
@@ -78,129 +78,145 @@ class Finder:
         words = Words(grams, ALNUM)
         return windows(rolled(words.hashes()), len(words.start), n)[words.first[:-1]]
 
-    def __call__(self, texts: list[bytes]) -> tuple[list[int], list[list[tuple[int, int, list[str]]]]]:
-        """Each text's number of words, and (first word, words, items) of each occurrence."""
-        counts, found = [0] * len(texts), [[] for _ in texts]
+    def __call__(self, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]], list[int]]]:
+        """(text, its words, ranges, window numbers) of each text with hits. Ranges are what
+        overlapping occurrences cover: first word, end word, first byte, end byte."""
         for at, part in batches(texts):
             words = Words([plain(t) for t in part], ALNUM)
             n = len(words.start)
-            counts[at : at + len(part)] = np.diff(words.first).tolist()
             prefix = rolled(words.hashes())
+            found: dict[int, list[tuple[int, int, int]]] = {}
             for size, slots in self.slots.items():
                 hashes = windows(prefix, n, size)
                 for k in np.flatnonzero(slots[hashes & np.uint64(_slots - 1)]).tolist():
                     owner = int(np.searchsorted(words.first, k, "right")) - 1
                     if k + size <= words.first[owner + 1]:
                         gram = b" ".join(words.joined[words.start[j] : words.end[j]] for j in range(k, k + size))
-                        if (items := self.items.get(gram)) is not None:
-                            found[at + owner].append((k - int(words.first[owner]), size, items))
-        return counts, found
+                        if (number := self.numbers.get(gram)) is not None:
+                            found.setdefault(owner, []).append((k, k + size, number))
+            for owner, hits in sorted(found.items()):
+                covered: list[list[int]] = []
+                for a, z, _ in sorted(hits):
+                    if covered and a < covered[-1][1]:
+                        covered[-1][1] = max(covered[-1][1], z)
+                    else:
+                        covered.append([a, z])
+                first, begin = int(words.first[owner]), int(words.text_start[owner])
+                spans = [(a - first, z - first, int(words.start[a]) - begin, int(words.end[z - 1]) - begin) for a, z in covered]
+                yield at + owner, int(words.first[owner + 1]) - first, spans, sorted({k for _, _, k in hits})
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """``docs`` with _n_words, _hits (array of word range and items).
-
-    Nulls, empty texts and empty tables give rows without hits. A benchmark of more
-    than ``block`` window texts is scanned for in as many passes over each text as it
-    has blocks; hits add up along the row, so nothing is dropped and nothing shuffled.
-    """
-    grams = stored(benchmark_windows(benchmark, size, item_col), "benchmark-windows")
-    n_blocks = max(1, -(-grams.count() // block))
-    numbered = grams.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(n_blocks)))
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast("array<struct<start:int,words:int,items:array<string>>>")})
-    for k in range(n_blocks):
-        rows = [(bytes(r["gram"]), r["n_words"], list(r["items"])) for r in numbered.where(F.col("block") == k).toLocalIterator()]
-        out = _scan(out, docs.sparkSession.sparkContext.broadcast(rows), text_col)
-    return out
+_SPAN = "struct<start:int,end:int,a:int,b:int>"
 
 
-def _scan(docs: DataFrame, grams, text_col: str) -> DataFrame:
-    schema = docs.schema
-    text_at, n_at, hits_at = (schema.names.index(x) for x in (text_col, "_n_words", "_hits"))
-    hits_type = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("items", pa.list_(pa.string()))]))
+def _scan(texts: DataFrame, grams) -> DataFrame:
+    """(key, n_words, spans, grams) of the distinct ``texts`` (key, text) with hits."""
+    span = pa.list_(pa.struct([(x, pa.int32()) for x in ("start", "end", "a", "b")]))
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(grams.value)
-        for b in rows:
-            counts, found = finder(as_bytes(b.column(text_at)))
-            old = b.column(hits_at).to_pylist()
-            hits = [o + [{"start": s, "words": w, "items": i} for s, w, i in f] for o, f in zip(old, found, strict=True)]
-            columns = list(b.columns)
-            columns[n_at], columns[hits_at] = pa.array(counts, pa.int64()), pa.array(hits, hits_type)
-            yield pa.record_batch(columns, schema.names)
-
-    return docs.mapInArrow(scan, T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+        for b in sliced(rows, 1):
+            at, n, spans, numbers = zip(*found, strict=True) if (found := list(finder(as_bytes(b.column(1))))) else ((), (), (), ())
+            named = [[dict(zip(("start", "end", "a", "b"), x, strict=True)) for x in own] for own in spans]
+            columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(named, span), pa.array(numbers, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["key", "n_words", "spans", "grams"])
 
+    return texts.mapInArrow(scan, f"key string, n_words long, spans array<{_SPAN}>, grams array<long>").dropDuplicates(["key"])
 
-def _summary(hits: str) -> Column:
-    """n_hit, n_items and items_sha256 of a column of hits."""
-    return F.udf(_sum_up, "struct<n_hit:long,n_items:long,items_sha256:string>")(hits)
 
+def _key(text: str) -> Column:
+    return F.md5(F.col(text).cast("binary"))
 
-def _sum_up(hits):
-    covered: set[int] = set()
-    items: set[str] = set()
-    for h in hits:
-        covered.update(range(h["start"], h["start"] + h["words"]))
-        items.update(h["items"])
-    return len(covered), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """(key, n_words, n_hit, items, spans) of each distinct text of ``docs`` with hits: the md5
+    digest of the text, its words, how many of them are hit, the items whose windows occur
+    as sorted ids, and the hit stretches in order as ranges of words and bytes.
 
-#: What documents without hits get.
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
+    Nulls, empty texts and empty tables give no rows. A benchmark of more than ``block``
+    window texts, or of more than BLOCK_BYTES, takes a pass over the texts for each block.
+    """
+    spark = docs.sparkSession
+    cuts = stored(benchmark_windows(benchmark, size, item_col), "benchmark-windows")
+    grams = stored(cuts.select("gram", "n_words").distinct().withColumn("number", F.monotonically_increasing_id()), "benchmark-grams")
+    total = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
+    n_blocks = max(1, -(-total["n"] // block), -(-total["bytes"] // BLOCK_BYTES))
+    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
+    found = []
+    for k in range(n_blocks):
+        own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(n_blocks)) == k)
+        held = spark.sparkContext.broadcast([(bytes(r["gram"]), r["n_words"], r["number"]) for r in own.toLocalIterator()])
+        with small_batches(spark):
+            found.append(stored(_scan(texts, held), "benchmark-hits"))
+        held.destroy()
+    hits = reduce(DataFrame.unionByName, found)
+    items = hits.select("key", F.explode("grams").alias("number")).join(grams, "number").join(cuts.where("item is not null"), ["gram", "n_words"])
+    items = items.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    # Windows of different blocks may overlap: a word counts once.
+    spans = hits.groupBy("key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    more = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n"))
+    n_hit = F.aggregate("spans", begin, more, lambda acc: acc["n"])
+    met = spans.join(items, "key", "left")
+    return stored(met.select("key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans"), "benchmark-found")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
-    A word inside any occurrence of a benchmark window is hit; a document is
-    contaminated if it has hits and ``share`` * n_hit >= n_words.
+    A word inside any occurrence of a benchmark window is hit; a document is contaminated
+    if it has hits and ``share`` * n_hit >= n_words. Null and empty texts have no words. Ids
+    may be null or repeat; equal texts get equal results; items without an id hit, but are
+    not counted. Empty tables give no rows, or no hits. Texts of any length count whole;
+    other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = find_contamination(narrow, benchmark, text_col="text").select("id", "_n_words", "_hits")
-    none = F.struct(F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(NO_ITEMS).alias("items_sha256"))
-    found = found.withColumn("s", F.when(F.size("_hits") == 0, none).otherwise(_summary("_hits")))
-    return found.select(
+    found = find_contamination(narrow, benchmark, text_col="text")
+    found = found.select("key", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
+    rows = narrow.select("id", words.alias("n_words"), _key("text").alias("key")).join(found, "key", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select(
         F.col("id").alias(id_col),
-        F.col("_n_words").alias("n_words"),
-        "s.n_hit",
-        "s.n_items",
-        "s.items_sha256",
-        ((F.col("s.n_hit") > 0) & (F.col("s.n_hit") * share >= F.col("_n_words"))).alias("contaminated"),
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
 
 
-def _without(text: str, hits: str) -> Column:
-    """The text without the hit words."""
-    return F.udf(_cut_out, "string")(text, hits)
+#: Fixed value: a word of any case.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _cut_out(text, hits):
-    if not hits:
-        return text
-    body = text.encode()
-    words = Words([plain(body)], ALNUM)
-    cuts = sorted((int(words.start[h["start"]]), int(words.end[h["start"] + h["words"] - 1])) for h in hits)
-    out, at = [], 0
-    for a, b in cuts:
-        out.append(body[at : max(at, a)])
-        at = max(at, b)
-    return b"".join([*out, body[at:]]).decode()
+def _without(text: str, spans: str) -> Column:
+    """The text without the stretches."""
+    body = F.encode(F.col(text), "UTF-8")
+    piece = lambda a, b: F.decode(F.substring(body, a + 1, b - a), "UTF-8")
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    cut = lambda acc, s: F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.concat(acc["out"], piece(acc["at"], F.greatest(s["a"], acc["at"]))).alias("out"))
+    return F.aggregate(spans, begin, cut, lambda acc: F.concat(acc["out"], piece(acc["at"], F.greatest(F.octet_length(body), acc["at"]))))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", share: int = 20) -> DataFrame:
     """``docs`` without contaminated documents, or (``remove="spans"``) without the hit words.
 
-    Columns stay as they are, whatever their names.
+    Columns stay as they are, whatever their names; the cases are those of ``contamination``.
+    Rows without hits stay where they are: only what may have some meets the hits.
     """
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    found = find_contamination(row, benchmark, text_col="text")
-    n_hit = F.when(F.size("_hits") == 0, F.lit(0).cast("long")).otherwise(_summary("_hits")["n_hit"])
-    if remove == "spans":
-        text = F.when(F.size("_hits") == 0, F.col("text")).otherwise(_without("text", "_hits"))
-        kept = found.withColumn("row", F.col("row").withField(text_col, text))
-    elif remove == "documents":
-        kept = found.where(~((n_hit > 0) & (n_hit * share >= F.col("_n_words"))))
-    else:
+    if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
-    return kept.select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), _key(text_col).alias("key"))
+    found = find_contamination(rows.select("text"), benchmark, text_col="text")
+    if remove == "documents":
+        found = found.where(F.col("n_hit") * share >= F.col("n_words")).select("key")
+    marked = sieved(rows, sieve(found.select("key")), F.col("key"))
+    maybe = marked.where("met")
+    if remove == "documents":
+        kept = maybe.join(found, "key", "left_anti").select("row")
+    else:
+        met = maybe.join(found.select("key", "spans"), "key", "left")
+        text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(_without("text", "spans"))
+        kept = met.select(F.col("row").withField(text_col, text).alias("row"))
+    return marked.where("not met").select("row").unionByName(kept).select("row.*")
