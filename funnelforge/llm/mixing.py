@@ -5,15 +5,16 @@ the exponential tilt that stays closest in entropy to taking every document once
 while the source's words meet its target. The dual of each source is convex in its
 lambda; Newton steps inside a shrinking bracket solve all sources at once, each step
 one aggregation over (source, size) counts. Rates then become whole copies by error
-diffusion within small hash buckets of a source.
+diffusion along the sorted rows of small hash buckets of a source.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,13 +85,13 @@ def _exact_sum(c: Column) -> Column:
     return F.sum(F.round(c * 1e6).cast("decimal(28,0)")).cast("double") / 1e6
 
 
-def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, steps: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, steps: int = 200, tolerance: float = 1e-6) -> DataFrame:
     """``sources`` with ``tilt``: null where every document is taken ``cap`` times.
 
     ``sizes``: (source, size, n) with size > 0. ``sources``: (source, source_size,
     target, scale). A source ends when its words are within ``tolerance`` of the
-    target; the bracket halves whenever a Newton step would leave it, so the number of
-    rounds is bounded by ``steps`` for any sizes.
+    target; the bracket halves whenever a Newton step would leave it. Raises if that
+    takes more than ``steps`` rounds.
     """
     widest = math.log(cap) + 1.0
     state = sources.select(
@@ -139,19 +140,25 @@ def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float, steps: int = 4
             "full",
             (F.col("done") | F.coalesce(near, F.lit(False))).alias("done"),
         )
+    else:
+        raise ArithmeticError(f"sources are not at their targets after {steps} steps")
     return state.select("source", F.when(~F.col("full"), F.col("tilt")).alias("tilt"), "scale")
 
 
-def _copies(bucket: pd.DataFrame) -> pd.DataFrame:
-    """Whole copies whose words follow the rates' words, largest documents first."""
-    bucket = bucket.sort_values(["size", "order", "id"], ascending=[False, True, True], kind="stable")
-    owed, out = 0.0, []
-    for size, rate, cap in zip(bucket["size"], bucket["rate"], bucket["cap"], strict=True):
-        owed += rate * size
-        copies = min(int(cap), max(0, math.floor(owed / size + 0.5))) if size else 0
-        owed -= copies * size
-        out.append(copies * size)
-    return bucket.assign(taken=out)[["id", "source", "size", "rate", "taken"]]
+def _copies(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``taken`` to rows sorted by (bucket, falling size): whole copies whose words follow
+    the rates' words. What a row is owed is carried to the next one of its bucket."""
+    now, owed = None, 0.0
+    for b in rows:
+        taken = []
+        for bucket, size, rate, cap in zip(*(b.column(c).to_pylist() for c in ("bucket", "size", "rate", "cap")), strict=True):
+            if bucket != now:
+                now, owed = bucket, 0.0
+            owed += rate * size
+            copies = min(cap, max(0, math.floor(owed / size + 0.5))) if size else 0
+            owed -= copies * size
+            taken.append(copies * size)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(taken, pa.int64())], [*b.schema.names, "taken"])
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: int = 3, bucket: int = 64) -> DataFrame:
@@ -160,12 +167,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``taken`` counts the words that the mix takes, repeats included, at most ``cap``
     times the size. Null sources are one source, the last; null and blank texts have
     size 0 and are taken 0 times. A source without words has target 0. Rows that repeat
-    an id are documents of their own. An empty table gives no rows. ``bucket`` is the
-    mean number of documents whose rates are rounded together; a hot source only has
-    more buckets.
+    an id are documents of their own, ordered by a hash of their text; equal rows get what
+    any order of them gives. An empty table gives no rows; texts of any length count whole;
+    other columns are not read. ``bucket`` is the mean number of documents whose rates are
+    rounded together; a hot source only has more buckets.
     """
     rows = stored(
-        docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size")),
+        docs.select(
+            F.col(id_col).cast("string").alias("id"), F.col(source_col).alias("name"), n_words(F.col(text_col)).alias("size"),
+            F.xxhash64(F.lit("mix"), id_col, text_col).alias("order"),
+        ),
         "mix-rows",
     )
     named = rows.withColumn("source", F.struct(F.col("name").isNull().alias("none"), F.coalesce("name", F.lit("")).alias("name")))
@@ -189,14 +200,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("tilt").isNull(), float(cap)).otherwise(
         F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(math.log(cap))))
     )
-    order = F.xxhash64(F.lit("mix"), "id")
-    salted = named.withColumns({"order": order, "salt": F.pmod(order, F.lit(SALTS)).cast("int")})
-    rated = salted.join(known, ["source", "salt"]).withColumns(
-        {"rate": rate, "cap": F.lit(cap), "bucket": F.pmod(F.shiftrightunsigned("order", 8), F.ceil(F.col("docs") / bucket))}
-    )
-    # The key carries what the result needs of the source, so that no join follows.
-    done = rated.groupBy("source", "bucket", "name", "source_size", "target").applyInPandas(
-        lambda key, pdf: _copies(pdf).assign(source=key[2], source_size=key[3], target=key[4]),
-        "id string, source string, size long, rate double, taken long, source_size long, target double",
-    )
-    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "taken")
+    salted = named.withColumn("salt", F.pmod("order", F.lit(SALTS)).cast("int"))
+    at = F.pmod(F.shiftrightunsigned("order", 8), F.ceil(F.col("docs") / bucket))
+    rated = salted.join(known, ["source", "salt"]).select("id", "name", "size", "order", rate.alias("rate"), F.lit(cap).alias("cap"), F.xxhash64("source", at).alias("bucket"), "source_size", "target")
+    dealt = rated.repartition("bucket").sortWithinPartitions("bucket", F.desc("size"), "order", "id")
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    done = dealt.mapInArrow(_copies, f"{kind}, taken long")
+    return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("name").alias(source_col), "size", "source_size", "target", "rate", "taken")
