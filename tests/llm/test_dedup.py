@@ -6,8 +6,9 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from funnelforge.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from funnelforge.llm import exact_dedup, line_dedup, near_dedup, sieve, substring_dedup
 from funnelforge.llm.graph import components
 
 DOCS = "doc_id long, text string, extra string"
@@ -104,9 +105,71 @@ def test_lines_that_are_long_repeat_alone(spark):
     assert out[4]["kept"] == "" and out[6]["kept"] == "f\ng"
 
 
+def test_lines_of_rows_that_repeat_an_id_are_their_own(spark):
+    rows = [(1, "a\nb\nc"), (2, "z\na\nb\nc"), (2, "k\nl\nm\nn"), (2, "z\na\nb\nc"), (3, "a\nb\nc"), (3, "k\nl\nx")]
+    out = sorted((r["row"]["doc_id"], r["row"]["text"], r["kept"]) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert out == sorted([(1, "a\nb\nc", "a\nb\nc"), (2, "z\na\nb\nc", "z"), (2, "z\na\nb\nc", "z"), (2, "k\nl\nm\nn", "k\nl\nm\nn"), (3, "a\nb\nc", ""), (3, "k\nl\nx", "x")])
+
+
+def test_lines_clashing_names_and_long_texts(spark):
+    long = "\n".join(f"line {k}" for k in range(30_000))
+    rows = [(1, long, 1, 2, "a"), (2, f"first\n{long}\nlast", 3, 4, "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long, line long, row string").withColumn("id", F.lit("i")).withColumn("runs", F.lit(0))
+    out = {r["row"]["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert out[1]["kept"] == long and out[2]["kept"] == "first\nlast" and out[2]["row"]["h"] == 3 and out[2]["row"]["row"] == "b"
+
+
+def test_lines_are_native(spark):
+    found = line_dedup.dedup_lines(frame(spark, [(1, "a\nb"), (2, "a\nb")]))
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_line_ranks_are_places_in_the_order_of_suffixes(spark):
+    """Suffixes of equal rank share as many lines as the depth; ranks grow with the lines' ranks."""
+    docs = {1: "a b c a b d".split(), 2: "a b c".split(), 3: "c a b".split()}
+    df = spark.createDataFrame([(i, 0, "\n".join(x)) for i, x in docs.items()], "id long, h long, text string")
+    one = line_dedup._intervals(line_dedup.line_ids(df).select("id", "h", "line", "name"), "name")
+    rank = {(r["id"], r["line"]): r["rank"] for r in one.collect()}
+    two = line_dedup._intervals(line_dedup._doubled(one, 1), "rank", "after")
+    pairs = {}
+    for r in two.collect():
+        pairs.setdefault(r["rank"], set()).add(tuple(docs[r["id"]][r["line"] : r["line"] + 2]))
+        assert r["first"]["id"] <= r["id"]
+    assert all(len(x) == 1 for x in pairs.values()) and {next(iter(x)) for x in pairs.values()} == {("a", "b"), ("b", "c"), ("c", "a")}
+    keys = {docs[i][n]: k for (i, n), k in rank.items()}
+    in_order = [tuple(keys[x] for x in next(iter(pairs[k]))) for k in sorted(pairs)]
+    assert in_order == sorted(in_order)
+
+
 # substrings --------------------------------------------------------------------------
 
 
+def test_substring_spans_of_documents_are_held_by_earlier_ones(spark, documents):
+    """Over real texts: each span's bytes stand in keep_id's text, or before in its own."""
+    texts = {i: t.encode() for i, t in documents.items() if t is not None}
+    found = substring_dedup.repeated_spans(frame(spark, documents.items())).collect()
+    assert found
+    for r in found:
+        span = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert r["keep_id"] <= r["doc_id"] and r["bytes"] == len(span) >= 80
+        assert texts[r["keep_id"]].find(span) < (r["start"] if r["keep_id"] == r["doc_id"] else 1 << 40) and span in texts[r["keep_id"]]
+
+
+def test_substring_of_rows_that_repeat_an_id(spark):
+    rng = random.Random(9)
+    a, b, c = words(rng, 80), words(rng, 80), words(rng, 80)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, f"{c} {b}")]
+    df = frame(spark, rows).withColumn("h", F.lit("clash")).withColumn("end", F.lit(0)).withColumn("id", F.lit("x"))
+    found = substring_dedup.repeated_spans(df)
+    assert {(r["doc_id"], r["keep_id"]) for r in found.collect()} == {(2, 1), (3, 2)}
+    out = substring_dedup.without_spans(df, found)
+    left = sorted((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == df.columns and len(left) == 5
+    assert [t for i, t in left if i == 1] == [a] and [t for i, t in left if i == 2].count(b) == 2
+    assert len(min(t for i, t in left if i == 2)) < 80 and left[-1][1].startswith(c) and len(left[-1][1]) < len(c) + 150
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
@@ -260,6 +323,39 @@ def test_near_repeated_ids_and_empty_table(spark):
     assert near(spark, []) == {}
 
 
+def test_near_lists_with_few_outsiders_stay_in_proportion(spark):
+    """A list of 20,000 members of which three are outside its largest component."""
+    n, name = 20_000, lambda k: k.to_bytes(16, "big")
+    posted = spark.createDataFrame([(7, name(k)) for k in range(n)], "token long, rep binary")
+    comps = spark.createDataFrame([(name(k), name(0)) for k in range(n - 3)], "node binary, comp binary")
+    classes = spark.createDataFrame([(name(k), 100) for k in range(n)], "rep binary, n long")
+    units = near_dedup._units(posted, comps, classes, 256)
+    assert n <= units.count() <= n + 3 * (n // 512 + 2)
+    met = units.where("outside").count()
+    assert met == 3 * -(-n // 512) and units.groupBy("pack").count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_near_long_texts_and_clashing_names(spark):
+    rng = random.Random(8)
+    long = words(rng, 60_000)
+    rows = [(1, long), (2, long + " more words at the very end"), (3, "x" * 1_000_000), (4, "short text")]
+    df = spark.createDataFrame([(i, t, 1, "a") for i, t in rows], "doc_id long, text string, n int, digest string").withColumn("rep", F.lit(1))
+    out = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert out == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+
+
+def test_sieve_lacks_no_key_and_tells_repeated_ids_apart(spark):
+    keys = spark.range(0, 200_000, 7).selectExpr("id", "concat('k', id) as k")
+    rows = spark.range(0, 200_000).selectExpr("id as a", "concat('k', id) as b")
+    met = sieve.sieved(rows, sieve.sieve(keys), F.col("a"), F.col("b"))
+    assert met.columns == ["a", "b", "met"] and met.where("a % 7 = 0 and not met").isEmpty()
+    assert met.where("a % 7 <> 0 and met").count() < 2000
+    assert sieve.sieved(rows, sieve.sieve(keys.limit(0)), F.col("a"), F.col("b")).where("met").isEmpty()
+    apart = sieve.told_apart(frame(spark, [(1, "a"), (2, "b"), (2, "c"), (2, "b"), (None, "d")]), "doc_id", "text")
+    h = {(r["doc_id"], r["text"]): r["h"] for r in apart.collect()}
+    assert h[1, "a"] == 0 and h[2, "b"] != h[2, "c"] and 0 not in (h[2, "b"], h[2, "c"])
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 4), (7, 7), *((10, k) for k in range(11, 40)), *((k, k + 1) for k in range(50, 90))]
     found = {r["node"]: r["comp"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -70,6 +70,24 @@ def test_contamination_stage_drops_passages(spark, sf_dir, english):
     assert ids(P.drop_contaminated(spark, frame(spark, rows), sf_dir)) == [3, 4]
 
 
+@pytest.mark.parametrize("name, stage", P.STAGES)
+def test_stages_take_empty_tables_nulls_repeats_and_clashing_names(spark, sf_dir, name, stage, english):
+    """Repeated rows, nulls in any column, and extra columns named as those used inside."""
+    names = "_kept, _hits, _n_words, runs, kept, row, id, h, key, met, found, lang_pred, digest, rep, size, bucket".split(", ")
+    rows = [(1, english[0]), (1, english[0]), (1, english[1]), (None, english[2]), (2, None), (3, ""), (4, english[3] + "\n" + "word " * 50_000)]
+    docs = frame(spark, rows).union(spark.createDataFrame([(None, None, None, None, None)], COLUMNS))
+    wide = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    for df in (docs, wide):
+        out = stage(spark, df, sf_dir)
+        n = out.count()
+        if name == "mixing":
+            assert n == 8
+        else:
+            assert out.columns == df.columns and n <= 8 and {r["text"] for r in out.where("doc_id = 1").collect()} == {english[0], english[1]}
+        empty = stage(spark, df.limit(0), sf_dir)
+        assert empty.count() == 0 and (name == "mixing" or empty.columns == df.columns)
+
+
 def test_run_applies_all_stages(spark, sf_dir):
     """Each stage on what the one before kept, by hand; ``run`` gives the same rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,6 +6,7 @@ import random
 import re
 from zlib import crc32
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,34 @@ def test_language_edges_and_spans(spark, sf_dir):
     assert language_id.language(frame(spark, [])).count() == 0
 
 
+def test_language_paths_equal_a_plain_viterbi(spark, sf_dir):
+    """Word by word over the same scores, one text at a time."""
+    d = read(sf_dir, "documents")
+    model = language_id.fit(spark.createDataFrame(d[["text", "lang"]].dropna()))
+    texts = [t for t in d.text if t][:40] + ["a", "één двa 日本 ok", " ".join(str(t)[:60] for t in d.text[:30])]
+    for text, (path, sizes) in zip(texts, model.label(texts), strict=True):
+        words = language_id.Words(language_id._prepared([text]), language_id._letters)
+        scores = model._scores(words).astype(float)
+        best, came = scores[0].copy(), []
+        for row in scores[1:]:
+            top = max(range(len(best)), key=lambda k: (best[k], -k))
+            came.append([k if best[k] >= best[top] - model.switch else top for k in range(len(best))])
+            best = [max(best[k], best[top] - model.switch) + row[k] for k in range(len(best))]
+        at = max(range(len(best)), key=lambda k: (best[k], -k))
+        want = [at]
+        for step in reversed(came):
+            at = step[at]
+            want.append(at)
+        assert path.tolist() == want[::-1] and sizes.tolist() == (words.end - words.start).tolist()
+
+
+def test_language_in_the_place_of_clashing_names(spark):
+    df = frame(spark, [(1, "ein Wort", "de", "s"), (2, None, "de", "s")]).withColumn("lang_pred", F.lit("x")).withColumn("row", F.lit(1)).withColumn("found", F.lit(2))
+    out = language_id.identify(df, language_id.fit(df.where("text is not null").select("text", "lang")))
+    assert out.columns == ["doc_id", "text", "lang", "source", "size", "row", "found", "lang_pred", "lang_score"]
+    assert {r["doc_id"]: r["lang_pred"] for r in out.collect()} == {1: "de", 2: "und"}
+
+
 # archives ----------------------------------------------------------------------------
 
 
@@ -129,6 +158,22 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_ids_of_any_text_come_back(spark):
+    ids = ["a>b", "x\r\nWARC-Type: response", "é ?&=%41", "a b", "+", "c"]
+    df = spark.createDataFrame([(i, "u", "same", 5, "y") for i in ids], "page_id string, url string, html string, at int, body string")
+    out = {r["page_id"]: r for r in warc.round_trip(df).collect()}
+    first = min(ids)
+    assert set(out) == set(ids) and all(r["refers_to"] == (None if i == first else first) for i, r in out.items())
+
+
+def test_warc_moves_only_payloads_that_may_repeat(spark):
+    """Unique payloads go from the scan to the archive; of repeated ones, one a task is moved."""
+    rows = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, 'hot payload', concat('p', id)) as html")
+    out = warc.round_trip(rows)
+    kinds = {(r["record_type"], r["refers_to"]): r["n"] for r in out.groupBy("record_type", "refers_to").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {("response", None): 2001, ("revisit", 0): 999}
+
+
 def test_warc_payloads_in_small_splits_and_broken_chains(spark):
     pages = spark.range(200).selectExpr("id as page_id", "concat('u', id) as url", "repeat(concat('WARC/1.0\r\n', id), 40) as html")
     path = scratch_path(spark, "warc-test")
@@ -192,6 +237,28 @@ def test_quality_edges(spark):
     assert quality.quality(frame(spark, []), labels).count() == 0
 
 
+def test_quality_scores_equal_a_plain_discriminant(spark):
+    """Density by density with numpy's own inverse and determinant."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, len(quality.NAMES))) * np.arange(1, len(quality.NAMES) + 1)
+    y = (x[:, 0] + x[:, 3] > 0).astype(int)
+    model = quality.fit(spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y, strict=True)], "stats array<double>, label int"))
+    d, logs, shrink, ridge = x.shape[1], [], 0.1, 0.1
+    own = [x[y == c] for c in (0, 1)]
+    pooled = sum(((o - o.mean(0)).T @ (o - o.mean(0))) for o in own) / (len(x) - 2)
+    scale = np.sqrt(np.diag(pooled))
+    pooled = pooled / np.outer(scale, scale)
+    for o in own:
+        cov = np.cov(o.T) / np.outer(scale, scale)
+        lean = min(1.0, shrink + d / (d + len(o)))
+        mixed = (1 - lean) * cov + lean * pooled
+        mixed = (1 - ridge) * mixed + ridge * np.diag(np.diag(mixed)) + 1e-3 * np.eye(d)
+        away = (x - o.mean(0)) / scale
+        logs.append(-0.5 * (np.einsum("ni,ij,nj->n", away, np.linalg.inv(mixed), away) + np.log(np.linalg.det(mixed))))
+    want = 1 / (1 + np.exp(-np.clip(logs[1] - logs[0] + np.log((len(own[1]) + 1) / (len(own[0]) + 1)), -30, 30)))
+    assert np.abs(model.scores(x) - want).max() < 1e-9
+
+
 # contamination -----------------------------------------------------------------------
 
 
@@ -224,6 +291,19 @@ def test_contamination_against_brute_force(spark, block, monkeypatch):
     assert got == sorted((r["doc_id"], *brute_hits(r["text"], items)) for r in df.collect())
 
 
+def test_contamination_in_many_blocks_is_one_scan_each(spark):
+    """Windows of different blocks overlap in one passage; no plan holds more than one scan."""
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(20)]
+    docs = [(k, f"before {t} after", None, None) for k, t in items] + [(100, "nothing here", None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    _, found = decontamination.find_contamination(frame(spark, docs), bench, block=24)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r["items"]): (r["n_words"], r["n_hit"], [(s["start"], s["end"]) for s in r["spans"]]) for r in found.collect()}
+    assert len(got) == 20 and all(n == 32 and hit == 30 for n, hit, _ in got.values())
+    left = decontamination.decontaminated(frame(spark, docs), bench, "spans").collect()
+    assert sorted({r["text"] for r in left}) == ["before  after", "nothing here"]
+
+
 def test_contamination_removal(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
     df = frame(spark, [(1, "say One, two three!", "en", "s"), (2, "clean", "en", "s"), (3, None, None, None)]).withColumn("_hits", F.lit(1)).withColumn("_n_words", F.lit(2))
