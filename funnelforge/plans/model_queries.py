@@ -5,8 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from funnelforge.operators import assemble, model, profile
-from funnelforge.plans.tables import LEAD_COLUMNS, LEADS_SQL, leads, table
+from funnelforge.operators import assemble, derive, model, profile
+from funnelforge.plans.tables import LEAD_COLUMNS, LEADS_SQL, VC_SQL, leads, table
 from funnelforge.session import scratch_path, stored
 from funnelforge.sources import audit, enrich, ingest
 
@@ -72,6 +72,32 @@ def s6_saved_dataset(spark, sf_dir):
     return audit.load_dataset(spark, path).select("lead_id", "source", "disposition")
 
 
+def s7_saved_report(spark, sf_dir):
+    """A report written as JSON lines and read back."""
+    path = scratch_path(spark, "report")
+    audit.save_report(profile.blank_rates(profile.value_counts(leads(spark, sf_dir))), path)
+    return spark.read.schema("col string, blank_rate double, nullable boolean").json(path).withColumn("blank_rate", F.round("blank_rate", 6))
+
+
+def s8_audit_rows(spark, sf_dir):
+    """Rows of two jobs appended to one table."""
+    path = scratch_path(spark, "audit-rows")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    audit.append(rows.where("id % 2 = 0"), path)
+    audit.append(rows.where("id % 2 = 1"), path)
+    return spark.read.parquet(path)
+
+
+def s10_cleaned_lineage(spark, sf_dir):
+    """A cleaned dataset beside the raw one that it came from."""
+    root = scratch_path(spark, "lineage")
+    raw = leads(spark, sf_dir)
+    audit.register_dataset(raw.where("phone is not null"), root, "cleaned", audit.register_dataset(raw, root, "raw"))
+    found = spark.read.parquet(f"{root}/datasets")
+    from_ = found.select(F.col("id").alias("source_id"), F.col("name").alias("raw_name"), F.col("n_rows").alias("raw_rows"))
+    return found.join(from_, "source_id").select("name", "raw_name", "raw_rows", "n_rows")
+
+
 def s9_register_dataset(spark, sf_dir):
     """A raw and a cleaned dataset with the link between them."""
     root = scratch_path(spark, "audit")
@@ -179,6 +205,17 @@ def m7_ordinal_violations(spark, sf_dir):
     return model.ordinal_violations(o.select(((F.col("o_orderkey") % 100) / 90).alias("a"), ((F.col("o_orderkey") % 13) / 12).alias("b")), ["a", "b"])
 
 
+def m2_fit_stage(spark, sf_dir):
+    """The model of one stage: held-out rows, probabilities among them, and whether rows that
+    went further have the higher mean."""
+    train, test = _sides(spark, sf_dir)
+    rows = derive.stage_rows(train, "disposition", FUNNEL, 0)
+    features = model.pin(rows, NUMERIC, CATEGORICAL)
+    held = model.probability(derive.stage_rows(test, "disposition", FUNNEL, 0), model.fit_stage(rows, features, 3, 3), features, "p")
+    mean = lambda y: F.avg(F.when(F.col("y") == y, F.col("p")))
+    return held.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("p").between(0, 1), 1)).alias("n_probability"), (mean(1) > mean(0)).alias("tells_apart"))
+
+
 def m6_chained_scores(spark, sf_dir):
     """Whether each score is the product of its stages' probabilities: rows, and those that hold."""
     chain, test = _chain(spark, sf_dir)
@@ -205,6 +242,16 @@ def m11_evaluate_run(spark, sf_dir):
     return totals.join(cuts, "stage").join(found["capture"].groupBy("stage").agg(F.count(F.lit(1)).alias("n_shares")), "stage").select(F.col("stage").cast("long").alias("stage"), "n", "n_positive", "n_tiers", "n_cutoffs", "n_shares")
 
 
+def m14_saved_run(spark, sf_dir):
+    """A scored batch that is persisted with an audit row of the run."""
+    chain, test = _chain(spark, sf_dir, "baseline")
+    root = scratch_path(spark, "predictions")
+    audit.save_predictions(model.score_batch(test, chain, "row_id", [0.5], "b7"), root, "b7", "held-out")
+    runs = spark.read.parquet(f"{root}/runs")
+    rows = spark.read.parquet(f"{root}/predictions/*").agg(F.count(F.lit(1)).alias("n_scored"), F.countDistinct("row_id").alias("n_ids"))
+    return runs.select("bundle_id", "batch", "n_rows").crossJoin(F.broadcast(rows))  # one row
+
+
 def m12_bundle(spark, sf_dir):
     """A bundle that is saved and loaded scores every row as the chain itself."""
     chain, test = _chain(spark, sf_dir, "dual")
@@ -274,9 +321,10 @@ def v4_similarity(spark, sf_dir):
 
 
 QUERIES = [
-    s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s5_same_content, s6_saved_dataset, s9_register_dataset, s12_exported_csv,
+    s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s5_same_content, s6_saved_dataset, s7_saved_report, s8_audit_rows,
+    s9_register_dataset, s10_cleaned_lineage, s12_exported_csv,
     j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
-    m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch,
+    m2_fit_stage, m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch, m14_saved_run,
     v4_similarity,
 ]
 
@@ -300,6 +348,9 @@ SQL = {
     "s6_saved_dataset": LEADS_SQL + " SELECT lead_id, source, disposition FROM leads",
     "s9_register_dataset": LEADS_SQL + ", h AS (SELECT disposition, CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0))" for c in LEAD_COLUMNS) + """)), 1, 15) AS HUGEINT) AS h FROM leads)
       SELECT 'raw' AS name, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS fingerprint, FALSE AS has_source FROM h UNION ALL SELECT 'cleaned', count(*), CAST(sum(h) AS VARCHAR), TRUE FROM h WHERE disposition IS NOT NULL""",
+    "s7_saved_report": VC_SQL + r" SELECT col, round(sum(CASE WHEN value IS NULL OR regexp_full_match(value, '\s*') THEN n ELSE 0 END) / sum(n), 6) AS blank_rate, bool_or(value IS NULL OR regexp_full_match(value, '\s*')) AS nullable FROM vc GROUP BY 1",
+    "s8_audit_rows": "SELECT c_custkey AS id, c_mktsegment AS name FROM customer",
+    "s10_cleaned_lineage": LEADS_SQL + " SELECT 'cleaned' AS name, 'raw' AS raw_name, count(*) AS raw_rows, count(phone) AS n_rows FROM leads",
     "s12_exported_csv": LEADS_SQL + " SELECT lead_id, phone, notes FROM leads",
     "j7_run_history": """WITH s AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'), b AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT * FROM s))
       SELECT 'dataset' AS kind, CAST(r_regionkey AS BIGINT) AS id FROM region WHERE r_name = 'ASIA' UNION ALL SELECT 'split', n_nationkey FROM s UNION ALL SELECT 'bundle', c_custkey FROM b UNION ALL SELECT 'run', o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM b)""",
@@ -313,6 +364,8 @@ SQL = {
     "m5_blend": "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey % 2 = 0 THEN 0.65 * (o_orderkey % 100 / 100) + 0.35 * (o_orderkey % 7 / 7) ELSE o_orderkey % 7 / 7 END, 6) AS p FROM orders",
     "m7_ordinal_violations": "SELECT count(*) FILTER (o_orderkey % 100 / 90 > 1 OR (o_orderkey % 100 / 90) * (o_orderkey % 13 / 12) > 1) AS n FROM orders",
     "v4_similarity": "SELECT p_partkey, round(2.0 * length(p_name) / (2 * length(p_name) + 1), 6) AS longer, CAST(0 AS DOUBLE) AS other FROM part",
+    "m2_fit_stage": "SELECT count(*) AS n, count(*) AS n_probability, TRUE AS tells_apart FROM orders WHERE o_orderkey % 5 = 0",
+    "m14_saved_run": "SELECT 'b7' AS bundle_id, 'held-out' AS batch, count(*) AS n_rows, count(*) AS n_scored, count(DISTINCT o_orderkey) AS n_ids FROM orders WHERE o_orderkey % 5 = 0",
     "m6_chained_scores": "SELECT count(*) AS n, count(*) AS n_product FROM orders WHERE o_orderkey % 5 = 0",
     "m10_train_run": """WITH t AS (SELECT * FROM orders WHERE o_orderkey % 5 <> 0), r AS (SELECT o_orderpriority AS p, avg(CAST(o_orderkey % 2 = 0 AS INTEGER)) AS h FROM t GROUP BY 1)
       SELECT 'gate' AS kind, 'target_leakage' AS name, 'true' AS value UNION ALL SELECT 'gate', 'post_event_features', 'true' UNION ALL SELECT 'gate', 'formula:age', 'true'

@@ -57,6 +57,15 @@ def register_dataset(df: DataFrame, root: str, name: str, source_id: str | None
     return key
 
 
+def save_predictions(scored: DataFrame, root: str, bundle_id: str, batch: str) -> str:
+    """Persists the scored rows of a batch and an audit row of the run; returns its id."""
+    spark = scored.sparkSession
+    path = f"{root}/predictions/{batch}-{uuid.uuid4().hex}"
+    save_dataset(scored, path)
+    n = load_dataset(spark, path).count()
+    return record(spark, f"{root}/runs", bundle_id=bundle_id, batch=batch, path=path, n_rows=n)
+
+
 def merchants(tables: list[DataFrame]) -> DataFrame:
     """The distinct merchants of several tables."""
     out = tables[0].select("merchant")
