@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from funnelforge.llm.words import sliced, small_batches
 from funnelforge.session import stored
 
 #: The statistics of a text, in order.
@@ -112,7 +113,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def measure(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
+        for b in sliced(rows, 1):
             found = [statistics(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(found, pa.list_(pa.float64()))], ["id", "stats"])
 
@@ -154,9 +155,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     Labels other than 0 and 1 and null ids teach nothing; an id with several labels
     teaches each. Without rows of both labels every score is the share of 1 among what
     there is, (n + 1) / (n + 2) smoothed. Null texts are scored as empty ones. Every
-    labelled row that is not held out is learned from.
+    labelled row that is not held out is learned from. Equal texts get equal scores, and
+    0.5 is predicted 1; texts of any length count whole; an empty table gives no rows; other
+    columns are not read.
     """
-    rows = stored(with_statistics(docs, id_col, text_col), "quality-statistics")
+    with small_batches(docs.sparkSession):
+        rows = stored(with_statistics(docs, id_col, text_col), "quality-statistics")
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
     model = fit(rows.where(~held_out("id")).join(known, "id"))
     held = docs.sparkSession.sparkContext.broadcast(model)
