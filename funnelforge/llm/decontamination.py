@@ -78,9 +78,9 @@ class Finder:
         words = Words(grams, ALNUM)
         return windows(rolled(words.hashes()), len(words.start), n)[words.first[:-1]]
 
-    def __call__(self, texts: list[bytes]) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]], list[int]]]:
-        """(text, its words, ranges, window numbers) of each text with hits. Ranges are what
-        overlapping occurrences cover: first word, end word, first byte, end byte."""
+    def __call__(self, texts: list[bytes], everything: bool = False) -> Iterator[tuple[int, int, list[tuple[int, int, int, int]], list[int]]]:
+        """(text, its words, ranges, window numbers) of each text with hits, or of every text.
+        Ranges are what overlapping occurrences cover: first word, end word, first byte, end byte."""
         for at, part in batches(texts):
             words = Words([plain(t) for t in part], ALNUM)
             n = len(words.start)
@@ -94,7 +94,8 @@ class Finder:
                         gram = b" ".join(words.joined[words.start[j] : words.end[j]] for j in range(k, k + size))
                         if (number := self.numbers.get(gram)) is not None:
                             found.setdefault(owner, []).append((k, k + size, number))
-            for owner, hits in sorted(found.items()):
+            for owner in range(len(part)) if everything else sorted(found):
+                hits = found.get(owner, [])
                 covered: list[list[int]] = []
                 for a, z, _ in sorted(hits):
                     if covered and a < covered[-1][1]:
@@ -109,47 +110,57 @@ class Finder:
 _SPAN = "struct<start:int,end:int,a:int,b:int>"
 
 
-def _scan(texts: DataFrame, grams) -> DataFrame:
-    """(key, n_words, spans, grams) of the distinct ``texts`` (key, text) with hits."""
+def _scan(rows: DataFrame, grams, everything: bool) -> DataFrame:
+    """``rows`` (text as the last column) with n_words, spans and grams in the text's place;
+    without ``everything`` only rows with hits."""
     span = pa.list_(pa.struct([(x, pa.int32()) for x in ("start", "end", "a", "b")]))
+    kept = rows.columns[:-1]
+    last = len(kept)
 
-    def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(grams.value)
-        for b in sliced(rows, 1):
-            at, n, spans, numbers = zip(*found, strict=True) if (found := list(finder(as_bytes(b.column(1))))) else ((), (), (), ())
+        for b in sliced(batches, last):
+            at, n, spans, numbers = zip(*found, strict=True) if (found := list(finder(as_bytes(b.column(last)), everything))) else ((), (), (), ())
             named = [[dict(zip(("start", "end", "a", "b"), x, strict=True)) for x in own] for own in spans]
-            columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), pa.array(named, span), pa.array(numbers, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["key", "n_words", "spans", "grams"])
+            own = pa.array(at, pa.int64())
+            columns = [*(b.column(k).take(own) for k in range(last)), pa.array(n, pa.int64()), pa.array(named, span), pa.array(numbers, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, [*kept, "n_words", "spans", "grams"])
 
-    return texts.mapInArrow(scan, f"key string, n_words long, spans array<{_SPAN}>, grams array<long>").dropDuplicates(["key"])
+    kinds = "".join(f"{c} {t}, " for c, t in rows.dtypes[:-1])
+    return rows.mapInArrow(scan, f"{kinds}n_words long, spans array<{_SPAN}>, grams array<long>")
 
 
 def _key(text: str) -> Column:
     return F.md5(F.col(text).cast("binary"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """(key, n_words, n_hit, items, spans) of each distinct text of ``docs`` with hits: the md5
-    digest of the text, its words, how many of them are hit, the items whose windows occur
-    as sorted ids, and the hit stretches in order as ranges of words and bytes.
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, size: int = 13, text_col: str = "text", item_col: str = "item_id", block: int = BLOCK, everything: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The first pass over ``docs``, and (key, n_words, n_hit, items, spans) of each distinct
+    text with hits: the md5 digest of the text, its words, how many of them are hit, the items
+    whose windows occur as sorted ids, and the hit stretches in order as ranges of words and bytes.
 
-    Nulls, empty texts and empty tables give no rows. A benchmark of more than ``block``
-    window texts, or of more than BLOCK_BYTES, takes a pass over the texts for each block.
+    The first pass has key, n_words and the other columns of ``docs`` for each row with hits,
+    or with ``everything`` for each row. Null texts are empty; empty texts and tables
+    have no hits. A benchmark of more than ``block`` window texts, or of more than
+    BLOCK_BYTES, takes a pass over the texts for each block.
     """
-    spark = docs.sparkSession
+    rows = docs.select(_key(text_col).alias("key"), *(c for c in docs.columns if c != text_col), F.col(text_col).alias("text"))
+    spark = rows.sparkSession
     cuts = stored(benchmark_windows(benchmark, size, item_col), "benchmark-windows")
     grams = stored(cuts.select("gram", "n_words").distinct().withColumn("number", F.monotonically_increasing_id()), "benchmark-grams")
     total = grams.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0)).alias("bytes")).first()
     n_blocks = max(1, -(-total["n"] // block), -(-total["bytes"] // BLOCK_BYTES))
-    texts = docs.select(_key(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
-    found = []
+    passes = []
     for k in range(n_blocks):
         own = grams.where(F.pmod(F.xxhash64("gram"), F.lit(n_blocks)) == k)
         held = spark.sparkContext.broadcast([(bytes(r["gram"]), r["n_words"], r["number"]) for r in own.toLocalIterator()])
         with small_batches(spark):
-            found.append(stored(_scan(texts, held), "benchmark-hits"))
+            passes.append(stored(_scan(rows, held, everything and not k), "benchmark-hits"))
         held.destroy()
-    hits = reduce(DataFrame.unionByName, found)
+    # Equal texts have equal hits: each counts once before they meet.
+    hits = reduce(DataFrame.unionByName, (p.where(F.size("grams") > 0).select("key", "n_words", "spans", "grams").dropDuplicates(["key"]) for p in passes))
     items = hits.select("key", F.explode("grams").alias("number")).join(grams, "number").join(cuts.where("item is not null"), ["gram", "n_words"])
     items = items.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     # Windows of different blocks may overlap: a word counts once.
@@ -158,10 +169,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, te
     more = lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), (acc["n"] + F.greatest(s["end"] - F.greatest(acc["end"], s["start"]), F.lit(0))).alias("n"))
     n_hit = F.aggregate("spans", begin, more, lambda acc: acc["n"])
     met = spans.join(items, "key", "left")
-    return stored(met.select("key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans"), "benchmark-found")
+    found = stored(met.select("key", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "spans"), "benchmark-found")
+    return passes[0], found
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 20, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word inside any occurrence of a benchmark window is hit; a document is contaminated
@@ -171,10 +183,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     other columns are not read.
     """
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = find_contamination(narrow, benchmark, text_col="text")
+    first, found = find_contamination(narrow, benchmark, block=block, everything=True)
     found = found.select("key", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
-    words = F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long")
-    rows = narrow.select("id", words.alias("n_words"), _key("text").alias("key")).join(found, "key", "left")
+    rows = first.select("id", "n_words", "key").join(found, "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return rows.select(
         F.col("id").alias(id_col),
@@ -186,10 +197,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
 
 
-#: Fixed value: a word of any case.
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
 def _without(text: str, spans: str) -> Column:
     """The text without the stretches."""
     body = F.encode(F.col(text), "UTF-8")
@@ -208,7 +215,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, remove: str = "documen
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove!r}")
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), _key(text_col).alias("key"))
-    found = find_contamination(rows.select("text"), benchmark, text_col="text")
+    _, found = find_contamination(rows.select("text"), benchmark, text_col="text")
     if remove == "documents":
         found = found.where(F.col("n_hit") * share >= F.col("n_words")).select("key")
     marked = sieved(rows, sieve(found.select("key")), F.col("key"))
