@@ -107,7 +107,7 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
 def candidates(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(file, file_size, block, row, step, mark, head, length, whole) and ``fields`` of each
     candidate. head and length are null without readable headers; ``whole`` tells
-    whether the text holds as many bytes as its headers name, and only then there are fields.
+    whether the text holds as many bytes as its headers name; else fields are of null.
     """
     text = F.col("text")
     end = F.instr(text, BLANK)
@@ -118,7 +118,9 @@ def candidates(spark: SparkSession, path: str, fields: dict[str, Callable[[Colum
     whole = F.coalesce(F.octet_length("head") + len(BLANK) + F.col("length") <= size, F.lit(False))
     # All but the last row of a file are followed by the magic.
     rows = rows.withColumns({"step": size + len(MAGIC), "whole": whole})
-    own = [F.when(F.col("whole"), f(_payload(text, F.col("head"), F.col("length")))).alias(f"_f_{k}") for k, f in fields.items()]
+    # A column of its own: what fields share is computed once only outside of a condition.
+    rows = rows.withColumn("payload", F.when(F.col("whole"), _payload(text, F.col("head"), F.col("length"))))
+    own = [f(F.col("payload")).alias(f"_f_{k}") for k, f in fields.items()]
     return rows.select("file", "file_size", "block", "row", "step", "mark", "head", "length", "whole", *own)
 
 
