@@ -204,7 +204,7 @@ def eigenvectors(a: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarra
         x, values = x[:, order], values[order]
         for part in _clusters(values, max(near, CLUSTER)):
             own = x[:, part]
-            block = own.T @ (a @ own - values[part].mean() * own)
+            block = own.T @ ((a - values[part].mean() * np.eye(len(a), dtype=WIDE)) @ own)
             block = (block + block.T) / 2
             most = float(np.abs(block).max(initial=0))
             if most > tiny:
