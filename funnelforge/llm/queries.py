@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelforge.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, quality, spelling, substring_dedup, token_counts, warc, whitening
+from funnelforge.llm import decontamination, exact_dedup, language_id, line_dedup, mixing, near_dedup, pii, quality, spelling, substring_dedup, token_counts, warc, whitening
 
 #: The vocabulary that op4 counts with.
 VOCABULARY = "word_bpe_49k.json"
@@ -81,13 +81,17 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_mix_sources, op2_language_id, op3_warc, op4_token_counts, op5_quality,
             op6_decontamination, op7_substring_dedup, op8_line_dedup, op9_near_dedup, op10_exact_dedup,
-            op11_whitening, op12_spelling_variants,
+            op11_whitening, op12_spelling_variants, op13_personal_data,
         )
     }
 
