@@ -116,6 +116,6 @@ def sum_invariant(total: str, parts: list[str], tolerance: float = 1e-6) -> Colu
     return F.coalesce(gap <= tolerance, F.lit(True))
 
 
-def le_invariant(small: str, large: str) -> Column:
+def le_invariant(small: str, large: str, tolerance: float = 1e-6) -> Column:
     """small <= large; a null on either side holds."""
-    return F.coalesce(F.col(small) <= F.col(large), F.lit(True))
+    return F.coalesce(F.col(small) <= F.col(large) + tolerance, F.lit(True))

@@ -161,6 +161,56 @@ def v2_run_summary(spark, sf_dir):
     return assemble.run_summary(stored(enrich.run_source(leads(spark, sf_dir), adapter, "run1"), "responses"))
 
 
+def _logged(spark, sf_dir):
+    """The folder of a run that was stopped after three of eight slices and taken up again, and
+    of a run of another source; and these sources."""
+    root = scratch_path(spark, "enrichment")
+    digit = lambda name: (lambda df: df.withColumn(name, F.col("payload.digit")))
+    sources = enrich.Registry(*(enrich.Adapter(s, _digits, digit(f"{s}_digit"), (f"{s}_digit",), "digit int") for s in ("first", "second")))
+    df = leads(spark, sf_dir)
+    enrich.resume(df, sources["first"], root, "run1", retries=0, slices=8, most=3)
+    enrich.resume(df, sources["first"], root, "run1", retries=0, slices=8)
+    enrich.run_enrichment(df, [sources["second"]], root, retries=0, slices=2)
+    return root, sources
+
+
+def _digits(rows: pd.DataFrame) -> pd.DataFrame:
+    """The stub's answers, with the key's last digit as the payload."""
+    return _stub(rows).assign(payload_json=[f'{{"digit": {k[-1]}}}' for k in rows["key"] if k[-1] != "9"])
+
+
+def v2_resumed_run(spark, sf_dir):
+    """Each lead's answer of a run that was taken up again, and how many final ones it has."""
+    root, _ = _logged(spark, sf_dir)
+    log = enrich.response_log(spark, root).where("source = 'first'")
+    n = log.where(F.col("status").isin(*enrich.FINAL)).groupBy("lead_id").agg(F.count(F.lit(1)).alias("n_final"))
+    return enrich.final_responses(log).join(n, "lead_id", "left").select("lead_id", "status", F.coalesce("n_final", F.lit(0)).alias("n_final"))
+
+
+def v2_assembled_runs(spark, sf_dir):
+    """Leads with what the last runs of two sources have of them."""
+    root, sources = _logged(spark, sf_dir)
+    found = enrich.assembled(leads(spark, sf_dir).select("lead_id"), root, sources)
+    timed = F.col("first_fetched_at").isNotNull() & F.col("second_fetched_at").isNotNull()
+    return found.select("lead_id", "first_match_status", "first_digit", "first_is_enriched", "second_match_status", "second_digit", "second_is_enriched", timed.alias("timed"))
+
+
+def v2_run_checks(spark, sf_dir):
+    """A run of each source and one more of the first: whether the log agrees with their rows."""
+    root, sources = _logged(spark, sf_dir)
+    enrich.resume(leads(spark, sf_dir), sources["first"], root, "run2", retries=0, slices=4)
+    checked = assemble.batch_invariants(enrich.runs(spark, root), enrich.final_responses(enrich.response_log(spark, root)))
+    return checked.select("run_id", "n_repeated", "counts_agree", (F.col("spread_seconds") >= 0).alias("in_order"))
+
+
+def v2_timing_leaks(spark, sf_dir):
+    """Responses of the last runs fetched after an outcome of long ago; others lie far ahead."""
+    root, _ = _logged(spark, sf_dir)
+    k = F.col("lead_id").cast("long")
+    outcomes = leads(spark, sf_dir).where(k % 3 > 0).select("lead_id", F.when(k % 3 == 1, F.lit("2001-01-01")).otherwise("2901-01-01").cast("timestamp").alias("outcome_at"))
+    return enrich.timing_leaks(root, outcomes).select("source", "lead_id")
+
+
 FUNNEL = ["O", "P", "F"]
 NUMERIC, CATEGORICAL, RICH = ["age", "rich_score"], ["priority"], ["rich_score"]
 
@@ -323,7 +373,7 @@ def v4_similarity(spark, sf_dir):
 QUERIES = [
     s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s5_same_content, s6_saved_dataset, s7_saved_report, s8_audit_rows,
     s9_register_dataset, s10_cleaned_lineage, s12_exported_csv,
-    j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
+    j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, v2_resumed_run, v2_assembled_runs, v2_run_checks, v2_timing_leaks, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
     m2_fit_stage, m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch, m14_saved_run,
     v4_similarity,
 ]
@@ -359,6 +409,11 @@ SQL = {
     "w10_next_versions": "SELECT o_custkey AS merchant, max(o_orderkey) + 1 AS next_version, arg_max(o_orderpriority, o_orderkey) AS profile FROM orders GROUP BY 1",
     "v2_enrichment_run": _PHONES + f" SELECT lead_id, {_STATUS} AS status, CAST(CASE WHEN p IS NULL THEN 0 WHEN {_STATUS} = 'ERROR' THEN 2 ELSE 1 END AS INTEGER) AS attempts FROM k",
     "v2_run_summary": _PHONES + f", s AS (SELECT {_STATUS} AS s FROM k) SELECT 'run1' AS run_id, count(*) AS rows_attempted, count(*) FILTER (s = 'SUCCESS_MATCHED') AS matched, count(*) FILTER (s = 'SUCCESS_NO_HIT') AS no_hit, count(*) FILTER (s = 'ERROR') AS error, count(*) FILTER (s = 'NOT_SENT') AS not_sent FROM s",
+    "v2_resumed_run": _PHONES + f" SELECT lead_id, {_STATUS} AS status, CAST({_STATUS} <> 'ERROR' AS BIGINT) AS n_final FROM k",
+    "v2_assembled_runs": _PHONES + f", a AS (SELECT lead_id, {_STATUS} AS s, CASE WHEN {_STATUS} = 'SUCCESS_MATCHED' THEN CAST(right(p, 1) AS INTEGER) END AS d FROM k)"
+    " SELECT lead_id, s AS first_match_status, d AS first_digit, d IS NOT NULL AS first_is_enriched, s AS second_match_status, d AS second_digit, d IS NOT NULL AS second_is_enriched, TRUE AS timed FROM a",
+    "v2_run_checks": "SELECT unnest(['run1', 'run2']) AS run_id, CAST(0 AS BIGINT) AS n_repeated, count(*) > 0 AS counts_agree, TRUE AS in_order FROM customer",
+    "v2_timing_leaks": LEADS_SQL + " SELECT unnest(['first', 'second']) AS source, lead_id FROM leads WHERE CAST(lead_id AS BIGINT) % 3 = 1",
     "m1_encode": _FRAME + " SELECT row_id, round(coalesce(rich_score, -1), 6) AS rich_score__value, CAST(rich_score IS NULL AS DOUBLE) AS rich_score__missing, CASE priority WHEN '1-URGENT' THEN 0.0::DOUBLE WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 ELSE 3 END AS priority__index FROM f",
     "p6_project": _FRAME + " SELECT row_id, age, CASE WHEN priority IN ('1-URGENT', '5-LOW') THEN priority END AS priority FROM f",
     "m5_blend": "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey % 2 = 0 THEN 0.65 * (o_orderkey % 100 / 100) + 0.35 * (o_orderkey % 7 / 7) ELSE o_orderkey % 7 / 7 END, 6) AS p FROM orders",
