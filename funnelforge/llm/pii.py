@@ -42,6 +42,8 @@ _TOKEN = re.compile(r"(?<![0-9A-Za-z_])[A-Za-z_]*+[0-9][0-9A-Za-z_]*+")
 NUMBER_DIGITS, TOKEN_LENGTH, TOKEN_DIGITS = 7, 6, 3
 
 BITS = 1 << 25
+#: Counts that a task keeps before it hands them on.
+HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -208,7 +210,7 @@ def occurrences(docs: DataFrame, text_col: str, keys: DataFrame, most: int) -> D
     shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, held = shared.value, []
         for b in sliced(rows, 0):
             w = Words([(t or b"").lower() for t in b.column(0).cast(pa.binary()).to_pylist()], ALNUM)
             prefix, n, owner = rolled(w.hashes()), len(w.start), w.owner()
@@ -218,12 +220,29 @@ def occurrences(docs: DataFrame, text_col: str, keys: DataFrame, most: int) -> D
                 key = ranges(prefix, at, at + k)
                 place = key & np.uint64(BITS - 1)
                 hit = key[(known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                got, times = np.unique(hit, return_counts=True)
-                yield pa.record_batch([pa.array(got.astype(np.int64)), pa.array(times.astype(np.int64))], ["key", "n"])
+                held.append(np.unique(hit, return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield _totals(held.pop())
+        if held:
+            yield _totals(_merged(held))
 
     return docs.select(F.col(text_col)).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("total"))
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of several counts, and their sums."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+    return keys, sums
+
+
+def _totals(counts: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(counts[0].astype(np.int64)), pa.array(counts[1])], ["key", "n"])
+
+
 def _fits(kind: Column, shape: Column) -> Column:
     """Whether a candidate of the shape may be of the kind."""
     pairs = [F.struct(F.lit(KINDS.index(k)).alias("k"), F.lit(SHAPES.index(s)).alias("s")) for k, shapes in FITS.items() for s in shapes]
