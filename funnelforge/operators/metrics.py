@@ -6,8 +6,10 @@ stages are measured in one pass. Rows with a null y or score are left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ CLIP = 1e-15
 TIERS = 10
 CAPTURE = (0.60, 0.65, 0.70, 0.75)
 SPARSE_BOTTOM, RESAMPLES = 20, 2000
+#: Resamples that are drawn at once.
+DRAWS = 250
 
 
 def _clean(scored: DataFrame) -> DataFrame:
@@ -108,26 +112,33 @@ def capture_thresholds(placed: DataFrame, shares: tuple[float, ...] = CAPTURE, g
     return met.groupBy(*(group or []), "share").agg((100.0 * F.min("position") / F.max("rows")).alias("population_pct"))
 
 
-def bootstrap_ratio(tiers: DataFrame, k: int = TIERS, resamples: int = RESAMPLES, seed: int = 7) -> DataFrame:
-    """(low, high): 95 % interval of the top to bottom ratio where the bottom tier has
-    few positives; 0/1 labels make a resample's mean a binomial draw. No row otherwise."""
-    ends = tiers.groupBy().agg(
+def bootstrap_ratio(tiers: DataFrame, k: int = TIERS, resamples: int = RESAMPLES, seed: int = 7, group: list[str] | None = None) -> DataFrame:
+    """(group, low, high): 95 % interval of the top to bottom ratio of each group whose
+    bottom tier has few positives; no row for others, and none where every resample has an
+    empty bottom. 0/1 labels make a resample's mean a binomial draw. Draws are dealt by group
+    and part, and depend on these and the seed alone."""
+    group = group or []
+    ends = tiers.groupBy(*group).agg(
         *(F.max(F.when(F.col("tier") == t, F.col(c))).alias(f"{c}_{t}") for t in (1, k) for c in ("n", "n_positive"))
     ).where(F.col(f"n_positive_{k}") < SPARSE_BOTTOM)
-    draws = tiers.sparkSession.range(0, resamples, 1, 4).crossJoin(F.broadcast(ends))  # one row
+    parts = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))).alias("part")
+    named = F.xxhash64(F.lit("group"), *group)
+    rows = ends.select(F.struct(*group, named.alias("_h")).alias("g"), "n_1", "n_positive_1", f"n_{k}", f"n_positive_{k}", parts).repartition("g", "part")
 
-    def draw(rows):
-        for pdf in rows:
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0).field("_h").to_pylist()
             out = []
-            for i, n1, p1, n2, p2 in pdf.itertuples(index=False):
-                g = np.random.default_rng([seed, int(i)])
-                top, bottom = g.binomial(n1, p1 / n1) / n1, g.binomial(n2, p2 / n2) / n2
-                if bottom:
-                    out.append(top / bottom)
-            yield pd.DataFrame({"ratio": out}, dtype="float64")
+            for h, n1, p1, n2, p2, part in zip(names, *(b.column(c).to_pylist() for c in range(1, 6)), strict=True):
+                g, m = np.random.default_rng([seed, h & (2**64 - 1), part]), min(DRAWS, resamples - part * DRAWS)
+                top, bottom = g.binomial(n1, p1 / n1, m) / n1, g.binomial(n2, p2 / n2, m) / n2
+                out.append((top[bottom > 0] / bottom[bottom > 0]).tolist())
+            yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["g", "ratios"])
 
     q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.975))).alias("q")
-    return draws.mapInPandas(draw, "ratio double").agg(q).where("q is not null").select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    drawn = rows.mapInArrow(draw, f"g {rows.schema['g'].dataType.simpleString()}, ratios array<double>")
+    found = drawn.select("g", F.explode("ratios").alias("ratio")).groupBy("g").agg(q)
+    return found.select(*(F.col(f"g.{c}").alias(c) for c in group), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def benchmark_metrics(scored: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from funnelforge.functions.scalars import is_blank
 from funnelforge.operators import metrics, profile
 from funnelforge.operators.assemble import any_known, formula_consistency
 from funnelforge.operators.derive import stage_rows, stage_summary
+from funnelforge.operators.position import matched
 from funnelforge.session import stored
 
 #: Rows that a route needs, its weight, trees and depth of a stage's model.
@@ -277,48 +278,58 @@ def provenance(df: DataFrame, id_col: str, batch: Column, features: list[str], t
     return metrics.roc_auc(scored.select("row_id", "y", "score")).withColumn("fails", F.coalesce(F.col("auc") > PROVENANCE_AUC, F.lit(False)))
 
 
-def _by_stage(scored: DataFrame, chain: Chain, id_col: str) -> DataFrame:
-    """(stage, row_id, y, score): each stage on the rows that reached it."""
+def _by_stage(scored: DataFrame, chain: Chain, id_col: str, by: list[str] | None = None) -> DataFrame:
+    """(stage, row_id, y, score and ``by``): each stage on the rows that reached it."""
     parts = []
     for i in range(len(chain.stages)):
         rows = stage_rows(scored, chain.target, chain.order, i)
-        parts.append(rows.select(F.lit(i).alias("stage"), F.col(id_col).alias("row_id"), "y", F.col(f"stage_{i}").alias("score")))
+        parts.append(rows.select(F.lit(i).alias("stage"), F.col(id_col).alias("row_id"), "y", F.col(f"stage_{i}").alias("score"), *(by or [])))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _measured(long: DataFrame, placed: DataFrame, group: list[str]) -> DataFrame:
+    met = matched(metrics.benchmark_metrics(long, group), metrics.roc_auc(long, group), group)
+    return metrics.implausible(matched(met, metrics.pr_auc(placed, group), group))
+
+
 def evaluate(df: DataFrame, chain: Chain, id_col: str) -> DataFrame:
-    """(stage, n, n_positive, base_rate, log_loss, brier, auc, implausible) of held-out
-    rows, each stage on the rows that reached it, all stages in one pass."""
-    long = _by_stage(score(df, chain), chain, id_col)
-    met = metrics.benchmark_metrics(long, ["stage"]).join(metrics.roc_auc(long, ["stage"]), "stage")
-    return metrics.implausible(met)
+    """(stage, n, n_positive, base_rate, log_loss, brier, auc, average_precision,
+    implausible) of held-out rows, each stage on the rows that reached it, all stages in one
+    pass."""
+    long = stored(_by_stage(score(df, chain), chain, id_col), "scored-stages")
+    return _measured(long, metrics.ordered(long, ["stage"]), ["stage"])
 
 
-def evaluate_run(df: DataFrame, chain: Chain, id_col: str, tiers: int = metrics.TIERS, override: bool = False) -> dict[str, DataFrame]:
-    """``metrics``, ``tiers``, ``lift``, ``capture`` and ``cutoffs`` of each stage.
+def evaluate_run(df: DataFrame, chain: Chain, id_col: str, tiers: int = metrics.TIERS, override: bool = False, by: list[str] | None = None) -> dict[str, DataFrame]:
+    """``metrics``, ``tiers``, ``lift`` (with the interval of its ratio where the bottom
+    tier has few positives), ``capture`` and ``cutoffs`` of each stage, or of each stage and
+    value of the columns ``by``, all in one pass; and ``scored``, the rows they come from.
 
     Cutoffs are those of all rows, as a batch to come has no outcome that tells which
     stage a row has reached; all else is of the rows that reached the stage. Raises if a
     stage's AUC is implausible, unless ``override``, and if scores grow along the funnel.
     """
+    group = ["stage", *(by or [])]
     scored = stored(score(df, chain), "scored")
     _in_order(scored, chain)
-    long = stored(_by_stage(scored, chain, id_col), "scored-stages")
-    found = metrics.implausible(metrics.benchmark_metrics(long, ["stage"]).join(metrics.roc_auc(long, ["stage"]), "stage"))
+    long = stored(_by_stage(scored, chain, id_col, by), "scored-stages")
+    placed = stored(metrics.ordered(long, group), "scored-order")
+    found = _measured(long, placed, group)
     if not override:
-        bad = found.where("implausible").orderBy("stage").collect()
+        bad = found.where("implausible").orderBy(*group).collect()
         if bad:
-            raise LeakageError("; ".join(f"stage {r['stage']}: AUC {r['auc']:.4f} at a base rate of {r['base_rate']:.4f}" for r in bad))
-    placed = stored(metrics.ordered(long, ["stage"]), "scored-order")
-    table = metrics.tier_table(placed, tiers, ["stage"])
+            raise LeakageError("; ".join(f"{', '.join(f'{c} {r[c]}' for c in group)}: AUC {r['auc']:.4f} at a base rate of {r['base_rate']:.4f}" for r in bad))
+    table = stored(metrics.tier_table(placed, tiers, group), "tiers")
+    interval = metrics.bootstrap_ratio(table, tiers, group=group)
     everyone = F.explode(F.array(*(F.struct(F.lit(i).alias("stage"), F.col(f"stage_{i}").alias("score")) for i in range(len(chain.stages))))).alias("s")
-    all_rows = scored.select(F.col(id_col).alias("row_id"), everyone).select("row_id", "s.stage", "s.score", F.lit(0).alias("y"))
+    all_rows = scored.select(F.col(id_col).alias("row_id"), *(by or []), everyone).select("row_id", *(by or []), "s.stage", "s.score", F.lit(0).alias("y"))
     return {
         "metrics": found,
         "tiers": table,
-        "lift": metrics.lift(table, tiers, ["stage"]),
-        "capture": metrics.capture_thresholds(placed, group=["stage"]),
-        "cutoffs": metrics.tier_cutoffs(metrics.ordered(all_rows, ["stage"]), tiers, ["stage"]),
+        "lift": matched(metrics.lift(table, tiers, group), interval, group, "left"),
+        "capture": metrics.capture_thresholds(placed, group=group),
+        "cutoffs": metrics.tier_cutoffs(metrics.ordered(all_rows, group), tiers, group),
+        "scored": long,
     }
 
 

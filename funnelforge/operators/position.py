@@ -45,11 +45,11 @@ def ordered_position(df: DataFrame, group: list[str], order: list[Column], name:
     return cumulative(df, group, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
 
 
-def matched(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+def matched(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``df`` with the other columns of ``other``, joined on ``keys``; null keys are equal."""
     named = other.withColumnsRenamed({k: f"_k_{k}" for k in keys})
     same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-    return df.join(named, same).drop(*(f"_k_{k}" for k in keys))
+    return df.join(named, same, how).drop(*(f"_k_{k}" for k in keys))
 
 
 def top_per(df: DataFrame, group: list[str], order: list[Column], n: int, key: str, rank: str = "rank") -> DataFrame:

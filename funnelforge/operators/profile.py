@@ -6,13 +6,16 @@ All but duplicate rows derives from one table: how often each column has each va
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelforge.functions.scalars import is_blank, normal_spelling, number, timestamp, trimmed
-from funnelforge.operators.position import quantiles, ranged, top_per
+from funnelforge.operators.position import ordered_position, quantiles, ranged, top_per
 from funnelforge.session import stored
 
 #: Thresholds of the findings.
@@ -23,6 +26,8 @@ SENTINEL_ROWS, SENTINEL_SHARE = 30, 0.01
 CLUSTER_LOW, CLUSTER_HIGH, CLUSTER_GAP = 0.005, 0.95, 0.15
 FLOAT_ID_SHARE = 0.5
 SHOWN = 100
+#: Texts of a block that is compared with another at once.
+BLOCK = 512
 MULTI_SHARE, DELIMITERS = 0.05, (";", "|", ",")
 FREE_ROWS, FREE_DISTINCT, FREE_SINGLE = 20, 0.5, 0.5
 PERCENTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -170,22 +175,108 @@ def similarity(a: str | Column, b: str | Column) -> Column:
     return F.pandas_udf(_ratio, "double")(a, b)
 
 
-def spelling_variants(vc: DataFrame) -> DataFrame:
-    """(col, a, b, similarity, canonical): up to 15 pairs a column of forms that look
-    alike, in columns of 2 to 300 forms and at most 0.3 forms a row; others are skipped,
-    so that pairs stay few however large the table."""
-    return _alike(_forms(_formed(vc)))
+def spelling_variants(vc: DataFrame, distinct: int = FUZZY_DISTINCT, pairs: int = FUZZY_PAIRS) -> DataFrame:
+    """(col, a, b, similarity, canonical): the ``pairs`` pairs a column of forms that look
+    alike, in columns of 2 to ``distinct`` forms and at most 0.3 forms a row; others are
+    skipped, so that work stays bounded however large the table."""
+    return _alike(_forms(_formed(vc)), distinct, pairs)
 
 
-def _alike(forms: DataFrame) -> DataFrame:
-    fit = forms.groupBy("col").agg(F.count(F.lit(1)).alias("k"), F.sum("total").alias("rows")).where((F.col("k") >= 2) & (F.col("k") <= FUZZY_DISTINCT) & (F.col("k") <= F.col("rows") * FUZZY_SHARE))
+def _alike(forms: DataFrame, distinct: int = FUZZY_DISTINCT, pairs: int = FUZZY_PAIRS) -> DataFrame:
+    fit = forms.groupBy("col").agg(F.count(F.lit(1)).alias("k"), F.sum("total").alias("rows")).where((F.col("k") >= 2) & (F.col("k") <= distinct) & (F.col("k") <= F.col("rows") * FUZZY_SHARE))
     few = forms.join(fit.select("col"), "col", "left_semi").where(F.length("canonical") >= FUZZY_LENGTH)
-    one = few.select("col", F.col("canonical").alias("a"), F.col("n").alias("n_a"))
-    two = few.select("col", F.col("canonical").alias("b"), F.col("n").alias("n_b"))
-    pairs = one.join(two, "col").where("a < b").withColumn("similarity", similarity("a", "b")).where(F.col("similarity") >= FUZZY_RATIO)
-    w = Window.partitionBy("col").orderBy(F.desc("similarity"), "a", "b")
-    best = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= FUZZY_PAIRS)
-    return best.select("col", "a", "b", F.round("similarity", 3).alias("similarity"), F.when(F.col("n_b") > F.col("n_a"), F.col("b")).otherwise(F.col("a")).alias("canonical"))
+    found = alike(few.select("col", F.col("canonical").alias("text"), "n"), FUZZY_RATIO, pairs)
+    return found.select("col", "a", "b", F.round("similarity", 3).alias("similarity"), F.when(F.col("n_b") > F.col("n_a"), F.col("b")).otherwise(F.col("a")).alias("canonical"))
+
+
+def alike(texts: DataFrame, ratio: float, most: int, size: int = BLOCK) -> DataFrame:
+    """(col, a, b, similarity, n_a, n_b, tried) of the ``most`` pairs a column, a < b, whose
+    similarity is ``ratio`` or more, out of ``texts`` (col, text, n).
+
+    Twice the letters that two texts share, over both lengths, is a bound of their
+    similarity. Texts are put into blocks by length; blocks whose lengths alone keep the bound
+    below ``ratio`` never meet. In two blocks that do, letter counts give the bound of all
+    pairs at once, and only pairs that may pass are compared. A pair of blocks gives its own
+    best pairs, and ``tried`` is how many it compared.
+    """
+    known = texts.withColumn("_len", F.length(F.lower("text")))
+    placed = ordered_position(known, ["col"], [F.col("_len"), F.col("text")], "_p")
+    block = placed.withColumn("block", F.floor((F.col("_p") - 1) / size)).groupBy("col", "block").agg(F.collect_list(F.struct("text", "n")).alias("rows"), F.min("_len").alias("lo"), F.max("_len").alias("hi"))
+    blocks = stored(block, "blocks")
+    one = blocks.select("col", F.col("block").alias("i"), F.col("rows").alias("x"), F.col("hi").alias("longest"))
+    two = blocks.select("col", F.col("block").alias("j"), F.col("rows").alias("y"), F.col("lo").alias("shortest"))
+    # Blocks grow in length: the one's longest text against the other's shortest.
+    near = (F.col("i") == F.col("j")) | ((F.col("i") < F.col("j")) & (2 * F.col("longest") >= (ratio - 1e-9) * (F.col("longest") + F.col("shortest"))))
+    met = one.join(two, "col").where(near).select("col", F.col("i") == F.col("j"), "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                col, same, x, y = (b.column(c)[k].as_py() for c in range(4))
+                best, tried = _best_pairs([r["text"] for r in x], [r["text"] for r in y], same, ratio, most)
+                count = {r["text"]: r["n"] for r in (*x, *y)}
+                rows = [(col, a, c, s, count[a], count[c], tried) for s, a, c in best]
+                yield pa.RecordBatch.from_pylist([dict(zip(("col", "a", "b", "similarity", "n_a", "n_b", "tried"), r, strict=True)) for r in rows], _ALIKE)
+
+    pairs = met.mapInArrow(compare, "col string, a string, b string, similarity double, n_a long, n_b long, tried long")
+    return top_per(pairs, ["col"], [F.desc("similarity"), F.asc("a"), F.asc("b")], most, "a").drop("rank")
+
+
+_ALIKE = pa.schema([("col", pa.string()), ("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("tried", pa.int64())])
+
+
+def _best_pairs(x: list[str], y: list[str], same: bool, ratio: float, most: int) -> tuple[list[tuple[float, str, str]], int]:
+    """The best pairs of two lists, and how many pairs were compared: those whose shared
+    letters, in any order and then in order, leave them a chance."""
+    low = {t: t.lower() for t in (*x, *y)}
+    letters = {c: i for i, c in enumerate(sorted({c for t in low.values() for c in t}))}
+    codes = lambda texts: [np.array([letters[c] for c in low[t]], np.int64) for t in texts]
+    p, q = codes(x), codes(y)
+    a, b = (np.array([np.bincount(t, minlength=len(letters)) for t in texts], np.int32).reshape(len(texts), len(letters)) for texts in (p, q))
+    shared = np.zeros((len(x), len(y)), np.int32)
+    for c in range(len(letters)):
+        shared += np.minimum.outer(a[:, c], b[:, c])
+    may = 2 * shared >= (ratio - 1e-9) * np.add.outer(a.sum(1), b.sum(1))
+    i, j = np.nonzero(np.triu(may, 1) if same else may)
+    likely = 2 * _in_order(p, q, i, j, len(letters)) >= (ratio - 1e-9) * (a.sum(1)[i] + b.sum(1)[j])
+    found, matcher = [], difflib.SequenceMatcher(None)
+    tried = [(min(x[k], y[m]), max(x[k], y[m])) for k, m in zip(i[likely], j[likely], strict=True)]
+    last = None
+    for p, q in sorted(tried, key=lambda t: t[1]):
+        if q != last:  # what the matcher keeps of its second text serves all first ones
+            matcher.set_seq2(low[q])
+            last = q
+        matcher.set_seq1(low[p])
+        s = matcher.ratio()
+        if s >= ratio:
+            found.append((s, p, q))
+    return sorted(found, key=lambda t: (-t[0], t[1], t[2]))[:most], len(tried)
+
+
+def _in_order(p: list[np.ndarray], q: list[np.ndarray], i: np.ndarray, j: np.ndarray, n_letters: int) -> np.ndarray:
+    """The longest common subsequence of each pair (p[i], q[j]), which no sum of matching
+    blocks exceeds: a bit a letter of the first text, over the letters of the second. Of texts
+    beyond 64 letters, the shorter one's length."""
+    one, two = np.array([len(t) for t in p], np.int64), np.array([len(t) for t in q], np.int64)
+    out = np.minimum(one[i], two[j])
+    fits = one[i] <= 64
+    i, j = i[fits], j[fits]
+    if not len(i):
+        return out
+    masks = np.zeros((len(p), n_letters + 1), np.uint64)  # the last column is of no letter
+    for k, t in enumerate(p):
+        if len(t) <= 64:
+            np.bitwise_or.at(masks[k], t, np.left_shift(np.uint64(1), np.arange(len(t), dtype=np.uint64)))
+    padded = np.full((len(q), int(two[j].max())), n_letters)
+    for k, t in enumerate(q):
+        padded[k, : len(t)] = t[: padded.shape[1]]
+    row = np.full(len(i), 2**64 - 1, np.uint64)
+    for at in range(padded.shape[1]):
+        met = row & masks[i, padded[j, at]]
+        row = (row + met) | (row - met)
+    own = np.where(one[i] == 64, np.uint64(2**64 - 1), np.left_shift(np.uint64(1), np.minimum(one[i], 63).astype(np.uint64)) - np.uint64(1))
+    out[fits] = np.bitwise_count(~row & own)
+    return out
 
 
 def merge_suggestions(vc: DataFrame, fuzzy: bool = True) -> DataFrame:

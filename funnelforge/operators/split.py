@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from funnelforge.functions.scalars import timestamp
 from funnelforge.operators.position import ordered_position
 from funnelforge.session import stored
+from funnelforge.sources.bucketed import load_bucketed, save_bucketed
 
 RARE, MISSING = "__RARE__", "<missing>"
 SHIFT = 0.30
@@ -185,16 +186,21 @@ def split_dataset(df: DataFrame, id_col: str, strategy: str = "random", size: fl
     return Split(split, strategy, rows, composition(df, split, id_col, shown) if shown else None, warnings)
 
 
-def save_split(split: Split, path: str) -> None:
+def save_split(split: Split, path: str, buckets: int | None = None) -> None:
     """Writes the ids of both sides, which are what makes a split repeatable, and its
-    summary; a path that exists raises."""
+    summary; a path that exists raises. With ``buckets``, ids are dealt to so many by
+    row_id: applied to a dataset that is dealt so by the same type of id, no row moves."""
     spark = split.ids.sparkSession
-    split.ids.write.mode("errorifexists").parquet(f"{path}/ids")
-    summary = json.dumps({"strategy": split.strategy, "rows": split.rows, "warnings": split.warnings})
+    if buckets:
+        save_bucketed(split.ids, f"{path}/ids", "row_id", buckets)
+    else:
+        split.ids.write.mode("errorifexists").parquet(f"{path}/ids")
+    summary = json.dumps({"strategy": split.strategy, "rows": split.rows, "warnings": split.warnings, "buckets": buckets})
     spark.createDataFrame([(summary,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/summary")
 
 
 def load_split(spark: SparkSession, path: str) -> Split:
     """What ``save_split`` wrote; the composition is not kept."""
     found = json.loads(spark.read.text(f"{path}/summary").first()["value"])
-    return Split(spark.read.parquet(f"{path}/ids"), found["strategy"], found["rows"], None, found["warnings"])
+    ids = load_bucketed(spark, f"{path}/ids") if found.get("buckets") else spark.read.parquet(f"{path}/ids")
+    return Split(ids, found["strategy"], found["rows"], None, found["warnings"])

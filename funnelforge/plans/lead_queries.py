@@ -8,7 +8,7 @@ from funnelforge.functions import scalars as S
 from funnelforge.operators import derive as D
 from funnelforge.operators import mapping as M
 from funnelforge.operators import profile as P
-from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, _vc
+from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, RATIO_SQL, _vc
 from funnelforge.plans.tables import LEADS_SQL, PAST_SQL, VC_SQL, leads, past_leads, table
 
 FUNNEL = ["view", "click", "signup", "purchase"]
@@ -302,6 +302,11 @@ SQL = {
       new AS (SELECT name, plain, row_number() OVER (PARTITION BY plain ORDER BY name) AS k FROM (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS plain FROM a WHERE name NOT IN (SELECT name FROM b)))
       SELECT name AS "column", name AS other, 'unchanged' AS kind FROM a JOIN b USING (name) UNION ALL
       SELECT gone.name, new.name, CASE WHEN new.name IS NULL THEN 'removed' WHEN gone.name IS NULL THEN 'added' ELSE 'renamed' END FROM gone FULL JOIN new USING (plain, k)""",
+    "j5_suggest_mapping": rf"""WITH RECURSIVE names AS (SELECT DISTINCT p_brand AS file, p_name AS "column", regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS plain FROM part),
+      known(field, alias) AS (VALUES {", ".join(f"('{f}', '{a.replace(' ', '')}')" for f, more in ALIASES.items() for a in (f, *more))}),
+      tried AS (SELECT DISTINCT plain AS a, alias AS b, field FROM names, known WHERE plain <> ''){RATIO_SQL},
+      best AS (SELECT a, field, max(CASE WHEN a = b THEN 0.95 ELSE ratio END) AS c FROM tried JOIN ratios USING (a, b) GROUP BY 1, 2 HAVING c >= 0.55)
+      SELECT file, field, row_number() OVER (PARTITION BY file, field ORDER BY c DESC, "column") AS rank, "column", round(CAST(c AS DOUBLE), 3) AS confidence FROM names JOIN best ON plain = a""",
     "j9_compare_findings": LEADS_SQL
     + f""", raw AS (SELECT source, external_id, areas, notes FROM leads), spell AS (SELECT value, canonical FROM ({_FIND("source", "raw", "SELECT value, canonical FROM forms JOIN groups USING (col, form)")})),
       clean AS (SELECT coalesce(canonical, source) AS source, regexp_replace(external_id, '[.]0$', '') AS external_id, areas, notes FROM raw LEFT JOIN spell ON source = value),

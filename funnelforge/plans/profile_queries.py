@@ -45,13 +45,19 @@ def a6_spelling_variants(spark, sf_dir):
     return P.spelling_variants(_vc(spark, sf_dir))
 
 
+def j10_alike_names(spark, sf_dir):
+    """Forms of part names and types that look alike, with a limit of 2,000 forms."""
+    rows = table(spark, sf_dir, "part").select("p_name", "p_type")
+    return P.spelling_variants(P.value_counts(rows), 2000, 60)
+
+
 def a7_merge_suggestions(spark, sf_dir):
     return P.merge_suggestions(_vc(spark, sf_dir), fuzzy=False)
 
 
 def a7_fuzzy_merges(spark, sf_dir):
     """Merges that also hold names which only look alike, over part names."""
-    parts = table(spark, sf_dir, "part").select("p_name", "p_type", "p_container")
+    parts = table(spark, sf_dir, "part").select("p_name", "p_type", "p_brand")
     return P.merge_suggestions(P.value_counts(parts))
 
 
@@ -112,7 +118,7 @@ def s13_full_profile(spark, sf_dir):
 
 
 QUERIES = [
-    vc_value_counts, a1_blank_rates, a2_infer_schema, a3_overview, a4_column_profiles, k1_top_values, a5_near_duplicates, a6_spelling_variants,
+    vc_value_counts, a1_blank_rates, a2_infer_schema, a3_overview, a4_column_profiles, k1_top_values, a5_near_duplicates, a6_spelling_variants, j10_alike_names,
     a7_merge_suggestions, a7_fuzzy_merges, a8_literal_sentinels, a9_low_clusters, a10_date_formats, a11_float_identifiers, a12_multi_valued, a13_free_text,
     a14_numeric_distribution, a14_histogram, a15_categorical_distribution, a16_date_distribution, a17_fingerprint, a18_outcome, s13_full_profile,
 ]
@@ -143,6 +149,32 @@ _MULTI = r""", cells AS (SELECT col, n, k, delim, list_filter(list_transform(str
   cut AS (SELECT cells.* FROM cells JOIN chosen USING (col, k) WHERE len(parts) >= 2),
   parts AS (SELECT col, count(DISTINCT p) AS n_components FROM (SELECT col, unnest(parts) AS p FROM cut) GROUP BY 1),
   varies AS (SELECT col, bool_or(k > 1) AS order_varies FROM (SELECT col, count(DISTINCT parts) AS k FROM cut GROUP BY col, list_sort(parts)) GROUP BY 1)"""
+#: How alike two texts are: the longest block of letters that they share, the first where
+#: several are as long, then the same left and right of it, until nothing is shared.
+_BLOCK = """list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(range(1, length(y) + 1), lambda j:
+  1000000 * len(list_filter(range(1, least(length(x) - i, length(y) - j) + 2), lambda q: substr(x, i, q) = substr(y, j, q))) + 1000 * (1000 - i) + 1000 - j))))"""
+RATIO_SQL = f""", blocks AS (
+  SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS k FROM (SELECT DISTINCT lower(a) AS a, lower(b) AS b FROM tried)
+  UNION ALL
+  SELECT a, b, unnest([substr(x, 1, i - 1), substr(x, i + k)]), unnest([substr(y, 1, j - 1), substr(y, j + k)]), unnest([k, 0])
+  FROM (SELECT a, b, x, y, m // 1000000 AS k, 1000 - m // 1000 % 1000 AS i, 1000 - m % 1000 AS j FROM (SELECT a, b, x, y, {_BLOCK} AS m FROM blocks WHERE x <> '' AND y <> ''))
+  WHERE k > 0
+), ratios AS (SELECT a, b, 2.0 * sum(k) / (length(a) + length(b)) AS ratio FROM blocks GROUP BY 1, 2)"""
+
+
+def _alike_sql(vc: str, distinct: int, pairs: int) -> str:
+    return vc.replace("WITH ", "WITH RECURSIVE ", 1) + _FORMS + f""", fit AS (SELECT col FROM groups GROUP BY 1 HAVING count(*) BETWEEN 2 AND {distinct} AND count(*) <= 0.3 * sum(total)),
+  own AS (SELECT col, canonical, max(n) AS n FROM forms JOIN groups USING (col, form) WHERE value = canonical AND col IN (SELECT col FROM fit) AND length(canonical) >= 5 GROUP BY 1, 2),
+  tried AS (SELECT p.col, p.canonical AS a, q.canonical AS b, p.n AS n_a, q.n AS n_b FROM own p JOIN own q ON p.col = q.col AND p.canonical < q.canonical){RATIO_SQL},
+  alike AS (SELECT col, tried.a, tried.b, round(ratio, 3) AS similarity, CASE WHEN n_b > n_a THEN tried.b ELSE tried.a END AS canonical
+    FROM tried JOIN ratios ON lower(tried.a) = ratios.a AND lower(tried.b) = ratios.b WHERE ratio >= 0.65 QUALIFY row_number() OVER (PARTITION BY col ORDER BY ratio DESC, tried.a, tried.b) <= {pairs})"""
+
+
+def _counts_sql(table: str, columns: str) -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS col, {c} AS value, count(*) AS n FROM {table} GROUP BY 2" for c in columns.split())
+    return f"WITH solid AS (SELECT * FROM ({long}) WHERE NOT {_BLANK})"
+
+
 _LINE = """WITH long AS (SELECT 'l_quantity' AS col, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem UNION ALL SELECT 'l_discount', l_discount FROM lineitem)"""
 _HIST = """WITH long AS (SELECT 'l_quantity' AS col, l_quantity AS v FROM lineitem UNION ALL SELECT 'l_suppkey', CAST(l_suppkey AS DOUBLE) FROM lineitem),
   ends AS (SELECT col, CASE WHEN min(v) = max(v) THEN min(v) - 0.5 ELSE min(v) END AS lo, CASE WHEN min(v) = max(v) THEN max(v) + 0.5 ELSE max(v) END AS hi FROM long GROUP BY 1)"""
@@ -162,6 +194,11 @@ SQL = {
     "k1_top_values": VC_SQL + f" SELECT col, {_TOP} AS rank, value, n FROM solid QUALIFY {_TOP} <= 5",
     "a5_near_duplicates": VC_SQL + _FORMS + " SELECT col, canonical, n_variants, total, variants FROM groups WHERE n_variants > 1",
     "a7_merge_suggestions": VC_SQL + _FORMS + " SELECT col, value AS variant, canonical, TRUE AS confirmed FROM forms JOIN groups USING (col, form) WHERE value <> canonical",
+    "a6_spelling_variants": _alike_sql(VC_SQL, 300, 15) + " SELECT * FROM alike",
+    "j10_alike_names": _alike_sql(_counts_sql("part", "p_name p_type"), 2000, 60) + " SELECT * FROM alike",
+    "a7_fuzzy_merges": _alike_sql(_counts_sql("part", "p_name p_type p_brand"), 300, 15)
+    + """ SELECT col, value AS variant, canonical, TRUE AS confirmed FROM forms JOIN groups USING (col, form) WHERE value <> canonical
+      UNION ALL SELECT col, CASE WHEN canonical = a THEN b ELSE a END, canonical, FALSE FROM alike""",
     "a8_literal_sentinels": _NUM
     + """, s AS (SELECT col, sentinel, sum(n) AS r, sum(CASE WHEN v = sentinel THEN n ELSE 0 END) AS c, min(v) FILTER (v <> sentinel) AS other_min, max(v) FILTER (v <> sentinel) AS other_max
       FROM num, (VALUES (CAST(0 AS DOUBLE)), (CAST(-1 AS DOUBLE))) AS q(sentinel) WHERE v IS NOT NULL GROUP BY 1, 2)

@@ -9,6 +9,7 @@ from funnelforge.operators import metrics as M
 from funnelforge.operators import position, split
 from funnelforge.plans.tables import LEADS_SQL, SCORED_SQL, leads, scored, table
 from funnelforge.session import scratch_path
+from funnelforge.sources import bucketed
 
 
 def _six(df: DataFrame, *names: str) -> DataFrame:
@@ -55,6 +56,28 @@ def w8_bootstrap_ratio(spark, sf_dir):
     return M.bootstrap_ratio(M.tier_table(M.ordered(rows), 1000), 1000)
 
 
+def w8_intervals_by_segment(spark, sf_dir):
+    """The ends of each priority's ranking of rare orders, with intervals of their ratio: the
+    counts, whether the interval holds the ratio, and whether its ends are near those of the
+    normal approximation of the ratio's logarithm."""
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("segment"), ((F.col("o_orderkey") % 11 == 0) & (F.col("o_custkey") % 2 == 0)).cast("int").alias("y"), (F.col("o_custkey") * 7919 % 1000 / 1000.0).alias("score")
+    )
+    tiers = M.tier_table(M.ordered(rows, ["segment"]), SEGMENT_TIERS, ["segment"])
+    end = lambda t, c: F.max(F.when(F.col("tier") == t, F.col(c)))
+    ends = tiers.groupBy("segment").agg(*(end(t, c).alias(f"{c}_{name}") for t, name in ((1, "top"), (SEGMENT_TIERS, "bottom")) for c in ("n", "n_positive")))
+    met = ends.join(M.bootstrap_ratio(tiers, SEGMENT_TIERS, group=["segment"]), "segment", "left")
+    p1, p2 = F.col("n_positive_top") / F.col("n_top"), F.col("n_positive_bottom") / F.col("n_bottom")
+    ratio = F.try_divide(p1, p2)
+    spread = 1.96 * F.sqrt(F.try_divide(1 - p1, F.col("n_positive_top")) + F.try_divide(1 - p2, F.col("n_positive_bottom")))
+    near = (F.abs(F.ln("low") - F.ln(ratio) + spread) < 0.5 * spread) & (F.abs(F.ln("high") - F.ln(ratio) - spread) < 0.9 * spread)
+    return met.select("segment", "n_top", "n_positive_top", "n_bottom", "n_positive_bottom", F.col("low").isNotNull().alias("has_interval"), ratio.between(F.col("low"), F.col("high")).alias("holds"), F.when(F.least("n_positive_top", "n_positive_bottom") >= 5, near).alias("near"))
+
+
+#: Tiers of a segment's ranking.
+SEGMENT_TIERS = 8
+
+
 def a34_benchmark_metrics(spark, sf_dir):
     return _six(M.benchmark_metrics(scored(spark, sf_dir)), "base_rate", "log_loss", "brier")
 
@@ -117,6 +140,15 @@ def j6_apply_split(spark, sf_dir):
     return split.apply_split(o, split.random_split(o, "o_orderkey"), "o_orderkey", "test").select("o_orderkey", "o_orderstatus")
 
 
+def j6_bucketed_split(spark, sf_dir):
+    """Orders and a split of them, both dealt to buckets by their keys, saved, loaded and joined."""
+    path = scratch_path(spark, "bucketed-split")
+    bucketed.save_bucketed(_orders(spark, sf_dir), f"{path}/orders", "o_orderkey", 8)
+    o = bucketed.load_bucketed(spark, f"{path}/orders")
+    split.save_split(split.split_dataset(o, "o_orderkey", columns=[]), f"{path}/split", 8)
+    return split.apply_split(o, split.load_split(spark, f"{path}/split").ids, "o_orderkey", "test").select("o_orderkey", "o_orderstatus")
+
+
 def j6_missing_ids(spark, sf_dir):
     o = _orders(spark, sf_dir)
     return split.missing_ids(o.where("o_orderstatus <> 'P'"), split.random_split(o, "o_orderkey"), "o_orderkey")
@@ -128,9 +160,9 @@ def u3_split_check(spark, sf_dir):
 
 
 QUERIES = [
-    w0_ordered_position, w1_roc_auc, w2_pr_auc, w3_tier_table, w4_tier_cutoffs, w5_assign_tier, w6_lift, w7_capture_thresholds, w8_bootstrap_ratio,
+    w0_ordered_position, w1_roc_auc, w2_pr_auc, w3_tier_table, w4_tier_cutoffs, w5_assign_tier, w6_lift, w7_capture_thresholds, w8_bootstrap_ratio, w8_intervals_by_segment,
     a34_benchmark_metrics, a38_implausible, x1_random_split, x2_stratified_split, x3_temporal_split, x4_period_split, x5_grouped_split,
-    x6_check_ids, x7_saved_split, a29_composition, a30_base_rate_shift, j6_apply_split, j6_missing_ids, u3_split_check,
+    x6_check_ids, x7_saved_split, a29_composition, a30_base_rate_shift, j6_apply_split, j6_bucketed_split, j6_missing_ids, u3_split_check,
 ]
 
 _PLACED = SCORED_SQL + """, placed AS (SELECT *, row_number() OVER w AS position, CAST(sum(y) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS hits, count(*) OVER () AS rows, sum(y) OVER () AS positives
@@ -195,6 +227,13 @@ SQL = {
       SELECT col, value, train_n, test_n, round(CAST(100.0 * train_n / a AS DOUBLE), 2) AS train_pct, round(CAST(100.0 * test_n / b AS DOUBLE), 2) AS test_pct FROM c, n""",
     "a30_base_rate_shift": f"WITH r AS ({_RATES}) SELECT round(a, 6) AS train_rate, round(b, 6) AS test_rate, round(abs(b - a) / a, 6) AS change, coalesce(CASE WHEN a = 0 THEN b > 0 ELSE abs(b - a) / a > 0.3 END, FALSE) AS shifted FROM r",
     "j6_apply_split": _SPLIT + " SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT row_id FROM split WHERE side = 'test')",
+    "w8_intervals_by_segment": """WITH r AS (SELECT o_orderkey AS row_id, o_orderpriority AS segment, CAST(o_orderkey % 11 = 0 AND o_custkey % 2 = 0 AS INTEGER) AS y, o_custkey * 7919 % 1000 / 1000.0 AS score FROM orders),
+      p AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, row_id) AS position, count(*) OVER (PARTITION BY segment) AS rows FROM r),
+      t AS (SELECT segment, (position * 8 + rows - 1) // rows AS tier, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM p GROUP BY 1, 2),
+      e AS (SELECT segment, max(n) FILTER (tier = 1) AS n_top, max(k) FILTER (tier = 1) AS n_positive_top, max(n) FILTER (tier = 8) AS n_bottom, max(k) FILTER (tier = 8) AS n_positive_bottom FROM t GROUP BY 1)
+      SELECT *, n_positive_bottom > 0 AND n_positive_bottom < 20 AS has_interval, CASE WHEN n_positive_bottom > 0 AND n_positive_bottom < 20 THEN TRUE END AS holds,
+      CASE WHEN n_positive_bottom > 0 AND n_positive_bottom < 20 AND least(n_positive_top, n_positive_bottom) >= 5 THEN TRUE END AS near FROM e""",
+    "j6_bucketed_split": _SPLIT + " SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey IN (SELECT row_id FROM split WHERE side = 'test')",
     "j6_missing_ids": _SPLIT + " SELECT row_id, side FROM split WHERE row_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')",
     "u3_split_check": "SELECT CAST(0 AS BIGINT) AS overlap, count(*) FILTER (o_orderkey % 10 = 3) AS uncovered FROM orders",
 }

@@ -2,6 +2,8 @@
 
 import difflib
 import json
+import random
+import time
 
 import pandas as pd
 import pytest
@@ -60,6 +62,37 @@ def test_fuzzy_merges_equal_brute_force(spark):
     assert found == sorted(want) and len(found) > 2
 
 
+def test_alike_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    names = sorted({"".join(rng.choice("abcdeé ÖX") for _ in range(rng.randrange(1, 14))) for _ in range(400)})
+    df = spark.createDataFrame([(c, t, k) for c in ("p", "q") for k, t in enumerate(names) if c == "p" or k % 3], "col string, text string, n long")
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    want = []
+    for c in ("p", "q"):
+        own = [t for k, t in enumerate(names) if c == "p" or k % 3]
+        want += [(c, *x) for x in sorted((round(-ratio(a, b), 9), a, b) for i, a in enumerate(own) for b in own[i + 1 :] if ratio(a, b) >= 0.7)[:40]]
+    found = [(r["col"], round(-r["similarity"], 9), r["a"], r["b"]) for r in profile.alike(df, 0.7, 40, size=50).collect()]
+    assert sorted(found) == sorted(want) and len(want) > 60
+
+
+def test_few_pairs_are_compared():
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randrange(5, 25))) for _ in range(500)]
+    names += ["abcdefgh" * 8, "abcdefgh" * 8 + "k", "abcdefgi" * 9]
+    found, tried = profile._best_pairs(names, names, True, 0.65, 15)
+    assert 0 < tried < len(names) ** 2 / 2 / 500 and "abcdefgh" * 8 in found[0]
+
+
+def test_five_thousand_forms_take_seconds(spark):
+    k = F.col("id")
+    forms = spark.range(5000).select(F.concat(F.translate(F.md5(k.cast("string")).substr(1, 12), "0123456789", "ghijklmnop"), F.repeat(F.lit("z"), (k % 9).cast("int"))).alias("v"))
+    vc = forms.select(F.lit("c").alias("col"), F.col("v").alias("value"), F.lit(4).cast("long").alias("n"))
+    assert profile.spelling_variants(vc).count() == 0
+    began = time.perf_counter()
+    assert profile.spelling_variants(vc, 5000).count() == 15
+    assert time.perf_counter() - began < 60
+
+
 def test_sentinels_and_clusters(spark):
     low = [str(10 + k % 9) for k in range(23)]
     df = texts(spark, crif=["0"] * 30 + [str(300 + k) for k in range(200)], equifax=["-1"] * 20 + [str(400 + k) for k in range(200)], coded=low + [str(510 + k * 5) for k in range(70)])

@@ -41,3 +41,9 @@ def test_entry_point_imports_and_registers():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
     assert set(registry.queries()) <= set(names) and set(entry.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
+def test_query_without_sql_runs(spark, sf_dir, name):
+    found = registry.queries()[name](spark, sf_dir)
+    assert found.columns and found.count() >= 0
