@@ -12,7 +12,7 @@ from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, RATIO_
 from funnelforge.plans.tables import LEADS_SQL, PAST_SQL, VC_SQL, leads, past_leads, table
 
 FUNNEL = ["view", "click", "signup", "purchase"]
-LEVELS = ["Lead", "Engaged", "Consulted", "Converted"]
+LEVELS = ["Asked", "Quoted", "Surveyed", "Signed"]
 
 
 def _six(df, *names):
@@ -118,7 +118,7 @@ def a32_stage_summary(spark, sf_dir):
 
 
 def u2_level_check(spark, sf_dir):
-    return D.level_check(leads(spark, sf_dir), "disposition", [*LEVELS, "Paid"])
+    return D.level_check(leads(spark, sf_dir), "disposition", [*LEVELS, "Built"])
 
 
 def _catalog(spark, sf_dir):
@@ -244,8 +244,8 @@ SQL = {
       CAST({_LEVEL} >= 2 AS DOUBLE) AS reached_signup, CAST({_LEVEL} >= 3 AS DOUBLE) AS reached_purchase FROM events""",
     "d3_multi_valued": LEADS_SQL
     + f""", p AS (SELECT lead_id, areas, list_sort({_PARTS}) AS p FROM leads)
-      SELECT lead_id, areas, array_to_string(p, '; ') AS areas_normalized, CAST(len(p) AS INTEGER) AS areas_count, list_contains(p, 'Back') AS has_back, list_contains(p, 'Leg') AS has_leg,
-      list_contains(p, 'Face') AS has_face FROM p""",
+      SELECT lead_id, areas, array_to_string(p, '; ') AS areas_normalized, CAST(len(p) AS INTEGER) AS areas_count, list_contains(p, 'Roof') AS has_roof, list_contains(p, 'Cellar') AS has_cellar,
+      list_contains(p, 'Porch') AS has_porch FROM p""",
     "d4_duration_months": LEADS_SQL + f" SELECT lead_id, CAST({_MONTHS} AS INTEGER) AS months FROM leads",
     "d5_duration_bands": LEADS_SQL + f", d AS (SELECT lead_id, {_MONTHS} AS m FROM leads) SELECT lead_id, {_BAND} AS tenure_band FROM d",
     "k2_top_components": LEADS_SQL + f" SELECT component, count(*) AS n FROM (SELECT unnest({_PARTS}) AS component FROM leads) GROUP BY 1 ORDER BY n DESC, component LIMIT 3",
@@ -276,7 +276,7 @@ SQL = {
     "a31_funnel_report": f"SELECT CASE WHEN {_LEVEL} IS NOT NULL THEN 'stage' ELSE 'unmapped' END AS kind, event_type AS value, count(*) AS n FROM events GROUP BY 1, 2",
     "a32_stage_summary": f"WITH l AS (SELECT {_LEVEL} AS k FROM events) SELECT CAST(s AS INTEGER) AS stage, count(*) AS n_rows, count(*) FILTER (k > s) AS n_positive, count(*) FILTER (k > s) < 50 AS sparse FROM l, range(0, 3) AS q(s) WHERE k >= s GROUP BY 1, s",
     "u2_level_check": LEADS_SQL
-    + """, d AS (SELECT DISTINCT trim(disposition) AS value FROM leads WHERE disposition IS NOT NULL), k(value) AS (VALUES ('Lead'), ('Engaged'), ('Consulted'), ('Converted'), ('Paid'))
+    + """, d AS (SELECT DISTINCT trim(disposition) AS value FROM leads WHERE disposition IS NOT NULL), k(value) AS (VALUES ('Asked'), ('Quoted'), ('Surveyed'), ('Signed'), ('Built'))
       SELECT value, 'not configured' AS kind FROM (SELECT value FROM d EXCEPT SELECT value FROM k) UNION ALL SELECT value, 'not in data' FROM (SELECT value FROM k EXCEPT SELECT value FROM d)""",
     "j11_unseen_categories": _BATCH
     + f""" SELECT col, value, n, row_number() OVER (PARTITION BY col ORDER BY n DESC, value) AS rank FROM batch ANTI JOIN ({_VOCAB}) USING (col, value)

@@ -21,11 +21,11 @@ _LEADS = """
     CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN '12345'
       ELSE '+91-' || CAST(7000000000 + c_custkey AS {string}) || CASE WHEN c_custkey % 3 = 0 THEN '.0' ELSE '' END END AS phone,
     CASE WHEN c_custkey % 23 = 0 THEN '  ' ELSE lpad(CAST(1 + c_custkey % 28 AS {string}), 2, '0') || '/' || lpad(CAST(1 + c_custkey % 5 AS {string}), 2, '0') || '/2024' END AS created_at,
-    CASE c_custkey % 5 WHEN 0 THEN 'Back; Leg' WHEN 1 THEN 'Leg;Back' WHEN 2 THEN 'Face' WHEN 3 THEN 'Neck; Back; Leg' ELSE NULL END AS areas,
+    CASE c_custkey % 6 WHEN 0 THEN 'Roof; Cellar' WHEN 1 THEN 'Cellar;Roof' WHEN 2 THEN 'Porch' WHEN 3 THEN 'Yard; Roof' WHEN 4 THEN 'Porch; Cellar; Roof' ELSE NULL END AS areas,
     CASE WHEN c_custkey % 13 = 0 THEN NULL WHEN c_custkey % 10 = 0 THEN '0' WHEN c_custkey % 29 = 0 THEN 'n/a'
       ELSE CAST(300 + c_custkey * 7919 % 550 AS {string}) END AS score,
-    CASE WHEN c_custkey % 20 < 10 THEN 'Lead' WHEN c_custkey % 20 < 15 THEN 'Engaged' WHEN c_custkey % 20 < 18 THEN 'Consulted'
-      WHEN c_custkey % 20 = 18 THEN 'Converted' WHEN c_custkey % 40 = 19 THEN 'Other' ELSE NULL END AS disposition,
+    CASE WHEN c_custkey % 23 < 9 THEN 'Asked' WHEN c_custkey % 23 < 16 THEN 'Quoted' WHEN c_custkey % 23 < 20 THEN 'Surveyed'
+      WHEN c_custkey % 23 = 20 THEN 'Signed' WHEN c_custkey % 46 = 21 THEN 'Moved away' ELSE NULL END AS disposition,
     CASE c_custkey % 6 WHEN 0 THEN CAST(c_custkey % 9 AS {string}) || 'yrs ' || CAST(c_custkey % 12 AS {string}) || 'mon' WHEN 1 THEN CAST(c_custkey % 30 AS {string}) || ' months'
       WHEN 2 THEN CAST(c_custkey % 4 AS {string}) || ' years' WHEN 3 THEN 'about 2 years' WHEN 4 THEN CAST(c_custkey % 7 AS {string}) ELSE '' END AS tenure,
     CAST(1000000 + c_custkey AS {string}) || '.0' AS external_id,
@@ -59,7 +59,7 @@ VC_SQL = (
 _PAST = """
   SELECT CASE s_suppkey % 4 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'machinery ' WHEN 2 THEN 'FURNITURE' ELSE ' AUTOMOBILE' END AS source,
     CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE CAST(300 + s_suppkey * 31 % 550 AS {string}) END AS score,
-    CASE s_suppkey % 3 WHEN 0 THEN 'Back; Leg' WHEN 1 THEN 'Face' ELSE NULL END AS areas,
+    CASE s_suppkey % 3 WHEN 0 THEN 'Roof; Cellar' WHEN 1 THEN 'Porch' ELSE NULL END AS areas,
     'note ' || s_name AS notes
   FROM supplier
 """

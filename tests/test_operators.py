@@ -21,7 +21,7 @@ def texts(spark, **columns):
 
 
 def scored(spark, pairs):
-    return spark.createDataFrame([(i, y, float(s)) for i, (y, s) in enumerate(pairs)], "row_id long, y int, score double")
+    return spark.createDataFrame([(i, y, s if s is None else float(s)) for i, (y, s) in enumerate(pairs)], "row_id long, y int, score double")
 
 
 def rows(df, *keys):
@@ -94,17 +94,23 @@ def test_five_thousand_forms_take_seconds(spark):
 
 
 def test_sentinels_and_clusters(spark):
-    low = [str(10 + k % 9) for k in range(23)]
-    df = texts(spark, crif=["0"] * 30 + [str(300 + k) for k in range(200)], equifax=["-1"] * 20 + [str(400 + k) for k in range(200)], coded=low + [str(510 + k * 5) for k in range(70)])
+    """Depths of wells: 0 where a well is dry, -1 where nobody looked, and a shallow group."""
+    depth = ["0"] * 7 + [f"{12.5 + k * 0.75}" for k in range(61)]
+    looked = ["-1"] * 2 + ["-1.0"] + [str(3 * k + 1) for k in range(90)]
+    shallow = [f"{k / 4}" for k in range(5)] + [str(77 + 2 * k) for k in range(40)]
+    df = texts(spark, depth=depth, looked=looked, reach=shallow, few=["0"] * 9)
     vc = profile.value_counts(df)
-    assert rows(profile.literal_sentinels(vc), "col", "sentinel", "count") == [("crif", 0.0, 30), ("equifax", -1.0, 20)]
+    assert rows(profile.literal_sentinels(vc), "col", "sentinel", "count") == [("depth", 0.0, 7), ("looked", -1.0, 3), ("reach", 0.0, 1)]
     clusters = {r["col"]: r for r in profile.low_clusters(vc).collect()}
-    assert clusters["coded"]["count"] == 23 and clusters["coded"]["high_min"] == 510
+    assert (clusters["reach"]["count"], clusters["reach"]["low_max"], clusters["reach"]["high_min"]) == (5, 1.0, 77)
 
 
 @pytest.mark.parametrize(
     ("values", "verdict"),
-    [(["25/01/2024", "01/02/2024"], "day_first"), (["02/28/2024", "01/02/2024"], "month_first"), (["01/02/2024"], "ambiguous"), (["25/01/2024", "02/28/2024"], "mixed"), (["30 Apr 2026"], "text_month"), (["2024-01-15"], "day_first"), (["x", "y"], None)],
+    [
+        (["3.11.1987", "19.6.2001", "4.4.1999"], "day_first"), (["6-30-2011", "7-4-2012"], "month_first"), (["5/6/2019", "7/8/2020", "9/9/2021"], "ambiguous"),
+        (["14.2.2003", "2.14.2003", "1.1.2003"], "mixed"), (["9 august 1975", "31 Dec 08"], "text_month"), (["1999-12-31", "2001-03-02"], "day_first"), (["7/7", "soon", "12:30"], None),
+    ],
 )
 def test_date_formats(spark, values, verdict):
     found = profile.date_formats(profile.value_counts(texts(spark, dob=values))).collect()
@@ -112,11 +118,13 @@ def test_date_formats(spark, values, verdict):
 
 
 def test_identifiers_multi_values_and_free_text(spark):
-    df = texts(spark, phone=[f"788935{k:02d}.0" for k in range(50)], rating=[f"{k % 5 + 1}.0" for k in range(50)], areas=["Back; Leg"] * 10 + ["Leg; Back"] * 5 + ["Face"] * 20, notes=[f"a long remark {k}" for k in range(50)])
+    meters = [f"{40000 + 13 * k}.0" if k % 3 else f"M{k}" for k in range(36)]
+    crops = ["rye|oats", "oats|rye", "rye", "barley|oats|rye"] * 7
+    df = texts(spark, meter=meters, floor=[f"{k % 4}.0" for k in range(36)], crops=crops, soil=["sand, loam"] * 30, remark=[f"seen in week {k}, dry" for k in range(36)])
     vc = profile.value_counts(df)
-    assert rows(profile.float_identifiers(vc), "col") == [("phone",)]
-    assert rows(profile.multi_valued(vc), "col", "delimiter", "n_components", "order_varies") == [("areas", ";", 2, True)]
-    assert "notes" in {r["col"] for r in profile.free_text(vc).collect()}
+    assert [(r["col"], round(r["fraction"], 3)) for r in profile.float_identifiers(vc).collect()] == [("meter", 0.667)]
+    assert rows(profile.multi_valued(vc), "col", "delimiter", "n_components", "order_varies") == [("crops", "|", 3, True), ("remark", ",", 37, False), ("soil", ",", 2, False)]
+    assert {r["col"] for r in profile.free_text(vc).collect()} == {"meter", "remark"}
 
 
 def test_empty_tables(spark):
@@ -184,20 +192,23 @@ def test_log_loss_and_brier(spark):
 
 
 def test_tiers_lift_and_capture(spark):
-    placed = metrics.ordered(scored(spark, [(int(k < 10), 1 - k / 100) for k in range(100)]))
-    tiers = metrics.tier_table(placed)
-    assert rows(tiers, "tier", "n", "n_positive")[:2] == [(1, 10, 10), (2, 10, 0)]
-    found = metrics.lift(tiers).first()
-    assert found["lift"] == 10.0 and found["ratio"] is None and found["status"] != "ok"
-    uneven = metrics.tier_table(metrics.ordered(scored(spark, [(k % 2, k) for k in range(997)])))
-    assert sum(r["n"] for r in uneven.collect()) == 997
-    many = metrics.ordered(scored(spark, [(int(k < 100), 1000 - k) for k in range(1000)]))
-    assert rows(metrics.capture_thresholds(many), "share", "population_pct")[0] == (0.6, 6.0)
+    """63 rows in 7 tiers of 9: positives are those whose rank from the top is a square."""
+    squares = {k * k for k in range(1, 8)}
+    placed = metrics.ordered(scored(spark, [(int(rank in squares), 64 - rank) for rank in range(1, 64)]))
+    tiers = metrics.tier_table(placed, 7)
+    assert rows(tiers, "tier", "n", "n_positive") == [(1, 9, 3), (2, 9, 1), (3, 9, 1), (4, 9, 1), (5, 9, 0), (6, 9, 1), (7, 9, 0)]
+    found = metrics.lift(tiers, 7).first()
+    assert found["lift"] == pytest.approx(3 / 9 / (7 / 63)) and found["ratio"] is None and found["status"] != "ok"
+    assert rows(metrics.capture_thresholds(placed, (0.4, 0.5, 1.0)), "share", "population_pct") == [(0.4, 100 * 9 / 63), (0.5, 100 * 16 / 63), (1.0, 100 * 49 / 63)]
+    for n, k in ((50, 7), (11, 4), (3, 5)):
+        sizes = [r["n"] for r in metrics.tier_table(metrics.ordered(scored(spark, [(i % 2, i) for i in range(n)])), k).collect()]
+        assert sum(sizes) == n and max(sizes) - min(sizes) <= 1
 
 
 def test_assign_tier(spark):
-    got = scored(spark, [(1, 0.95), (1, 0.9), (0, 0.05)]).select(metrics.assign_tier(F.col("score"), [0.9, 0.7, 0.5, 0.3, 0.1]).alias("t"), metrics.assign_tier(F.col("score"), []).alias("one"))
-    assert [(r["t"], r["one"]) for r in got.collect()] == [(1, 1), (1, 1), (6, 1)]
+    cut = [0.625, 0.25]
+    got = scored(spark, [(0, s) for s in (0.75, 0.625, 0.5, 0.25, 0.125)] + [(1, None)]).select(metrics.assign_tier(F.col("score"), cut).alias("t")).collect()
+    assert [r["t"] for r in got] == [1, 1, 2, 2, 3, None]
 
 
 def test_bootstrap_interval_holds_the_ratio(spark):
@@ -210,23 +221,52 @@ def test_bootstrap_interval_holds_the_ratio(spark):
 # splits ------------------------------------------------------------------------------
 
 
-def leads(spark, n=400):
-    return spark.range(1, n + 1).select(F.col("id").alias("lead_id"), F.when(F.col("id") % 10 < 5, "FB").when(F.col("id") % 10 < 8, "G").otherwise("O").alias("source"), (F.col("id") % 10 == 0).cast("int").alias("converted"))
-
-
-def test_splits_are_disjoint_covering_and_stable(spark):
-    df = leads(spark)
-    for cut in (split.random_split(df, "lead_id"), split.stratified_split(df, "lead_id", ["source", "converted"]), split.grouped_split(df.withColumn("g", F.col("lead_id") % 20), "lead_id", "g")):
-        sides = {r["row_id"]: r["side"] for r in cut.collect()}
-        assert len(sides) == 400 and list(sides.values()).count("test") == 80
-        assert split.split_check(df, cut, "lead_id").first().asDict() == {"overlap": 0, "uncovered": 0}
-    assert sorted(split.random_split(df, "lead_id").collect()) == sorted(split.random_split(df.repartition(7), "lead_id").collect())
-
-
-def test_rare_strata_go_to_training(spark):
-    df = spark.createDataFrame([(k, "A" if k < 9 else "B" if k < 18 else f"x{k}") for k in range(20)], "lead_id long, source string")
-    sides = dict(rows(split.stratified_split(df, "lead_id", ["source"]), "row_id", "side"))
-    assert sorted([sides[18], sides[19]]) == ["test", "train"]
+def parcels(spark, n=630):
+    """Parcels of depots of very unlike sizes; one depot has a single one."""
+    k = F.col("id")
+    depot = F.when(k == 17, "lone").otherwise(F.concat(F.lit("depot"), (k * k % 7).cast("string")))
+    return spark.range(n).select(k.alias("parcel"), depot.alias("depot"), (k * k % 11 == 3).cast("int").alias("late"), F.floor(k / 9).alias("truck"))
+
+
+def halves(n, size):
+    """``n * size`` rounded, halves to the even number."""
+    return round(n * size)
+
+
+def test_splits_take_their_share_of_each_part(spark):
+    df = parcels(spark).cache()
+    known = {r["parcel"]: r for r in df.collect()}
+    for size in (0.15, 0.4):
+        cut = {r["row_id"]: r["side"] for r in split.random_split(df, "parcel", size, seed=5).collect()}
+        assert set(cut) == set(known) and list(cut.values()).count("test") == halves(630, size)
+        cut = {r["row_id"]: r["side"] for r in split.stratified_split(df, "parcel", ["depot", "late"], size, seed=5).collect()}
+        parts = {}
+        for i, r in known.items():
+            parts.setdefault((r["depot"], r["late"]), []).append(cut[i])
+        for key, sides in parts.items():
+            n = len(sides)
+            assert sides.count("test") == (0 if n < 2 else min(max(halves(n, size), 1), n - 1)), key
+        cut = {r["row_id"]: r["side"] for r in split.grouped_split(df, "parcel", "truck", size, seed=5).collect()}
+        trucks = {}
+        for i, r in known.items():
+            trucks.setdefault(r["truck"], set()).add(cut[i])
+        assert all(len(s) == 1 for s in trucks.values()) and sum(s == {"test"} for s in trucks.values()) == halves(70, size)
+
+
+def test_splits_do_not_depend_on_the_order_of_rows(spark):
+    df = parcels(spark)
+    for cut in (lambda d: split.random_split(d, "parcel"), lambda d: split.stratified_split(d, "parcel", ["depot"]), lambda d: split.grouped_split(d, "parcel", "truck")):
+        one, two = cut(df), cut(df.orderBy(F.desc("late"), "depot").repartition(5))
+        assert sorted(one.collect()) == sorted(two.collect())
+        assert split.split_check(df, one, "parcel").first().asDict() == {"overlap": 0, "uncovered": 0}
+    assert sorted(split.random_split(df, "parcel", seed=1).collect()) != sorted(split.random_split(df, "parcel", seed=2).collect())
+
+
+def test_strata_of_one_row_are_split_together(spark):
+    kinds = ["elm"] * 7 + ["oak"] * 3 + [f"tree{k}" for k in range(6)]
+    df = spark.createDataFrame(list(enumerate(kinds)), "n long, kind string")
+    sides = {r["row_id"]: r["side"] for r in split.stratified_split(df, "n", ["kind"], 0.34).collect()}
+    assert [[sides[i] for i in range(a, b)].count("test") for a, b in ((0, 7), (7, 10), (10, 16))] == [2, 1, 2]
 
 
 def test_split_errors(spark):
@@ -241,8 +281,11 @@ def test_split_errors(spark):
 
 
 def test_mapping_takes_the_first_solid_value(spark):
-    df = texts(spark, p1=["x", None, ""], p2=[None, "y", "z"], other=["1", "2", "3"])
-    assert rows(mapping.apply_mapping(df, {"phone": ["p1", "p2"]}), "phone", "extra__other") == [("x", "1"), ("y", "2"), ("z", "3")]
+    df = texts(spark, cell=["\t", "77", "", None], home=["55", " 66", None, "  "], work=["1", "2", " ", "\n"], town=["Ulm", "Bonn", "Graz", None])
+    found = mapping.apply_mapping(df, {"reach": ["cell", "home", "work"], "place": ["town"]})
+    assert [tuple(r) for r in found.collect()] == [("55", "Ulm"), ("77", "Bonn"), (" ", "Graz"), ("\n", None)]
+    kept = mapping.apply_mapping(df, {"reach": ["home"]})
+    assert kept.columns == ["reach", "extra__cell", "extra__work", "extra__town"]
 
 
 def test_assembly_keeps_rows_and_rejects_repeats(spark):
@@ -284,20 +327,21 @@ def test_bureau_features(spark):
 
 
 def test_funnel_flags_and_stage_rows(spark):
-    df = texts(spark, d=["Lead", " Engaged", "Converted", "odd", "", None])
-    order = ["Lead", "Engaged", "Converted"]
-    flags = rows(derive.funnel_stages(df, "d", order).fillna("-", ["d"]), "d", "reached_engaged")
-    assert flags == [("", None), (" Engaged", 1.0), ("-", None), ("Converted", 1.0), ("Lead", 0.0), ("odd", None)]
-    assert derive.stage_rows(df, "d", order, 1).count() == 2
-    assert rows(derive.funnel_report(df, "d", order), "kind", "value", "n") == [("stage", "Converted", 1), ("stage", "Engaged", 1), ("stage", "Lead", 1), ("unmapped", "odd", 1)]
+    order = ["seed", "sprout", "bloom", "fruit"]
+    df = texts(spark, d=["sprout ", "fruit", "seed", "bloom", "bloom", "weed", " ", None, "seed"])
+    flags = derive.funnel_stages(df, "d", order)
+    assert [r["reached_sprout"] for r in flags.collect()] == [1.0, 1.0, 0.0, 1.0, 1.0, None, None, None, 0.0]
+    assert [r["reached_fruit"] for r in flags.collect()] == [0.0, 1.0, 0.0, 0.0, 0.0, None, None, None, 0.0]
+    assert [sorted(r["y"] for r in derive.stage_rows(df, "d", order, k).collect()) for k in range(3)] == [[0, 0, 1, 1, 1, 1], [0, 1, 1, 1], [0, 0, 1]]
+    assert rows(derive.funnel_report(df, "d", order), "kind", "value", "n") == [("stage", "bloom", 2), ("stage", "fruit", 1), ("stage", "seed", 2), ("stage", "sprout", 1), ("unmapped", "weed", 1)]
 
 
 # models ------------------------------------------------------------------------------
 
 
 def test_chain_is_ordinal_saved_and_blended(spark):
-    df = spark.range(600).select(F.col("id").alias("row_id"), F.element_at(F.array(*map(F.lit, ["Lead", "Engaged", "Converted"])), (F.col("id") % 3 + 1).cast("int")).alias("d"), (F.col("id") % 3 * 10 + F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 3 * 1.0).alias("rich"), F.when(F.col("id") % 5 > 0, F.lit("A")).alias("c"))
-    order = ["Lead", "Engaged", "Converted"]
+    df = spark.range(600).select(F.col("id").alias("row_id"), F.element_at(F.array(*map(F.lit, ["seed", "sprout", "bloom"])), (F.col("id") % 3 + 1).cast("int")).alias("d"), (F.col("id") % 3 * 10 + F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id") % 3 * 1.0).alias("rich"), F.when(F.col("id") % 5 > 0, F.lit("A")).alias("c"))
+    order = ["seed", "sprout", "bloom"]
     chain = model.train(df, "d", order, ["x", "rich"], ["c"], ["rich"], "dual", trees=2, depth=2)
     assert chain.stages[0].rich is not None
     path = scratch_path(spark, "bundle-test")
