@@ -66,6 +66,35 @@ def s5_same_content(spark, sf_dir):
     return ingest.same_content(found).join(found.select("hash", "bytes").distinct(), "hash").groupBy("n").agg(F.sum("bytes").alias("bytes"))
 
 
+def s5_earlier_uploads(spark, sf_dir):
+    """An upload of all leads by seven files, and one that brings two of these again under
+    other names: by how many bytes, and whether the catalogue has each file once."""
+    root = scratch_path(spark, "uploads")
+    k = F.col("lead_id").cast("long")
+    rows = leads(spark, sf_dir).select(F.concat_ws("|", "lead_id", "source").alias("value"), k.alias("k"))
+    for name, some in [(f"one/{i}", rows.where(k % 7 == i)) for i in range(7)] + [(f"two/{i}", rows.where(k % 7 == i)) for i in (2, 5)] + [("two/new", rows.where(k % 7 == 3).withColumn("value", F.upper("value")))]:
+        some.repartition(1).sortWithinPartitions("k").select("value").write.text(f"{root}/{name}")
+    for upload in ("one", "two", "two"):
+        again = audit.register_upload(ingest.files(spark, f"{root}/{upload}/*/part-*").where("bytes > 0"), root, upload)
+    total = audit.uploads(spark, root).agg(F.count(F.lit(1)).alias("n_catalogued"))
+    sizes = audit.uploads(spark, root).select("hash", "bytes").distinct()
+    return again.join(sizes, "hash").groupBy("first_upload", "n_earlier").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("bytes")).crossJoin(F.broadcast(total))  # one row
+
+
+def s1_read_layouts(spark, sf_dir):
+    """Files of twelve layouts, by delimiter, order of columns and encoding, read as one table."""
+    path = scratch_path(spark, "layouts")
+    k = F.col("lead_id").cast("long")
+    rows = leads(spark, sf_dir).withColumns({"note": F.concat(F.lit("é "), "lead_id"), **{c: F.coalesce(c, F.lit("")) for c in ("source", "score")}})
+    for i, d in enumerate(ingest.DELIMITERS):
+        quoted = F.concat(F.lit('"'), "source", F.lit(d + '"'))
+        for j, names in enumerate((("lead_id", "source", "note"), ("score", "lead_id", "source"), ("source", "note", "lead_id", "score"))):
+            line = F.concat_ws(d, *(quoted if c == "source" else F.col(c) for c in names))
+            out = rows.where((k % 4 == i) & (k % 3 == j)).select(line.alias(d.join(names)))
+            out.coalesce(1).write.option("header", True).option("sep", "\x01").option("quote", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("encoding", "ISO-8859-1" if j == 2 else "UTF-8").csv(f"{path}/{i}-{j}")
+    return ingest.read_layouts(spark, f"{path}/*/part-*", columns=["lead_id", "source", "score", "note"]).drop("file", "row")
+
+
 def s6_saved_dataset(spark, sf_dir):
     path = scratch_path(spark, "dataset")
     audit.save_dataset(leads(spark, sf_dir), path)
@@ -371,7 +400,7 @@ def v4_similarity(spark, sf_dir):
 
 
 QUERIES = [
-    s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s5_same_content, s6_saved_dataset, s7_saved_report, s8_audit_rows,
+    s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s1_read_layouts, s5_same_content, s5_earlier_uploads, s6_saved_dataset, s7_saved_report, s8_audit_rows,
     s9_register_dataset, s10_cleaned_lineage, s12_exported_csv,
     j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, v2_resumed_run, v2_assembled_runs, v2_run_checks, v2_timing_leaks, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
     m2_fit_stage, m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch, m14_saved_run,
@@ -395,6 +424,9 @@ SQL = {
     "s3_detect_delimiter": LEADS_SQL + """ SELECT CASE k WHEN 0 THEN ',' WHEN 1 THEN '|' WHEN 2 THEN chr(9) ELSE ';' END AS delimiter, CAST(4 - k % 3 AS BIGINT) AS n_fields, count(*) AS n FROM (SELECT CAST(lead_id AS BIGINT) % 4 AS k FROM leads) GROUP BY k""",
     "s4_malformed_rows": LEADS_SQL + f", l AS (SELECT {_LINE} AS line, CAST(4 + CAST(CAST(lead_id AS BIGINT) % 60 = 2 AS INTEGER) - CAST(CAST(lead_id AS BIGINT) % 50 = 1 AS INTEGER) AS BIGINT) AS n_fields FROM leads) SELECT * FROM l WHERE n_fields <> 4",
     "s5_same_content": LEADS_SQL + " SELECT CAST(2 AS BIGINT) AS n, CAST(sum(octet_length(encode(lead_id || '|' || source)) + 1) AS BIGINT) AS bytes FROM leads",
+    "s5_earlier_uploads": LEADS_SQL + " SELECT 'one' AS first_upload, CAST(1 AS BIGINT) AS n_earlier, CAST(2 AS BIGINT) AS n_files, CAST(sum(octet_length(encode(lead_id || '|' || source)) + 1) AS BIGINT) AS bytes, CAST(10 AS BIGINT) AS n_catalogued FROM leads WHERE CAST(lead_id AS BIGINT) % 7 IN (2, 5)",
+    "s1_read_layouts": LEADS_SQL + f""", r AS (SELECT *, CAST(lead_id AS BIGINT) AS k, CASE CAST(lead_id AS BIGINT) % 4 WHEN 0 THEN ',' WHEN 1 THEN '|' WHEN 2 THEN chr(9) ELSE ';' END AS d FROM leads)
+      SELECT lead_id, source || d AS source, CASE WHEN k % 3 <> 0 AND score NOT IN {_NA} THEN score END AS score, CASE WHEN k % 3 <> 1 THEN 'é ' || lead_id END AS note FROM r""",
     "s6_saved_dataset": LEADS_SQL + " SELECT lead_id, source, disposition FROM leads",
     "s9_register_dataset": LEADS_SQL + ", h AS (SELECT disposition, CAST('0x' || substr(md5(concat_ws(chr(31), " + ", ".join(f"coalesce({c}, chr(0))" for c in LEAD_COLUMNS) + """)), 1, 15) AS HUGEINT) AS h FROM leads)
       SELECT 'raw' AS name, count(*) AS n_rows, CAST(sum(h) AS VARCHAR) AS fingerprint, FALSE AS has_source FROM h UNION ALL SELECT 'cleaned', count(*), CAST(sum(h) AS VARCHAR), TRUE FROM h WHERE disposition IS NOT NULL""",

@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from funnelforge.operators import profile
+from funnelforge.session import stored
 
 
 def save_dataset(df: DataFrame, path: str) -> None:
@@ -44,15 +46,45 @@ def record(spark: SparkSession, table: str, **values: str | int | float | None)
     return row["id"]
 
 
-def register_dataset(df: DataFrame, root: str, name: str, source_id: str | None = None) -> str:
+UPLOADS = "upload_id string, path string, bytes long, encoding string, hash string, created_at timestamp"
+
+
+def uploads(spark: SparkSession, root: str) -> DataFrame:
+    """Every file of every upload; without rows before the first."""
+    try:
+        return spark.read.schema(UPLOADS).parquet(f"{root}/uploads")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], UPLOADS)
+
+
+def register_upload(files: DataFrame, root: str, upload_id: str) -> DataFrame:
+    """Adds the files (path, bytes, encoding, hash) of an upload to the catalogue, and
+    gives (path, hash, n_earlier, first_upload, first_path) of those whose bytes an earlier
+    upload has already brought. An upload that is in the catalogue is not added again, and
+    is no earlier one of itself."""
+    spark = files.sparkSession
+    new = stored(files.select(F.lit(upload_id).alias("upload_id"), "path", "bytes", "encoding", "hash", F.current_timestamp().alias("created_at")), "upload")
+    known = stored(uploads(spark, root), "uploads")
+    before = known.where(F.col("upload_id") != upload_id)
+    if known.where(F.col("upload_id") == upload_id).isEmpty():
+        append(new, f"{root}/uploads")
+    # Only contents that come again are looked up: the catalogue is cut to them first.
+    met = before.join(new.select("hash").distinct(), "hash", "left_semi")
+    first = met.groupBy("hash").agg(F.count(F.lit(1)).alias("n_earlier"), F.min(F.struct("created_at", "upload_id", "path")).alias("f"))
+    return new.join(first, "hash").select("path", "hash", "n_earlier", F.col("f.upload_id").alias("first_upload"), F.col("f.path").alias("first_path"))
+
+
+def register_dataset(df: DataFrame, root: str, name: str, source_id: str | None = None, content_hash: str | None = None) -> str:
     """Persists a dataset, its schema and its fingerprint, with the id of the
-    dataset it came from; returns its id."""
+    dataset it came from and the hash of the file that it was read from; returns its id."""
     spark = df.sparkSession
     path = f"{root}/data/{name}-{uuid.uuid4().hex}"
     save_dataset(df, path)
     saved = load_dataset(spark, path)
     found = profile.fingerprint(saved).first()
-    key = record(spark, f"{root}/datasets", name=name, path=path, source_id=source_id, n_rows=found["n_rows"], fingerprint=found["hash"])
+    key = record(spark, f"{root}/datasets", name=name, path=path, source_id=source_id, n_rows=found["n_rows"], fingerprint=found["hash"], content_hash=content_hash)
     append(profile.infer_schema(profile.value_counts(saved)).withColumn("dataset_id", F.lit(key)), f"{root}/schemas")
     return key
 

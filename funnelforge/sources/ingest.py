@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelforge.functions.scalars import trimmed
+from funnelforge.session import stored
 
 #: Delimiters in order of preference, and words that mean a missing value.
 DELIMITERS = (",", "|", "\t", ";")
@@ -108,6 +109,60 @@ def read_files(spark: SparkSession, path: str, na_words: tuple[str, ...] | None
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
+def layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, delimiter, header array) of each file, as a table."""
+    kinds = files(spark, path).select(F.col("path").alias("file"), "encoding")
+    found = lines(spark, path)
+    first = found.where("block = 0").groupBy("file").agg(F.min_by("raw", "row").alias("head"))
+    met = detect_delimiter(found).join(kinds, "file").join(first, "file")
+    head = F.regexp_replace(decoded(F.col("head"), F.col("encoding")), "^\ufeff|\r$", "")
+    names = F.transform(fields(head, F.col("delimiter")), trimmed)
+    return stored(met.select("file", "encoding", "delimiter", names.alias("header")), "layouts")
+
+
+def decoded(raw: Column, encoding: Column) -> Column:
+    """Bytes as text by each row's encoding; what is no UTF-8 is replaced."""
+    return F.when(encoding == "latin-1", F.decode(raw, "ISO-8859-1")).otherwise(raw.cast("string"))
+
+
+def fields(line: Column, delimiter: Column) -> Column:
+    """The fields of a line, each row by its own delimiter; quoted ones may hold it, and two
+    quotes for one. What follows a closing quote up to the next delimiter is dropped."""
+    d = F.concat(F.lit("["), F.when(delimiter == "\t", "\\t").otherwise(delimiter), F.lit("]"))
+    other = F.concat(F.lit("[^"), F.when(delimiter == "\t", "\\t").otherwise(delimiter), F.lit("]*"))
+    # Each field is found behind a delimiter, so the line is given one in front.
+    cells = F.regexp_extract_all(F.concat(delimiter, line), F.concat(d, F.lit(r'("(?:[^"]|"")*"|'), other, F.lit(")")), F.lit(1))
+    bare = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(F.startswith(c, F.lit('"')) & F.endswith(c, F.lit('"')) & (F.length(c) >= 2), bare(c)).otherwise(c))
+
+
+def read_layouts(spark: SparkSession, path: str, na_words: tuple[str, ...] | None = NA_WORDS, columns: list[str] | None = None) -> DataFrame:
+    """S1 over files of any number of layouts, which are rows of a table and no plans: each
+    line is split by its own file's delimiter and named by its header, in one scan.
+
+    Gives (file, row, cells map), or, with ``columns``, these as text columns, null where a
+    file lacks them. Rows with too many fields are left out, missing ones are null, and so
+    are ``na_words``; of names that repeat in a header the last counts. Line ends inside
+    quotes are not read so; ``read_files`` does.
+    """
+    known = layouts(spark, path)
+    raw = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("raw")
+    )
+    met = raw.join(known, "file")
+    text = F.regexp_replace(decoded(F.col("raw"), F.col("encoding")), "^\ufeff|\r$", "")
+    rows = met.select("file", "block", "row", "header", "delimiter", text.alias("line")).where(F.length(trimmed(F.col("line"))) > 0)
+    cut = rows.select("file", "block", "row", "header", fields(F.col("line"), F.col("delimiter")).alias("f")).where(F.size("f") <= F.size("header"))
+    value = (lambda x: F.when(~x.isin(*na_words), x)) if na_words else (lambda x: x)
+    pairs = F.arrays_zip(F.col("header").alias("name"), F.transform("f", value).alias("value"))
+    cells = F.reduce(pairs, F.expr("cast(map() as map<string, string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, _: k != p["name"]), F.create_map(p["name"], p["value"])))
+    # The header is the first line of a file, told by what it says.
+    named = cut.where(~((F.col("block") == 0) & (F.transform("f", trimmed) == F.col("header"))))
+    if columns is None:
+        return named.select("file", "row", cells.alias("cells"))
+    return named.select("file", "row", cells.alias("cells")).select("file", "row", *(F.col("cells")[c].alias(c) for c in columns))
+
+
 def malformed_rows(found: DataFrame, delimiter: str, width: int) -> DataFrame:
     """(row, line, n_fields) of lines of another width than the header."""
     counted = found.withColumn("n_fields", n_fields(F.col("line"), delimiter).cast("long"))
