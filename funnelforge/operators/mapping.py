@@ -141,23 +141,53 @@ def unseen_categories(vc: DataFrame, vocab: DataFrame, columns: list[str], top:
     return top_per(new, ["col"], [F.desc("n"), F.asc("value")], top, "value").select("col", "value", "n", F.col("rank").cast("long").alias("rank"))
 
 
-def preflight(vc: DataFrame, features: dict[str, str], vocab: DataFrame, pinned_rates: DataFrame) -> DataFrame:
+PINNED = "col string, value string, rate double"
+
+
+def pins(vc: DataFrame, features: dict[str, str]) -> DataFrame:
+    """(col, value, rate): what a training table's counts pin for later batches: a row for
+    each solid value of a categorical feature, and one for each feature's share of blanks."""
+    known = vc.where(F.col("col").isin(list(features)))
+    rest = [c for c, d in features.items() if d != "numeric"]
+    values = profile.solid(known).where(F.col("col").isin(rest)).select("col", "value", F.lit(None).cast("double").alias("rate"))
+    rates = profile.blank_rates(known).select("col", F.lit(None).cast("string").alias("value"), F.col("blank_rate").alias("rate"))
+    return values.unionByName(rates)
+
+
+def preflight(vc: DataFrame, features: dict[str, str], pinned: DataFrame, shift: float = 0.20) -> DataFrame:
     """(col, kind, severity, n): what is wrong with a batch before it is scored.
 
-    ``features``: dtype by column. Missing features and values that do not parse are
-    errors; unseen categories and moved shares of blanks are warnings.
+    ``features``: dtype by column; ``pinned``: ``pins`` of the training table. Missing features
+    and values that do not parse are errors; unseen categories and moved shares of blanks are
+    warnings. The batch's counts, the pinned rows and the features are one long table, added
+    up by value and then by column, so each is read once.
     """
     spark = vc.sparkSession
     wanted = spark.createDataFrame(list(features.items()), "col string, dtype string")
-    numeric = [c for c, d in features.items() if d == "numeric"]
-    rest = [c for c, d in features.items() if d != "numeric"]
-    issue = lambda df, kind, severity, n: df.select("col", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), n.cast("long").alias("n"))
-    missing = wanted.join(vc.select("col").distinct(), "col", "left_anti")
-    new = profile.solid(vc).where(F.col("col").isin(rest)).join(vocab, ["col", "value"], "left_anti").groupBy("col").agg(F.sum("n").alias("n"))
-    moved = null_shift(profile.blank_rates(vc), pinned_rates)
-    return (
-        issue(missing, "missing_feature", "error", F.lit(0))
-        .unionByName(issue(not_coercible(vc, numeric), "not_coercible", "error", F.col("n")))
-        .unionByName(issue(new, "unseen_category", "warning", F.col("n")))
-        .unionByName(issue(moved, "null_shift", "warning", F.lit(0)))
-    )
+    none = lambda kind: F.lit(None).cast(kind)
+    long = (
+        vc.where(F.col("col").isin(list(features))).select("col", "value", "n", none("double").alias("rate"), F.lit(0).alias("known"), none("string").alias("dtype"))
+        .unionByName(pinned.where(F.col("col").isin(list(features))).select("col", "value", F.lit(0).cast("long").alias("n"), "rate", F.col("value").isNotNull().cast("int").alias("known"), none("string").alias("dtype")))
+        .unionByName(wanted.select("col", none("string").alias("value"), F.lit(0).cast("long").alias("n"), none("double").alias("rate"), F.lit(0).alias("known"), "dtype"))
+    )
+    values = long.groupBy("col", "value").agg(F.sum("n").alias("n"), F.max("rate").alias("rate"), F.max("known").alias("known"), F.max("dtype").alias("dtype"))
+    blank, n = is_blank(F.col("value")), F.col("n")
+    part = lambda cond: F.sum(F.when(cond, n).otherwise(0))
+    per = values.groupBy("col").agg(
+        F.max("dtype").alias("dtype"), F.sum("n").alias("rows"), part(blank).alias("blank"), F.max("rate").alias("rate"),
+        part(~blank & number(F.col("value")).isNull()).alias("no_number"), part(~blank & (F.col("known") == 0)).alias("unseen"),
+    )
+    numeric, present = F.col("dtype") == "numeric", F.col("rows") > 0
+    moved = F.abs(F.try_divide("blank", "rows") - F.col("rate")) > shift
+    issue = lambda cond, kind, severity, count: F.when(cond, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), count.cast("long").alias("n")))
+    found = F.array(
+        issue(~present, "missing_feature", "error", F.lit(0)), issue(present & numeric & (F.col("no_number") > 0), "not_coercible", "error", F.col("no_number")),
+        issue(present & ~numeric & (F.col("unseen") > 0), "unseen_category", "warning", F.col("unseen")), issue(present & moved, "null_shift", "warning", F.lit(0)),
+    )
+    return per.select("col", F.explode(F.array_compact(found)).alias("i")).select("col", "i.kind", "i.severity", "i.n")
+
+
+def verdict(report: DataFrame) -> DataFrame:
+    """One row of n_errors, n_warnings and whether the batch may be scored."""
+    n = lambda severity: F.count(F.when(F.col("severity") == severity, 1))
+    return report.agg(n("error").alias("n_errors"), n("warning").alias("n_warnings")).withColumn("scoreable", F.col("n_errors") == 0)

@@ -16,15 +16,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelforge.functions.scalars import is_blank
-from funnelforge.operators import metrics, profile
+from funnelforge.operators import levels, mapping, metrics, profile
 from funnelforge.operators.assemble import any_known, formula_consistency
 from funnelforge.operators.derive import stage_rows, stage_summary
-from funnelforge.operators.position import matched
-from funnelforge.session import stored
+from funnelforge.operators.levels import Levels, fit_levels, fold_of
+from funnelforge.operators.position import matched, ordered_position
+from funnelforge.session import discard, stored
 
 #: Rows that a route needs, its weight, trees and depth of a stage's model.
 MIN_ENRICHED, ROUTE_WEIGHT = 30, 0.65
@@ -48,22 +48,33 @@ class Features:
     numeric: list[str]
     vocab: dict[str, list[str]]
     floors: dict[str, float] = field(default_factory=dict)
+    levels: Levels | None = None
 
     @property
     def columns(self) -> list[str]:
-        return [*self.numeric, *self.vocab]
+        return [*self.numeric, *self.vocab, *(self.levels.columns if self.levels else [])]
 
 
-def pin(df: DataFrame, numeric: list[str], categorical: list[str]) -> Features:
-    """The vocabulary and floors of a training table. Of a column with more levels than
-    MAX_LEVELS the most frequent are told apart (ties by name); the others share the index
-    of unseen ones, so no row is lost and a model's width stays bounded."""
+def pin(df: DataFrame, numeric: list[str], categorical: list[str], id_col: str | None = None) -> Features:
+    """The vocabulary and floors of a training table.
+
+    Categories of more than MAX_LEVELS levels become rates (``operators.levels``), however
+    many levels they have, if ``id_col`` tells rows' folds and there is a ``y``. Without an id
+    the most frequent levels are told apart (ties by name) and the others share the index
+    of unseen ones."""
     floors = df.agg(*(F.min(F.col(c).cast("double")).alias(c) for c in numeric)).first().asDict() if numeric else {}
     vocab: dict[str, list[str]] = {c: [] for c in categorical}
+    wide: list[str] = []
     if categorical:
-        for r in profile.top_values(profile.value_counts(df, categorical), MAX_LEVELS).collect():
+        counts = stored(profile.value_counts(df, categorical), "level-counts")
+        if id_col is not None:
+            many = profile.solid(counts).groupBy("col").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > MAX_LEVELS)
+            wide = sorted(r["col"] for r in many.collect())
+        for r in profile.top_values(counts.where(~F.col("col").isin(wide)), MAX_LEVELS).collect():
             vocab[r["col"]].append(r["value"])
-    return Features(numeric, {c: sorted(v) for c, v in vocab.items()}, {c: (v if v is not None else 0.0) - 1.0 for c, v in floors.items()})
+        discard(counts)
+    rates = fit_levels(df, wide, id_col) if wide else None
+    return Features(numeric, {c: sorted(v) for c, v in vocab.items() if c not in wide}, {c: (v if v is not None else 0.0) - 1.0 for c, v in floors.items()}, rates)
 
 
 def project(df: DataFrame, features: Features, keep: list[str]) -> DataFrame:
@@ -73,12 +84,14 @@ def project(df: DataFrame, features: Features, keep: list[str]) -> DataFrame:
         raise ValueError(f"missing features: {', '.join(missing)}")
     nums = [F.col(c).try_cast("double").alias(c) for c in features.numeric]
     cats = [F.when(F.col(c).cast("string").isin(v), F.col(c).cast("string")).alias(c) for c, v in features.vocab.items()]
-    return df.select(*keep, *nums, *cats)
+    wide = [F.col(c).cast("string").alias(c) for c in (features.levels.columns if features.levels else [])]
+    return df.select(*keep, *nums, *cats, *wide)
 
 
-def encode(df: DataFrame, features: Features) -> DataFrame:
+def encode(df: DataFrame, features: Features, fold: Column | None = None) -> DataFrame:
     """M1: per number its value (the floor where missing) and a flag, per category its
-    index in the vocabulary (one beyond it where missing or unseen)."""
+    index in the vocabulary (one beyond it where missing or unseen), per category of many
+    levels its rate, or with ``fold`` that of the other folds."""
     value = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c)).cast("double")
     out = df
     for c in features.numeric:
@@ -89,20 +102,25 @@ def encode(df: DataFrame, features: Features) -> DataFrame:
         out = out.withColumn(f"{c}__index", F.when(at >= 0, at).otherwise(len(levels)).cast("double"))
         # What a model trains on: an index of so many categories, not a number.
         out = out.withMetadata(f"{c}__index", {"ml_attr": {"type": "nominal", "name": f"{c}__index", "num_vals": len(levels) + 1}})
-    return out
+    return features.levels.coded(out, fold) if features.levels else out
 
 
 def _pipeline(features: Features, trees: int, depth: int, seed: int) -> Pipeline:
     inputs = [x for c in features.numeric for x in (f"{c}__value", f"{c}__missing")]
     inputs += [f"{c}__index" for c, v in features.vocab.items() if v]
+    inputs += [f"{c}__rate" for c in (features.levels.columns if features.levels else [])]
     bins = max([32, *(len(v) + 1 for v in features.vocab.values())])
     gbt = GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.1, seed=seed)
     return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), gbt])
 
 
-def fit_stage(rows: DataFrame, features: Features, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> PipelineModel:
-    """M2: a boosted-tree model of y on the pinned features."""
-    ready = encode(project(rows, features, ["y"]), features)
+def fit_stage(rows: DataFrame, features: Features, trees: int = TREES, depth: int = DEPTH, seed: int = 7, id_col: str | None = None) -> PipelineModel:
+    """M2: a boosted-tree model of y on the pinned features. Rates of levels are those of
+    the folds that ``id_col`` does not put a row in."""
+    if features.levels and id_col is None:
+        raise ValueError("categories of many levels need the rows' id")
+    fold = fold_of(F.col(id_col)) if features.levels else None
+    ready = encode(project(rows, features, ["y", *([id_col] if features.levels else [])]), features, fold)
     return _pipeline(features, trees, depth, seed).fit(ready)
 
 
@@ -140,23 +158,26 @@ class Chain:
     stages: list[Stage]
 
 
-def train(df: DataFrame, target: str, order: list[str], numeric: list[str], categorical: list[str], enrichment: list[str], architecture: str = "unified", trees: int = TREES, depth: int = DEPTH) -> Chain:
+def train(df: DataFrame, target: str, order: list[str], numeric: list[str], categorical: list[str], enrichment: list[str], architecture: str = "unified", trees: int = TREES, depth: int = DEPTH, id_col: str | None = None) -> Chain:
     """M3, M4, M5: ``baseline`` uses core features only; ``unified`` all, missing ones as
     a signal; ``dual`` blends a model of enriched rows with a core model, where 30 enriched
-    rows of both classes exist."""
+    rows of both classes exist. ``id_col`` is needed for categories of many levels (``pin``).
+    A stage's rows are derived once and stored while it is fitted."""
+    keep = [*dict.fromkeys([*([id_col] if id_col else []), *numeric, *categorical]), "y"]
     core = ([c for c in numeric if c not in enrichment], [c for c in categorical if c not in enrichment])
     stages = []
     for i in range(len(order) - 1):
-        rows = stage_rows(df, target, order, i)
+        rows = stored(stage_rows(df, target, order, i).select(*keep), "stage-rows")
         used = (numeric, categorical) if architecture == "unified" else core
-        features = pin(rows, *used)
-        stage = Stage(fit_stage(rows, features, trees, depth), features, enrichment=enrichment)
+        features = pin(rows, *used, id_col)
+        stage = Stage(fit_stage(rows, features, trees, depth, id_col=id_col), features, enrichment=enrichment)
         if architecture == "dual" and enrichment:
             own = rows.where(any_known(enrichment))
             n = own.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
             if n["n"] >= MIN_ENRICHED and 0 < n["p"] < n["n"]:
-                stage.rich_features = pin(own, numeric, categorical)
-                stage.rich = fit_stage(own, stage.rich_features, trees, depth)
+                stage.rich_features = pin(own, numeric, categorical, id_col)
+                stage.rich = fit_stage(own, stage.rich_features, trees, depth, id_col=id_col)
+        discard(rows)
         stages.append(stage)
     return Chain(architecture, target, order, stages)
 
@@ -180,6 +201,7 @@ class Training:
     gates: list[Gate]
     warnings: list[str]
     null_rates: dict[str, float]
+    pinned: DataFrame | None = None
 
 
 def feature_gates(target: str, features: list[str], derived: list[str] | None = None, patterns: tuple[str, ...] = POST_EVENT) -> list[Gate]:
@@ -217,12 +239,13 @@ def train_run(
         gates.append(Gate("provenance", not found["fails"], f"AUC {found['auc']}"))
     thin = stage_summary(df, target, order, least=least).where("sparse").orderBy("stage").collect()
     warnings = [f"stage {r['stage']}: only {r['n_positive']} positives" for r in thin]
-    chain = train(df, target, order, numeric, categorical, enrichment, architecture, trees, depth)
+    chain = train(df, target, order, numeric, categorical, enrichment, architecture, trees, depth, id_col)
     if architecture == "dual":
         warnings += [f"stage {i}: no enriched route, fewer than {MIN_ENRICHED} enriched rows or one class" for i, s in enumerate(chain.stages) if s.rich is None]
-    rates = {r["col"]: r["blank_rate"] for r in profile.blank_rates(profile.value_counts(df, used)).collect()}
+    counts = stored(profile.value_counts(df, used), "training-counts")
+    rates = {r["col"]: r["blank_rate"] for r in profile.blank_rates(counts).collect()}
     _in_order(score(df, chain), chain)
-    return Training(chain, gates, warnings, rates)
+    return Training(chain, gates, warnings, rates, stored(mapping.pins(counts, batch_features(chain)), "pinned"))
 
 
 def _in_order(scored: DataFrame, chain: Chain) -> None:
@@ -257,7 +280,7 @@ def gains(spark: SparkSession, stage: Stage) -> DataFrame:
     """M8: (feature, gain_pct, kind) with a number's value and flag added up."""
     model = stage.core.stages[-1]
     f = stage.core_features
-    slots = [c for c in f.numeric for _ in (0, 1)] + [c for c, v in f.vocab.items() if v]
+    slots = [c for c in f.numeric for _ in (0, 1)] + [c for c, v in f.vocab.items() if v] + (f.levels.columns if f.levels else [])
     total = {c: 0.0 for c in f.columns}
     for c, g in zip(slots, model.featureImportances.toArray(), strict=True):
         total[c] += float(g)
@@ -267,17 +290,57 @@ def gains(spark: SparkSession, stage: Stage) -> DataFrame:
     return table.select("feature", F.round(100 * F.col("gain") / whole, 4).alias("gain_pct"), "kind")
 
 
+def _held_out(df: DataFrame, id_col: str, batch: Column, features: list[str]) -> DataFrame:
+    """(row_id, features, y, _held): three in ten rows, by a hash of the id, are held out."""
+    held = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int") % 10 < 3
+    return df.select(F.col(id_col).alias("row_id"), *features, batch.cast("int").alias("y"), held.alias("_held"))
+
+
 def provenance(df: DataFrame, id_col: str, batch: Column, features: list[str], trees: int = 10) -> DataFrame:
     """M9: (auc, fails): whether features predict which batch a row came from, on the three
     in ten rows that a hash of the id holds out; the smaller batch is the positive one."""
-    held = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 4), 16, 10).cast("int") % 10 < 3
-    rows = df.select(F.col(id_col).alias("row_id"), *features, batch.cast("int").alias("y"), held.alias("_held"))
+    rows = _held_out(df, id_col, batch, features)
     pinned = pin(rows.where("not _held"), features, [])
     model = fit_stage(rows.where("not _held"), pinned, trees, 3)
     scored = probability(rows.where("_held"), model, pinned, "score")
     return metrics.roc_auc(scored.select("row_id", "y", "score")).withColumn("fails", F.coalesce(F.col("auc") > PROVENANCE_AUC, F.lit(False)))
 
 
+def provenance_scores(df: DataFrame, id_col: str, batch: Column, features: list[str], trees: int = 10) -> tuple[DataFrame, Stage]:
+    """M9: (without, row_id, y, score) of the held-out rows, and the model: scores with every
+    feature (``without`` null), and with each in turn taken from another row.
+
+    Rows are put into two orders by hashes of their id, and the row at a place of the one
+    lends its values to the row at that place of the other; all features are permuted by
+    one such join and scored in one job.
+    """
+    rows = stored(_held_out(df, id_col, batch, features), "provenance")
+    pinned = pin(rows.where("not _held"), features, [])
+    fitted = fit_stage(rows.where("not _held"), pinned, trees, 3)
+    held = rows.where("_held").drop("_held")
+    order = lambda salt: [F.md5(F.concat_ws(salt, F.lit(salt), F.col("row_id").cast("string"))), F.col("row_id")]
+    one = ordered_position(held, [], order("a"), "_at")
+    two = ordered_position(held, [], order("b"), "_at").select("_at", F.struct(*features).alias("_other"))
+    met = one.join(two, "_at")
+    variants = [F.struct(F.lit(None).cast("string").alias("without"), *(F.col(c) for c in features))]
+    variants += [F.struct(F.lit(f).alias("without"), *(F.col(f"_other.{c}").alias(c) if c == f else F.col(c) for c in features)) for f in features]
+    long = met.select("row_id", "y", F.explode(F.array(*variants)).alias("v")).select("row_id", "y", "v.*")
+    return probability(long, fitted, pinned, "score").select("without", "row_id", "y", "score"), Stage(fitted, pinned)
+
+
+def provenance_features(df: DataFrame, id_col: str, batch: Column, features: list[str], trees: int = 10) -> DataFrame:
+    """M9: (rank, feature, auc, auc_lost, gain_pct, fails): what the held-out AUC is, and what
+    it loses when a feature is permuted, the most telling feature first, beside its gain."""
+    scores, stage = provenance_scores(df, id_col, batch, features, trees)
+    auc = stored(metrics.roc_auc(stored(scores, "provenance-scores"), ["without"]), "provenance-auc")
+    whole = auc.where("without is null").select(F.col("auc").alias("whole"))
+    lost = auc.where("without is not null").crossJoin(F.broadcast(whole))  # one row
+    met = lost.join(gains(df.sparkSession, stage).select(F.col("feature").alias("without"), "gain_pct"), "without")
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("auc_lost"), "feature")  # a row a feature
+    found = met.select(F.col("without").alias("feature"), F.col("whole").alias("auc"), (F.col("whole") - F.col("auc")).alias("auc_lost"), "gain_pct")
+    return found.select(F.row_number().over(w).alias("rank"), "feature", "auc", "auc_lost", "gain_pct", F.coalesce(F.col("auc") > PROVENANCE_AUC, F.lit(False)).alias("fails"))
+
+
 def _by_stage(scored: DataFrame, chain: Chain, id_col: str, by: list[str] | None = None) -> DataFrame:
     """(stage, row_id, y, score and ``by``): each stage on the rows that reached it."""
     parts = []
@@ -333,13 +396,18 @@ def evaluate_run(df: DataFrame, chain: Chain, id_col: str, tiers: int = metrics.
     }
 
 
-def save_bundle(chain: Chain, path: str, spark: SparkSession, extra: dict | None = None) -> None:
-    """Writes models and a manifest once; a path that exists raises."""
-    plain = lambda f: f and {"numeric": f.numeric, "vocab": f.vocab, "floors": f.floors}
+def save_bundle(chain: Chain, path: str, spark: SparkSession, extra: dict | None = None, pinned: DataFrame | None = None) -> None:
+    """Writes models, level tables, what the pre-flight check pins, and a manifest once; a
+    path that exists raises."""
+    plain = lambda f: f and {"numeric": f.numeric, "vocab": f.vocab, "floors": f.floors, "coded": f.levels.columns if f.levels else []}
     for i, s in enumerate(chain.stages):
-        s.core.write().save(f"{path}/stage-{i}-core")
-        if s.rich is not None:
-            s.rich.write().save(f"{path}/stage-{i}-rich")
+        for name, fitted, features in (("core", s.core, s.core_features), ("rich", s.rich, s.rich_features)):
+            if fitted is not None:
+                fitted.write().save(f"{path}/stage-{i}-{name}")
+            if features and features.levels:
+                features.levels.table.write.parquet(f"{path}/stage-{i}-{name}-levels")
+    if pinned is not None:
+        pinned.write.parquet(f"{path}/pinned")
     manifest = {
         "architecture": chain.architecture, "target": chain.target, "order": chain.order, "extra": extra or {},
         "stages": [{"core": plain(s.core_features), "rich": plain(s.rich_features), "enrichment": s.enrichment} for s in chain.stages],
@@ -353,12 +421,45 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[Chain, dict]:
     stages = []
     for i, s in enumerate(m["stages"]):
         rich = PipelineModel.load(f"{path}/stage-{i}-rich") if s["rich"] else None
-        stages.append(Stage(PipelineModel.load(f"{path}/stage-{i}-core"), Features(**s["core"]), rich, s["rich"] and Features(**s["rich"]), s["enrichment"]))
+        known = lambda name, f, i=i: f and Features(f["numeric"], f["vocab"], f["floors"], _levels(spark, f"{path}/stage-{i}-{name}-levels", f.get("coded", [])))
+        stages.append(Stage(PipelineModel.load(f"{path}/stage-{i}-core"), known("core", s["core"]), rich, known("rich", s["rich"]), s["enrichment"]))
     return Chain(m["architecture"], m["target"], m["order"], stages), m["extra"]
 
 
-def score_batch(df: DataFrame, chain: Chain, id_col: str, cutoffs: list[float], bundle_id: str) -> DataFrame:
-    """Id, stage probabilities, score, pinned tier, bundle and time."""
+def _levels(spark: SparkSession, path: str, columns: list[str]) -> Levels | None:
+    return levels.pinned(spark.read.schema(levels.TABLE).parquet(path), columns) if columns else None
+
+
+def load_pinned(spark: SparkSession, path: str) -> DataFrame:
+    """What a bundle's pre-flight check pins."""
+    return spark.read.schema(mapping.PINNED).parquet(f"{path}/pinned")
+
+
+class RefusedBatch(ValueError):
+    """A batch that lacks features or holds values that are no numbers."""
+
+
+def score_batch(df: DataFrame, chain: Chain, id_col: str, cutoffs: list[float], bundle_id: str, pinned: DataFrame | None = None) -> DataFrame:
+    """Id, stage probabilities, score, pinned tier, bundle and time.
+
+    With ``pinned`` (``mapping.pins`` of the training table) the batch is checked first, in one
+    pass over its counts: errors raise RefusedBatch and nothing is scored; warnings do not."""
+    if pinned is not None:
+        wanted = batch_features(chain)
+        have = [c for c in wanted if c in df.columns]
+        counts = profile.value_counts(df, have) if have else df.sparkSession.createDataFrame([], "col string, value string, n long")
+        bad = mapping.preflight(counts, wanted, pinned).where("severity = 'error'").orderBy("col", "kind").collect()
+        if bad:
+            raise RefusedBatch("; ".join(f"{r['col']}: {r['kind']} ({r['n']})" for r in bad))
     scored = score(df, chain)
     names = [f"stage_{i}" for i in range(len(chain.stages))]
     return scored.select(id_col, *names, "score", metrics.assign_tier(F.col("score"), cutoffs).alias("tier"), F.lit(bundle_id).alias("bundle_id"), F.current_timestamp().alias("scored_at"))
+
+
+def batch_features(chain: Chain) -> dict[str, str]:
+    """The features that a batch must have, numeric or categorical."""
+    out: dict[str, str] = {}
+    for s in chain.stages:
+        for f in filter(None, (s.core_features, s.rich_features)):
+            out |= {c: "numeric" for c in f.numeric} | {c: "categorical" for c in (*f.vocab, *(f.levels.columns if f.levels else []))}
+    return out

@@ -10,6 +10,7 @@ from funnelforge.operators import mapping as M
 from funnelforge.operators import profile as P
 from funnelforge.plans.profile_queries import _BLANK, _FORMS, _MULTI, _V, RATIO_SQL, _vc
 from funnelforge.plans.tables import LEADS_SQL, PAST_SQL, VC_SQL, leads, past_leads, table
+from funnelforge.session import stored
 
 FUNNEL = ["view", "click", "signup", "purchase"]
 LEVELS = ["Asked", "Quoted", "Surveyed", "Signed"]
@@ -177,17 +178,22 @@ def a37_vocabulary(spark, sf_dir):
     return M.vocabulary(_vc(spark, sf_dir), ["source", "areas", "disposition"])
 
 
+CHECKED = {"source": "categorical", "areas": "categorical", "score": "numeric", "tenure": "numeric", "phone": "categorical"}
+
+
 def m13_preflight(spark, sf_dir):
-    pinned = _pinned(spark, sf_dir)
-    features = {"source": "categorical", "areas": "categorical", "score": "numeric", "tenure": "numeric", "phone": "categorical"}
-    return M.preflight(_batch(spark, sf_dir), features, M.vocabulary(pinned, ["source", "areas"]), P.blank_rates(pinned))
+    return M.preflight(_batch(spark, sf_dir), CHECKED, stored(M.pins(_pinned(spark, sf_dir), CHECKED), "pinned"))
+
+
+def m13_verdict(spark, sf_dir):
+    return M.verdict(m13_preflight(spark, sf_dir))
 
 
 QUERIES = [
     p1_is_blank, f1_phone, f2_number, f3_timestamp, d1_temporal_features, d2_funnel_stages, d3_multi_valued, d4_duration_months, d5_duration_bands,
     k2_top_components, p2_apply_mapping, p3_stage_rows, p4_role_projection, p7_apply_merges, a19_validate_canonical, a24_outcome_by_age,
     a25_funnel_summary, a26_feature_profile, a27_signal_by_quartile, a28_signal_by_category, a31_funnel_report, a32_stage_summary, u2_level_check,
-    j4_column_diff, j5_suggest_mapping, j9_compare_findings, j11_unseen_categories, j12_schema_drift, a35_null_shift, a36_not_coercible, a37_vocabulary, m13_preflight,
+    j4_column_diff, j5_suggest_mapping, j9_compare_findings, j11_unseen_categories, j12_schema_drift, a35_null_shift, a36_not_coercible, a37_vocabulary, m13_preflight, m13_verdict,
 ]
 
 _LEVEL = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 END"
@@ -313,3 +319,4 @@ SQL = {
       a AS ({_ALL("raw")}), b AS ({_ALL("clean")})
       SELECT kind, CAST(coalesce(a.n, 0) AS BIGINT) AS before_n, CAST(coalesce(b.n, 0) AS BIGINT) AS after_n FROM a FULL JOIN b USING (kind)""",
 }
+SQL["m13_verdict"] = f"SELECT count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error') = 0 AS scoreable FROM ({SQL['m13_preflight']})"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from funnelforge.operators import assemble, derive, model, profile
+from funnelforge.operators import assemble, derive, levels, model, profile
 from funnelforge.plans.tables import LEAD_COLUMNS, LEADS_SQL, VC_SQL, leads, table
 from funnelforge.session import scratch_path, stored
 from funnelforge.sources import audit, enrich, ingest
@@ -284,6 +284,30 @@ def m7_ordinal_violations(spark, sf_dir):
     return model.ordinal_violations(o.select(((F.col("o_orderkey") % 100) / 90).alias("a"), ((F.col("o_orderkey") % 13) / 12).alias("b")), ["a", "b"])
 
 
+def _by_customer(spark, sf_dir):
+    """Orders that are finished or not, with their customer as a category of many levels."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").cast("string").alias("customer"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+
+
+def m1_target_statistics(spark, sf_dir):
+    """The rate of each customer with ten orders or more, and of the others as one."""
+    found = levels.statistics(_by_customer(spark, sf_dir), ["customer"], levels.fold_of(F.col("row_id")), least=10)
+    return found.select("col", "level", "n", F.round("code", 6).alias("code"), *(F.round(F.col("outs")[k], 6).alias(f"out_{k}") for k in range(levels.FOLDS)))
+
+
+def m1_out_of_fold(spark, sf_dir):
+    """Each order's rate of its customer's orders in other folds, as a model trains on it."""
+    rows = _by_customer(spark, sf_dir)
+    return levels.fit_levels(rows, ["customer"], "row_id", least=10).coded(rows, levels.fold_of(F.col("row_id"))).select("row_id", F.round("customer__rate", 6).alias("rate"))
+
+
+def m9_top_features(spark, sf_dir):
+    """Which feature tells even keys from odd ones, when it is permuted; age does not."""
+    found = model.provenance_features(_frame(spark, sf_dir), "row_id", F.col("row_id") % 2 == 0, ["age", "rich_score"], trees=3)
+    return found.select("rank", "feature", (F.col("auc_lost") > 0.2).alias("tells"), "fails")
+
+
 def m2_fit_stage(spark, sf_dir):
     """The model of one stage: held-out rows, probabilities among them, and whether rows that
     went further have the higher mean."""
@@ -402,11 +426,17 @@ def v4_similarity(spark, sf_dir):
 QUERIES = [
     s1_read_delimited, s2_encodings, s3_detect_delimiter, s4_malformed_rows, s1_read_layouts, s5_same_content, s5_earlier_uploads, s6_saved_dataset, s7_saved_report, s8_audit_rows,
     s9_register_dataset, s10_cleaned_lineage, s12_exported_csv,
-    j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, v2_resumed_run, v2_assembled_runs, v2_run_checks, v2_timing_leaks, m1_encode, p6_project, m5_blend, m7_ordinal_violations,
+    j7_run_history, j8_lineage, u1_merchants, w10_next_versions, v2_enrichment_run, v2_run_summary, v2_resumed_run, v2_assembled_runs, v2_run_checks, v2_timing_leaks, m1_encode, m1_target_statistics, m1_out_of_fold, m9_top_features, p6_project, m5_blend, m7_ordinal_violations,
     m2_fit_stage, m6_chained_scores, m8_feature_gains, m9_provenance, m3_baseline, m4_unified, m5_dual_route, m10_train_run, m11_evaluate_run, m12_bundle, m14_score_batch, m14_saved_run,
     v4_similarity,
 ]
 
+_FOLD = "CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 6) AS BIGINT) % 5"
+_LEVELS = f"""WITH r AS (SELECT o_orderkey AS row_id, CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderstatus = 'F' AS INTEGER) AS y FROM orders), f AS (SELECT *, {_FOLD} AS fold FROM r),
+  k AS (SELECT customer FROM r GROUP BY 1 HAVING count(*) >= 10), l AS (SELECT *, CASE WHEN customer IN (SELECT customer FROM k) THEN customer ELSE '__RARE__' END AS level FROM f)"""
+_RATE = lambda n, p, all_n, all_p: f"({p} + 20.0 * {all_p} / {all_n}) / ({n} + 20.0)"
+_OUT = lambda k: _RATE(f"count(*) FILTER (fold <> {k})", f"coalesce(sum(y) FILTER (fold <> {k}), 0)", f"(SELECT count(*) FROM l WHERE fold <> {k})", f"(SELECT sum(y) FROM l WHERE fold <> {k})")
+
 _NA = "(" + ", ".join(f"'{w}'" for w in ingest.NA_WORDS) + ")"
 _ROW = "coalesce(lead_id, '') || '|\"' || coalesce(source, '') || '|x\"|' || coalesce(score, '')"
 _LINE = f"{_ROW} || CASE WHEN CAST(lead_id AS BIGINT) % 50 <> 1 THEN '|' || coalesce(disposition, '') ELSE '' END || CASE WHEN CAST(lead_id AS BIGINT) % 60 = 2 THEN '|extra' ELSE '' END"
@@ -447,6 +477,10 @@ SQL = {
     "v2_run_checks": "SELECT unnest(['run1', 'run2']) AS run_id, CAST(0 AS BIGINT) AS n_repeated, count(*) > 0 AS counts_agree, TRUE AS in_order FROM customer",
     "v2_timing_leaks": LEADS_SQL + " SELECT unnest(['first', 'second']) AS source, lead_id FROM leads WHERE CAST(lead_id AS BIGINT) % 3 = 1",
     "m1_encode": _FRAME + " SELECT row_id, round(coalesce(rich_score, -1), 6) AS rich_score__value, CAST(rich_score IS NULL AS DOUBLE) AS rich_score__missing, CASE priority WHEN '1-URGENT' THEN 0.0::DOUBLE WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 ELSE 3 END AS priority__index FROM f",
+    "m1_target_statistics": _LEVELS + f" SELECT 'customer' AS col, level, count(*) AS n, round(CAST({_RATE('count(*)', 'sum(y)', '(SELECT count(*) FROM l)', '(SELECT sum(y) FROM l)')} AS DOUBLE), 6) AS code, "
+    + ", ".join(f"round(CAST({_OUT(k)} AS DOUBLE), 6) AS out_{k}" for k in range(5)) + " FROM l GROUP BY level",
+    "m1_out_of_fold": _LEVELS + ", c AS (SELECT level, [" + ", ".join(f"CAST({_OUT(k)} AS DOUBLE)" for k in range(5)) + "] AS outs FROM l GROUP BY level) SELECT row_id, round(outs[fold + 1], 6) AS rate FROM l JOIN c USING (level)",
+    "m9_top_features": "SELECT CAST(k AS INTEGER) AS rank, CASE k WHEN 1 THEN 'rich_score' ELSE 'age' END AS feature, k = 1 AS tells, TRUE AS fails FROM range(1, 3) AS q(k)",
     "p6_project": _FRAME + " SELECT row_id, age, CASE WHEN priority IN ('1-URGENT', '5-LOW') THEN priority END AS priority FROM f",
     "m5_blend": "SELECT o_orderkey AS row_id, round(CASE WHEN o_orderkey % 2 = 0 THEN 0.65 * (o_orderkey % 100 / 100) + 0.35 * (o_orderkey % 7 / 7) ELSE o_orderkey % 7 / 7 END, 6) AS p FROM orders",
     "m7_ordinal_violations": "SELECT count(*) FILTER (o_orderkey % 100 / 90 > 1 OR (o_orderkey % 100 / 90) * (o_orderkey % 13 / 12) > 1) AS n FROM orders",
