@@ -8,6 +8,7 @@ import uuid
 import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,8 +65,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Scratch paths that this driver has made and not deleted.
-_made: list[str] = []
+#: The paths that the innermost scope of this thread has made.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -78,22 +79,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     fs, where = _filesystem(spark, path)
     fs.deleteOnExit(where)
-    _made.append(path)
+    own = _scope.get()
+    if own is not None:
+        own.append(path)
     return path
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Deletes, at its end, the scratch paths made inside: for jobs whose results are
-    written elsewhere by then."""
-    n = len(_made)
+    written elsewhere by then. Paths that other threads make meanwhile are theirs."""
+    own: list[str] = []
+    token = _scope.set(own)
     try:
         yield
     finally:
-        for path in _made[n:]:
+        _scope.reset(token)
+        for path in own:
             fs, where = _filesystem(spark, path)
             fs.delete(where, True)
-        del _made[n:]
 
 
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

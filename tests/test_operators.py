@@ -3,6 +3,7 @@
 import difflib
 import json
 import random
+import threading
 import time
 
 import pandas as pd
@@ -405,6 +406,33 @@ def test_enrichment_answers_for_every_lead(spark):
 # scratch -----------------------------------------------------------------------------
 
 
+def test_scratch_scopes_of_threads_are_their_own(spark):
+    from funnelforge.session import scratch_scope, stored
+
+    begun, made, out = threading.Event(), threading.Event(), {}
+
+    def other():
+        begun.wait(60)
+        out["free"] = stored(spark.range(7), "free")
+        with scratch_scope(spark):
+            out["inner"] = stored(spark.range(5), "inner").count()
+        made.set()
+
+    worker = threading.Thread(target=other)
+    worker.start()
+    with scratch_scope(spark):
+        begun.set()
+        assert made.wait(120)
+        mine = stored(spark.range(3), "mine")
+        with scratch_scope(spark):
+            stored(spark.range(2), "nested")
+        assert mine.count() == 3
+    worker.join()
+    assert out["free"].count() == 7 and out["inner"] == 5
+    with pytest.raises(Exception, match="(?i)not.*exist|FILE_NOT_EXIST"):
+        mine.collect()
+
+
 def test_scratch_scope_deletes_what_it_made(spark):
     from funnelforge.session import scratch_scope, stored
 
@@ -490,7 +518,7 @@ def test_training_in_one_call_reports_gates_and_warnings(spark, funnel):
     gates = {g.name: g.passed for g in done.gates}
     assert gates["target_leakage"] and gates["post_event_features"] and not gates["formula:small"] and not gates["provenance"]
     assert done.null_rates["rich"] == pytest.approx(2 / 3) and done.null_rates["cat"] == 0 and done.warnings == []
-    assert len(done.chain.stages[0].core_features.vocab["cat"]) == model.MAX_LEVELS and done.chain.stages[0].rich is not None
+    assert done.chain.stages[0].core_features.levels.columns == ["cat"] and done.chain.stages[0].rich is not None
     few = model.train_run(funnel.where("id < 80"), "stage", ["A", "B", "C"], ["core", "rich"], [], ["rich"], "dual", 1, 1)
     assert [w.split(":")[0] for w in few.warnings] == ["stage 0", "stage 1", "stage 0", "stage 1"]
     with pytest.raises(model.LeakageError, match="target"):
