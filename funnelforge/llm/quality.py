@@ -161,7 +161,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     with small_batches(docs.sparkSession):
         rows = stored(with_statistics(docs, id_col, text_col), "quality-statistics")
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    value = F.col(label_col).cast("string").try_cast("double")
+    known = labels.select(F.col(id_col).alias("id"), F.when(value.isin(0.0, 1.0), value).cast("int").alias("label")).where("label is not null")
     model = fit(rows.where(~held_out("id")).join(known, "id"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
