@@ -67,6 +67,17 @@ def _slots(words: Words) -> np.ndarray:
     return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int32)
 
 
+def _letter_counts(words: Words) -> np.ndarray:
+    """The letters of each word, whatever their bytes in UTF-8: characters but those
+    of blocks of signs (from U+0080, U+2000, U+3000, U+FF00 and U+1F000 on)."""
+    b = words.bytes
+    after, third = np.append(b[1:], np.uint8(0)), np.append(b[2:], np.zeros(min(2, len(b)), np.uint8))
+    sign = (b == 0xC2) | ((b == 0xE2) & (after <= 0xBA)) | ((b == 0xE3) & (after == 0x80)) | ((b == 0xEF) & (after == 0xBC) & (third < 0xA1)) | ((b == 0xF0) & (after == 0x9F))
+    letter = _letters[b] & ((b & 0xC0) != 0x80) & ~sign
+    total = np.concatenate([[0], np.cumsum(letter)])
+    return total[words.end] - total[words.start]
+
+
 def _word_scripts(words: Words) -> np.ndarray:
     """The highest script of each word's bytes; 0 has no letter of a known script."""
     if not len(words.start):
@@ -91,7 +102,7 @@ class Model:
                 continue
             scores = self._scores(words)
             path = self._paths(scores, words.first)
-            sizes = words.end - words.start
+            sizes = _letter_counts(words)
             out += [(path[a:b], sizes[a:b]) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         return out
 
@@ -194,6 +205,8 @@ def fit(labelled: DataFrame, switch: float = 20.0, max_fit: int = MAX_FIT) -> Mo
 def _label(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, shares = [], []
     for text, (path, sizes) in zip(texts, model.label(texts), strict=True):
+        if len(path) and not sizes.any():  # letters among signs, as the ordinal ones: a word each
+            sizes = np.ones(len(path), np.int64)
         total = int(sizes.sum())
         if not model.languages or not total or not any(map(str.isalpha, text)):
             names.append("und")
