@@ -6,6 +6,7 @@ then a bit mixer, then a polynomial over the words of a window.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -89,14 +90,24 @@ def slices(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[slice]:
 @contextmanager
 def small_batches(spark: SparkSession, limit: str = "8m") -> Iterator[None]:
     """For actions inside: Spark sends Python so many bytes at once, so that neither side
-    holds buffers of its default of 64 MB for each task."""
+    holds buffers of its default of 64 MB for each task. The setting is the session's: the
+    first of several jobs at once sets it, and the last to end puts back what was there."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, limit)
+    with _setting:
+        if not _users:
+            _before.append(spark.conf.get(key))
+            spark.conf.set(key, limit)
+        _users.append(limit)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        with _setting:
+            _users.pop()
+            if not _users:
+                spark.conf.set(key, _before.pop())
+
+
+_setting, _users, _before = threading.Lock(), [], []
 
 
 def sliced(rows: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
