@@ -50,7 +50,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of over 50 words that repeat across documents, or inside one."""
-    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"), least=substring_dedup.PASSAGE)
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"), least=substring_dedup.FOUND_BY, words=substring_dedup.PASSAGE)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

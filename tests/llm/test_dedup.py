@@ -233,6 +233,51 @@ def test_substring_spans_are_held_by_one_document(spark):
     assert [(r["doc_id"], r["bytes"], r["keep_id"]) for r in found] == [(6, 120, 5)]
 
 
+@pytest.mark.parametrize(("low", "high", "n", "share"), [(6, 6, 51, 0.98), (2, 5, 51, 0.95), (2, 2, 60, 0.85), (1, 9, 51, 0.97)])
+def test_substring_finds_passages_by_words(spark, low, high, n, share):
+    """Planted passages of words of some length; sentences of forty words are no passages."""
+    rng = random.Random(low * 100 + n)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    fill = lambda k: " ".join(word(2, 9) for _ in range(k))
+    rows, passages, shorter = [], {}, {}
+    for k in range(120):
+        p, q = " ".join(word(low, high) for _ in range(n)), " ".join(word(low, high) for _ in range(40))
+        rows += [(4 * k, f"{fill(40)} {p} {fill(30)}"), (4 * k + 1, f"{fill(25)} {p} {fill(50)}"), (4 * k + 2, f"{fill(30)} {q} {fill(9)}"), (4 * k + 3, f"{fill(30)} {q} {fill(20)}")]
+        passages[4 * k + 1], shorter[4 * k + 3] = p, q
+    found = substring_dedup.repeated_spans(frame(spark, rows), least=substring_dedup.FOUND_BY, words=substring_dedup.PASSAGE).collect()
+    ids = {r["doc_id"] for r in found}
+    assert ids <= set(passages) and len(ids) >= share * len(passages)
+    texts = dict(rows)
+    for r in found:
+        span = texts[r["doc_id"]][r["start"] : r["end"]]
+        assert span in texts[r["keep_id"]] and r["keep_id"] == r["doc_id"] - 1
+        assert len(span.strip()) <= len(passages[r["doc_id"]]) + 8
+
+
+def test_substring_misses_few_passages_of_real_texts(spark, documents):
+    """Documents with 51 words of an earlier one, and those without, by brute force."""
+    docs = {i: t for i, t in documents.items() if t}
+    found = substring_dedup.repeated_spans(frame(spark, docs.items()), least=substring_dedup.FOUND_BY, words=substring_dedup.PASSAGE).collect()
+    seen, want = set(), set()
+    for i in sorted(docs):
+        words = docs[i].split()
+        grams = {" ".join(words[k : k + 51]) for k in range(len(words) - 50)}
+        if grams & seen:
+            want.add(i)
+        seen |= grams
+    across = {r["doc_id"] for r in found if r["keep_id"] != r["doc_id"]}
+    assert len(want) > 5 and len(across & want) >= 0.95 * len(want) and len(across - want) <= 0.02 * len(docs)
+
+
+def test_substring_extension():
+    make = lambda l, m, r: {"l": l.encode(), "m": m.encode(), "r": r.encode()}
+    assert substring_dedup.extension(make("xx one ", "two", " three y"), make("one ", "two", " three z")) == (4, 7, 3)
+    assert substring_dedup.extension(make("aone ", "two", " three"), make("bone ", "two", " three")) == (4, 6, 2)
+    assert substring_dedup.extension(make("", "two", ""), make("q", "two", "r")) == (0, 0, 1)
+    assert substring_dedup.extension(make("\u00e9 ", "two", " \u00e9"), make("\u00e8 ", "two", " \u00e8")) == (1, 1, 1)
+    assert substring_dedup.extension(make("a", "two", "b"), make("a", "twO", "b")) == (0, 0, 0)
+
+
 def test_substring_overlapping_spans_and_repeats_inside_a_document(spark):
     """A passage that begins in one earlier document and ends in another; one that repeats in its own."""
     rng = random.Random(7)
