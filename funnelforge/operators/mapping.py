@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from funnelforge.functions.scalars import is_blank, number, phone, timestamp
 from funnelforge.operators import profile
 from funnelforge.operators.position import top_per
+from funnelforge.session import stored
 
 #: Least ratio of a suggestion, and what an exact alias is worth.
 SUGGEST, EXACT = 0.55, 0.95
 PHONE_RATE = 0.90
+EXAMPLES = 10
 
 
 def apply_mapping(df: DataFrame, fields: dict[str, list[str]], extra: str = "extra__") -> DataFrame:
@@ -77,6 +82,58 @@ def validate_canonical(df: DataFrame, required: list[str], unique: list[str], ph
     return out.unionByName(levels.select(F.lit("disposition").alias("kind"), F.col(disposition_col).alias("field"), "n", F.lit(None).cast("long").alias("total")))
 
 
+@dataclass(frozen=True)
+class Field:
+    """A canonical field: whether it must be mapped (always, for training, or not), and
+    whether its values must differ."""
+
+    name: str
+    required: str = "no"
+    unique: bool = False
+
+
+SEVERITY = {
+    "missing_required_field": "error", "duplicate_value": "error", "low_phone_match_rate": "error", "ambiguous_date_needs_confirmation": "error", "unparsed_created_at": "warning",
+}
+
+
+def canonical_issues(df: DataFrame, fields: list[Field], training: bool, phone_col: str = "phone", created_col: str = "created_at", day_first: bool | None = None, least_phones: float = PHONE_RATE) -> DataFrame:
+    """(kind, field, severity, n, total, examples): what keeps a mapped table from being
+    used, errors first to be mended, and what only deserves a look.
+
+    Required fields without a column (n and total 0); unique fields by values that repeat and
+    their rows; phones if fewer than ``least_phones`` of the solid ones normalise, with ten
+    that do not; dates that could be day-first or month-first, unless ``day_first`` says which;
+    dates that do not parse. Two aggregations read the table, and one per unique field.
+    """
+    spark = df.sparkSession
+    schema = "kind string, field string, n long, total long, examples string"
+    lacking = [f.name for f in fields if f.name not in df.columns and (f.required == "always" or (f.required == "train" and training))]
+    parts = [spark.createDataFrame([("missing_required_field", name, 0, 0, "") for name in lacking], schema)]
+    solid = lambda c: ~is_blank(F.col(c).cast("string"))
+    for f in fields:
+        if f.unique and f.name in df.columns:
+            again = df.where(solid(f.name)).groupBy(f.name).agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+            parts.append(again.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("total")).where("n > 0").select(F.lit("duplicate_value").alias("kind"), F.lit(f.name).alias("field"), "n", "total", F.lit("").alias("examples")))
+    if phone_col in df.columns:
+        rows = df.where(solid(phone_col)).select(F.col(phone_col).cast("string").alias("value"))
+        bad = rows.where(phone(F.col("value")).isNull())
+        few = bad.distinct().orderBy("value").limit(EXAMPLES).agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("examples"))
+        rate = rows.agg(F.count(F.lit(1)).alias("total"), F.count(F.when(phone(F.col("value")).isNull(), 1)).alias("n")).where((F.col("total") > 0) & (F.col("total") - F.col("n") < least_phones * F.col("total")))
+        parts.append(rate.crossJoin(F.broadcast(few)).select(F.lit("low_phone_match_rate").alias("kind"), F.lit(phone_col).alias("field"), "n", "total", "examples"))  # one row
+    if created_col in df.columns:
+        vc = stored(profile.value_counts(df, [created_col]), "dates")
+        unclear = profile.date_formats(vc).where(F.lit(day_first is None) & (F.col("inference") == "ambiguous"))
+        parts.append(unclear.select(F.lit("ambiguous_date_needs_confirmation").alias("kind"), F.col("col").alias("field"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("total"), F.lit("").alias("examples")))
+        read = timestamp(F.col("value"), True if day_first is None else day_first)
+        counted = profile.solid(vc).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(read.isNull(), F.col("n"))), F.lit(0)).alias("n")).where("n > 0")
+        asked = counted.join(F.broadcast(unclear.select(F.lit(1).alias("one"))), F.lit(True), "left_anti")  # a row at most
+        parts.append(asked.select(F.lit("unparsed_created_at").alias("kind"), F.lit(created_col).alias("field"), "n", "total", F.lit("").alias("examples")))
+    out = reduce(DataFrame.unionByName, parts)
+    severity = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return out.select("kind", "field", severity[F.col("kind")].alias("severity"), "n", "total", "examples")
+
+
 def compare_findings(before: DataFrame, after: DataFrame) -> DataFrame:
     """(kind, before_n, after_n) of two tables of findings (kind)."""
     a = before.groupBy("kind").agg(F.count(F.lit(1)).alias("before_n"))
@@ -85,8 +142,8 @@ def compare_findings(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def findings(df: DataFrame) -> DataFrame:
-    """(kind, col): one row per finding of six types."""
-    vc = profile.value_counts(df)
+    """(kind, col): one row per finding of six types; the table is counted once."""
+    vc = stored(profile.value_counts(df), "value-counts")
     parts = {
         "near_duplicate": profile.near_duplicates(vc), "sentinel": profile.literal_sentinels(vc), "date_format": profile.date_formats(vc),
         "float_identifier": profile.float_identifiers(vc), "multi_valued": profile.multi_valued(vc), "free_text": profile.free_text(vc),

@@ -372,14 +372,40 @@ def free_text(vc: DataFrame) -> DataFrame:
     return kept.select("col", "rows", "n_distinct", distinct.alias("distinct_ratio"), single.alias("singleton_ratio"))
 
 
+def numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(col, v, n): how often each column has each number. Columns of numbers are counted as
+    such; only text is parsed, once per different text. Nulls and NaN are left out."""
+    kinds = dict(df.dtypes)
+    text = [c for c in columns if kinds[c] == "string"]
+    out = None
+    if len(text) < len(columns):
+        own = [c for c in columns if c not in text]
+        long = df.select(*(F.col(c).cast("double").alias(c) for c in own)).unpivot([], own, "col", "v")
+        out = long.where("v is not null and not isnan(v)").groupBy("col", "v").agg(F.count(F.lit(1)).alias("n"))
+    if text:
+        parsed = _parsed(value_counts(df, text))
+        out = parsed if out is None else out.unionByName(parsed)
+    return out
+
+
+def _parsed(vc: DataFrame) -> DataFrame:
+    return _numeric(vc).where("v is not null and not isnan(v)").groupBy("col", "v").agg(F.sum("n").alias("n"))
+
+
 def numeric_distribution(vc: DataFrame) -> DataFrame:
-    """(col, metric, value): count, min, max, mean, std (0 for one value) and
-    percentiles of the values that parse; a column of any length is spread over tasks."""
-    v = stored(_numeric(vc).where("v is not null and not isnan(v)").groupBy("col", "v").agg(F.sum("n").alias("n")), "values")
+    """``distribution`` of the values that parse."""
+    return distribution(_parsed(vc))
+
+
+def distribution(values: DataFrame) -> DataFrame:
+    """(col, metric, value) of (col, v, n): count, min, max, mean, std (0 for one value)
+    and percentiles; a column of any length is spread over tasks."""
+    v = stored(values, "values")
     n = F.sum("n")
     mean = F.sum(F.col("v") * F.col("n")) / n
     base = v.groupBy("col").agg(n.cast("double").alias("count"), F.min("v").alias("min"), F.max("v").alias("max"), mean.alias("mean"))
-    dev = v.join(F.broadcast(base.select("col", "mean")), "col")  # a row per column
+    base = stored(base, "numeric-base")  # a row per column
+    dev = v.join(F.broadcast(base.select("col", "mean")), "col")
     std = dev.groupBy("col").agg(F.coalesce(F.sqrt(F.try_divide(F.sum(F.col("n") * (F.col("v") - F.col("mean")) ** 2), F.sum("n") - 1)), F.lit(0.0)).alias("std"))
     wide = base.join(std, "col")
     flat = wide.unpivot(["col"], ["count", "min", "max", "mean", "std"], "metric", "value")
@@ -390,7 +416,12 @@ def numeric_distribution(vc: DataFrame) -> DataFrame:
 
 def histogram(vc: DataFrame, n_bins: int = 30) -> DataFrame:
     """(col, bin, n) of equal-width bins, the last closed; one value widens to +-0.5."""
-    v = _numeric(vc).where("v is not null and not isnan(v)")
+    return bins(_parsed(vc), n_bins)
+
+
+def bins(v: DataFrame, n_bins: int = 30) -> DataFrame:
+    """``histogram`` of (col, v, n)."""
+    v = stored(v, "values")
     ends = v.groupBy("col").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     ends = ends.select("col", F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"))
     met = v.join(F.broadcast(ends), "col")  # a row per column

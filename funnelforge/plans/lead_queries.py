@@ -88,6 +88,14 @@ def a19_validate_canonical(spark, sf_dir):
     return M.validate_canonical(leads(spark, sf_dir), ["lead_id", "created_at"], ["lead_id", "phone"], "phone", "created_at", "disposition")
 
 
+def a19_canonical_issues(spark, sf_dir):
+    """Leads without a field that training needs, phones that repeat or do not normalise, and
+    creation dates that are read day-first."""
+    rows = leads(spark, sf_dir).drop("notes").withColumn("phone", F.when(F.col("lead_id").cast("long") % 8 < 2, F.substring("phone", 1, 9)).otherwise(F.col("phone")))
+    fields = [M.Field("lead_id", "always", True), M.Field("phone", "always", True), M.Field("notes", "train"), M.Field("owner", "train"), M.Field("gone", "no")]
+    return M.canonical_issues(rows, fields, True)
+
+
 def a24_outcome_by_age(spark, sf_dir):
     return _six(D.outcome_by_age(_events(spark, sf_dir), F.col("ts"), F.col("event_type") == "purchase", "2024-02-01"), "rate")
 
@@ -191,7 +199,7 @@ def m13_verdict(spark, sf_dir):
 
 QUERIES = [
     p1_is_blank, f1_phone, f2_number, f3_timestamp, d1_temporal_features, d2_funnel_stages, d3_multi_valued, d4_duration_months, d5_duration_bands,
-    k2_top_components, p2_apply_mapping, p3_stage_rows, p4_role_projection, p7_apply_merges, a19_validate_canonical, a24_outcome_by_age,
+    k2_top_components, p2_apply_mapping, p3_stage_rows, p4_role_projection, p7_apply_merges, a19_validate_canonical, a19_canonical_issues, a24_outcome_by_age,
     a25_funnel_summary, a26_feature_profile, a27_signal_by_quartile, a28_signal_by_category, a31_funnel_report, a32_stage_summary, u2_level_check,
     j4_column_diff, j5_suggest_mapping, j9_compare_findings, j11_unseen_categories, j12_schema_drift, a35_null_shift, a36_not_coercible, a37_vocabulary, m13_preflight, m13_verdict,
 ]
@@ -267,6 +275,13 @@ SQL = {
       UNION ALL SELECT 'duplicate', 'lead_id', 0, count(*) FROM leads
       UNION ALL SELECT 'duplicate', 'phone', count(*) FILTER (k > 1), CAST(sum(k) AS BIGINT) FROM (SELECT phone, count(*) AS k FROM leads WHERE NOT {_B('phone')} GROUP BY 1)
       UNION ALL SELECT 'disposition', disposition, count(*), NULL FROM leads WHERE NOT {_B('disposition')} GROUP BY 2""",
+    "a19_canonical_issues": LEADS_SQL
+    + f""", r AS (SELECT CASE WHEN CAST(lead_id AS BIGINT) % 8 < 2 THEN substr(phone, 1, 9) ELSE phone END AS phone, created_at FROM leads),
+      p AS (SELECT phone, length({_DIGITS}) >= 10 AS fits FROM r WHERE NOT {_B('phone')}), x AS (SELECT count(*) FILTER (NOT fits) AS n, count(*) AS total FROM p)
+      SELECT 'missing_required_field' AS kind, unnest(['notes', 'owner']) AS field, 'error' AS severity, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, '' AS examples
+      UNION ALL SELECT 'duplicate_value', 'phone', 'error', count(*), CAST(sum(k) AS BIGINT), '' FROM (SELECT phone, count(*) AS k FROM p GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
+      UNION ALL SELECT 'low_phone_match_rate', 'phone', 'error', n, total, (SELECT array_to_string(list_sort(list(DISTINCT phone))[1:10], '|') FROM p WHERE NOT fits) FROM x WHERE total - n < 0.9 * total
+      UNION ALL SELECT 'unparsed_created_at', 'created_at', 'warning', n, total, '' FROM (SELECT count(*) FILTER (try_strptime(trim(created_at), '%d/%m/%Y') IS NULL) AS n, count(*) AS total FROM r WHERE NOT {_B('created_at')}) WHERE n > 0""",
     "a24_outcome_by_age": """WITH d AS (SELECT floor(epoch(TIMESTAMP '2024-02-01' - ts) / 86400) AS d, CAST(event_type = 'purchase' AS INTEGER) AS y FROM events)
       SELECT CASE WHEN d < 7 THEN '[0,7)' WHEN d < 14 THEN '[7,14)' WHEN d < 30 THEN '[14,30)' WHEN d < 60 THEN '[30,60)' WHEN d < 90 THEN '[60,90)' ELSE '[90,inf)' END AS bin, count(*) AS n, round(avg(y), 6) AS rate FROM d WHERE d >= 0 GROUP BY 1""",
     "a25_funnel_summary": f"""WITH l AS (SELECT {_LEVEL} AS k FROM events), s AS (SELECT level, stage, (SELECT count(*) FROM l WHERE k >= level) AS reached FROM (VALUES (0, 'view'), (1, 'click'), (2, 'signup'), (3, 'purchase')) AS q(level, stage)),

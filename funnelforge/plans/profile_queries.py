@@ -26,7 +26,7 @@ def a2_infer_schema(spark, sf_dir):
 
 
 def a3_overview(spark, sf_dir):
-    return P.overview(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    return P.overview(table(spark, sf_dir, "lineitem"))
 
 
 def a4_column_profiles(spark, sf_dir):
@@ -86,12 +86,17 @@ def a13_free_text(spark, sf_dir):
 
 
 def a14_numeric_distribution(spark, sf_dir):
-    found = P.numeric_distribution(P.value_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+    found = P.distribution(P.numbers(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
     return found.select("col", "metric", F.round("value", 4).alias("value"))
 
 
+def a14_text_distribution(spark, sf_dir):
+    """The same of text that holds numbers and other things."""
+    return P.numeric_distribution(_vc(spark, sf_dir).where("col in ('score', 'balance', 'tenure')")).select("col", "metric", F.round("value", 4).alias("value"))
+
+
 def a14_histogram(spark, sf_dir):
-    return P.histogram(P.value_counts(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_suppkey"]))
+    return P.bins(P.numbers(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_suppkey"]))
 
 
 def a15_categorical_distribution(spark, sf_dir):
@@ -120,7 +125,7 @@ def s13_full_profile(spark, sf_dir):
 QUERIES = [
     vc_value_counts, a1_blank_rates, a2_infer_schema, a3_overview, a4_column_profiles, k1_top_values, a5_near_duplicates, a6_spelling_variants, j10_alike_names,
     a7_merge_suggestions, a7_fuzzy_merges, a8_literal_sentinels, a9_low_clusters, a10_date_formats, a11_float_identifiers, a12_multi_valued, a13_free_text,
-    a14_numeric_distribution, a14_histogram, a15_categorical_distribution, a16_date_distribution, a17_fingerprint, a18_outcome, s13_full_profile,
+    a14_numeric_distribution, a14_text_distribution, a14_histogram, a15_categorical_distribution, a16_date_distribution, a17_fingerprint, a18_outcome, s13_full_profile,
 ]
 
 #: A number as the operators read it.
@@ -186,8 +191,8 @@ SQL = {
     + f""", s AS (SELECT col, sum(CASE WHEN NOT {_BLANK} THEN n ELSE 0 END) AS f, sum(CASE WHEN NOT {_BLANK} AND {_V} IS NOT NULL THEN n ELSE 0 END) AS p, sum(n) AS r FROM vc GROUP BY 1)
     SELECT col, CASE WHEN f > 0 AND p >= 0.9 * f THEN 'numeric' ELSE 'categorical' END AS dtype, f < r AS nullable,
     CASE col WHEN 'lead_id' THEN 'id' WHEN 'disposition' THEN 'target' ELSE 'feature' END AS role FROM s""",
-    "a3_overview": """SELECT (SELECT count(*) FROM lineitem) AS n_rows, CAST(3 AS BIGINT) AS n_columns,
-      (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) AS duplicate_rows, CAST(0 AS BIGINT) AS empty_columns""",
+    "a3_overview": """SELECT (SELECT count(*) FROM lineitem) AS n_rows, (SELECT count(*) FROM (DESCRIBE lineitem)) AS n_columns,
+      (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT * FROM lineitem)) AS duplicate_rows, CAST(0 AS BIGINT) AS empty_columns""",
     "a4_column_profiles": VC_SQL
     + f""", b AS (SELECT col, round(100.0 * sum(CASE WHEN {_BLANK} THEN n ELSE 0 END) / sum(n), 4) AS null_pct, count(*) FILTER (NOT {_BLANK}) AS n_distinct FROM vc GROUP BY 1),
     t AS (SELECT col, value AS top_value, n AS top_n FROM solid QUALIFY {_TOP} = 1) SELECT col, CAST(null_pct AS DOUBLE) AS null_pct, n_distinct, top_value, top_n FROM b LEFT JOIN t USING (col)""",
@@ -220,6 +225,10 @@ SQL = {
     + """, s AS (SELECT col, CAST(count(*) AS DOUBLE) AS count, min(v) AS min, max(v) AS max, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.05) AS p5,
       quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM long GROUP BY 1)
       SELECT col, metric, round(value, 4) AS value FROM s UNPIVOT (value FOR metric IN (count, min, max, mean, std, p1, p5, p25, p50, p75, p95, p99))""",
+    "a14_text_distribution": _NUM
+    + """, each AS (SELECT col, v FROM (SELECT col, v, unnest(range(CAST(n AS BIGINT))) FROM num WHERE v IS NOT NULL AND col IN ('score', 'balance', 'tenure'))), s AS (SELECT col, CAST(count(*) AS DOUBLE) AS count, min(v) AS min, max(v) AS max, avg(v) AS mean,
+      coalesce(stddev_samp(v), 0) AS std, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.25) AS p25, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM each GROUP BY 1)
+      SELECT col, metric, round(value, 4) AS value FROM s UNPIVOT (value FOR metric IN (count, min, max, mean, std, p1, p5, p25, p50, p75, p95, p99))""",
     "a14_histogram": _HIST + " SELECT col, CAST(least(floor((v - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS n FROM long JOIN ends USING (col) GROUP BY 1, 2",
     "a15_categorical_distribution": VC_SQL
     + f""", t AS (SELECT col, {_TOP} AS rank, value, n FROM solid) SELECT col, rank, value, n FROM t WHERE rank <= 3

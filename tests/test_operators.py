@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from funnelforge.operators import assemble, bureau, derive, mapping, metrics, model, position, profile, split
-from funnelforge.session import scratch_path
+from funnelforge.session import scratch_path, stored
 from funnelforge.sources import audit, enrich, ingest
 
 
@@ -289,6 +289,34 @@ def test_mapping_takes_the_first_solid_value(spark):
     assert kept.columns == ["reach", "extra__cell", "extra__work", "extra__town"]
 
 
+def test_canonical_issues_have_severities(spark):
+    """Boats: an id that repeats, call signs that are no phones, and days of either order."""
+    df = texts(spark, hull=["a1", "a1", "b2", None, " "], phone=["0170 1234567890", "x-12", "77", "", None], created_at=["3/4/2020", "5/6/2021", "5/6/2021", None, "7/7/2022"])
+    fields = [mapping.Field("hull", "always", True), mapping.Field("skipper", "always"), mapping.Field("fate", "train"), mapping.Field("note")]
+    found = sorted(tuple(r) for r in mapping.canonical_issues(df, fields, True).collect())
+    assert found == [
+        ("ambiguous_date_needs_confirmation", "created_at", "error", 0, 0, ""), ("duplicate_value", "hull", "error", 1, 2, ""), ("low_phone_match_rate", "phone", "error", 2, 3, "77|x-12"),
+        ("missing_required_field", "fate", "error", 0, 0, ""), ("missing_required_field", "skipper", "error", 0, 0, ""),
+    ]
+    calm = mapping.canonical_issues(df, fields[:1], False, day_first=False, least_phones=0.3)
+    assert [tuple(r) for r in calm.collect()] == [("duplicate_value", "hull", "error", 1, 2, "")]
+    late = texts(spark, hull=["a", "b", "c", "d"], created_at=["30/1/2020", "2/3/2021", "soon", "31/3/2019"])
+    assert [tuple(r) for r in mapping.canonical_issues(late, fields[:1], False).collect()] == [("unparsed_created_at", "created_at", "warning", 1, 4, "")]
+    assert mapping.canonical_issues(texts(spark, hull=["a"]).limit(0), fields[:1], False).count() == 0
+
+
+def test_findings_count_a_table_once(spark):
+    df = stored(texts(spark, a=["x;y", "y;x", "Z", "z"], b=["1", "2", "3", "4"]), "found")
+    plan = mapping.compare_findings(mapping.findings(df), mapping.findings(df))._jdf.queryExecution().optimizedPlan().toString()
+    assert "found-" not in plan and "Expand" not in plan
+
+
+def test_numbers_are_counted_as_numbers(spark):
+    df = spark.createDataFrame([(1, 2.5, "7"), (1, float("nan"), "x"), (None, 2.5, "7.0")], "a int, b double, c string")
+    assert rows(profile.numbers(df, ["a", "b", "c"]), "col", "v", "n") == [("a", 1.0, 2), ("b", 2.5, 2), ("c", 7.0, 2)]
+    assert "like" not in profile.numbers(df, ["a", "b"])._jdf.queryExecution().toString().lower()
+
+
 def test_assembly_keeps_rows_and_rejects_repeats(spark):
     spine = texts(spark, lead_id=["1", "2", "3"])
     frame = spark.createDataFrame([("1", 5, True), ("9", 6, True)], "lead_id string, f int, s_is_enriched boolean")
