@@ -152,23 +152,30 @@ def _word_counts(flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tupl
 
 
 def windows(docs: DataFrame, least: int = 80, bits: int = 5) -> DataFrame:
-    """(id, h, start, end, chunk, chunks, apart, words, name) of each window of ``docs`` (id, text, h);
-    offsets are bytes of UTF-8."""
+    """(id, h, place, words, name) of each window of ``docs`` (id, text, h); ``place`` packs its
+    start (31 bits), size (31) in bytes of UTF-8, and ``apart`` (1), as rows are many."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(rows, 1):
-            at, *numbers, apart, words, name = windowed(as_bytes(part.column(1)), least, bits)
-            own = [*(pa.array(x, pa.int32()) for x in numbers), pa.array(apart.astype(bool)), pa.array(words, pa.int64()), pa.array(name, pa.int64())]
+            at, start, end, _, _, apart, words, name = windowed(as_bytes(part.column(1)), least, bits)
+            place = (start << 32) | ((end - start) << 1) | apart
             docs_of = pa.array(at, pa.int64())
-            yield pa.record_batch([part.column(0).take(docs_of), part.column(2).take(docs_of), *own], ["id", "h", "start", "end", "chunk", "chunks", "apart", "words", "name"])
+            yield pa.record_batch([part.column(0).take(docs_of), part.column(2).take(docs_of), *(pa.array(x, pa.int64()) for x in (place, words, name))], ["id", "h", "place", "words", "name"])
 
     rows = docs.select("id", "text", "h").where("id is not null and text is not null")
-    return rows.mapInArrow(cut, f"id {kind}, h long, start int, end int, chunk int, chunks int, apart boolean, words long, name long")
+    return rows.mapInArrow(cut, f"id {kind}, h long, place long, words long, name long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with start, end and apart in place of ``place``."""
+    start = F.shiftright("place", 32).cast("int")
+    size = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    return rows.withColumns({"start": start, "end": start + size, "apart": F.col("place").bitwiseAND(F.lit(1)) == 1}).drop("place")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 80, bits: int = 5, words: int | None = None) -> DataFrame:
-    """(id, start, end, bytes, chunks, keep_id, h): spans of ``least`` bytes or more of whole
+    """(id, start, end, bytes, keep_id, h): spans of ``least`` bytes or more of whole
     chunks that one place before them holds as a whole, in document ``keep_id``.
 
     That is a smaller id, or the same document further ahead: what recurs in steps of less
@@ -189,16 +196,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both sides, and its words are counted. Those spans are the matches themselves.
     """
     texts = told_apart(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
-    with small_batches(docs.sparkSession):
-        rows = stored(windows(texts, least, bits), "windows")
-    # Written before it is joined back, so that the join of a hot name can be split.
-    shared = rows.groupBy("name").agg(F.min(F.struct("id", "h", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(shared.select("name", F.col("first.id").alias("keep_id"), F.col("first.h").alias("keep_h"), F.col("first.start").alias("keep_start")), "windows-shared")
+    # Cut twice, which costs less than to write all windows.
+    rows = windows(texts, least, bits)
+    first = F.min(F.struct("id", "h", F.shiftright("place", 32).cast("int").alias("start"))).alias("first")
+    shared = rows.groupBy("name").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
     doc, keep = F.struct("id", "h"), F.struct(F.col("keep_id").alias("id"), F.col("keep_h").alias("h"))
     own = F.col("apart") & (keep == doc) & (F.col("keep_start") < F.col("start"))
-    met = rows.join(shared, "name").where((keep < doc) | own)
-    later = met.select("id", "h", "start", "end", "chunk", "chunks", "words", "keep_id", "keep_h", (F.col("start") - F.col("keep_start")).alias("shift"))
-    later = later.repartition("id", "h").distinct()
+    with small_batches(docs.sparkSession):
+        # Written before it is joined back, so that the join of a hot name can be split.
+        shared = stored(shared.select("name", F.col("first.id").alias("keep_id"), F.col("first.h").alias("keep_h"), F.col("first.start").alias("keep_start")), "windows-shared")
+        met = _placed(rows.join(shared, "name")).where((keep < doc) | own)
+        later = met.select("id", "h", "start", "end", "words", "keep_id", "keep_h", (F.col("start") - F.col("keep_start")).alias("shift"))
+        later = stored(later, "windows-later").repartition("id", "h").distinct()
     w = Window.partitionBy("id", "h", "keep_id", "keep_h", "shift").orderBy("start")
     new = F.coalesce((F.lag("end").over(w) < F.col("start")).cast("int"), F.lit(1))
     runs = later.withColumn("run", F.sum(new).over(w)).groupBy("id", "h", "keep_id", "keep_h", "shift", "run")
@@ -207,7 +216,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = runs.agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
-        (F.max(F.col("chunk") + F.col("chunks")) - F.min("chunk")).cast("long").alias("chunks"),
         (F.max(begun + inside) - F.min(begun)).alias("n_words"),
         (F.max(begun + inside + part(0)) - F.min(begun - part(12))).alias("most_words"),
     )
@@ -218,7 +226,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     before = Window.partitionBy("id", "h").orderBy("start", F.desc("end"), "keep_id", "keep_h", "shift").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("held", F.max("end").over(before)).where("held is null or held < end")
     size = (F.col("end") - F.col("start")).cast("long")
-    return spans.select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "chunks", "keep_id", "h")
+    return spans.select(F.col("id").alias(id_col), "start", "end", size.alias("bytes"), "keep_id", "h")
 
 
 def _extended(texts: DataFrame, spans: DataFrame, words: int) -> DataFrame:
