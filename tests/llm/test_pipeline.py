@@ -1,11 +1,13 @@
 """The pipeline's stages on planted documents, and its run over the smallest tables."""
 
 import random
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from funnelforge.llm import near_dedup
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -101,3 +103,20 @@ def test_run_applies_all_stages(spark, sf_dir):
     mixed = out.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("top"))
     assert all(abs(r["taken"] - r["target"]) <= max(0.1 * r["target"], 60) for r in mixed.collect())
     assert out.where("taken > 3 * size").isEmpty()
+
+
+def test_two_jobs_at_once_share_a_session(spark):
+    """The pipeline's scopes delete no table of a query that runs beside it."""
+    sf, key = "/root/testdata/sf0.001", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, out = spark.conf.get(key), {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    alone = sorted(map(str, near_dedup.near_duplicates(docs).collect()))
+
+    def beside():
+        out["rows"] = sorted(map(str, near_dedup.near_duplicates(docs).collect()))
+
+    worker = threading.Thread(target=beside)
+    worker.start()
+    n = P.run(spark, sf).count()
+    worker.join()
+    assert out["rows"] == alone and n > 0 and spark.conf.get(key) == before

@@ -112,6 +112,29 @@ def test_language_edges_and_spans(spark, sf_dir):
     assert language_id.language(frame(spark, [])).count() == 0
 
 
+def test_language_counts_letters_and_no_bytes(spark, sf_dir):
+    """384 English letters and 284 Russian ones, which take more bytes; signs weigh nothing."""
+    d = read(sf_dir, "documents")
+    ru = "этот текст написан для проверки письменности и букв"
+    known = [(int(i), t, x, "s") for i, t, x in zip(d.doc_id, d.text, d.lang, strict=True)] + [(10_000 + i, ru, "ru", "s") for i in range(40)]
+    words = [w for t, x in zip(d.text, d.lang, strict=True) if x == "en" and t for w in t.split() if w.isascii() and w.isalpha()]
+    english, n = [], 0
+    for w in words:
+        if n + len(w) <= 384:
+            english.append(w)
+            n += len(w)
+    russian = (ru + " ") * 7
+    russian = russian[: next(k for k in range(len(russian)) if sum(map(str.isalpha, russian[:k])) == 284)]
+    mixed = " ".join(english) + " \u2014 \u201e\u00bb " + russian
+    model = language_id.fit(spark.createDataFrame([(t, x) for _, t, x, _ in known if t and x], "text string, lang string"))
+    (r,) = language_id.identify(spark.createDataFrame([(1, mixed)], "id long, text string"), model).collect()
+    assert n == 384 and r["lang_pred"] == "en" and abs(r["lang_score"] - 384 / 668) < 0.02
+    texts = ["\u5b57\u6bcd\uff0c\u6587\u3002", "na\u00efve \u00ab\u20ac\u00bb", "\u0431\u0443\u043a\u0432\u044b!", "\u00aa", "\uff21\uff22 \U0001f600"]
+    assert [int(x) for t in texts for x in [language_id._letter_counts(language_id.Words(language_id._prepared([t]), language_id._letters)).sum()]] == [3, 5, 5, 0, 2]
+    (r,) = language_id.identify(spark.createDataFrame([(1, "\u00aa")], "id long, text string"), model).collect()
+    assert r["lang_pred"] != "und"
+
+
 def test_language_paths_equal_a_plain_viterbi(spark, sf_dir):
     """Word by word over the same scores, one text at a time."""
     d = read(sf_dir, "documents")
@@ -130,7 +153,7 @@ def test_language_paths_equal_a_plain_viterbi(spark, sf_dir):
         for step in reversed(came):
             at = step[at]
             want.append(at)
-        assert path.tolist() == want[::-1] and sizes.tolist() == (words.end - words.start).tolist()
+        assert path.tolist() == want[::-1] and sizes.tolist() == [sum(map(str.isalpha, words.joined[a:b].decode())) for a, b in zip(words.start, words.end, strict=True)]
 
 
 def test_language_in_the_place_of_clashing_names(spark):
@@ -237,6 +260,18 @@ def test_quality_edges(spark):
     assert quality.quality(frame(spark, []), labels).count() == 0
 
 
+def test_quality_learns_from_0_and_1_alone(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join("".join(rng.choice("abcde") for _ in range(4)) for _ in range(30)) if i % 2 else "BAD!! " * 20, None, None) for i in range(160)]
+    good = [(i, float(i % 2)) for i in range(120)]
+    whole = quality.quality(frame(spark, docs), spark.createDataFrame(good, "doc_id long, quality double")).collect()
+    odd = [(i, x) for i in range(120, 150) for x in (0.5, 1.9, -1.0, float("nan"))]
+    mixed = quality.quality(frame(spark, docs), spark.createDataFrame(good + odd, "doc_id long, quality double")).collect()
+    named = [(i, str(int(x))) for i, x in good] + [(i, "good") for i in range(120, 150)] + [(121, ""), (122, None), (123, "0.5")]
+    text = quality.quality(frame(spark, docs), spark.createDataFrame(named, "doc_id long, quality string")).collect()
+    assert sorted(whole) == sorted(mixed) == sorted(text)
+
+
 def test_quality_scores_equal_a_plain_discriminant(spark):
     """Density by density with numpy's own inverse and determinant."""
     rng = np.random.default_rng(3)
