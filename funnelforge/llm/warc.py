@@ -92,10 +92,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     records.write.option("lineSep", BLANK).option("maxRecordsPerFile", per_file).text(path)
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
+def _magic(version: str) -> str:
+    return MAGIC.replace("1.0", version)
+
+
+def _scan(spark: SparkSession, path: str, version: str) -> DataFrame:
     """(file, file_size, block, text, mark): what follows each magic up to the next, and a
     digest of it."""
-    return spark.read.option("lineSep", MAGIC).text(path).select(
+    return spark.read.option("lineSep", _magic(version)).text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
@@ -104,14 +108,14 @@ def _scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def candidates(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def candidates(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]], version: str = "1.0") -> DataFrame:
     """(file, file_size, block, row, step, mark, head, length, whole) and ``fields`` of each
     candidate. head and length are null without readable headers; ``whole`` tells
     whether the text holds as many bytes as its headers name; else fields are of null.
     """
     text = F.col("text")
     end = F.instr(text, BLANK)
-    rows = _scan(spark, path).withColumn("row", F.monotonically_increasing_id())
+    rows = _scan(spark, path, version).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("head", F.when(end > 0, F.substring(text, F.lit(1), end - 1)))
     rows = rows.withColumn("length", _header(F.col("head"), "Content-Length").try_cast("bigint"))
     size = F.octet_length(text).cast("long")
@@ -157,26 +161,38 @@ def in_segments(links: DataFrame) -> DataFrame:
 
 
 def _header(text: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf"(?:^|\r\n){name}: ([^\r\n]*)", 1), F.lit(""))
+    """A header's value by its name in any case; null without it."""
+    return F.nullif(F.regexp_extract(text, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
+def _record_of(text: Column, name: str) -> Column:
+    """The record that a header names: the id of a page, or any other URI as it stands."""
+    uri = F.regexp_replace(_header(text, name), r"^<|>\s*$", "")
+    return F.nullif(F.when(uri.startswith("urn:page:"), F.url_decode(F.substring(uri, len("urn:page:") + 1, F.octet_length(uri)))).otherwise(uri), F.lit(""))
 
 
 def _payload(text: Column, head: Column, length: Column) -> Column:
-    """What follows the HTTP headers in the record's block."""
+    """What follows the HTTP headers in the record's block; other records' whole block."""
     block = F.substring(text.cast("binary"), F.octet_length(head) + len(BLANK) + 1, length.cast("int")).cast("string")
-    return F.substring(block, F.instr(block, BLANK) + len(BLANK), F.length(block))
+    http = F.lower(_header(head, "Content-Type")).startswith("application/http")
+    return F.when(F.coalesce(http, F.lit(False)), F.substring(block, F.instr(block, BLANK) + len(BLANK), F.length(block))).otherwise(block)
 
 
-def read_warc(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, fields: dict[str, Callable[[Column], Column]] | None = None, version: str = "1.0") -> DataFrame:
     """One row per record: file, at, type, record_id, url, digest, refers_to, payload_size,
     and ``fields`` of its payload (by default ``payload`` itself).
 
+    Any archive of WARC records of one ``version`` is read, if it is not compressed: header
+    names are of any case, records of any type. record_id and refers_to are page ids where
+    ``write_warc`` has written them, else URIs; payload_size is null where no header has it.
+
     Fields are computed where the text is read, so that no text is stored or shuffled that no
     field returns; only the pieces of records that the magic cuts are read once more and put
     together. Raises if a file's chain ends before the file does.
     """
     fields = fields or {"payload": lambda p: p}
     own = [f"_f_{k}" for k in fields]
-    found = stored(candidates(spark, path, fields), "warc-candidates", "zstd")
+    found = stored(candidates(spark, path, fields, version), "warc-candidates", "zstd")
     links = stored(in_segments(placed(found)), "warc-links")
     segments = links.groupBy("file", "file_size", "segment").agg(F.max_by("next", "at").alias("next"))
     reached = on_chain(stored(segments.withColumnRenamed("segment", "at"), "warc-segments")).select("file", F.col("at").alias("segment"), F.lit(True).alias("starts"))
@@ -189,32 +205,31 @@ def read_warc(spark: SparkSession, path: str, fields: dict[str, Callable[[Column
     cut = stored(cut, "warc-cut")
     records = whole.select("file", "at", "head", *own)
     if not cut.isEmpty():
-        records = records.unionByName(_put_together(spark, path, cut, fields))
+        records = records.unionByName(_put_together(spark, path, cut, fields, version))
     records = records.withColumnsRenamed({f"_f_{k}": k for k in fields})
-    ids = r"<urn:page:([^>]*)>"
     return records.select(
         "file",
         "at",
         _header(F.col("head"), "WARC-Type").alias("type"),
-        F.url_decode(F.nullif(F.regexp_extract("head", "WARC-Record-ID: " + ids, 1), F.lit(""))).alias("record_id"),
+        _record_of(F.col("head"), "WARC-Record-ID").alias("record_id"),
         _header(F.col("head"), "WARC-Target-URI").alias("url"),
-        F.regexp_extract("head", "WARC-Payload-Digest: sha1:([A-Z2-7]*)", 1).alias("digest"),
-        F.url_decode(F.nullif(F.regexp_extract("head", "WARC-Refers-To: " + ids, 1), F.lit(""))).alias("refers_to"),
-        _header(F.col("head"), "Payload-Length").cast("long").alias("payload_size"),
+        F.regexp_replace(F.coalesce(_header(F.col("head"), "WARC-Payload-Digest"), F.lit("")), "^sha1:", "").alias("digest"),
+        _record_of(F.col("head"), "WARC-Refers-To").alias("refers_to"),
+        _header(F.col("head"), "Payload-Length").try_cast("long").alias("payload_size"),
         *fields,
     )
 
 
-def _put_together(spark: SparkSession, path: str, cut: DataFrame, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+def _put_together(spark: SparkSession, path: str, cut: DataFrame, fields: dict[str, Callable[[Column], Column]], version: str) -> DataFrame:
     """(file, at, head, fields) of records of several pieces. Their texts are found again by
     digest: pieces of one digest are alike, so it doesn't matter where they stand."""
     wanted = cut.select("file", "mark").distinct()
-    again = sieved(_scan(spark, path).select("file", "mark", "text"), sieve(wanted), F.col("file"), F.col("mark")).where("met").drop("met")
+    again = sieved(_scan(spark, path, version).select("file", "mark", "text"), sieve(wanted), F.col("file"), F.col("mark")).where("met").drop("met")
     texts = again.join(wanted, ["file", "mark"], "left_semi").groupBy("file", "mark").agg(F.any_value("text").alias("text"))
     pieces = cut.join(texts, ["file", "mark"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "text", "head", "length"))).alias("p"))
     joined = pieces.select(
         "file", F.col("owner").alias("at"), F.col("p")[0]["head"].alias("head"), F.col("p")[0]["length"].alias("length"),
-        F.array_join(F.transform("p", lambda p: p["text"]), MAGIC).alias("text"),
+        F.array_join(F.transform("p", lambda p: p["text"]), _magic(version)).alias("text"),
     )
     return joined.select("file", "at", "head", *(f(_payload(F.col("text"), F.col("head"), F.col("length"))).alias(f"_f_{k}") for k, f in fields.items()))
 

@@ -81,6 +81,31 @@ def test_mix_hot_small_and_null_sources(spark):
     assert mixing.mix_sources(frame(spark, [])).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    """Header names in lower case, ids of UUIDs, records of other types, and version 1.1."""
+
+    def record(version, kind, block, **more):
+        names = {"warc-type": kind, "warc-record-id": "<urn:uuid:1-2-" + kind + ">", "content-length": str(len(block)), **{k.replace("_", "-"): v for k, v in more.items()}}
+        return b"WARC/" + version.encode() + b"\r\n" + "".join(f"{k}:{' ' * (k > 'd')}{v}\r\n" for k, v in names.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    for version in ("1.0", "1.1"):
+        http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nhello WARC/" + version.encode() + b"\r\nwarc-type: none\r\n\r\nbye"
+        body = [
+            record(version, "warcinfo", b"software: x\r\n", content_type="application/warc-fields"),
+            record(version, "request", b"GET / HTTP/1.1\r\n\r\n", content_type="application/http; msgtype=request"),
+            record(version, "response", http, content_type="application/http;msgtype=response", warc_target_uri="http://a.example/", warc_payload_digest="sha1:ABC234", warc_refers_to="<urn:uuid:7>"),
+            record(version, "metadata", b"", content_type="text/plain"),
+        ]
+        folder = tmp_path / version
+        folder.mkdir()
+        (folder / "x.warc").write_bytes(b"".join(body))
+        found = {r["type"]: r for r in warc.read_warc(spark, f"file://{folder}", version=version).collect()}
+        assert set(found) == {"warcinfo", "request", "response", "metadata"}
+        r = found["response"]
+        assert (r["record_id"], r["url"], r["digest"], r["refers_to"], r["payload_size"]) == ("urn:uuid:1-2-response", "http://a.example/", "ABC234", "urn:uuid:7", None)
+        assert r["payload"] == http.decode().split("\r\n\r\n", 1)[1] and found["warcinfo"]["payload"] == "software: x\r\n" and found["metadata"]["payload"] == ""
+
+
 # languages ---------------------------------------------------------------------------
 
 
