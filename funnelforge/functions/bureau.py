@@ -11,6 +11,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from funnelforge.functions.scalars import number
+
 # Account types by what their text holds, and what excludes them.
 ACCOUNT_TYPES = [
     ("microfinance_loans", ["microfinance"], []),
@@ -66,6 +68,10 @@ INSTITUTIONS = [
 ]
 UNCLASSIFIED = "Other / Unclassified"
 
+# Lenders of a segment whatever their category.
+PREMIUM_NAMES = ["american express"]
+MAINSTREAM_NAMES = ["sbi cards", "bob cards"]
+
 # Lenders of two segments of NBFCs.
 DIGITAL_NBFC = ["home credit", "bajaj finance", "krazybee", "kreditbee", "mpokket", "earlysalary", "fibe", "cashe", "dhani", "snapmint", "true credits"]
 SECURED_NBFC = [
@@ -115,8 +121,8 @@ def segment(category: Column, name: Column) -> Column:
     t = F.trim(F.lower(F.coalesce(name, F.lit(""))))
     nbfc = category == "NBFC"
     return (
-        F.when((category == "Foreign Bank") | t.contains("american express"), "Premium")
-        .when(holds(t, ["sbi cards", "bob cards"]) | category.isin("PSU Bank", "Private Bank"), "Mainstream")
+        F.when((category == "Foreign Bank") | holds(t, PREMIUM_NAMES), "Premium")
+        .when(holds(t, MAINSTREAM_NAMES) | category.isin("PSU Bank", "Private Bank"), "Mainstream")
         .when(category == "Asset Reconstruction Company", "Distressed")
         .when((category == "Fintech / Digital Lender") | (nbfc & holds(t, DIGITAL_NBFC)), "Mass Market - Digital")
         .when(nbfc & holds(t, SECURED_NBFC), "Mass Market - Secured")
@@ -127,4 +133,4 @@ def segment(category: Column, name: Column) -> Column:
 
 def amount(c: Column) -> Column:
     """A number with thousands commas; what is none counts as 0."""
-    return F.coalesce(F.regexp_replace(F.trim(c), ",", "").try_cast("double"), F.lit(0.0))
+    return F.coalesce(number(F.regexp_replace(c, ",", "")), F.lit(0.0))

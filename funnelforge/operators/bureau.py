@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelforge.functions import bureau as B
-from funnelforge.functions.scalars import timestamp
+from funnelforge.functions.scalars import number, timestamp
 
 #: The shape that is read; leaves are text, whatever else a report holds.
 REPORT = """struct<
@@ -197,7 +197,7 @@ def person(reports: DataFrame, found: DataFrame) -> DataFrame:
     r = F.col("report")
     elements = F.coalesce(F.get(r["scoreDetails"], 0)["scoringElements"], F.array())
     names = F.transform(elements, lambda e: reason_of(e["description"]))
-    score = F.get(r["scoreDetails"], 0)["value"].try_cast("double")
+    score = number(F.get(r["scoreDetails"], 0)["value"])
     has = lambda c: ~F.coalesce(c, F.lit("")).isin("", "[]", "{}", "0", "false", "null")
     ids, info = r["iDAndContactInfo"]["identityInfo"], r["iDAndContactInfo"]["personalInfo"]
     born = timestamp(info["dateOfBirth"])
@@ -240,12 +240,12 @@ def flat_features(responses: DataFrame, prefix: str = "crif_") -> DataFrame:
     flat = "struct<score:string,total_accounts:string,active_accounts:string,overdue_accounts:string,total_outstanding:string,credit_history_length_text:string>"
     p = F.when(F.col("status") == MATCHED, F.from_json("payload_json", flat))
     rows = responses.select("run_id", "lead_id", p.alias("p"))
-    number = lambda c: F.col(f"p.{c}").try_cast("double")
+    value = lambda c: number(F.col(f"p.{c}"))
     text = F.trim(F.col("p.credit_history_length_text"))
     pattern = r"(?i)^([0-9]+)\s*yrs?\s+([0-9]+)\s*mon$"
     months = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1).cast("int") * 12 + F.regexp_extract(text, pattern, 2).cast("int"))
-    score = number("score")
+    score = value("score")
     return rows.select(
         "run_id", "lead_id", F.when(~score.isin(FLAT_CODES), score).alias(prefix + "score"),
-        *(number(c).alias(prefix + c) for c in ("total_accounts", "active_accounts", "overdue_accounts", "total_outstanding")), months.alias(prefix + "credit_history_months"),
+        *(value(c).alias(prefix + c) for c in ("total_accounts", "active_accounts", "overdue_accounts", "total_outstanding")), months.alias(prefix + "credit_history_months"),
     )
