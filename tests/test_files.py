@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from funnelforge.plans import model_queries
 from funnelforge.session import scratch_path
 from funnelforge.sources import audit, ingest
 
@@ -52,3 +53,8 @@ def test_uploads_that_come_again(spark, tmp_path):
     assert audit.uploads(spark, root).count() == 6
     key = audit.register_dataset(spark.range(3).select(F.col("id").cast("string").alias("x")), root, "d", content_hash="abc")
     assert spark.read.parquet(f"{root}/datasets").where(F.col("id") == key).first()["content_hash"] == "abc"
+
+
+def test_a_file_of_new_content_is_no_earlier_one(spark, sf_dir):
+    found = model_queries.s5_earlier_uploads(spark, sf_dir).collect()
+    assert [(r["first_upload"], r["n_earlier"], r["n_files"], r["n_catalogued"]) for r in found] == [("one", 1, 2, 10)]
