@@ -33,6 +33,9 @@ FOUND_BY = 40
 #: Bytes beside a span that are looked at when it is extended; a chunk has some 32.
 AROUND = 4096
 
+#: Spans that a task extends at once.
+AT_ONCE = 64
+
 _words = re.compile(rb"[^\x20\x09-\x0D]+").finditer
 
 _gear = (mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -247,16 +250,23 @@ def _extended(texts: DataFrame, spans: DataFrame, words: int) -> DataFrame:
     held = bodies.select(F.col("id").alias("keep_id"), F.col("h").alias("keep_h"), "text")
     both = around(stored(own, "span-own").join(held, ["keep_id", "keep_h"]), "keep_start", "other").drop("keep_start")
     rest = [c for c in both.columns if c not in ("own", "other")]
-
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own_, other = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "other"))
-            found = [extension(x, y) for x, y in zip(own_, other, strict=True)]
-            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in rest), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], [*rest, "before", "behind", "n"])
-
     kinds = ", ".join(f"{c} {both.schema[c].dataType.simpleString()}" for c in rest)
-    found = both.mapInArrow(extend, f"{kinds}, before int, behind int, n int").where(F.col("n") >= words)
-    return found.withColumns({"start": F.col("start") - F.col("before"), "end": F.col("end") + F.col("behind"), "n_words": F.col("n").cast("long")}).drop("before", "behind", "n")
+    found = both.mapInArrow(lambda batches: _extending(batches, rest), f"{kinds}, before int, behind int, n int").where(F.col("n") >= words)
+    found = found.withColumns({"start": F.col("start") - F.col("before"), "end": F.col("end") + F.col("behind"), "n_words": F.col("n").cast("long")}).drop("before", "behind", "n")
+    # Written here, as only what is run here is sent in small batches.
+    with small_batches(texts.sparkSession):
+        return stored(found, "spans-extended")
+
+
+def _extending(batches: Iterator[pa.RecordBatch], rest: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows (``rest``, own, other): ``rest`` and what ``extension`` finds. Few rows are
+    Python's at once: each brings twice ``AROUND`` bytes and more on both sides."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, AT_ONCE):
+            b = whole.slice(at, AT_ONCE)
+            own, other = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "other"))
+            found = [extension(x, y) for x, y in zip(own, other, strict=True)]
+            yield pa.record_batch([*(b.column(b.schema.get_field_index(c)) for c in rest), *(pa.array([f[k] for f in found], pa.int32()) for k in range(3))], [*rest, "before", "behind", "n"])
 
 
 def extension(own: dict[str, bytes], other: dict[str, bytes]) -> tuple[int, int, int]:

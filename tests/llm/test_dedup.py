@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -269,6 +271,18 @@ def test_substring_misses_few_passages_of_real_texts(spark, documents):
     assert len(want) > 5 and len(across & want) >= 0.95 * len(want) and len(across - want) <= 0.02 * len(docs)
 
 
+def test_few_spans_are_extended_at_once():
+    side = lambda k: {"l": b"%04d " % k * 800, "m": b"two words", "r": b" %04d" % k * 800}
+    sides = pa.array([side(k) for k in range(2000)])
+    batch = pa.record_batch([pa.array(range(2000)), sides, sides], ["id", "own", "other"])
+    tracemalloc.start()
+    found = [r for b in substring_dedup._extending(iter([batch]), ["id"]) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [{"id": k, "before": 4000, "behind": 4000, "n": 1602} for k in range(2000)]
+    assert peak < 6_000_000  # the texts are 32 MB
+
+
 def test_substring_extension():
     make = lambda l, m, r: {"l": l.encode(), "m": m.encode(), "r": r.encode()}
     assert substring_dedup.extension(make("xx one ", "two", " three y"), make("one ", "two", " three z")) == (4, 7, 3)
