@@ -63,10 +63,12 @@ def parsed(responses: DataFrame) -> DataFrame:
 def accounts(reports: DataFrame) -> DataFrame:
     """One row per account, classified; null entries are dropped."""
     rows = reports.where("report is not null").select("run_id", "lead_id", F.explode("report.retailAccountDetails").alias("a")).where("a is not null")
-    category = B.institution(F.col("a.institution"))
+    # Names of its own, so that each is worked out once: what reads them does so several times.
+    rows = rows.withColumns({"status": B.status(F.col("a.accountStatus")), "category": B.institution(F.col("a.institution"))})
+    category = F.col("category")
     return rows.select(
-        "run_id", "lead_id", B.account_type(F.col("a.accountType")).alias("bucket"), B.is_active(F.col("a.accountStatus")).alias("active"),
-        B.status(F.col("a.accountStatus")).alias("status"), category.alias("category"), B.segment(category, F.col("a.institution")).alias("segment"),
+        "run_id", "lead_id", B.account_type(F.col("a.accountType")).alias("bucket"), (~F.col("status").isin(B.CLOSED)).alias("active"),
+        "status", category, B.segment(category, F.col("a.institution")).alias("segment"),
         B.amount(F.col("a.creditLimit")).alias("credit_limit"), B.amount(F.col("a.sanctionAmount")).alias("sanction"),
         B.amount(F.col("a.installmentAmount")).alias("installment"), B.amount(F.col("a.balance")).alias("balance"),
         timestamp(F.col("a.dateReported")).alias("reported"), timestamp(F.col("a.dateOpened")).alias("opened"),

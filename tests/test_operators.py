@@ -352,6 +352,12 @@ def test_bureau_features(spark):
         assert all(v is None for k, v in out[i].asDict().items() if k.startswith("equifax_")), i
 
 
+def test_each_account_is_classified_once(spark):
+    found = bureau.accounts(bureau.parsed(log(spark, [report([])])))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("asset reconstruction") == 1
+
+
 def test_amounts_are_numbers_or_nothing(spark):
     from funnelforge.functions.bureau import amount
 

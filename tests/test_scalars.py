@@ -59,3 +59,13 @@ def test_institutions_and_segments(spark):
 def test_active_and_amounts(spark):
     assert values(spark, ["Closed  Account", "SETTLED", "Delinquent", None, ""], B.is_active) == [False, False, True, True, True]
     assert values(spark, ["1,00,000", " 5 ", "", None, "x"], B.amount) == [100000.0, 5.0, 0.0, 0.0, 0.0]
+
+
+def test_dates_of_other_shapes_are_not_tried_but_none_is_lost(spark):
+    days = ["2024-1-5", "2024-01-05", "5/1/2024", "05/01/2024", "5-1-2024", "5.1.2024", "5 Jan 2024", "12024-01-05", "+12024-1-5", "24-1-5", "2024/1/5", "5 jan 2024", "1-2-3-4", "5.1", "", " 5/1/2024\n"]
+    texts = [d + t for d in days for t in ("", " 10:20:30", " 10:20", " 1:2:3", "T10:20:30", "x")] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = lambda forms: F.coalesce(*(F.try_to_timestamp(S.trimmed(F.col("t")), F.lit(f)) for f in forms))
+    for first, forms in ((True, S.DAY_FIRST), (False, S.MONTH_FIRST)):
+        rows = df.select(S.timestamp(F.col("t"), first).cast("string").alias("a"), plain(forms).cast("string").alias("b")).collect()
+        assert [r["a"] for r in rows] == [r["b"] for r in rows] and sum(r["a"] is not None for r in rows) > 10
