@@ -99,10 +99,12 @@ def _fetching(adapter: Adapter, run_id: str, batch: int, retries: int, wait: flo
                 pending, pause, got = todo.iloc[k : k + batch], wait, {}
                 name = f"{run_id}-{pending['lead_id'].iloc[0]}"
                 for attempt in range(1, retries + 2):
-                    found = adapter.fetch(pending).drop_duplicates("lead_id", keep="last").set_index("lead_id")
+                    answers = adapter.fetch(pending)
+                    # Of several answers for a lead the last one stays.
+                    found = dict(zip(answers["lead_id"], zip(answers["status"], answers["payload_json"], strict=True), strict=True))
                     now = datetime.now(timezone.utc)
                     for lead in pending["lead_id"]:
-                        status, payload = (found.at[lead, "status"], found.at[lead, "payload_json"]) if lead in found.index else ("ERROR", None)
+                        status, payload = found.get(lead, ("ERROR", None))
                         got[lead] = (lead, status, payload, name, attempt, now)
                     pending = pending[[got[x][1] == "ERROR" for x in pending["lead_id"]]]
                     if pending.empty or attempt > retries:
